@@ -8,6 +8,7 @@ only a bounded number of keys can each hold more than a fixed share.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +20,14 @@ HOT_SHARE = 1.0 / 2000
 SPREAD = 256
 
 
+def is_small(lookup: DataFrame) -> bool:
+    """Whether the counted rows stay within the broadcast bound."""
+    return lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def _match(keys: Sequence[str]):
-    cond = None
-    for i, k in enumerate(keys):
-        one = col(k).eqNullSafe(F.col(f"__j{i}"))
-        cond = one if cond is None else cond & one
-    return cond
+    tests = [col(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(keys)]
+    return reduce(lambda a, b: a & b, tests)
 
 
 def join_lookup(
@@ -32,18 +35,24 @@ def join_lookup(
     lookup: DataFrame,
     keys: Sequence[str],
     weight: str,
-    broadcast_rows: int = BROADCAST_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Left join ``lookup`` (unique on ``keys``) to ``rows``; NULL keys match.
 
     ``weight`` is the lookup column with the number of rows behind each key;
-    it is not kept.
+    it is not kept. ``small`` says whether the lookup is within the broadcast
+    bound, where the caller has counted it already.
     """
+    if not keys:
+        # One group in all: the lookup is a single row.
+        one, only = rows.withColumn("__all", F.lit(1)), lookup.withColumn("__all", F.lit(1))
+        return join_lookup(one, only, ["__all"], weight, small=True).drop("__all")
     values = [c for c in lookup.columns if c not in keys and c != weight]
     renamed = lookup.select(
         *[col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *[col(v) for v in values], col(weight).alias("__w")
     )
-    small = lookup.limit(broadcast_rows + 1).count() <= broadcast_rows
+    if small is None:
+        small = is_small(lookup)
     kept = [col(c) for c in rows.columns]
     if small:
         joined = rows.join(F.broadcast(renamed.drop("__w")), _match(keys), "left")

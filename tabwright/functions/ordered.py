@@ -39,15 +39,12 @@ class Running:
     column: str
 
 
-def range_count(df: DataFrame) -> int:
-    rows = df.count()
-    return max(MIN_RANGES, min(MAX_RANGES, -(-rows // ROWS_PER_RANGE)))
-
-
-def fit_edges(df: DataFrame, keys: Sequence[str], ranges: int, rows: int | None = None) -> list:
+def fit_edges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> list:
     """Cut points of the key tuple, from a sample bounded by the range count."""
+    rows = df.count()
+    if ranges is None:
+        ranges = max(MIN_RANGES, min(MAX_RANGES, -(-rows // ROWS_PER_RANGE)))
     wanted = ranges * SAMPLES_PER_RANGE
-    rows = df.count() if rows is None else rows
     share = min(1.0, 1.2 * wanted / max(rows, 1))
     part = df.select(*[col(k) for k in keys])
     if share < 1.0:
@@ -82,15 +79,19 @@ def assign_range(df: DataFrame, keys: Sequence[str], edges: list) -> DataFrame:
 
 
 def into_ranges(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], ranges: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    ranges: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Tag rows with a range of (keys, order_by)."""
-    rows = None
-    if ranges is None:
-        rows = df.count()
-        ranges = max(MIN_RANGES, min(MAX_RANGES, -(-rows // ROWS_PER_RANGE)))
+    """Tag rows with a range of (keys, order_by).
+
+    ``source`` is a cheaper frame to take the edges from: one that ``df`` was
+    derived from and that holds at least as many rows in every range.
+    """
     cut = [*keys, *order_by]
-    return assign_range(df, cut, fit_edges(df, cut, ranges, rows))
+    return assign_range(df, cut, fit_edges(df if source is None else source, cut, ranges))
 
 
 def running(
@@ -160,6 +161,7 @@ def with_running(
     order_by: Sequence[str],
     specs: Sequence[Running],
     ranges: int | None = None,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """Running values per key in the given order, safe for hot keys.
 
@@ -168,5 +170,5 @@ def with_running(
     """
     if not order_by:
         raise ValueError("an explicit order_by is needed: rows have no order of their own")
-    ranged = into_ranges(df, keys, order_by, ranges)
+    ranged = into_ranges(df, keys, order_by, ranges, source)
     return running(ranged, keys, order_by, specs).drop(RANGE)

@@ -1,9 +1,9 @@
 """Exact quantiles (linear between ranks) without sorting or holding a column.
 
 A bounded sketch gives pivots around each wanted rank; one aggregate counts the
-rows beside and between them. The rows between two pivots are a small share of
-the column, so two or three passes reach a slice small enough to sort, whatever
-the size of the table. Heavy repeated values fall on a pivot and end the search.
+rows on and between them. The rows between two pivots are a small share of the
+column, so two or three passes reach a slice small enough to sort, whatever the
+size of the table. Heavy repeated values fall on a pivot and end the search.
 """
 
 from __future__ import annotations
@@ -12,117 +12,133 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col, number
-from tabwright.functions.joins import join_lookup
+from tabwright.functions.joins import is_small, join_lookup
 from tabwright.functions.ordered import RANGE, Running, into_ranges, running
 
-STEPS = 1000
 ACCURACY = 10_000
+MARGIN = 3.0 / ACCURACY
 SLICE = 50_000
+PLACES = 100_000
 
 
 @dataclass
 class _Search:
-    """Where the value of one rank can still be: strictly between low and high."""
+    """Ranks of one column whose values lie strictly between low and high."""
 
     column: str
-    rank: int
+    ranks: list[int]
+    rows: int
+    below: int = 0
     low: float | None = None
     high: float | None = None
-    below: int = 0
-    rows: int = 0
-    grid: Sequence[float] | None = None
-    found: float | None = None
+    pivots: list[float] | None = None
 
-    def inside(self, x: Column) -> Column:
+    def values(self, x: Column) -> Column:
+        """The column inside the interval, NULL elsewhere."""
         cond = x.isNotNull()
         if self.low is not None:
-            cond = cond & (x > self.low)
+            cond = cond & (x > F.lit(self.low))
         if self.high is not None:
-            cond = cond & (x < self.high)
-        return cond
-
-    def pivots(self) -> tuple[float | None, float | None]:
-        share, error = (self.rank - self.below) / self.rows, 1.0 / ACCURACY
-        left = math.floor((share - error) * STEPS) - 1
-        right = math.ceil((share + 1.0 / self.rows + error) * STEPS) + 1
-        return (
-            self.grid[left] if left >= 0 else None,
-            self.grid[right] if right <= STEPS else None,
-        )
-
-    def slice_bound(self) -> float:
-        """Most rows that can lie between the pivots, by the sketch's error."""
-        return self.rows * (5.0 / STEPS + 4.0 / ACCURACY) + 2
-
-
-def _sketch(x: Column) -> Column:
-    return F.percentile_approx(x, [i / STEPS for i in range(STEPS + 1)], ACCURACY)
-
-
-def _solve(df: DataFrame, searches: list[_Search]) -> None:
-    exprs = {c: number(df, c) for c in {s.column for s in searches}}
-    open_ones = [s for s in searches if s.found is None and s.rows > 0]
-    while open_ones:
-        fresh = [s for s in open_ones if s.grid is None]
-        if fresh:
-            aggs = [
-                _sketch(F.when(s.inside(exprs[s.column]), exprs[s.column])).alias(f"g{i}")
-                for i, s in enumerate(fresh)
-            ]
-            row = df.agg(*aggs).first()
-            for i, s in enumerate(fresh):
-                s.grid = row[f"g{i}"]
-        aggs, plans = [], []
-        for i, s in enumerate(open_ones):
-            x, (p, q) = exprs[s.column], s.pivots()
-            inside = s.inside(x)
-            between = inside
-            under = F.lit(0)
-            if p is not None:
-                between = between & (x > p)
-                under = F.count_if(inside & (x < p))
-                aggs.append(F.count_if(inside & (x == p)).alias(f"p{i}"))
-            if q is not None:
-                between = between & (x < q)
-                aggs.append(F.count_if(inside & (x == q)).alias(f"q{i}"))
-            aggs += [under.alias(f"u{i}"), F.count_if(between).alias(f"m{i}")]
-            sliced = s.slice_bound() <= SLICE
-            if sliced:
-                place = F.lit(s.rank - s.below) - (F.count_if(inside & (x <= p)) if p is not None else F.lit(0))
-                kept = F.array_sort(F.collect_list(F.when(between, x)))
-                aggs.append(F.when(place >= 0, F.get(kept, place.cast("int"))).alias(f"v{i}"))
-            plans.append((s, p, q, sliced))
-        row = df.agg(*aggs).first()
-        for i, (s, p, q, sliced) in enumerate(plans):
-            at = s.rank - s.below
-            under, mid = row[f"u{i}"], row[f"m{i}"]
-            on_p = row[f"p{i}"] if p is not None else 0
-            on_q = row[f"q{i}"] if q is not None and q != p else 0
-            if at < under:
-                s.high, s.rows, s.grid = p, under, None
-            elif at < under + on_p:
-                s.found = p
-            elif at < under + on_p + mid:
-                if sliced:
-                    s.found = row[f"v{i}"]
-                else:
-                    s.below += under + on_p
-                    s.low, s.high, s.rows, s.grid = (
-                        p if p is not None else s.low,
-                        q if q is not None else s.high,
-                        mid,
-                        None,
-                    )
-            elif at < under + on_p + mid + on_q:
-                s.found = q
-            else:
-                done = under + on_p + mid + on_q
-                s.below, s.low, s.rows, s.grid = s.below + done, q, s.rows - done, None
-        open_ones = [s for s in open_ones if s.found is None]
+            cond = cond & (x < F.lit(self.high))
+        return F.when(cond, x)
+
+    def splits(self) -> list[float]:
+        """Bucket edges: odd buckets hold one pivot, even ones lie between."""
+        edges = [-math.inf]
+        for p in self.pivots:
+            edges += [p, math.nextafter(p, math.inf)]
+        return [*edges, math.inf]
+
+    def split(self, counts: Mapping[int, int], found: dict[tuple[str, int], float]) -> list["_Search"]:
+        """Ranks on a pivot are found; the others stay open in their gap."""
+        ends = [self.low, *self.pivots, self.high]
+        parts, start = [], self.below
+        for place in range(2 * len(self.pivots) + 1):
+            n = counts.get(place, 0)
+            here = [r for r in self.ranks if start <= r < start + n]
+            if here and place % 2:
+                found.update({(self.column, r): self.pivots[place // 2] for r in here})
+            elif here:
+                parts.append(_Search(self.column, here, n, start, ends[place // 2], ends[place // 2 + 1]))
+            start += n
+        return parts
+
+
+def _beside(shares: Sequence[float]) -> list[float]:
+    """Shares just below and above each share, wider than the sketch's error."""
+    around = {max(0.0, s - MARGIN) for s in shares} | {min(1.0, s + MARGIN) for s in shares}
+    return sorted(around)
+
+
+def _distinct(pivots: Sequence[float]) -> list[float]:
+    return sorted({p + 0.0 for p in pivots if math.isfinite(p)})
+
+
+def _tall(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """(t, v): one row per row and expression, present values only."""
+    wide = df.select(*[c.alias(f"t{i}") for i, c in enumerate(columns)])
+    return wide.unpivot([], [f"t{i}" for i in range(len(columns))], "t", "v").filter("v is not null")
+
+
+def _narrow(df: DataFrame, searches: list[_Search], found: dict[tuple[str, int], float]) -> list[_Search]:
+    """Count the rows on and between the pivots of every search, in one job."""
+    values = df.select(*[s.values(number(df, s.column)).alias(f"x{i}") for i, s in enumerate(searches)])
+    buckets = Bucketizer(
+        splitsArray=[s.splits() for s in searches],
+        inputCols=values.columns,
+        outputCols=[f"b{i}" for i in range(len(searches))],
+        handleInvalid="keep",
+    ).transform(values)
+    places = [F.col(f"b{i}").cast("int") + F.lit(i * PLACES) for i in range(len(searches))]
+    counts: dict[int, dict[int, int]] = {i: {} for i in range(len(searches))}
+    for r in _tall(buckets, places).groupBy("v").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["v"] // PLACES][r["v"] % PLACES] = r["n"]
+    return [part for i, s in enumerate(searches) for part in s.split(counts[i], found)]
+
+
+def _pick(df: DataFrame, searches: list[_Search], found: dict[tuple[str, int], float]) -> None:
+    """Sort the few values left to each search and take its ranks."""
+    kept = F.array_sort(F.collect_list("v"))
+    slices = _tall(df, [s.values(number(df, s.column)) for s in searches]).groupBy("t").agg(kept.alias("kept"))
+    spots = None
+    for i, s in enumerate(searches):
+        these = F.array(*[F.lit(r - s.below) for r in s.ranks])
+        cond = F.col("t") == f"t{i}"
+        spots = F.when(cond, these) if spots is None else spots.when(cond, these)
+    rows = slices.select("t", F.transform(spots, lambda at: F.get(F.col("kept"), at)).alias("values")).collect()
+    for r in rows:
+        s = searches[int(r["t"][1:])]
+        found.update({(s.column, rank): v for rank, v in zip(s.ranks, r["values"])})
+
+
+def _solve(df: DataFrame, searches: list[_Search]) -> dict[tuple[str, int], float]:
+    found: dict[tuple[str, int], float] = {}
+    small: list[_Search] = []
+    while searches:
+        small += [s for s in searches if s.rows <= SLICE]
+        searches = [s for s in searches if s.rows > SLICE]
+        bare = [s for s in searches if s.pivots is None]
+        if bare:
+            row = df.agg(
+                *[
+                    F.percentile_approx(
+                        s.values(number(df, s.column)), _beside([(r - s.below) / s.rows for r in s.ranks]), ACCURACY
+                    ).alias(f"p{i}")
+                    for i, s in enumerate(bare)
+                ]
+            ).first()
+            for i, s in enumerate(bare):
+                s.pivots = _distinct(row[f"p{i}"])
+        if searches:
+            searches = _narrow(df, searches, found)
+    if small:
+        _pick(df, small, found)
+    return found
 
 
 def blend(low: float, high: float, share: float) -> float:
@@ -141,59 +157,50 @@ def fit_quantiles(
     if not wanted:
         return {}
     names = list(wanted)
-    if accuracy is not None:
-        row = df.agg(
-            *[F.percentile_approx(number(df, c), wanted[c], accuracy).alias(f"a{i}") for i, c in enumerate(names)]
-        ).first()
-        return {
-            c: list(row[f"a{i}"]) if row[f"a{i}"] is not None else [None] * len(wanted[c])
-            for i, c in enumerate(names)
-        }
-    firsts = []
+    first = []
     for i, c in enumerate(names):
-        firsts += [F.count(number(df, c)).alias(f"n{i}"), _sketch(number(df, c)).alias(f"g{i}")]
-    row = df.agg(*firsts).first()
-    searches: dict[tuple[str, int], _Search] = {}
+        probs = wanted[c] if accuracy is not None else _beside(wanted[c])
+        first.append(F.count(number(df, c)).alias(f"n{i}"))
+        first.append(F.percentile_approx(number(df, c), probs, accuracy or ACCURACY).alias(f"p{i}"))
+    row = df.agg(*first).first()
+    if accuracy is not None:
+        return {c: list(row[f"p{i}"] or [None] * len(wanted[c])) for i, c in enumerate(names)}
+    searches = []
     for i, c in enumerate(names):
         rows = row[f"n{i}"]
-        for p in wanted[c]:
-            if rows:
-                at = p * (rows - 1)
-                for rank in {math.floor(at), math.ceil(at)}:
-                    searches[c, rank] = _Search(c, rank, rows=rows, grid=row[f"g{i}"])
-    _solve(df, list(searches.values()))
+        if rows:
+            ranks = {f(p * (rows - 1)) for p in wanted[c] for f in (math.floor, math.ceil)}
+            searches.append(_Search(c, sorted(ranks), rows, pivots=_distinct(row[f"p{i}"])))
+    found = _solve(df, searches)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(names):
         rows = row[f"n{i}"]
-        out[c] = []
-        for p in wanted[c]:
-            if not rows:
-                out[c].append(None)
-                continue
-            at = p * (rows - 1)
-            low, high = math.floor(at), math.ceil(at)
-            out[c].append(blend(searches[c, low].found, searches[c, high].found, at - low))
+        spots = [p * (rows - 1) for p in wanted[c]]
+        out[c] = [
+            blend(found[c, math.floor(at)], found[c, math.ceil(at)], at - math.floor(at)) if rows else None
+            for at in spots
+        ]
     return out
 
 
-def ranked_values(df: DataFrame, keys: Sequence[str], column: str, ranges: int | None = None) -> DataFrame:
-    """(keys, value, n, upto, total): counts of equal values with running rank.
+def ranked_values(
+    df: DataFrame, keys: Sequence[str], column: str, ranges: int | None = None
+) -> tuple[DataFrame, bool]:
+    """(keys, __v, __n, __upto, __total): counts of equal values with running
+    rank, and whether the groups are few enough to broadcast.
 
     Equal values collapse before the shuffle, and a hot group is cut into
     ranges of its values.
     """
-    counted = (
-        df.select(*[col(k) for k in keys], number(df, column).alias("__v"))
-        .filter("__v is not null")
-        .groupBy(*[col(k) for k in keys], F.col("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    ranged = into_ranges(counted, keys, ["__v"], ranges)
+    rows = df.select(*[col(k) for k in keys], number(df, column).alias("__v")).filter("__v is not null")
+    names = [col(k) for k in keys]
+    counted = rows.groupBy(*names, F.col("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    totals = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__total"))
+    totals = totals.withColumn("__weight", F.col("__total"))
+    small = not keys or is_small(totals)
+    ranged = into_ranges(counted, keys, ["__v"], ranges, source=rows)
     ranked = running(ranged, keys, ["__v"], [Running("__upto", "sum", "__n")]).drop(RANGE)
-    totals = counted.groupBy(*[col(k) for k in keys]).agg(
-        F.sum("__n").alias("__total"), F.count(F.lit(1)).alias("__weight")
-    )
-    return join_lookup(ranked, totals, keys, weight="__weight")
+    return join_lookup(ranked, totals, keys, weight="__weight", small=small), small
 
 
 def grouped_quantiles(ranked: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:

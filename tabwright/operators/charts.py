@@ -103,8 +103,9 @@ def _grouped(df: DataFrame, y: str, by: Sequence[str]) -> DataFrame:
     return df.select(*[value(df, c).alias(c) for c in by], number(df, y).alias("__y"))
 
 
-def _boxes(ranked: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Quartiles per group, and the counted values with their group's fences."""
+def _fenced(df: DataFrame, y: str, by: Sequence[str], ranges: int | None) -> DataFrame:
+    """The counted values with the quartiles and fences of their group."""
+    ranked, small = ranked_values(_grouped(df, y, by), by, "__y", ranges)
     boxes = grouped_quantiles(ranked, by, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     fences = boxes.withColumns(
         {
@@ -113,14 +114,13 @@ def _boxes(ranked: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
         }
     )
     values = ranked.select(*[col(c) for c in by], "__v", "__n")
-    return fences, join_lookup(values, fences.withColumnRenamed("n", "__size"), by, weight="__size")
+    return join_lookup(values, fences.withColumnRenamed("n", "__size"), by, weight="__size", small=small)
 
 
 def box_stats(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """n, quartiles, whiskers and number of outliers per group."""
     by = list(by)
-    ranked = ranked_values(_grouped(df, y, by), by, "__y", ranges)
-    _, fenced = _boxes(ranked, by)
+    fenced = _fenced(df, y, by, ranges)
     inside = F.col("__v").between(F.col("lower"), F.col("upper"))
     return (
         fenced.groupBy(*[col(c) for c in by])
@@ -143,7 +143,7 @@ def box_stats(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None
 def box_outliers(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Every value outside its group's fences, with its number of rows."""
     by = list(by)
-    _, fenced = _boxes(ranked_values(_grouped(df, y, by), by, "__y", ranges), by)
+    fenced = _fenced(df, y, by, ranges)
     return fenced.filter(~F.col("__v").between(F.col("lower"), F.col("upper"))).select(
         *[col(c) for c in by], F.col("__v").alias("value"), F.col("__n").alias("n")
     )
@@ -216,13 +216,13 @@ def violin_density(
     by = list(by)
     rows = _grouped(df, y, by).filter("__y is not null")
     keys = [col(c) for c in by]
-    ranked = ranked_values(rows, by, "__y", ranges)
+    ranked, small = ranked_values(rows, by, "__y", ranges)
     boxes = grouped_quantiles(ranked, by, [0.25, 0.75], ["__q1", "__q3"])
     moments = rows.groupBy(*keys).agg(
         F.min("__y").alias("__a"), F.max("__y").alias("__b"), F.stddev_samp("__y").alias("__sd"), F.count("__y").alias("__size")
     )
     boxes = boxes.withColumnRenamed("n", "__w")
-    stats = join_lookup(moments, boxes, by, weight="__w")
+    stats = join_lookup(moments, boxes, by, weight="__w", small=small)
     iqr = (F.col("__q3") - F.col("__q1")) / 1.349
     spread = F.when(iqr > 0, F.least("__sd", iqr)).otherwise(F.col("__sd"))
     stats = stats.withColumn("__h", 1.059 * spread * F.pow(F.col("__size").cast("double"), F.lit(-0.2)))
@@ -230,7 +230,7 @@ def violin_density(
     width = (F.col("__b") - F.col("__a")) / bins
     place = F.least(F.floor((F.col("__y") - F.col("__a")) / width), F.lit(bins - 1))
     binned = (
-        join_lookup(rows, stats, by, weight="__w")
+        join_lookup(rows, stats, by, weight="__w", small=small)
         .filter("__h is not null")
         .groupBy(*keys, place.alias("__bin"), *[F.col(c) for c in ("__a", "__b", "__h", "__size")])
         .agg(F.count(F.lit(1)).alias("__n"))

@@ -183,7 +183,8 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, n: i
     for i, j in pairs:
         x, y = number(df, names[i]), number(df, names[j])
         spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
-        aggs.append(F.round(F.regr_sxy(y, x) / F.nullif(spread, F.lit(0.0)), digits).alias(f"r{i}_{j}"))
+        r = F.round(F.regr_sxy(y, x) / F.nullif(spread, F.lit(0.0)), digits) + F.lit(0.0)
+        aggs.append(r.alias(f"r{i}_{j}"))
     cells = [
         F.struct(
             F.lit(names[i]).alias("row"),

@@ -124,20 +124,19 @@ def fit_label_codes(
     require_columns(df, names)
     codes = {}
     for c in names:
-        counted = (
-            df.select(col(c)).filter(col(c).isNotNull()).groupBy(col(c)).agg(F.count(F.lit(1)).alias("__rows"))
-        ).withColumn("__one", F.lit(1).cast("bigint"))
-        numbered = with_running(counted, [], [c], [Running("__upto", "sum", "__one")], ranges)
+        present = df.select(col(c)).filter(col(c).isNotNull())
+        counted = present.groupBy(col(c)).agg(F.count(F.lit(1)).alias("__rows"))
+        counted = counted.withColumn("__one", F.lit(1).cast("bigint"))
+        numbered = with_running(counted, [], [c], [Running("__upto", "sum", "__one")], ranges, source=present)
         codes[c] = numbered.select(col(c), (F.col("__upto") - 1).cast("bigint").alias("__code"), "__rows")
     return codes
 
 
-def apply_label_codes(df: DataFrame, codes: Mapping[str, DataFrame], broadcast_rows: int | None = None) -> DataFrame:
+def apply_label_codes(df: DataFrame, codes: Mapping[str, DataFrame]) -> DataFrame:
     """Replace values by codes; missing and unknown values become -1."""
-    limit = {} if broadcast_rows is None else {"broadcast_rows": broadcast_rows}
     out = df
     for i, (c, table) in enumerate(codes.items()):
-        out = join_lookup(out, table.withColumnRenamed("__code", f"__code{i}"), [c], weight="__rows", **limit)
+        out = join_lookup(out, table.withColumnRenamed("__code", f"__code{i}"), [c], weight="__rows")
     back = {c: F.coalesce(F.col(f"__code{i}"), F.lit(-1)) for i, c in enumerate(codes)}
     return out.select(*[back[c].alias(c) if c in back else col(c) for c in df.columns])
 

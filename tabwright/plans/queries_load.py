@@ -25,11 +25,11 @@ QUERIES = {}
 SQL = {}
 
 
-def query(sql: str | None = None):
+def query(name: str, sql: str | None = None):
     def register(f):
-        QUERIES[f.__name__] = f
+        QUERIES[name] = f
         if sql is not None:
-            SQL[f.__name__] = sql
+            SQL[name] = sql
         return f
 
     return register
@@ -39,79 +39,76 @@ def _kept_text(writer):
     return writer.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
 
 
-@query("select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer")
-def read_csv_(spark, sf):
+@query("read_csv", "select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, c_mktsegment from customer")
+def _(spark, sf):
     path = fresh_folder(spark, "csv")
     _kept_text(table(spark, sf, "customer").write).csv(path)
     return read_csv(spark, path)
 
 
-@query(
-    with_variant(
+@query("read_tsv", with_variant(
         "dirty_customer",
         "select c_custkey, case when seg <> 'N/A' then seg end as seg, bal, money, cast(c_nationkey as bigint) as c_nationkey from d",
     )
 )
-def read_tsv_(spark, sf):
+def _(spark, sf):
     path = fresh_folder(spark, "tsv")
     _kept_text(table(spark, sf, "dirty_customer").write.option("sep", "\t")).csv(path)
     return read_tsv(spark, path)
 
 
-@query("select s_suppkey, s_name, cast(s_nationkey as bigint) as s_nationkey, s_acctbal from supplier")
-def read_json_(spark, sf):
+@query("read_json", "select s_suppkey, s_name, cast(s_nationkey as bigint) as s_nationkey, s_acctbal from supplier")
+def _(spark, sf):
     path = fresh_folder(spark, "json")
     table(spark, sf, "supplier").write.json(path)
     return read_json(spark, path)
 
 
-@query("select * from orders")
-def read_parquet_(spark, sf):
+@query("read_parquet", "select * from orders")
+def _(spark, sf):
     return read_parquet(spark, f"{sf}/orders.parquet")
 
 
-@query("select * from part")
-def load_(spark, sf):
+@query("load", "select * from part")
+def _(spark, sf):
     return load(spark, f"{sf}/part.parquet")
 
 
-@query("select * from nation")
-def named_dataset(spark, sf):
+@query("named_dataset", "select * from nation")
+def _(spark, sf):
     registry = Registry()
     for name in TABLES:
         registry.register(name, f"{sf}/{name}.parquet", name.title())
     return registry.load(spark, "nation")
 
 
-@query("select * from supplier")
-def assert_not_empty_(spark, sf):
+@query("assert_not_empty", "select * from supplier")
+def _(spark, sf):
     return assert_not_empty(table(spark, sf, "supplier"))
 
 
-@query(
-    with_variant(
+@query("dataset_info", with_variant(
         "dirty_customer",
         """select 'customer.csv' as filename, 'CSV' as format, count(*) as rows, cast(5 as bigint) as columns,
         round((count(*) - count(seg) + count(*) - count(bal)) * 100.0 / (count(*) * 5), 1) as missing_pct from d""",
     )
 )
-def dataset_info_(spark, sf):
+def _(spark, sf):
     return dataset_info(table(spark, sf, "dirty_customer"), "customer.csv")
 
 
-@query(with_variant("dirty_customer", "select * from d where seg is not null and bal is not null"))
-def save_stage(spark, sf):
+@query("save_stage", with_variant("dirty_customer", "select * from d where seg is not null and bal is not null"))
+def _(spark, sf):
     store = StageStore(spark, fresh_folder(spark, "stages"))
     raw = store.save("raw", table(spark, sf, "dirty_customer"))
     store.save("cleaned", missing.drop_missing_rows(raw))
     return store.load("cleaned")
 
 
-@query(
-    """select 'cleaned' as stage, count(*) as rows from orders where o_totalprice >= 1000
+@query("latest_stage", """select 'cleaned' as stage, count(*) as rows from orders where o_totalprice >= 1000
     union all select 'raw', count(*) from orders"""
 )
-def latest_stage(spark, sf):
+def _(spark, sf):
     store = StageStore(spark, fresh_folder(spark, "stages"))
     raw = store.save("raw", table(spark, sf, "orders"))
     before = store.latest_name()
@@ -121,8 +118,8 @@ def latest_stage(spark, sf):
     return first.unionByName(store.latest().agg(F.lit(after).alias("stage"), F.count(F.lit(1)).alias("rows")))
 
 
-@query("select 'raw' as stage, true as was_ahead, false as still_ahead, count(*) as rows from supplier")
-def reset_downstream(spark, sf):
+@query("reset_downstream", "select 'raw' as stage, true as was_ahead, false as still_ahead, count(*) as rows from supplier")
+def _(spark, sf):
     store = StageStore(spark, fresh_folder(spark, "stages"))
     raw = store.save("raw", table(spark, sf, "orders"))
     store.save("cleaned", raw)
@@ -136,15 +133,14 @@ def reset_downstream(spark, sf):
     )
 
 
-@query(
-    with_variant(
+@query("read_ga_report", with_variant(
         "ab_events",
         """select grp as "group", event_type as event_name, count(distinct user_id) as active_users, count(*) as event_count
         from d group by 1, 2 union all
         select null, null, count(distinct user_id), count(*) from d""",
     )
 )
-def read_ga_report_(spark, sf):
+def _(spark, sf):
     """The counts of the event table, written in the shape of the export."""
     counts = experiment.event_rollup(table(spark, sf, "ab_events"), "grp", "event_type", "user_id")
     preamble = spark.createDataFrame(
@@ -162,34 +158,32 @@ def read_ga_report_(spark, sf):
     return read_ga_report(spark, path)
 
 
-@query(
-    with_variant(
+@query("save_summary", with_variant(
         "dup_orders",
         """select count(*) as rows, cast(3 as bigint) as columns, cast(0 as bigint) as missing_cells,
         count(*) - (select count(*) from (select distinct * from d)) as duplicate_rows from d""",
     )
 )
-def save_summary_(spark, sf):
+def _(spark, sf):
     return save_summary(table(spark, sf, "dup_orders"))
 
 
-@query(
-    with_variant(
+@query("filter_categorical", with_variant(
         "dirty_customer",
         "select * from d where seg in ('  BUILDING ', ' ? ') or seg is null",
     )
 )
-def filter_categorical(spark, sf):
+def _(spark, sf):
     return filters.filter_categorical(table(spark, sf, "dirty_customer"), "seg", ["  BUILDING ", " ? ", "(NA)"])
 
 
-@query("select * from lineitem where l_quantity >= 10 and l_quantity <= 24.5")
-def filter_range(spark, sf):
+@query("filter_range", "select * from lineitem where l_quantity >= 10 and l_quantity <= 24.5")
+def _(spark, sf):
     return filters.filter_range(table(spark, sf, "lineitem"), "l_quantity", 10, 24.5)
 
 
-@query("select * from lineitem where l_returnflag in ('R', 'N') and l_discount <= 0.05")
-def filter_all(spark, sf):
+@query("filter_all", "select * from lineitem where l_returnflag in ('R', 'N') and l_discount <= 0.05")
+def _(spark, sf):
     return filters.filter_all(
         table(spark, sf, "lineitem"),
         [
@@ -201,13 +195,12 @@ def filter_all(spark, sf):
     )
 
 
-@query(
-    with_variant(
+@query("filtered_count", with_variant(
         "dirty_customer",
         "select count(*) filter (where bal >= 0 and c_nationkey in (1, 5, 7)) as shown, count(*) as total from d",
     )
 )
-def filtered_count(spark, sf):
+def _(spark, sf):
     return filters.filtered_count(
         table(spark, sf, "dirty_customer"), [InRange("bal", 0), InList("c_nationkey", ["1", "5", "7"])]
     )
@@ -225,8 +218,7 @@ _LINEITEM_NUMBERS = (
 )
 
 
-@query(
-    "\nunion all ".join(
+@query("filter_kind", "\nunion all ".join(
         [
             f"select '{c}' as \"column\", case when count(distinct {c}) <= 30 then 'categorical' else 'numeric' end as kind from lineitem"
             for c in _LINEITEM_NUMBERS
@@ -234,70 +226,68 @@ _LINEITEM_NUMBERS = (
         + [f"select '{c}', 'categorical'" for c in ("l_returnflag", "l_linestatus", "l_shipdate")]
     )
 )
-def filter_kind(spark, sf):
+def _(spark, sf):
     return filters.filter_kind(table(spark, sf, "lineitem"))
 
 
-@query(with_variant("dirty_customer", "select distinct coalesce(seg, '(NA)') as value from d"))
-def filter_domain(spark, sf):
+@query("filter_domain", with_variant("dirty_customer", "select distinct coalesce(seg, '(NA)') as value from d"))
+def _(spark, sf):
     return filters.filter_domain(table(spark, sf, "dirty_customer"), "seg")
 
 
-@query(with_variant("dirty_customer", "select min(bal) as low, max(bal) as high from d"))
-def filter_bounds(spark, sf):
+@query("filter_bounds", with_variant("dirty_customer", "select min(bal) as low, max(bal) as high from d"))
+def _(spark, sf):
     return filters.filter_bounds(table(spark, sf, "dirty_customer"), "bal", widen=True)
 
 
-@query(
-    """select * from orders where (o_totalprice >= 1e15 and o_totalprice <= 2e15)
+@query("eda_filter_range", """select * from orders where (o_totalprice >= 1e15 and o_totalprice <= 2e15)
     or not exists (select 1 from orders having max(o_totalprice) >= 1e15)"""
 )
-def eda_filter_range(spark, sf):
+def _(spark, sf):
     return filters.eda_filter_range(table(spark, sf, "orders"), "o_totalprice", 1e15, 2e15)
 
 
-@query("select * from orders where o_orderstatus in ('F', 'P')")
-def eda_filter_in(spark, sf):
+@query("eda_filter_in", "select * from orders where o_orderstatus in ('F', 'P')")
+def _(spark, sf):
     return filters.eda_filter_in(table(spark, sf, "orders"), "o_orderstatus", ["F", "P"])
 
 
-@query("select o_orderkey, o_custkey, o_orderdate from orders")
-def drop_columns(spark, sf):
+@query("drop_columns", "select o_orderkey, o_custkey, o_orderdate from orders")
+def _(spark, sf):
     return filters.drop_columns(table(spark, sf, "orders"), ["o_orderstatus", "o_totalprice", "o_orderpriority", "nothing"])
 
 
-@query("select " + ", ".join(_LINEITEM_NUMBERS) + " from lineitem")
-def select_numeric(spark, sf):
+@query("select_numeric", "select " + ", ".join(_LINEITEM_NUMBERS) + " from lineitem")
+def _(spark, sf):
     return filters.select_numeric(table(spark, sf, "lineitem"))
 
 
-@query("select l_returnflag, l_linestatus from lineitem")
-def select_categorical(spark, sf):
+@query("select_categorical", "select l_returnflag, l_linestatus from lineitem")
+def _(spark, sf):
     return filters.select_categorical(table(spark, sf, "lineitem"))
 
 
-@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber from lineitem")
-def first_numeric(spark, sf):
+@query("first_numeric", "select l_orderkey, l_partkey, l_suppkey, l_linenumber from lineitem")
+def _(spark, sf):
     return filters.first_numeric(table(spark, sf, "lineitem"), 4)
 
 
-@query("select l_quantity, round(sqrt(l_quantity), 6) as q_root from lineitem")
-def preview_feature(spark, sf):
+@query("preview_feature", "select l_quantity, round(sqrt(l_quantity), 6) as q_root from lineitem")
+def _(spark, sf):
     made = features.sqrt(table(spark, sf, "lineitem"), "l_quantity", " q_root ")
     made = made.withColumn("q_root", F.round("q_root", 6))
     return features.preview_feature(made, ["l_quantity", "l_quantity"], "q_root")
 
 
-@query("select s_suppkey, s_name, s_nationkey, s_acctbal, s_acctbal * s_acctbal as s_acctbal_square from supplier")
-def add_feature(spark, sf):
+@query("add_feature", "select s_suppkey, s_name, s_nationkey, s_acctbal, s_acctbal * s_acctbal as s_acctbal_square from supplier")
+def _(spark, sf):
     df = table(spark, sf, "supplier")
     return features.add_feature(df, "s_acctbal_square", F.col("s_acctbal") * F.col("s_acctbal"), "   ")
 
 
-@query(
-    """select r_regionkey as region_key_id, r_name as region_key_id_2, r_regionkey as col_2, r_name as a_b from region"""
+@query("standardize_column_names", """select r_regionkey as region_key_id, r_name as region_key_id_2, r_regionkey as col_2, r_name as a_b from region"""
 )
-def standardize_column_names(spark, sf):
+def _(spark, sf):
     odd = table(spark, sf, "region").select(
         F.col("r_regionkey").alias("  Region  Key (ID)"),
         F.col("r_name").alias("region_key__id_"),
@@ -305,12 +295,3 @@ def standardize_column_names(spark, sf):
         F.col("r_name").alias("A\tB!"),
     )
     return text.standardize_column_names(odd)
-
-
-for _name in list(QUERIES):
-    if _name.endswith("_"):
-        QUERIES[_name[:-1]] = QUERIES.pop(_name)
-        if _name in SQL:
-            SQL[_name[:-1]] = SQL.pop(_name)
-
-
