@@ -56,6 +56,9 @@ def tops(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     column's own type.
     """
     columns = atomic_columns(df) if columns is None else list(columns)
+    if not columns:
+        shape = "column string, distinct bigint, top string, freq bigint"
+        return df.sparkSession.createDataFrame([], shape)
     whole = [c for c in columns if isinstance(type_of(df, c), INTEGRAL)]
     broken = [c for c in columns if isinstance(type_of(df, c), (*FRACTIONAL, T.DecimalType))]
     name = F.col("column")

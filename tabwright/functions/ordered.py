@@ -1,15 +1,16 @@
 """Running values over an explicit order when one key can hold most rows.
 
-A window keyed by user (or by nothing) runs each key in one task. Here rows are
-cut into ranges of (key, order) first, by edges taken from a sample, so a hot
-key spreads over many ranges. Each range is an ordinary window; what a range
-needs from its neighbours comes from a summary with one row per key and range,
-kept only for keys that cross an edge: at most two rows for every edge.
+A window keyed by user (or by nothing) runs each key in one task. Beyond a
+counted number of rows, rows are cut into ranges of (key, order) first, by edges
+taken from a sample, so a hot key spreads over many ranges. Each range is an
+ordinary window; what a range needs from its neighbours comes from a summary
+with one row per key and range, kept only for keys that cross an edge: at most
+two rows for every edge. A window without a key is always cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,11 +40,26 @@ class Running:
     column: str
 
 
-def fit_edges(df: DataFrame, keys: Sequence[str], ranges: int | None = None) -> list:
+@dataclass(frozen=True)
+class Ranged:
+    """Rows tagged with a range, or few enough rows to need none (``whole``)."""
+
+    rows: DataFrame
+    whole: bool
+
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> "Ranged":
+        return Ranged(change(self.rows), self.whole)
+
+    def plain(self) -> DataFrame:
+        return self.rows if self.whole else self.rows.drop(RANGE)
+
+
+def ranges_for(rows: int) -> int:
+    return max(MIN_RANGES, min(MAX_RANGES, -(-rows // ROWS_PER_RANGE)))
+
+
+def fit_edges(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> list:
     """Cut points of the key tuple, from a sample bounded by the range count."""
-    rows = df.count()
-    if ranges is None:
-        ranges = max(MIN_RANGES, min(MAX_RANGES, -(-rows // ROWS_PER_RANGE)))
     wanted = ranges * SAMPLES_PER_RANGE
     share = min(1.0, 1.2 * wanted / max(rows, 1))
     part = df.select(*[col(k) for k in keys])
@@ -84,48 +100,59 @@ def into_ranges(
     order_by: Sequence[str],
     ranges: int | None = None,
     source: DataFrame | None = None,
-) -> DataFrame:
+) -> Ranged:
     """Tag rows with a range of (keys, order_by).
 
-    ``source`` is a cheaper frame to take the edges from: one that ``df`` was
-    derived from and that holds at least as many rows in every range.
+    ``ranges`` forces a number of ranges. ``source`` is a cheaper frame to take
+    the edges from: one that ``df`` was derived from and that holds at least as
+    many rows in every range.
     """
+    base = df if source is None else source
+    rows = base.count()
+    if ranges is None:
+        if keys and rows <= ROWS_PER_RANGE:
+            return Ranged(df, True)
+        ranges = ranges_for(rows)
     cut = [*keys, *order_by]
-    return assign_range(df, cut, fit_edges(df if source is None else source, cut, ranges))
+    return Ranged(assign_range(df, cut, fit_edges(base, cut, ranges, rows)), False)
 
 
 def running(
-    ranged: DataFrame, keys: Sequence[str], order_by: Sequence[str], specs: Sequence[Running]
-) -> DataFrame:
+    ranged: Ranged, keys: Sequence[str], order_by: Sequence[str], specs: Sequence[Running]
+) -> Ranged:
     """Add running values to a frame tagged by :func:`into_ranges`."""
-    order = [col(o).asc_nulls_first() for o in order_by]
     here = F.struct(*[col(o) for o in order_by])
-    part = Window.partitionBy(RANGE, *[col(k) for k in keys]).orderBy(*order)
+    cell = Window.partitionBy(*([] if ranged.whole else [RANGE]), *[col(k) for k in keys])
+    part = cell.orderBy(*[col(o).asc_nulls_first() for o in order_by])
     so_far = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = part.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Looking ahead is looking back in the opposite order: a frame that grows
+    # from its far end would be read again for every row.
+    ahead = cell.orderBy(*[col(o).desc_nulls_last() for o in order_by]).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
 
     group = Window.partitionBy(*[F.col(f"__k{i}") for i in range(len(keys))])
     earlier = group.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    later = group.orderBy(RANGE).rowsBetween(1, Window.unboundedFollowing)
+    later = group.orderBy(F.desc(RANGE)).rowsBetween(Window.unboundedPreceding, -1)
 
-    local, tails, carries, final = {}, [], {}, {}
+    local, tails, carries, parts = {}, [], {}, {}
     for i, s in enumerate(specs):
         x, here_name, tail, carry = col(s.column), f"__l{i}", f"__t{i}", f"__c{i}"
         if s.kind == "sum":
             local[here_name] = F.sum(x).over(so_far)
             tails.append(F.sum(x).alias(tail))
             carries[carry] = F.sum(tail).over(earlier)
-            final[s.name] = F.coalesce(F.col(here_name), F.lit(0)) + F.coalesce(F.col(carry), F.lit(0))
+            parts[s.name] = lambda own, far: F.coalesce(own, F.lit(0)) + F.coalesce(far, F.lit(0))
         elif s.kind == "last":
             local[here_name] = F.last(x, ignorenulls=True).over(so_far)
             tails.append(F.max_by(x, F.when(x.isNotNull(), here)).alias(tail))
             carries[carry] = F.last(tail, ignorenulls=True).over(earlier)
-            final[s.name] = F.coalesce(F.col(here_name), F.col(carry))
+            parts[s.name] = F.coalesce
         elif s.kind == "first":
-            local[here_name] = F.first(x, ignorenulls=True).over(ahead)
+            local[here_name] = F.last(x, ignorenulls=True).over(ahead)
             tails.append(F.min_by(x, F.when(x.isNotNull(), here)).alias(tail))
-            carries[carry] = F.first(tail, ignorenulls=True).over(later)
-            final[s.name] = F.coalesce(F.col(here_name), F.col(carry))
+            carries[carry] = F.last(tail, ignorenulls=True).over(later)
+            parts[s.name] = F.coalesce
         elif s.kind in ("lag", "lead"):
             held = F.struct(x.alias("v"))
             step = F.lag if s.kind == "lag" else F.lead
@@ -133,12 +160,18 @@ def running(
             pick = F.max_by if s.kind == "lag" else F.min_by
             tails.append(pick(held, here).alias(tail))
             carries[carry] = step(tail).over(group.orderBy(RANGE))
-            final[s.name] = F.coalesce(F.col(here_name), F.col(carry))["v"]
+            parts[s.name] = lambda own, far: F.coalesce(own, far)["v"]
         else:
             raise ValueError(f"unknown running value: {s.kind}")
 
+    rows = ranged.rows
+    kept = [col(c) for c in rows.columns]
+    if ranged.whole:
+        out = [join(F.col(f"__l{i}"), F.lit(None)).alias(n) for i, (n, join) in enumerate(parts.items())]
+        return Ranged(rows.withColumns(local).select(*kept, *out), True)
+
     summary = (
-        ranged.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(RANGE))
+        rows.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(RANGE))
         .agg(*tails)
         .withColumn("__spans", F.count(F.lit(1)).over(group))
         .filter("__spans > 1")
@@ -150,9 +183,9 @@ def running(
     match = F.col(RANGE) == F.col("__r")
     for i, k in enumerate(keys):
         match = match & col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = ranged.withColumns(local).join(F.broadcast(summary), match, "left")
-    kept = [col(c) for c in ranged.columns]
-    return joined.select(*kept, *[e.alias(n) for n, e in final.items()])
+    joined = rows.withColumns(local).join(F.broadcast(summary), match, "left")
+    out = [join(F.col(f"__l{i}"), F.col(f"__c{i}")).alias(n) for i, (n, join) in enumerate(parts.items())]
+    return Ranged(joined.select(*kept, *out), False)
 
 
 def with_running(
@@ -171,4 +204,4 @@ def with_running(
     if not order_by:
         raise ValueError("an explicit order_by is needed: rows have no order of their own")
     ranged = into_ranges(df, keys, order_by, ranges, source)
-    return running(ranged, keys, order_by, specs).drop(RANGE)
+    return running(ranged, keys, order_by, specs).plain()

@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col, number
-from tabwright.functions.joins import is_small, join_lookup
-from tabwright.functions.ordered import RANGE, Running, into_ranges, running
+from tabwright.functions.joins import BROADCAST_ROWS, is_small, join_lookup
+from tabwright.functions.ordered import Running, into_ranges, ranges_for, running
 
 ACCURACY = 10_000
 MARGIN = 3.0 / ACCURACY
 SLICE = 50_000
 PLACES = 100_000
+HELD_ROWS = 1_000_000
 
 
 @dataclass
@@ -183,38 +184,57 @@ def fit_quantiles(
     return out
 
 
-def ranked_values(
-    df: DataFrame, keys: Sequence[str], column: str, ranges: int | None = None
-) -> tuple[DataFrame, bool]:
-    """(keys, __v, __n, __upto, __total): counts of equal values with running
-    rank, and whether the groups are few enough to broadcast.
+@dataclass(frozen=True)
+class GroupQuantiles:
+    """``table``: keys, n and the quantiles; ``values``: keys, __v, __n (equal
+    values may come in several rows); ``small``: few enough groups to broadcast."""
 
-    Equal values collapse before the shuffle, and a hot group is cut into
-    ranges of its values.
+    table: DataFrame
+    values: DataFrame
+    small: bool
+
+
+def group_quantiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    column: str,
+    probs: Sequence[float],
+    names: Sequence[str],
+    ranges: int | None = None,
+) -> GroupQuantiles:
+    """Exact quantiles per group.
+
+    Up to a counted number of rows the built-in aggregate holds a group's
+    values. Beyond it equal values collapse before the shuffle, a hot group is
+    cut into ranges of its values, and running counts give the ranks.
     """
     rows = df.select(*[col(k) for k in keys], number(df, column).alias("__v")).filter("__v is not null")
-    names = [col(k) for k in keys]
-    counted = rows.groupBy(*names, F.col("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    totals = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__total"))
-    totals = totals.withColumn("__weight", F.col("__total"))
+    by = [col(k) for k in keys]
+    total = rows.count()
+    if ranges is None and total <= HELD_ROWS:
+        found = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs]))
+        table = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), found.alias("__q"))
+        table = table.select(*by, "n", *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
+        small = not keys or total <= BROADCAST_ROWS or is_small(table.select(*by))
+        return GroupQuantiles(table, rows.withColumn("__n", F.lit(1).cast("bigint")), small)
+    counted = rows.groupBy(*by, F.col("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__total")).withColumn("__weight", F.col("__total"))
     small = not keys or is_small(totals)
-    ranged = into_ranges(counted, keys, ["__v"], ranges, source=rows)
-    ranked = running(ranged, keys, ["__v"], [Running("__upto", "sum", "__n")]).drop(RANGE)
-    return join_lookup(ranked, totals, keys, weight="__weight", small=small), small
+    ranged = into_ranges(counted, keys, ["__v"], ranges or ranges_for(total), source=rows)
+    ranked = running(ranged, keys, ["__v"], [Running("__upto", "sum", "__n")]).plain()
+    ranked = join_lookup(ranked, totals, keys, weight="__weight", small=small)
+    return GroupQuantiles(_from_ranks(ranked, keys, probs, names), counted, small)
 
 
-def grouped_quantiles(ranked: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """One row per group with the asked quantiles, from :func:`ranked_values`."""
+def _from_ranks(ranked: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     start = F.col("__upto") - F.col("__n")
     aggs, outs = [], []
     for i, (p, name) in enumerate(zip(probs, names)):
         at = F.lit(float(p)) * (F.col("__total") - 1)
         for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             aggs.append(F.max(F.when((start <= rank) & (rank < F.col("__upto")), F.col("__v"))).alias(f"__{side}{i}"))
-        share = F.lit(float(p)) * (F.col("__total") - 1)
-        share = share - F.floor(share)
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        outs.append((low + (high - low) * share).alias(name))
+        outs.append((low + (high - low) * (at - F.floor(at))).alias(name))
     return (
         ranked.groupBy(*[col(k) for k in keys])
         .agg(F.max("__total").alias("__total"), *aggs)

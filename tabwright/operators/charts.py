@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.columns import col, is_numeric, number, require_columns, require_numeric, value
 from tabwright.functions.counts import value_counts
 from tabwright.functions.joins import join_lookup
-from tabwright.functions.quantiles import grouped_quantiles, ranked_values
+from tabwright.functions.quantiles import group_quantiles
 from tabwright.operators.features import as_datetime
 from tabwright.operators.profile import correlation_matrix
 
@@ -105,16 +105,14 @@ def _grouped(df: DataFrame, y: str, by: Sequence[str]) -> DataFrame:
 
 def _fenced(df: DataFrame, y: str, by: Sequence[str], ranges: int | None) -> DataFrame:
     """The counted values with the quartiles and fences of their group."""
-    ranked, small = ranked_values(_grouped(df, y, by), by, "__y", ranges)
-    boxes = grouped_quantiles(ranked, by, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    fences = boxes.withColumns(
+    found = group_quantiles(_grouped(df, y, by), by, "__y", [0.25, 0.5, 0.75], ["q1", "median", "q3"], ranges)
+    fences = found.table.withColumns(
         {
             "lower": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
             "upper": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")),
         }
     )
-    values = ranked.select(*[col(c) for c in by], "__v", "__n")
-    return join_lookup(values, fences.withColumnRenamed("n", "__size"), by, weight="__size", small=small)
+    return join_lookup(found.values, fences.withColumnRenamed("n", "__size"), by, weight="__size", small=found.small)
 
 
 def box_stats(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
@@ -143,10 +141,8 @@ def box_stats(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None
 def box_outliers(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Every value outside its group's fences, with its number of rows."""
     by = list(by)
-    fenced = _fenced(df, y, by, ranges)
-    return fenced.filter(~F.col("__v").between(F.col("lower"), F.col("upper"))).select(
-        *[col(c) for c in by], F.col("__v").alias("value"), F.col("__n").alias("n")
-    )
+    outside = _fenced(df, y, by, ranges).filter(~F.col("__v").between(F.col("lower"), F.col("upper")))
+    return outside.groupBy(*[col(c) for c in by], F.col("__v").alias("value")).agg(F.sum("__n").alias("n"))
 
 
 def pie_top(df: DataFrame, column: str, slices: int = PIE_SLICES) -> DataFrame:
@@ -216,13 +212,12 @@ def violin_density(
     by = list(by)
     rows = _grouped(df, y, by).filter("__y is not null")
     keys = [col(c) for c in by]
-    ranked, small = ranked_values(rows, by, "__y", ranges)
-    boxes = grouped_quantiles(ranked, by, [0.25, 0.75], ["__q1", "__q3"])
+    found = group_quantiles(rows, by, "__y", [0.25, 0.75], ["__q1", "__q3"], ranges)
     moments = rows.groupBy(*keys).agg(
         F.min("__y").alias("__a"), F.max("__y").alias("__b"), F.stddev_samp("__y").alias("__sd"), F.count("__y").alias("__size")
     )
-    boxes = boxes.withColumnRenamed("n", "__w")
-    stats = join_lookup(moments, boxes, by, weight="__w", small=small)
+    boxes = found.table.withColumnRenamed("n", "__w")
+    stats = join_lookup(moments, boxes, by, weight="__w", small=found.small)
     iqr = (F.col("__q3") - F.col("__q1")) / 1.349
     spread = F.when(iqr > 0, F.least("__sd", iqr)).otherwise(F.col("__sd"))
     stats = stats.withColumn("__h", 1.059 * spread * F.pow(F.col("__size").cast("double"), F.lit(-0.2)))
@@ -230,7 +225,7 @@ def violin_density(
     width = (F.col("__b") - F.col("__a")) / bins
     place = F.least(F.floor((F.col("__y") - F.col("__a")) / width), F.lit(bins - 1))
     binned = (
-        join_lookup(rows, stats, by, weight="__w", small=small)
+        join_lookup(rows, stats, by, weight="__w", small=found.small)
         .filter("__h is not null")
         .groupBy(*keys, place.alias("__bin"), *[F.col(c) for c in ("__a", "__b", "__h", "__size")])
         .agg(F.count(F.lit(1)).alias("__n"))

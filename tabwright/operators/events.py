@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col, require_columns
-from tabwright.functions.ordered import RANGE, Running, into_ranges, running, with_running
+from tabwright.functions.ordered import Running, into_ranges, running, with_running
 
 # The names of the event log.
 LOAD_EVENTS = ("dataset_loaded_success", "dataset_load_failed", "proceed_to_cleaning")
@@ -56,8 +56,8 @@ def tab_dwell(
     slim = df.select(*[col(c) for c in dict.fromkeys([user, ts, tab, *order_by])])
     ranged = into_ranges(slim, [user], order_by, ranges)
     before = running(ranged, [user], order_by, [Running("__before", "lag", tab)])
-    changes = before.filter(~col(tab).eqNullSafe(F.col("__before"))).drop("__before")
-    visits = running(changes, [user], order_by, [Running("__end", "lead", ts)]).drop(RANGE)
+    changes = before.map(lambda rows: rows.filter(~col(tab).eqNullSafe(F.col("__before"))).drop("__before"))
+    visits = running(changes, [user], order_by, [Running("__end", "lead", ts)]).plain()
     took = milliseconds(col(ts), F.col("__end"))
     return visits.filter(col(tab).isNotNull() & F.col("__end").isNotNull()).select(
         col(user).alias("user"),

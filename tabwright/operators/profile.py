@@ -107,8 +107,10 @@ def quality_overview(df: DataFrame) -> DataFrame:
     )
 
 
-def _described(df: DataFrame, columns: Sequence[str], accuracy: int | None) -> DataFrame:
-    """Counts, moments, quartiles and tops of every named column."""
+def _described(
+    df: DataFrame, columns: Sequence[str], accuracy: int | None, counted: Sequence[str]
+) -> DataFrame:
+    """Counts, moments and quartiles of every named column, tops of ``counted``."""
     numeric = [c for c in columns if c in numeric_columns(df)]
     quartiles = fit_quantiles(df, {c: [0.25, 0.5, 0.75] for c in numeric}, accuracy)
     none = F.lit(None).cast("double")
@@ -128,14 +130,15 @@ def _described(df: DataFrame, columns: Sequence[str], accuracy: int | None) -> D
             "numeric": F.lit(c in numeric),
         }
     base = _per_column(df, parts)
-    counts = tops(df, columns).withColumnRenamed("column", "__c")
+    counts = tops(df, counted).withColumnRenamed("column", "__c")
     return base.join(F.broadcast(counts), F.col("column") == F.col("__c"), "left").drop("__c")
 
 
 def column_summary(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """Profile table: counts for all columns, five numbers for numeric ones,
     the smallest most frequent value for the others."""
-    table = _described(df, atomic_columns(df), accuracy)
+    names = atomic_columns(df)
+    table = _described(df, names, accuracy, names)
     stats = [F.round(s, 4).alias(s) for s in ("min", "q1", "median", "q3", "max", "mean", "std")]
     return table.select(
         "column",
@@ -151,7 +154,8 @@ def column_summary(df: DataFrame, accuracy: int | None = None) -> DataFrame:
 
 def describe_all(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     """count, unique, top, freq (not numeric) and moments, quartiles (numeric)."""
-    table = _described(df, atomic_columns(df), accuracy)
+    names = atomic_columns(df)
+    table = _described(df, names, accuracy, [c for c in names if c not in numeric_columns(df)])
     label = ~F.col("numeric")
     return table.select(
         "column",

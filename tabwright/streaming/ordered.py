@@ -22,6 +22,10 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _slot_end(us: int) -> int:
+    return (us // 1000 // SLOT_MS + 1) * SLOT_MS
+
+
 class OrderedEvents(StatefulProcessor):
     """Subclasses give ``memory_schema``, ``start``, ``step`` and ``columns``.
 
@@ -39,25 +43,28 @@ class OrderedEvents(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "us bigint, tie bigint, event string")
         self.memory = handle.getValueState("memory", self.memory_schema)
-        self.done = handle.getValueState("done", "us bigint")
+        self.due = handle.getValueState("due", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        slots: set[int] = set()
+        first = None
         for part in rows:
             events = [None if pd.isna(e) else e for e in part["event"]]
             self.waiting.appendList(list(zip(part["us"].tolist(), part["tie"].tolist(), events)))
-            slots.update(((part["us"] // 1000) // SLOT_MS).unique().tolist())
-        for slot in slots:
-            self.handle.registerTimer(int((slot + 1) * SLOT_MS))
+            earliest = int(part["us"].min())
+            first = earliest if first is None else min(first, earliest)
+        if first is not None:
+            due = _slot_end(first)
+            if not self.due.exists() or due < self.due.get()[0]:
+                self._wake(due)
         yield from ()
 
+    def _wake(self, ms: int) -> None:
+        """One timer at a time: the end of the earliest slot that waits."""
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # The first timer of a batch takes every closed slot; the others find
-        # their slot done and do not read the waiting rows again.
-        if self.done.exists() and expiredTimerInfo.getExpiryTimeInMs() * 1000 <= self.done.get()[0]:
-            return
         until = timerValues.getCurrentWatermarkInMs() // SLOT_MS * SLOT_MS * 1000
-        self.done.update((until,))
         ready, later = [], []
         for row in self.waiting.get():
             (ready if row[0] < until else later).append(tuple(row))
@@ -65,8 +72,10 @@ class OrderedEvents(StatefulProcessor):
             return
         if later:
             self.waiting.put(later)
+            self._wake(_slot_end(min(row[0] for row in later)))
         else:
             self.waiting.clear()
+            self.due.clear()
         memory = tuple(self.memory.get()) if self.memory.exists() else self.start
         out = []
         for us, _, event in sorted(ready, key=lambda r: (r[0], r[1])):
