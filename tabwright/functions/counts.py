@@ -7,6 +7,7 @@ map side and no value list is ever held by a single task.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,39 +38,57 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
 
 def long_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value as text, n) for every present value of every column."""
-    wide = df.select(*[text_form(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
-    tall = wide.unpivot([], [f"c{i}" for i in range(len(columns))], "column", "value")
-    counted = tall.filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("column", _named(columns))
+    return _counted(df, columns, [text_form(df, c) for c in columns])
 
 
-def _named(columns: Sequence[str]) -> Column:
-    """Short tags travel through the shuffle; names come back after it."""
+def _counted(df: DataFrame, columns: Sequence[str], values: Sequence[Column]) -> DataFrame:
+    """(column, value, n); the values have one type."""
+    wide = df.select(*[v.alias(f"c{i}") for i, v in enumerate(values)])
+    tall = wide.unpivot([], [f"c{i}" for i in range(len(columns))], "column", "value")
+    counted = tall.filter("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Short tags travel through the shuffle; names come back after it.
     names = F.array(*[F.lit(c) for c in columns])
-    return F.get(names, F.substring("column", 2, 10).cast("int"))
+    return counted.withColumn("column", F.get(names, F.substring("column", 2, 10).cast("int")))
 
 
 def tops(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, distinct, top, freq: one row per column with a present value.
 
     ``top`` is the smallest of the most frequent values, in the order of the
-    column's own type.
+    column's own type. Numbers are counted as numbers, everything else as text.
     """
     columns = atomic_columns(df) if columns is None else list(columns)
-    if not columns:
+    kinds = {c: type_of(df, c) for c in columns}
+    whole = [c for c in columns if isinstance(kinds[c], INTEGRAL)]
+    broken = [c for c in columns if isinstance(kinds[c], FRACTIONAL)]
+    other = [c for c in columns if c not in whole and c not in broken]
+    exact = [c for c in other if isinstance(kinds[c], T.DecimalType)]
+    floats = [c for c in broken if isinstance(kinds[c], T.FloatType)]
+    name, v = F.col("column"), F.col("value")
+    parts = []
+    if whole:
+        parts.append(_tops(_counted(df, whole, [col(c).cast("bigint") for c in whole]), v, v.cast("string")))
+    if broken:
+        shown = v.cast("string")
+        if floats:
+            shown = F.when(name.isin(*floats), v.cast("float").cast("string")).otherwise(shown)
+        counted = _counted(df, broken, [value(df, c).cast("double") + F.lit(0.0) for c in broken])
+        parts.append(_tops(counted, v, shown))
+    if other:
+        order = F.struct(F.when(name.isin(*exact), v.try_cast("double")), v) if exact else v
+        parts.append(_tops(long_counts(df, other), order, v))
+    if not parts:
         shape = "column string, distinct bigint, top string, freq bigint"
         return df.sparkSession.createDataFrame([], shape)
-    whole = [c for c in columns if isinstance(type_of(df, c), INTEGRAL)]
-    broken = [c for c in columns if isinstance(type_of(df, c), (*FRACTIONAL, T.DecimalType))]
-    name = F.col("column")
-    as_long = F.when(name.isin(whole), F.col("value").try_cast("bigint")) if whole else F.lit(None).cast("bigint")
-    as_double = F.when(name.isin(broken), F.col("value").try_cast("double")) if broken else F.lit(None).cast("double")
-    rank = F.struct((-F.col("n")).alias("n"), as_long.alias("l"), as_double.alias("d"), F.col("value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _tops(counted: DataFrame, order: Column, shown: Column) -> DataFrame:
+    best = F.min(F.struct((-F.col("n")).alias("n"), order.alias("order"), shown.alias("shown")))
     return (
-        long_counts(df, columns)
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("distinct"), F.min(rank).alias("best"))
-        .select("column", "distinct", F.col("best.value").alias("top"), (-F.col("best.n")).alias("freq"))
+        counted.groupBy("column")
+        .agg(F.count(F.lit(1)).alias("distinct"), best.alias("best"))
+        .select("column", "distinct", F.col("best.shown").alias("top"), (-F.col("best.n")).alias("freq"))
     )
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation, Summarizer
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import (
@@ -22,27 +25,38 @@ from tabwright.functions.counts import tops
 from tabwright.functions.quantiles import fit_quantiles
 from tabwright.operators.dedup import row_copies
 
+# Sums asked for in one aggregate; beyond it the covariance matrix is used.
+PLAIN_SUMS = 150
 
-def _per_column(df: DataFrame, parts: dict[str, dict[str, Column]], rows: bool = True) -> DataFrame:
+
+def _per_column(df: DataFrame, parts: dict[str, dict[str, Column]], more: dict[str, dict] | None = None) -> DataFrame:
     """One aggregate over the table, turned into one row per column.
 
     ``parts[column][field]`` is an aggregate; every column has the same fields.
+    ``more`` adds fields whose values are known. The single wide row is turned
+    on the driver: it has a few numbers for each column.
     """
     fields = list(next(iter(parts.values()))) if parts else []
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, (_, by_field) in enumerate(parts.items()):
-        aggs += [by_field[f].alias(f"__{i}_{j}") for j, f in enumerate(fields)]
+    known = list(next(iter(more.values()))) if more else []
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, by_field in enumerate(parts.values()):
+        aggs += [by_field[f].alias(f"f{i}_{j}") for j, f in enumerate(fields)]
+    wide = df.agg(*aggs)
+    row = wide.first()
     entries = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(i).alias("position"),
-            F.lit(dtype_name(df, c)).alias("dtype"),
-            F.col("__rows").alias("rows"),
-            *[F.col(f"__{i}_{j}").alias(f) for j, f in enumerate(fields)],
+        (
+            c,
+            dtype_name(df, c),
+            row["rows"],
+            *[row[f"f{i}_{j}"] for j in range(len(fields))],
+            *[more[c][k] for k in known],
         )
         for i, c in enumerate(parts)
     ]
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+    types = [wide.schema[f"f0_{j}"].dataType.simpleString() for j in range(len(fields))]
+    shape = [f"{f} {t}" for f, t in zip(fields, types)] + [f"{k} double" for k in known]
+    schema = ", ".join(["column string", "dtype string", "rows bigint", *shape])
+    return df.sparkSession.createDataFrame(entries, schema)
 
 
 def _share(part: Column, whole: Column, digits: int) -> Column:
@@ -113,23 +127,19 @@ def _described(
     """Counts, moments and quartiles of every named column, tops of ``counted``."""
     numeric = [c for c in columns if c in numeric_columns(df)]
     quartiles = fit_quantiles(df, {c: [0.25, 0.5, 0.75] for c in numeric}, accuracy)
-    none = F.lit(None).cast("double")
-    parts = {}
+    none = F.max(F.lit(None).cast("double"))
+    parts, more = {}, {}
     for c in columns:
         x = number(df, c) if c in numeric else None
-        q = quartiles.get(c, [None, None, None])
         parts[c] = {
             "missing": F.count_if(missing(df, c)),
             "mean": F.avg(x) if x is not None else none,
             "std": F.stddev_samp(x) if x is not None else none,
             "min": F.min(x) if x is not None else none,
-            "q1": F.lit(q[0]).cast("double"),
-            "median": F.lit(q[1]).cast("double"),
-            "q3": F.lit(q[2]).cast("double"),
             "max": F.max(x) if x is not None else none,
-            "numeric": F.lit(c in numeric),
         }
-    base = _per_column(df, parts)
+        more[c] = dict(zip(("q1", "median", "q3"), quartiles.get(c, [None, None, None])))
+    base = _per_column(df, parts, more).withColumn("numeric", F.col("column").isin(*numeric))
     counts = tops(df, counted).withColumnRenamed("column", "__c")
     return base.join(F.broadcast(counts), F.col("column") == F.col("__c"), "left").drop("__c")
 
@@ -173,32 +183,104 @@ def describe_all(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     )
 
 
+def _fit_centres(df: DataFrame, names: Sequence[str]) -> tuple[int, list[Row]]:
+    """Number of rows, and per column its mean, count and whether it varies."""
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, c in enumerate(names):
+        x = number(df, c)
+        part = F.struct(F.avg(x).alias("mean"), F.count(x).alias("n"), (F.min(x) < F.max(x)).alias("varies"))
+        aggs.append(part.alias(f"c{i}"))
+    row = df.agg(*aggs).first()
+    return row["rows"], [row[f"c{i}"] for i in range(len(names))]
+
+
+def _sums(flat: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float]:
+    """Sums of products, as plain aggregates: quick while they are few."""
+    row = flat.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return {pair: row[f"p{i}"] or 0.0 for i, pair in enumerate(pairs)}
+
+
+def _matrix_sums(flat: DataFrame, pairs: Sequence[tuple[str, str]], rows: int) -> dict[tuple[str, str], float]:
+    """The same from one covariance matrix, whose work does not grow the plan."""
+    names = flat.columns
+    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(flat).select("v")
+    r = Correlation.corr(vectors, "v").head()[0].toArray()
+    moments = vectors.select(Summarizer.metrics("mean", "variance").summary(F.col("v")).alias("m")).first()["m"]
+    mean, deviation = moments["mean"].toArray(), [math.sqrt(x) for x in moments["variance"].toArray()]
+    place = {n: i for i, n in enumerate(names)}
+    out = {}
+    for a, b in pairs:
+        i, j = place[a], place[b]
+        spread = deviation[i] * deviation[j]
+        together = float(r[i][j]) * spread * (rows - 1) if spread else 0.0
+        out[a, b] = together + rows * float(mean[i] * mean[j])
+    return out
+
+
+def _pair_terms(i: int, j: int, gaps: Sequence[bool]) -> list[tuple[str, str]]:
+    """Products behind one pair: both present, sums, squares, cross product."""
+    mi, mj = (f"m{i}" if gaps[i] else "one"), (f"m{j}" if gaps[j] else "one")
+    return [
+        (mi, mj),
+        (f"d{i}", mj),
+        (f"d{j}", mi),
+        (f"s{i}", mj) if gaps[j] else (f"d{i}", f"d{i}"),
+        (f"s{j}", mi) if gaps[i] else (f"d{j}", f"d{j}"),
+        (f"d{i}", f"d{j}"),
+    ]
+
+
+def _paired(flat: DataFrame, rows: int, used: Sequence[int], gaps: Sequence[bool]) -> dict[tuple[int, int], float]:
+    """Correlation of each pair over its common rows.
+
+    ``flat`` has d (centred, 0 where missing), s (d squared, where any column
+    has gaps), m (1 where present, for columns with gaps) and a column of ones.
+    """
+    pairs = {(i, j): _pair_terms(i, j, gaps) for at, i in enumerate(used) for j in used[: at + 1]}
+    wanted = list(dict.fromkeys(term for terms in pairs.values() for term in terms))
+    if not wanted:
+        return {}
+    sums = _sums(flat, wanted) if len(wanted) <= PLAIN_SUMS else _matrix_sums(flat, wanted, rows)
+    found = {}
+    for (i, j), terms in pairs.items():
+        both, si, sj, sii, sjj, sij = (sums[t] for t in terms)
+        if both < 0.5:
+            continue
+        vi, vj = sii - si * si / both, sjj - sj * sj / both
+        # Below this share, what is left is rounding noise of a constant.
+        if vi > sii * 1e-9 and vj > sjj * 1e-9:
+            found[i, j] = max(-1.0, min(1.0, (sij - si * sj / both) / math.sqrt(vi * vj)))
+    return found
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, n: int = 30, digits: int = 2) -> DataFrame:
     """row, col, r for every pair of columns, over rows where both are present.
 
-    A constant column has no correlation (NULL).
+    A constant column has no correlation (NULL). A first pass centres the
+    columns; the second one builds one matrix of products, in which columns
+    with gaps take part with their zero-filled values and a presence mark.
     """
     names = chosen(df, columns, numeric_columns(df))[:n]
     require_numeric(df, names)
     if len(names) < 2:
         raise ValueError("at least two numeric columns are needed")
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
-    aggs = []
-    for i, j in pairs:
-        x, y = number(df, names[i]), number(df, names[j])
-        spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
-        r = F.round(F.regr_sxy(y, x) / F.nullif(spread, F.lit(0.0)), digits) + F.lit(0.0)
-        aggs.append(r.alias(f"r{i}_{j}"))
+    rows, centres = _fit_centres(df, names)
+    gaps = [c["n"] < rows for c in centres]
+    used = [i for i, c in enumerate(centres) if c["varies"]]
+    xs = [number(df, names[i]) for i in used]
+    flat = df.select(
+        *[F.coalesce(x - F.lit(centres[i]["mean"]), F.lit(0.0)).alias(f"d{i}") for i, x in zip(used, xs)],
+        *[F.when(x.isNull(), F.lit(0.0)).otherwise(F.lit(1.0)).alias(f"m{i}") for i, x in zip(used, xs) if gaps[i]],
+    )
+    if any(gaps[i] for i in used):
+        flat = flat.withColumns({f"s{i}": F.col(f"d{i}") * F.col(f"d{i}") for i in used})
+    flat = flat.withColumn("one", F.lit(1.0))
+    r = _paired(flat, rows, used, gaps)
     cells = [
-        F.struct(
-            F.lit(names[i]).alias("row"),
-            F.lit(names[j]).alias("col"),
-            F.col(f"r{max(i, j)}_{min(i, j)}").alias("r"),
-        )
-        for i in range(len(names))
-        for j in range(len(names))
+        (a, b, r.get((max(i, j), min(i, j)))) for i, a in enumerate(names) for j, b in enumerate(names)
     ]
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+    table = df.sparkSession.createDataFrame(cells, "row string, col string, r double")
+    return table.withColumn("r", F.round("r", digits) + F.lit(0.0))
 
 
 def correlation_wide(df: DataFrame, columns: Sequence[str] | None = None, n: int = 30, digits: int = 2) -> DataFrame:

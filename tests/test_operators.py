@@ -1,6 +1,8 @@
 """Small hand-made tables for the rules that are easy to get wrong."""
 
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,6 +259,24 @@ def test_correlation_of_flat_column(odd):
     assert got == {"id": (1.0, None, -1.0), "flat": (None, None, None), "minus": (-1.0, None, 1.0)}
 
 
+@pytest.mark.parametrize("plain", [0, 150])
+def test_correlation_over_common_rows(spark, plain, monkeypatch):
+    monkeypatch.setattr(profile, "PLAIN_SUMS", plain)
+    rng = random.Random(3)
+    data = []
+    for _ in range(400):
+        x = rng.gauss(1000, 5)
+        row = [x, -2 * x + rng.gauss(0, 9), rng.random(), 4.0 if rng.random() < 0.5 else None]
+        data.append([None if k == 1 and rng.random() < 0.3 else v for k, v in enumerate(row)])
+    df = spark.createDataFrame(data, "a double, b double, c double, d double")
+    got = {(r["row"], r["col"]): r["r"] for r in profile.correlation_matrix(df, digits=6).collect()}
+    for i, a in enumerate("abcd"):
+        for j, b in enumerate("abcd"):
+            both = [(r[i], r[j]) for r in data if r[i] is not None and r[j] is not None]
+            want = None if "d" in (a, b) else statistics.correlation(*zip(*both))
+            assert got[a, b] == (None if want is None else pytest.approx(want, abs=2e-6)), (a, b)
+
+
 def test_histogram_of_flat_and_text(odd):
     flat = charts.histogram(odd.select(F.lit(3.0).alias("x")), "x", 4).orderBy("bin").collect()
     assert [(r["low"], r["count"]) for r in flat] == [(2.5, 0), (2.75, 0), (3.0, 4), (3.25, 0)]
