@@ -10,6 +10,8 @@ two rows for every edge. A window without a key is always cut.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -22,9 +24,9 @@ from tabwright.functions.columns import col, type_of
 RANGE = "__range"
 ROWS_PER_RANGE = 1_000_000
 MIN_RANGES = 8
-MAX_RANGES = 4096
-SAMPLES_PER_RANGE = 24
-FINE = 64
+MAX_RANGES = 32_768
+MIN_SAMPLES = 1_000
+SAMPLES_PER_RANGE = 8
 
 
 @dataclass(frozen=True)
@@ -58,39 +60,42 @@ def ranges_for(rows: int) -> int:
     return max(MIN_RANGES, min(MAX_RANGES, -(-rows // ROWS_PER_RANGE)))
 
 
-def fit_edges(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> list:
-    """Cut points of the key tuple, from a sample bounded by the range count."""
-    wanted = ranges * SAMPLES_PER_RANGE
-    share = min(1.0, 1.2 * wanted / max(rows, 1))
+def fit_edges(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> list[tuple]:
+    """Cut points of the key tuple as texts, from a sample bounded by the range count."""
+    wanted = max(MIN_SAMPLES, ranges * SAMPLES_PER_RANGE)
+    share = min(1.0, wanted / max(rows, 1))
     part = df.select(*[col(k) for k in keys])
     if share < 1.0:
         part = part.sample(False, share, seed=29)
-    points = part.orderBy(*[col(k).asc_nulls_first() for k in keys]).limit(4 * wanted).collect()
+    ordered = part.orderBy(*[col(k).asc_nulls_first() for k in keys])
+    points = ordered.select(*[col(k).cast("string") for k in keys]).limit(2 * wanted).collect()
     step = max(1, len(points) // ranges)
-    edges = []
+    edges: list[tuple] = []
     for row in points[step::step]:
         if not edges or tuple(row) != edges[-1]:
             edges.append(tuple(row))
     return edges[: ranges - 1]
 
 
-def _edge(df: DataFrame, keys: Sequence[str], values: tuple) -> Column:
-    return F.struct(
-        *[F.lit(v).cast(type_of(df, k)).alias(f"k{i}") for i, (k, v) in enumerate(zip(keys, values))]
-    )
+def _edge_list(df: DataFrame, keys: Sequence[str], edges: Sequence[tuple]) -> Column:
+    """Sorted edges as one literal array of key tuples."""
+    text = json.dumps([{f"k{i}": v for i, v in enumerate(e)} for e in edges])
+    texts = ", ".join(f"k{i}: string" for i in range(len(keys)))
+    types = ", ".join(f"k{i}: {type_of(df, k).simpleString()}" for i, k in enumerate(keys))
+    return F.sort_array(F.from_json(F.lit(text), f"array<struct<{texts}>>").cast(f"array<struct<{types}>>"))
 
 
-def assign_range(df: DataFrame, keys: Sequence[str], edges: list) -> DataFrame:
-    """Add the number of the range each row falls in."""
+def assign_range(df: DataFrame, keys: Sequence[str], edges: Sequence[tuple]) -> DataFrame:
+    """Add the number of the range each row falls in, looked up in two steps."""
     if not edges:
         return df.withColumn(RANGE, F.lit(0))
     here = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    blocks = [edges[i : i + FINE] for i in range(0, len(edges), FINE)]
-    firsts = F.array(*[_edge(df, keys, b[0]) for b in blocks])
-    lists = F.array(*[F.array(*[_edge(df, keys, e) for e in b]) for b in blocks])
+    width = math.isqrt(len(edges) - 1) + 1
+    every = _edge_list(df, keys, edges)
+    firsts = _edge_list(df, keys, edges[::width])
     block = F.size(F.filter(firsts, lambda e: e <= here))
-    inside = F.size(F.filter(F.get(lists, block - 1), lambda e: e <= here))
-    number = F.when(block == 0, F.lit(0)).otherwise((block - 1) * FINE + inside)
+    inside = F.size(F.filter(F.slice(every, F.greatest(block - 1, F.lit(0)) * width + 1, F.lit(width)), lambda e: e <= here))
+    number = F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + inside)
     return df.withColumn(RANGE, number.cast("int"))
 
 

@@ -129,6 +129,22 @@ def test_unkeyed_running_plan_has_no_single_partition_sort_of_rows(skewed):
     assert "hashpartitioning(__range" in plan
 
 
+def test_ranges_follow_the_order_of_any_key_types(spark):
+    df = spark.range(5000).selectExpr(
+        "if(id % 50 = 0, null, concat(char(65 + cast(pmod(id * 31, 7) as int)), '\"é', cast(id % 3 as string))) as s",
+        "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, pmod(id * 7919, 1000) / 7.0) as t",
+        "cast(if(id % 9 = 0, -0.1, id / 3) as double) as d",
+        "cast(id as decimal(20, 5)) as e",
+    )
+    keys = ["s", "t", "d", "e"]
+    ranged = ordered.into_ranges(df, keys[:1], keys[1:], 60).rows
+    numbers = [r[0] for r in ranged.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).select(ordered.RANGE).collect()]
+    assert numbers == sorted(numbers)
+    assert len(set(numbers)) > 50
+    plan = ranged._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan
+
+
 def test_running_needs_an_order(skewed):
     with pytest.raises(ValueError):
         with_running(skewed[0], ["key"], [], SPECS)
