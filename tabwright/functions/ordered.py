@@ -11,7 +11,6 @@ two rows for every edge. A window without a key is always cut.
 from __future__ import annotations
 
 import json
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -86,17 +85,16 @@ def _edge_list(df: DataFrame, keys: Sequence[str], edges: Sequence[tuple]) -> Co
 
 
 def assign_range(df: DataFrame, keys: Sequence[str], edges: Sequence[tuple]) -> DataFrame:
-    """Add the number of the range each row falls in, looked up in two steps."""
+    """Add the number of edges at or below each row, found by halving steps."""
     if not edges:
         return df.withColumn(RANGE, F.lit(0))
     here = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    width = math.isqrt(len(edges) - 1) + 1
     every = _edge_list(df, keys, edges)
-    firsts = _edge_list(df, keys, edges[::width])
-    block = F.size(F.filter(firsts, lambda e: e <= here))
-    inside = F.size(F.filter(F.slice(every, F.greatest(block - 1, F.lit(0)) * width + 1, F.lit(width)), lambda e: e <= here))
-    number = F.when(block == 0, F.lit(0)).otherwise((block - 1) * width + inside)
-    return df.withColumn(RANGE, number.cast("int"))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(edges).bit_length()))])
+    number = F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(every, at + step - 1) <= here, at + step).otherwise(at)
+    )
+    return df.withColumn(RANGE, number)
 
 
 def into_ranges(
