@@ -92,7 +92,10 @@ def number(df: DataFrame, name: str) -> Column:
 
 
 def missing(df: DataFrame, name: str) -> Column:
-    return value(df, name).isNull()
+    c = col(name)
+    if isinstance(type_of(df, name), FRACTIONAL):
+        return c.isNull() | F.isnan(c)
+    return c.isNull()
 
 
 def dtype_name(df: DataFrame, name: str) -> str:

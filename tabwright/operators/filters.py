@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.columns import (
+    FRACTIONAL,
     boolean_columns,
     categorical_columns,
     chosen,
@@ -37,15 +38,11 @@ class InList:
     values: Sequence[Any]
 
     def predicate(self, df: DataFrame) -> Column:
-        kind = type_of(df, self.column)
-        x = value(df, self.column)
         listed = [v for v in self.values if v != MISSING_LABEL]
-        keep = F.lit(False)
-        if listed:
-            keep = F.coalesce(x.isin(*[_typed(v, kind) for v in listed]), F.lit(False))
+        tests = [is_listed(df, self.column, listed)] if listed else []
         if MISSING_LABEL in self.values:
-            keep = keep | x.isNull()
-        return keep
+            tests.append(missing(df, self.column))
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
 @dataclass(frozen=True)
@@ -57,15 +54,16 @@ class InRange:
     high: Any = None
 
     def predicate(self, df: DataFrame) -> Column:
-        x = value(df, self.column)
+        # Plain comparisons reach the scan; NaN is above every number.
+        x = col(self.column)
         tests = []
         if self.low is not None:
             tests.append(x >= F.lit(self.low))
         if self.high is not None:
             tests.append(x <= F.lit(self.high))
-        if not tests:
-            return F.lit(True)
-        return reduce(lambda a, b: a & b, tests)
+        if tests and isinstance(type_of(df, self.column), FRACTIONAL):
+            tests.append(~F.isnan(x))
+        return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
 Filter = InList | InRange
@@ -74,12 +72,19 @@ Filter = InList | InRange
 def _typed(v: Any, kind: T.DataType) -> Column:
     """A listed value in the column's type; text that does not fit is NULL."""
     if isinstance(v, str) and not isinstance(kind, T.StringType):
-        return F.lit(v).try_cast(kind)
+        typed = F.lit(v).try_cast(kind)
+        return F.nullif(typed, F.lit("NaN").cast(kind)) if isinstance(kind, FRACTIONAL) else typed
     if isinstance(kind, T.StringType):
         return F.lit(str(v))
     return F.lit(v)
 
 
+def is_listed(df: DataFrame, column: str, values: Sequence[Any]) -> Column:
+    """NULL for a missing value, which a filter drops."""
+    kind = type_of(df, column)
+    return col(column).isin(*[_typed(v, kind) for v in values])
+
+
 @dataclass
 class FilterSet:
     """Filters joined by AND; one per column, the newest wins."""
@@ -100,7 +105,7 @@ class FilterSet:
 
     def predicate(self, df: DataFrame) -> Column:
         tests = [f.predicate(df) for f in self.filters if f.column in df.columns]
-        return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+        return reduce(lambda a, b: a & b, tests, F.lit(True))
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.filter(self.predicate(df))
@@ -184,8 +189,7 @@ def eda_filter_in(df: DataFrame, column: str, values: Sequence[Any]) -> DataFram
     """Listed values only; an empty list keeps nothing, missing rows drop."""
     if not values:
         return df.filter(F.lit(False))
-    kind = type_of(df, column)
-    return df.filter(value(df, column).isin(*[_typed(v, kind) for v in values]))
+    return df.filter(is_listed(df, column, values))
 
 
 def drop_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

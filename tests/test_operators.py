@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabwright.operators import charts, dedup, features, filters, missing, outliers, profile, scaling, text
 from tabwright.operators.filters import FilterSet, InList, InRange
 from tabwright.plans.recipe import Recipe
+from tests.conftest import SMALL
 
 
 @pytest.fixture(scope="module")
@@ -141,6 +142,24 @@ def test_filters(odd):
             FilterSet().add(bad)
 
 
+def test_filters_reach_the_scan(spark):
+    items = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    kept = filters.filter_all(
+        items, [InRange("l_quantity", 3, 7.5), InList("l_returnflag", ["R"]), InList("l_linenumber", ["2", "(NA)"])]
+    )
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = missing.drop_missing_rows(kept.select("l_quantity", "l_tax"))._jdf.queryExecution().executedPlan().toString()
+    for part in (
+        "GreaterThanOrEqual(l_quantity,3.0)",
+        "LessThanOrEqual(l_quantity,7.5)",
+        "EqualTo(l_returnflag,R)",
+        "Or(EqualTo(l_linenumber,2),IsNull(l_linenumber))",
+        "IsNotNull(l_tax)",
+    ):
+        assert part in plan, part
+    assert "l_extendedprice" not in plan
+
+
 def test_domains(odd):
     assert [r[0] for r in filters.filter_domain(odd, "name").collect()] == [" x ", "NA", "Unknown", "(NA)"]
     assert {r[0] for r in filters.eda_filter_domain(odd, "v").collect()} == {1.0, 3.0, 100.0}
