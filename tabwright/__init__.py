@@ -1,0 +1 @@
+"""Preparing and exploring tables of any size on Spark."""

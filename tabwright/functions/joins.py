@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col
+from tabwright.session import fresh_folder
 
 BROADCAST_ROWS = 200_000
 HOT_SHARE = 1.0 / 2000
@@ -58,7 +59,11 @@ def join_lookup(
         joined = rows.join(F.broadcast(renamed.drop("__w")), _match(keys), "left")
         return joined.select(*kept, *[col(v) for v in values])
 
-    total = lookup.agg(F.sum(weight)).first()[0]
+    # A large lookup is read several times below: write it once.
+    stored = fresh_folder(rows.sparkSession, "lookup")
+    renamed.write.parquet(stored)
+    renamed = rows.sparkSession.read.parquet(stored)
+    total = renamed.agg(F.sum("__w")).first()[0]
     floor = F.lit(total * HOT_SHARE)
     hot = renamed.filter(F.col("__w") > floor).drop("__w")
     hot = hot.select(

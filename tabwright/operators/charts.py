@@ -148,18 +148,17 @@ def box_outliers(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | No
 def pie_top(df: DataFrame, column: str, slices: int = PIE_SLICES) -> DataFrame:
     """value, count: all values, or the most frequent ones and Other.
 
-    A real value called Other is added to the rest.
+    A real value called Other is added to the rest. Only the slices shown come
+    to the driver; the rest is the number of rows less theirs.
     """
     require_columns(df, [column])
     counts = df.groupBy(value(df, column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    whole = counts.agg(F.count(F.lit(1)).alias("k"), F.sum("count").alias("rows")).first()
     ordered = counts.orderBy(F.desc("count"), F.asc_nulls_first("value"))
-    if whole["k"] <= slices:
-        return ordered
-    top = ordered.limit(slices - 1)
-    shown = F.coalesce(F.sum(F.when(F.col("value").eqNullSafe(OTHER), F.lit(0)).otherwise(F.col("count"))), F.lit(0))
-    rest = top.agg((F.lit(whole["rows"]) - shown).alias("count")).select(F.lit(OTHER).alias("value"), "count")
-    return top.filter(~F.col("value").eqNullSafe(OTHER)).unionByName(rest)
+    top = [tuple(r) for r in ordered.limit(slices + 1).collect()]
+    if len(top) > slices:
+        shown = [(v, n) for v, n in top[: slices - 1] if v != OTHER]
+        top = [*shown, (OTHER, df.count() - sum(n for _, n in shown))]
+    return df.sparkSession.createDataFrame(top, "value string, count bigint")
 
 
 def scatter_points(

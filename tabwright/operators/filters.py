@@ -17,6 +17,7 @@ from tabwright.functions.columns import (
     categorical_columns,
     chosen,
     col,
+    datetime_columns,
     is_numeric,
     missing,
     number,
@@ -218,8 +219,6 @@ def first_numeric(df: DataFrame, n: int = 30) -> DataFrame:
 
 def column_classes(df: DataFrame) -> dict[str, list[str]]:
     """numeric / categorical / boolean / datetime column names."""
-    from tabwright.functions.columns import datetime_columns
-
     return {
         "numeric": numeric_columns(df),
         "categorical": categorical_columns(df),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import string
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -21,13 +21,21 @@ from tabwright.functions.columns import (
     text_columns,
     value,
 )
-from tabwright.functions.counts import text_form, value_counts  # noqa: F401
+from tabwright.functions.counts import value_counts as value_counts
+
+
+NAME_CHARACTERS = frozenset(string.ascii_lowercase + string.digits)
 
 
 def standard_name(name: str) -> str:
-    """Lower case, blanks to one underscore, only letters, digits, underscores."""
-    name = re.sub(r"[^a-z0-9_]", "", re.sub(r"\s+", "_", str(name).strip().lower()))
-    return re.sub(r"_+", "_", name).strip("_")
+    """Lower-case words of letters and digits, joined by single underscores.
+
+    Blanks and underscores part the words; other characters vanish.
+    """
+    parted = "".join(
+        ch if ch in NAME_CHARACTERS else " " if ch == "_" or ch.isspace() else "" for ch in str(name).lower()
+    )
+    return "_".join(parted.split())
 
 
 def standardize_column_names(df: DataFrame) -> DataFrame:
@@ -191,13 +199,8 @@ to_category = to_text
 
 def column_sample(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     """One row: dtype, number of distinct values, the n smallest as text."""
-    counted = df.select(value(df, column).alias("v")).filter("v is not null").distinct()
-    distinct = counted.agg(F.count(F.lit(1)).alias("unique")).withColumn("part", F.lit("count"))
-    least = counted.orderBy("v").limit(n).select(F.struct("v").alias("s"))
-    sample = least.agg(
-        F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"].cast("string")).alias("values")
-    )
-    row = sample.select(F.array_join("values", ", ").alias("sample"), F.lit("count").alias("part"))
-    return distinct.join(F.broadcast(row), "part").select(
-        F.lit(column).alias("column"), F.lit(dtype_name(df, column)).alias("dtype"), "unique", "sample"
-    )
+    distinct = df.select(value(df, column).alias("v")).filter("v is not null").distinct()
+    unique = distinct.count()
+    least = [r[0] for r in distinct.orderBy("v").limit(n).select(F.col("v").cast("string")).collect()]
+    row = (column, dtype_name(df, column), unique, ", ".join(least))
+    return df.sparkSession.createDataFrame([row], "column string, dtype string, unique bigint, sample string")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tabwright.operators import experiment, features, filters, missing, text
 from tabwright.operators.filters import InList, InRange
 from tabwright.plans.fixtures import TABLES, table, with_variant
 from tabwright.session import fresh_folder
+from tabwright.sources.excel import read_workbooks
 from tabwright.sources.readers import (
     Registry,
     assert_not_empty,
@@ -64,6 +71,50 @@ def _(spark, sf):
     return read_json(spark, path)
 
 
+_SHEET = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+_LINK = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_BOOK = f'<workbook {_SHEET} xmlns:r="{_LINK}"><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>'
+_RELATIONS = (
+    '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+    '<Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>'
+)
+
+
+def _workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each batch of rows as a small workbook."""
+    for batch in batches:
+        lines = [list(batch.columns), *batch.itertuples(index=False)]
+        cells = [
+            "".join(
+                f'<c t="inlineStr"><is><t xml:space="preserve">{escape(v)}</t></is></c>'
+                if isinstance(v, str)
+                else "<c/>" if pd.isna(v) else f"<c><v>{v!r}</v></c>"
+                for v in (x.item() if hasattr(x, "item") else x for x in line)
+            )
+            for line in lines
+        ]
+        sheet = "".join(f"<row>{c}</row>" for c in cells)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+            book.writestr("xl/workbook.xml", _BOOK)
+            book.writestr("xl/_rels/workbook.xml.rels", _RELATIONS)
+            book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {_SHEET}><sheetData>{sheet}</sheetData></worksheet>")
+        yield pd.DataFrame({"content": [out.getvalue()]})
+
+
+@query(
+    "read_excel",
+    """select c_custkey, c_name, case when c_custkey % 5 <> 0 then c_acctbal end as c_acctbal,
+    nullif(c_mktsegment, 'BUILDING') as c_mktsegment from customer""",
+)
+def _(spark, sf):
+    """The customers as many workbooks; text for a missing segment is NA."""
+    gap = F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("c_acctbal")
+    segment = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("NA")).otherwise(F.col("c_mktsegment"))
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", gap, segment.alias("c_mktsegment"))
+    return read_workbooks(rows.mapInPandas(_workbooks, "content binary"))
+
+
 @query("read_parquet", "select * from orders")
 def _(spark, sf):
     return read_parquet(spark, f"{sf}/orders.parquet")

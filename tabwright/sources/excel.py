@@ -124,11 +124,15 @@ def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """All workbooks under the path, columns matched by name.
+    """All workbooks under the path, columns matched by name."""
+    return read_workbooks(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def read_workbooks(books: DataFrame) -> DataFrame:
+    """Rows of workbooks given as a column ``content`` of bytes.
 
     A column is a number, date or truth value when all its cells are.
     """
-    books = spark.read.format("binaryFile").load(path).select("content")
     found = books.mapInPandas(_headers, "at int, name string")
     names = [
         r["name"] for r in found.groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()
