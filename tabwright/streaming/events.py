@@ -22,6 +22,9 @@ def _prepared(df: DataFrame, user: str, ts: str, tie: str, event: Column, delay:
     ).withWatermark("ts", delay)
 
 
+UTC_NAME = "UTC"
+
+
 class FirstSuccess(OrderedEvents):
     """Reports a success unless the one before it was not yet re-armed."""
 
@@ -104,6 +107,12 @@ def stream_dwell(
     )
 
 
+def _instant(ts: str) -> Column:
+    """Times without a zone are read as UTC, so that windows start on its hours."""
+    wall = col(ts).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit(UTC_NAME), F.current_timezone(), wall).cast("timestamp")
+
+
 def stream_rollup(
     df: DataFrame, group: str, event: str, user: str, ts: str, width: str = "1 hour", delay: str = "1 hour"
 ) -> DataFrame:
@@ -112,9 +121,8 @@ def stream_rollup(
     Counting per user first and then over users gives exact user counts with
     two chained aggregations, and spreads a hot group by its users.
     """
-    moment = col(ts).cast("timestamp")
     slim = df.select(
-        moment.alias("ts"), col(group).alias("group"), col(event).alias("event_name"), col(user).alias("user")
+        _instant(ts).alias("ts"), col(group).alias("group"), col(event).alias("event_name"), col(user).alias("user")
     ).withWatermark("ts", delay)
     per_user = slim.groupBy(F.window("ts", width), "group", "event_name", "user").agg(
         F.count(F.lit(1)).alias("n")
@@ -123,7 +131,9 @@ def stream_rollup(
         per_user.groupBy(F.window("window", width), "group", "event_name")
         .agg(F.count("user").alias("active_users"), F.sum("n").alias("event_count"))
         .select(
-            F.col("window.start").cast("timestamp_ntz").alias("window_start"),
+            F.convert_timezone(F.current_timezone(), F.lit(UTC_NAME), F.col("window.start").cast("timestamp_ntz")).alias(
+                "window_start"
+            ),
             "group",
             "event_name",
             "active_users",
@@ -135,11 +145,11 @@ def stream_rollup(
 def window_rollup(df: DataFrame, group: str, event: str, user: str, ts: str, width: str = "1 hour") -> DataFrame:
     """Batch twin of :func:`stream_rollup`."""
     per_user = df.groupBy(
-        F.window(col(ts).cast("timestamp"), width).alias("w"),
+        F.window(col(ts).cast("timestamp_ntz"), width).alias("w"),
         col(group).alias("group"),
         col(event).alias("event_name"),
         col(user).alias("user"),
     ).agg(F.count(F.lit(1)).alias("n"))
     return per_user.groupBy(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "group", "event_name"
+        F.col("w.start").alias("window_start"), "group", "event_name"
     ).agg(F.count("user").alias("active_users"), F.sum("n").alias("event_count"))
