@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,7 +130,7 @@ def _shown(x: float, digits: int) -> float:
         return x
     if abs(x) < 1:
         digits += -math.floor(math.log10(abs(x))) - 1
-    return round(x, digits)
+    return float(np.round(x, digits))
 
 
 def bin_labels(edges: Sequence[float]) -> list[str]:
