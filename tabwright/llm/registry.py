@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tabwright.llm import quality
+from tabwright.llm import language, minhash, quality
 
 QUERIES = {
     "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_language_id": language.op5_language_id,
+    "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
 }
 #: None of them is expressible in SQL; tests hold them against brute force.
 SQL: dict[str, str] = {}
