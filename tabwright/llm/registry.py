@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tabwright.llm import language, minhash, quality
+from tabwright.llm import chunks, language, minhash, packing, quality
 
 QUERIES = {
+    "op1_substring_dedup": chunks.op1_substring_dedup,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_language_id": language.op5_language_id,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
