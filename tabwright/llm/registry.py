@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tabwright.llm import chunks, language, minhash, packing, quality
+from tabwright.llm import chunks, embeddings, fingerprints, html, language, minhash, packing, pieces, quality, suffixes
 
 QUERIES = {
     "op1_substring_dedup": chunks.op1_substring_dedup,
+    "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_quality_classifier": quality.op4_quality_classifier,
     "op5_language_id": language.op5_language_id,
     "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
+    "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
+    "op8_html_extraction": html.op8_html_extraction,
+    "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-#: None of them is expressible in SQL; tests hold them against brute force.
+#: Those that SQL cannot express are held against brute force in tests/llm.
 SQL: dict[str, str] = {}
