@@ -71,6 +71,54 @@ def _(spark, sf):
     return read_json(spark, path)
 
 
+@query("read_csv_mixed", "select o_orderkey, o_orderstatus, o_totalprice from orders")
+def _(spark, sf):
+    """A folder whose files order their columns in two ways."""
+    path = fresh_folder(spark, "csv")
+    orders = table(spark, sf, "orders")
+    halves = (("o_orderkey", "o_orderstatus", "o_totalprice"), ("o_totalprice", "o_orderkey", "o_orderstatus"))
+    for i, columns in enumerate(halves):
+        part = orders.where(F.col("o_orderkey") % 2 == i).select(*columns)
+        _kept_text(part.write.mode("append")).csv(path)
+    return read_csv(spark, path).select(*halves[0])
+
+
+@query("read_json_nested", "select c_custkey, c_nationkey as nation, c_acctbal as balance from customer")
+def _(spark, sf):
+    """Lines of nothing but nested objects."""
+    path = fresh_folder(spark, "json")
+    inner = F.struct(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nation"))
+    table(spark, sf, "customer").select(inner.alias("key"), F.struct(F.col("c_acctbal").alias("balance")).alias("money")).write.json(path)
+    return read_json(spark, path).select(
+        F.col("key.custkey").alias("c_custkey"), F.col("key.nation").cast("int").alias("nation"), "money.balance"
+    )
+
+
+def _documents(spark, rows, document):
+    """One document for every fifty rows, each in a file of its own."""
+    path = fresh_folder(spark, "json")
+    groups = rows.withColumn("part", F.floor(F.col("s_suppkey") / 50)).groupBy("part").agg(document.alias("value"))
+    groups.repartition("part").write.partitionBy("part").text(path)
+    return f"{path}/*/*.txt"
+
+
+@query("read_json_array", "select s_suppkey, s_name, s_acctbal from supplier")
+def _(spark, sf):
+    record = F.struct("s_suppkey", "s_name", "s_acctbal")
+    path = _documents(spark, table(spark, sf, "supplier"), F.to_json(F.collect_list(record)))
+    return read_json(spark, path)
+
+
+@query("read_json_columns", "select s_suppkey, s_name, s_acctbal from supplier")
+def _(spark, sf):
+    cells = [
+        F.map_from_entries(F.collect_list(F.struct(F.col("s_suppkey").cast("string"), F.col(c).cast("string")))).alias(c)
+        for c in ("s_suppkey", "s_name", "s_acctbal")
+    ]
+    path = _documents(spark, table(spark, sf, "supplier"), F.to_json(F.struct(*cells)))
+    return read_json(spark, path)
+
+
 _SHEET = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 _LINK = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _BOOK = f'<workbook {_SHEET} xmlns:r="{_LINK}"><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>'

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "*", name: str = "tabwright") -> SparkSession:
-    """A session for tests and the benchmark; a cluster brings its own."""
+    """A session for tests and the benchmark on one machine; a cluster brings its own."""
     threads = 8 if cores == "*" else int(cores)
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -20,6 +19,7 @@ def local_session(cores: str = "*", name: str = "tabwright") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"/tmp/{name}-shared")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -27,11 +27,15 @@ def local_session(cores: str = "*", name: str = "tabwright") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; our own only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by spark.checkpoint.dir, or the context's checkpoint folder.
+
+    It must be on storage that the driver and every executor see.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    named = named or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="tabwright-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
@@ -115,17 +116,45 @@ def apply_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return replace_columns(df, {c: casts[t](col(c)) for c, t in types.items() if t in casts})
 
 
+def _headers(spark: SparkSession, files: list[str], options: Mapping[str, str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of each header. Only the first line of a file is parsed."""
+    if len(files) == 1 or options["multiLine"] == "true":
+        # A quoted name may hold a line end: each file's own reader finds its header.
+        first = {f: spark.read.options(**options).csv(f).head(1) for f in files}
+        found = [(f, tuple(rows[0])) for f, rows in first.items() if rows]
+    else:
+        lines = spark.read.text(files).select(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
+        )
+        top = lines.where("start = 0 and trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+        top = top.groupBy("file").agg(F.min_by("value", "at"))
+        found = [(f, _split_header(text, options["sep"])) for f, text in sorted(map(tuple, top.collect()))]  # a line a file
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in found:
+        groups.setdefault(header, []).append(file)
+    return groups
+
+
+def _split_header(line: str, sep: str) -> tuple[str, ...]:
+    return tuple(next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep)))
+
+
 def _read_delimited(
     spark: SparkSession, path: str, sep: str, infer: bool, types: Mapping[str, str] | None, multiline: bool
 ) -> DataFrame:
+    """Files of one header are read together; those of different ones are united by name."""
     options = {"sep": sep, "quote": '"', "escape": '"', "encoding": "UTF-8", "multiLine": str(multiline).lower()}
-    first = spark.read.options(**options).csv(path).head(1)
-    if not first:
+    groups = _headers(spark, sorted(spark.read.text(path).inputFiles()), options)
+    if not groups:
         raise EmptyDatasetError("no header line")
-    names = column_names(list(first[0]))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.options(**options).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    text = replace_columns(raw, {c: F.when(~col(c).isin(*NA_TOKENS), col(c)) for c in names})
+    raw = None
+    for header, files in groups.items():
+        names = column_names(list(header))
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        where = path if len(groups) == 1 else files
+        part = spark.read.options(**options).schema(schema).option("header", True).option("enforceSchema", True).csv(where)
+        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    text = replace_columns(raw, {c: F.when(~col(c).isin(*NA_TOKENS), col(c)) for c in raw.columns})
     if types is not None:
         return apply_types(text, types)
     return apply_types(text, fit_types(text)) if infer else text
@@ -138,7 +167,10 @@ def read_csv(
     types: Mapping[str, str] | None = None,
     multiline: bool = False,
 ) -> DataFrame:
-    """Comma-separated text with a header; dates stay text.
+    """Comma-separated text with a header in each file; dates stay text.
+
+    Files of a folder may order their columns differently or lack some: columns
+    are matched by name, in the order in which the files bring them.
 
     ``types`` skips the inference pass. ``multiline`` allows line ends inside
     quotes but keeps a file in one task.
@@ -157,33 +189,59 @@ def read_tsv(
 
 
 def json_orientation(spark: SparkSession, path: str) -> str:
-    """records (an array), lines (one object per line) or columns."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").head(1)
+    """records (an array), lines (one object per line) or columns.
+
+    Two lines of one file that are objects each mean lines. A file's only object
+    is a column document if its values are objects of the same keys.
+    """
+    texts = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
+    lines = texts.filter("value <> ''").head(2)
     if not lines:
         raise EmptyDatasetError("no JSON document")
-    head = lines[0][0].strip()
-    if head.startswith("["):
+    if lines[0]["value"].startswith("["):
         return "records"
+    first, *others = [_parsed(line["value"]) for line in lines if line["file"] == lines[0]["file"]]
+    if first is None:
+        return "columns"
+    if not isinstance(first, dict) or (others and isinstance(others[0], dict)):
+        return "lines"
+    cells = list(first.values())
+    agree = cells and all(isinstance(v, dict) and v.keys() == cells[0].keys() for v in cells)
+    return "columns" if agree else "lines"
+
+
+def _parsed(line: str):
     try:
-        parsed = json.loads(head)
+        return json.loads(line)
     except ValueError:
-        return "columns"
-    return "columns" if parsed and all(isinstance(v, dict) for v in parsed.values()) else "lines"
+        return None
+
+
+def _one_document_each(spark: SparkSession, path: str) -> None:
+    """Refuse files in which another document follows the first: it would be lost."""
+    bare = F.regexp_replace("value", r'"(?>[^"\\]+|\\.)*+"', "0")
+    several = spark.read.text(path, wholetext=True).where(bare.rlike(r"[}\]]\s*[{\[]")).select(F.input_file_name().alias("file"))
+    found = several.head(1)
+    if found:
+        raise ValueError(f"more than one JSON document in {found[0]['file']}")
 
 
 def read_json(spark: SparkSession, path: str, orient: str = "auto") -> DataFrame:
     """An array of records, JSON lines, or a {column: {row: value}} document.
 
-    Only JSON lines split within a file; the other two take one task per file.
+    Only JSON lines split within a file; the other two take one task per file
+    and hold one document in each.
     """
     if orient == "auto":
         orient = json_orientation(spark, path)
-    if orient in ("records", "lines"):
-        records = spark.read.option("multiLine", orient == "records").json(path)
-        return no_nan(_in_document_order(records, _first_keys(spark, path, orient)))
-    if orient != "columns":
+    if orient not in ("records", "lines", "columns"):
         raise ValueError("orient: auto, records, lines or columns")
-    return _read_json_columns(spark, path)
+    if orient != "lines":
+        _one_document_each(spark, path)
+    if orient == "columns":
+        return _read_json_columns(spark, path)
+    records = spark.read.option("multiLine", orient == "records").json(path)
+    return no_nan(_in_document_order(records, _first_keys(spark, path, orient)))
 
 
 def _first_keys(spark: SparkSession, path: str, orient: str) -> list[str]:

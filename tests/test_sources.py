@@ -194,3 +194,33 @@ def test_save_summary(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     assert tuple(save_summary(df).first()) == (3, 2, 2, 1)
     assert tuple(save_summary(df, features_created=4).first()) == (3, 2, 4)
+
+
+def test_columns_are_matched_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n")
+    (tmp_path / "b.csv").write_text("name,id\nq,9\n")
+    (tmp_path / "c.csv").write_text("id,more\n5,z\n")
+    df = read_csv(spark, f"{tmp_path}/*.csv")
+    assert df.columns == ["id", "name", "more"]
+    assert sorted(map(tuple, df.collect())) == [(1, "x", None), (5, None, "z"), (9, "q", None)]
+
+
+def test_json_lines_of_nested_objects(spark, tmp_path):
+    (tmp_path / "n.json").write_text('{"a":{"x":1}}\n\n{"a":{"x":2}}\n')
+    df = read_json(spark, str(tmp_path / "n.json"))
+    assert sorted(r["a"]["x"] for r in df.collect()) == [1, 2]
+    (tmp_path / "one.json").write_text('{"a":{"x":1},"b":{"y":2}}\n')
+    assert readers.json_orientation(spark, str(tmp_path / "one.json")) == "lines"
+
+
+@pytest.mark.parametrize("text", ['[{"a":1}]\n[{"a":2}]', '{"a":{"0":1}}{"a":{"1":2}}', '{\n"a":{"0":"} {"}}\n{"a":{"1":2}}'])
+def test_a_second_document_is_refused(spark, tmp_path, text):
+    (tmp_path / "two.json").write_text(text)
+    orient = "records" if text.startswith("[") else "columns"
+    with pytest.raises(ValueError, match="more than one JSON document"):
+        read_json(spark, str(tmp_path / "two.json"), orient)
+
+
+def test_quoted_braces_are_one_document(spark, tmp_path):
+    (tmp_path / "q.json").write_text('{"a":{"0":"} {","1":"\\\\"}}')
+    assert sorted(r[0] for r in read_json(spark, str(tmp_path / "q.json"), "columns").collect()) == ["\\", "} {"]
