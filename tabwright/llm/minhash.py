@@ -43,6 +43,8 @@ HASHES = 160
 #: Signatures that agree in a smaller share are not verified: at a similarity
 #: of 0.8 that happens once in a million pairs (160 draws, 4.7 deviations).
 LIKELY = 0.65
+#: Steps of the first pass.
+ROUNDS = 2
 #: Documents compared with each other at once.
 BLOCK = 256
 WORDS = 5
@@ -154,11 +156,37 @@ def _neighbour_pairs(keys: DataFrame) -> DataFrame:
 
 
 def _best(pairs: DataFrame) -> DataFrame:
-    """The likeliest neighbour of each document: most common prefix over all trees."""
-    weighed = pairs.withColumnRenamed("lcp", "w")
-    ways = weighed.unionByName(weighed.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    best = ways.groupBy("a").agg(F.max(F.struct("w", "b")).alias("best"))
-    return best.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+    """The likeliest pair of each component: most common prefix over all trees.
+
+    pairs has (a, b, lcp) and the components (x, y) of its ends, which differ.
+    """
+    ways = pairs.select("x", "lcp", "a", "b").unionByName(pairs.select(F.col("y").alias("x"), "lcp", "a", "b"))
+    best = ways.groupBy("x").agg(F.max(F.struct("lcp", "a", "b")).alias("best"))
+    return best.select("best.a", "best.b").distinct()
+
+
+def _grown(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that join neighbours to components, in ROUNDS steps.
+
+    Each step verifies the likeliest untested pair of every component, so what
+    it finds at least halves the components that have a link to find.
+    """
+    links = tested = roots = None
+    for _ in range(ROUNDS):
+        left = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+        if roots is None:
+            left = left.withColumns({"x": F.col("a"), "y": F.col("b")})
+        else:
+            for end, name in (("a", "x"), ("b", "y")):
+                of = roots.select(F.col("id").alias(end), F.col("root").alias(name))
+                left = left.join(of, end, "left").withColumn(name, F.coalesce(name, end))
+            left = left.where("x <> y")
+        best = publish(_best(left), "best")
+        tested = best if tested is None else publish(tested.unionByName(best), "tested")
+        found = _verified(best, texts, words, percent).distinct()
+        links = publish(found if links is None else links.unionByName(found), "links")
+        roots = connected(links)
+    return links
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -231,7 +259,7 @@ def _linked(words: int, percent: int):
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in grouped(batches, _REGION):
             across = group.x.iloc[0] != group.y.iloc[0]
-            comp, ids = group.comp.to_numpy(), group.id.to_numpy()
+            comp = group.comp.to_numpy()
             i, j = _likely(_signatures(group), comp, group.side.to_numpy(), int(group.tree.iloc[0]), across)
             parent = {c: c for c in comp.tolist()}
 
@@ -251,18 +279,18 @@ def _linked(words: int, percent: int):
                         sets[k] = shingle_set(texts[k], words)
                 if alike(sets[a], sets[b], percent):
                     parent[max(ra, rb)] = min(ra, rb)
-                    out.append((int(ids[a]), int(ids[b])))
+                    # A component goes by its smallest id: the same link in many trees is one row.
+                    out.append((int(comp[a]), int(comp[b])))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
     return link
 
 
-def _regions(reps: DataFrame, pairs: DataFrame, links: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between components that still meet in a region of some tree."""
+def _regions(reps: DataFrame, links: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components, by their smallest ids, that still meet in a region of some tree."""
     spark = reps.sparkSession
-    met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    members = reps.join(met, "id").join(connected(links), "id", "left")
+    members = reps.join(docs.select(F.col("doc_id").alias("id")).distinct(), "id").join(connected(links), "id", "left")
     members = publish(members.select("id", "sig", F.coalesce("root", "id").alias("comp")), "members")
     bits = 8 * (DEPTH - FLOOR)
     keys = _keys(members).select("tree", F.shiftright("key", bits).alias("prefix"), "id")
@@ -326,9 +354,11 @@ def near_duplicates(
         "reps",
     )
     pairs = publish(_neighbour_pairs(_keys(reps)).groupBy("a", "b").agg(F.sum("lcp").alias("lcp")), "pairs")
-    texts = rows.where("doc_id is not null")
-    links = publish(_verified(_best(pairs), texts, words, percent).distinct(), "links")
-    more = publish(_regions(reps, pairs, links, texts, words, percent).distinct(), "links")
+    # From here on only documents with a neighbour take part.
+    met = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = publish(rows.join(met, "doc_id", "left_semi"), "texts")
+    links = _grown(pairs, texts, words, percent)
+    more = publish(_regions(reps, links, texts, words, percent).distinct(), "links")
     roots = connected(links.unionByName(more))
     members = (
         filled.join(classes, ["n", "d1", "d2"])
