@@ -1,8 +1,9 @@
 """Joining a lookup table whose size grows with the data.
 
-Small lookups, by a counted bound, are broadcast. Larger ones are shuffled;
-the keys that hold many rows are taken out first and broadcast alone, since
-only a bounded number of keys can each hold more than a fixed share.
+The lookup is written once. Keys that hold many rows are taken out and broadcast
+alone, since only a bounded number of keys can each hold more than a fixed share
+of all rows; the others are joined by shuffle, or by broadcast where Spark finds
+what was written smaller than its threshold in bytes.
 """
 
 from __future__ import annotations
@@ -14,57 +15,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col
-from tabwright.session import fresh_folder
+from tabwright.session import written
 
-BROADCAST_ROWS = 200_000
 HOT_SHARE = 1.0 / 2000
 SPREAD = 256
 
 
-def is_small(lookup: DataFrame) -> bool:
-    """Whether the counted rows stay within the broadcast bound."""
-    return lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-
-
 def _match(keys: Sequence[str]):
     tests = [col(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(keys)]
     return reduce(lambda a, b: a & b, tests)
 
 
 def join_lookup(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: Sequence[str],
-    weight: str,
-    small: bool | None = None,
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], weight: str, stored: bool = False
 ) -> DataFrame:
     """Left join ``lookup`` (unique on ``keys``) to ``rows``; NULL keys match.
 
     ``weight`` is the lookup column with the number of rows behind each key;
-    it is not kept. ``small`` says whether the lookup is within the broadcast
-    bound, where the caller has counted it already.
+    it is not kept. ``stored`` says that the lookup is read from storage as it is.
     """
+    values = [c for c in lookup.columns if c not in keys and c != weight]
+    kept = [col(c) for c in rows.columns]
     if not keys:
         # One group in all: the lookup is a single row.
-        one, only = rows.withColumn("__all", F.lit(1)), lookup.withColumn("__all", F.lit(1))
-        return join_lookup(one, only, ["__all"], weight, small=True).drop("__all")
-    values = [c for c in lookup.columns if c not in keys and c != weight]
+        only = lookup.drop(weight).withColumn("__j", F.lit(1))
+        one = rows.withColumn("__all", F.lit(1)).join(F.broadcast(only), F.col("__all") == F.col("__j"), "left")
+        return one.select(*kept, *[col(v) for v in values])
+    lookup = lookup if stored else written(lookup, "lookup")
     renamed = lookup.select(
         *[col(k).alias(f"__j{i}") for i, k in enumerate(keys)], *[col(v) for v in values], col(weight).alias("__w")
     )
-    if small is None:
-        small = is_small(lookup)
-    kept = [col(c) for c in rows.columns]
-    if small:
-        joined = rows.join(F.broadcast(renamed.drop("__w")), _match(keys), "left")
-        return joined.select(*kept, *[col(v) for v in values])
-
-    # A large lookup is read several times below: write it once.
-    stored = fresh_folder(rows.sparkSession, "lookup")
-    renamed.write.parquet(stored)
-    renamed = rows.sparkSession.read.parquet(stored)
     total = renamed.agg(F.sum("__w")).first()[0]
-    floor = F.lit(total * HOT_SHARE)
+    floor = F.lit((total or 0) * HOT_SHARE)
     hot = renamed.filter(F.col("__w") > floor).drop("__w")
     hot = hot.select(
         *[F.col(f"__j{i}") for i in range(len(keys))], F.struct(*[col(v) for v in values]).alias("__hot")

@@ -1,30 +1,31 @@
 """Running values over an explicit order when one key can hold most rows.
 
-A window keyed by user (or by nothing) runs each key in one task. Beyond a
-counted number of rows, rows are cut into ranges of (key, order) first, by edges
-taken from a sample, so a hot key spreads over many ranges. Each range is an
-ordinary window; what a range needs from its neighbours comes from a summary
-with one row per key and range, kept only for keys that cross an edge: at most
-two rows for every edge. A window without a key is always cut.
+A window keyed by user (or by nothing) runs each key in one task. Here rows are
+cut into ranges of (key, order) first, by edges taken from a sample, so a hot key
+spreads over many ranges. Each range is an ordinary window; what a range needs
+from its neighbours comes from a summary with one row per key and range, kept
+only for keys that cross an edge: at most two rows for every edge.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.columns import col, type_of
 
 RANGE = "__range"
 ROWS_PER_RANGE = 1_000_000
 MIN_RANGES = 8
-MAX_RANGES = 32_768
 MIN_SAMPLES = 1_000
 SAMPLES_PER_RANGE = 8
+# Characters of a text that edges are made of.
+PREFIX = 64
 
 
 @dataclass(frozen=True)
@@ -40,55 +41,62 @@ class Running:
     column: str
 
 
-@dataclass(frozen=True)
-class Ranged:
-    """Rows tagged with a range, or few enough rows to need none (``whole``)."""
-
-    rows: DataFrame
-    whole: bool
+def ranges_for(rows: int) -> int:
+    return max(MIN_RANGES, -(-rows // ROWS_PER_RANGE))
 
-    def map(self, change: Callable[[DataFrame], DataFrame]) -> "Ranged":
-        return Ranged(change(self.rows), self.whole)
 
-    def plain(self) -> DataFrame:
-        return self.rows if self.whole else self.rows.drop(RANGE)
+def _cut_columns(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> list[Column]:
+    """What edges are made of: keys and order, texts by a prefix.
 
+    A key's prefix keeps the order within each key; in the order itself nothing
+    that follows a prefix can refine it.
+    """
+    out = []
+    for names, refines in ((keys, True), (order_by, False)):
+        for name in names:
+            text = isinstance(type_of(df, name), T.StringType)
+            out.append(F.substring(col(name), 1, PREFIX) if text else col(name))
+            if text and not refines:
+                return out
+    return out
 
-def ranges_for(rows: int) -> int:
-    return max(MIN_RANGES, min(MAX_RANGES, -(-rows // ROWS_PER_RANGE)))
 
+def fit_edges(df: DataFrame, cut: Sequence[Column], ranges: int, rows: int) -> list[tuple]:
+    """Cut points as texts, from a sample bounded by the range count.
 
-def fit_edges(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> list[tuple]:
-    """Cut points of the key tuple as texts, from a sample bounded by the range count."""
+    Of the sample in order, every step-th row is an edge; only edges reach the driver.
+    """
     wanted = max(MIN_SAMPLES, ranges * SAMPLES_PER_RANGE)
     share = min(1.0, wanted / max(rows, 1))
-    part = df.select(*[col(k) for k in keys])
+    part = df.select(*[c.alias(f"k{i}") for i, c in enumerate(cut)])
     if share < 1.0:
         part = part.sample(False, share, seed=29)
-    ordered = part.orderBy(*[col(k).asc_nulls_first() for k in keys])
-    points = ordered.select(*[col(k).cast("string") for k in keys]).limit(2 * wanted).collect()
-    step = max(1, len(points) // ranges)
+    names = part.columns
+    points = part.orderBy(*[F.col(k).asc_nulls_first() for k in names])
+    found = points.select(*[F.col(k).cast("string") for k in names]).collect()
+    step = max(1, len(found) // ranges)
     edges: list[tuple] = []
-    for row in points[step::step]:
+    for row in found[step::step]:
         if not edges or tuple(row) != edges[-1]:
             edges.append(tuple(row))
-    return edges[: ranges - 1]
+    return edges
 
 
-def _edge_list(df: DataFrame, keys: Sequence[str], edges: Sequence[tuple]) -> Column:
+def _edge_list(df: DataFrame, cut: Sequence[Column], edges: Sequence[tuple]) -> Column:
     """Sorted edges as one literal array of key tuples."""
+    shape = df.select(*[c.alias(f"k{i}") for i, c in enumerate(cut)]).schema
     text = json.dumps([{f"k{i}": v for i, v in enumerate(e)} for e in edges])
-    texts = ", ".join(f"k{i}: string" for i in range(len(keys)))
-    types = ", ".join(f"k{i}: {type_of(df, k).simpleString()}" for i, k in enumerate(keys))
+    texts = ", ".join(f"k{i}: string" for i in range(len(cut)))
+    types = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in shape.fields)
     return F.sort_array(F.from_json(F.lit(text), f"array<struct<{texts}>>").cast(f"array<struct<{types}>>"))
 
 
-def assign_range(df: DataFrame, keys: Sequence[str], edges: Sequence[tuple]) -> DataFrame:
+def assign_range(df: DataFrame, cut: Sequence[Column], edges: Sequence[tuple]) -> DataFrame:
     """Add the number of edges at or below each row, found by halving steps."""
     if not edges:
         return df.withColumn(RANGE, F.lit(0))
-    here = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    every = _edge_list(df, keys, edges)
+    here = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(cut)])
+    every = _edge_list(df, cut, edges)
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(edges).bit_length()))])
     number = F.aggregate(
         steps, F.lit(0), lambda at, step: F.when(F.get(every, at + step - 1) <= here, at + step).otherwise(at)
@@ -102,7 +110,7 @@ def into_ranges(
     order_by: Sequence[str],
     ranges: int | None = None,
     source: DataFrame | None = None,
-) -> Ranged:
+) -> DataFrame:
     """Tag rows with a range of (keys, order_by).
 
     ``ranges`` forces a number of ranges. ``source`` is a cheaper frame to take
@@ -111,20 +119,17 @@ def into_ranges(
     """
     base = df if source is None else source
     rows = base.count()
-    if ranges is None:
-        if keys and rows <= ROWS_PER_RANGE:
-            return Ranged(df, True)
-        ranges = ranges_for(rows)
-    cut = [*keys, *order_by]
-    return Ranged(assign_range(df, cut, fit_edges(base, cut, ranges, rows)), False)
-
-
-def running(
-    ranged: Ranged, keys: Sequence[str], order_by: Sequence[str], specs: Sequence[Running]
-) -> Ranged:
-    """Add running values to a frame tagged by :func:`into_ranges`."""
+    cut = _cut_columns(df, keys, order_by)
+    return assign_range(df, cut, fit_edges(base, cut, ranges or ranges_for(rows), rows))
+
+
+def running(rows: DataFrame, keys: Sequence[str], order_by: Sequence[str], specs: Sequence[Running]) -> DataFrame:
+    """Add running values to a frame tagged by :func:`into_ranges`; the tag stays.
+
+    The frame is read twice, for the windows and for the summary.
+    """
     here = F.struct(*[col(o) for o in order_by])
-    cell = Window.partitionBy(*([] if ranged.whole else [RANGE]), *[col(k) for k in keys])
+    cell = Window.partitionBy(RANGE, *[col(k) for k in keys])
     part = cell.orderBy(*[col(o).asc_nulls_first() for o in order_by])
     so_far = part.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Looking ahead is looking back in the opposite order: a frame that grows
@@ -166,12 +171,7 @@ def running(
         else:
             raise ValueError(f"unknown running value: {s.kind}")
 
-    rows = ranged.rows
     kept = [col(c) for c in rows.columns]
-    if ranged.whole:
-        out = [join(F.col(f"__l{i}"), F.lit(None)).alias(n) for i, (n, join) in enumerate(parts.items())]
-        return Ranged(rows.withColumns(local).select(*kept, *out), True)
-
     summary = (
         rows.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(RANGE))
         .agg(*tails)
@@ -187,7 +187,7 @@ def running(
         match = match & col(k).eqNullSafe(F.col(f"__k{i}"))
     joined = rows.withColumns(local).join(F.broadcast(summary), match, "left")
     out = [join(F.col(f"__l{i}"), F.col(f"__c{i}")).alias(n) for i, (n, join) in enumerate(parts.items())]
-    return Ranged(joined.select(*kept, *out), False)
+    return joined.select(*kept, *out)
 
 
 def with_running(
@@ -205,5 +205,4 @@ def with_running(
     """
     if not order_by:
         raise ValueError("an explicit order_by is needed: rows have no order of their own")
-    ranged = into_ranges(df, keys, order_by, ranges, source)
-    return running(ranged, keys, order_by, specs).plain()
+    return running(into_ranges(df, keys, order_by, ranges, source), keys, order_by, specs).drop(RANGE)

@@ -17,14 +17,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col, number
-from tabwright.functions.joins import BROADCAST_ROWS, is_small, join_lookup
-from tabwright.functions.ordered import Running, into_ranges, ranges_for, running
+from tabwright.functions.joins import join_lookup
+from tabwright.functions.ordered import RANGE, Running, into_ranges, running
+from tabwright.session import written
 
 ACCURACY = 10_000
 MARGIN = 3.0 / ACCURACY
 SLICE = 50_000
 PLACES = 100_000
-HELD_ROWS = 1_000_000
+
+
+def finite(x: Column) -> Column:
+    return x.isNotNull() & (F.abs(x) < F.lit(math.inf))
 
 
 @dataclass
@@ -41,7 +45,7 @@ class _Search:
 
     def values(self, x: Column) -> Column:
         """The column inside the interval, NULL elsewhere."""
-        cond = x.isNotNull()
+        cond = finite(x)
         if self.low is not None:
             cond = cond & (x > F.lit(self.low))
         if self.high is not None:
@@ -143,6 +147,9 @@ def _solve(df: DataFrame, searches: list[_Search]) -> dict[tuple[str, int], floa
 
 
 def blend(low: float, high: float, share: float) -> float:
+    """Linear between two ranks; on the way to or from an infinity, that infinity."""
+    if share == 0 or low == high or math.isinf(low):
+        return low
     return low + (high - low) * share
 
 
@@ -160,25 +167,39 @@ def fit_quantiles(
     names = list(wanted)
     first = []
     for i, c in enumerate(names):
+        x = number(df, c)
+        if accuracy is None:
+            first.append(F.count_if(x == -math.inf).alias(f"b{i}"))
+            first.append(F.count_if(x == math.inf).alias(f"a{i}"))
+            x = F.when(finite(x), x)
+        first.append(F.count(x).alias(f"n{i}"))
         probs = wanted[c] if accuracy is not None else _beside(wanted[c])
-        first.append(F.count(number(df, c)).alias(f"n{i}"))
-        first.append(F.percentile_approx(number(df, c), probs, accuracy or ACCURACY).alias(f"p{i}"))
+        first.append(F.percentile_approx(x, probs, accuracy or ACCURACY).alias(f"p{i}"))
     row = df.agg(*first).first()
     if accuracy is not None:
         return {c: list(row[f"p{i}"] or [None] * len(wanted[c])) for i, c in enumerate(names)}
-    searches = []
+    searches, out = [], {}
+    ends: dict[str, tuple[int, int, int]] = {}
     for i, c in enumerate(names):
-        rows = row[f"n{i}"]
-        if rows:
-            ranks = {f(p * (rows - 1)) for p in wanted[c] for f in (math.floor, math.ceil)}
-            searches.append(_Search(c, sorted(ranks), rows, pivots=_distinct(row[f"p{i}"])))
+        below, rows, above = ends[c] = row[f"b{i}"], row[f"n{i}"], row[f"a{i}"]
+        total = below + rows + above
+        spots = {f(p * (total - 1)) - below for p in wanted[c] for f in (math.floor, math.ceil)} if total else set()
+        ranks = sorted(r for r in spots if 0 <= r < rows)
+        if ranks:
+            searches.append(_Search(c, ranks, rows, pivots=_distinct(row[f"p{i}"])))
     found = _solve(df, searches)
-    out: dict[str, list[float | None]] = {}
-    for i, c in enumerate(names):
-        rows = row[f"n{i}"]
-        spots = [p * (rows - 1) for p in wanted[c]]
+
+    def at_rank(c: str, rank: int) -> float:
+        below, rows, _ = ends[c]
+        if rank < below:
+            return -math.inf
+        return found[c, rank - below] if rank - below < rows else math.inf
+
+    for c in names:
+        total = sum(ends[c])
+        spots = [p * (total - 1) for p in wanted[c]]
         out[c] = [
-            blend(found[c, math.floor(at)], found[c, math.ceil(at)], at - math.floor(at)) if rows else None
+            blend(at_rank(c, math.floor(at)), at_rank(c, math.ceil(at)), at - math.floor(at)) if total else None
             for at in spots
         ]
     return out
@@ -187,11 +208,10 @@ def fit_quantiles(
 @dataclass(frozen=True)
 class GroupQuantiles:
     """``table``: keys, n and the quantiles; ``values``: keys, __v, __n (equal
-    values may come in several rows); ``small``: few enough groups to broadcast."""
+    values may come in several rows)."""
 
     table: DataFrame
     values: DataFrame
-    small: bool
 
 
 def group_quantiles(
@@ -204,26 +224,18 @@ def group_quantiles(
 ) -> GroupQuantiles:
     """Exact quantiles per group.
 
-    Up to a counted number of rows the built-in aggregate holds a group's
-    values. Beyond it equal values collapse before the shuffle, a hot group is
-    cut into ranges of its values, and running counts give the ranks.
+    Equal values collapse before the shuffle, a hot group is cut into ranges of
+    its values, and running counts give the ranks. The counted values are
+    written once: ranks, totals and what the caller does with them read that.
     """
     rows = df.select(*[col(k) for k in keys], number(df, column).alias("__v")).filter("__v is not null")
     by = [col(k) for k in keys]
-    total = rows.count()
-    if ranges is None and total <= HELD_ROWS:
-        found = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs]))
-        table = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), found.alias("__q"))
-        table = table.select(*by, "n", *[F.get("__q", F.lit(i)).alias(n) for i, n in enumerate(names)])
-        small = not keys or total <= BROADCAST_ROWS or is_small(table.select(*by))
-        return GroupQuantiles(table, rows.withColumn("__n", F.lit(1).cast("bigint")), small)
-    counted = rows.groupBy(*by, F.col("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    totals = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__total")).withColumn("__weight", F.col("__total"))
-    small = not keys or is_small(totals)
-    ranged = into_ranges(counted, keys, ["__v"], ranges or ranges_for(total), source=rows)
-    ranked = running(ranged, keys, ["__v"], [Running("__upto", "sum", "__n")]).plain()
-    ranked = join_lookup(ranked, totals, keys, weight="__weight", small=small)
-    return GroupQuantiles(_from_ranks(ranked, keys, probs, names), counted, small)
+    counted = written(rows.groupBy(*by, F.col("__v")).agg(F.count(F.lit(1)).alias("__n")), "counted")
+    totals = counted.groupBy(*by).agg(F.sum("__n").alias("__total")).withColumn("__weight", F.col("__total"))
+    ranged = into_ranges(counted, keys, ["__v"], ranges)
+    ranked = running(ranged, keys, ["__v"], [Running("__upto", "sum", "__n")])
+    ranked = join_lookup(ranked.drop(RANGE), totals, keys, weight="__weight")
+    return GroupQuantiles(_from_ranks(ranked, keys, probs, names), counted)
 
 
 def _from_ranks(ranked: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:

@@ -112,7 +112,7 @@ def _fenced(df: DataFrame, y: str, by: Sequence[str], ranges: int | None) -> Dat
             "upper": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")),
         }
     )
-    return join_lookup(found.values, fences.withColumnRenamed("n", "__size"), by, weight="__size", small=found.small)
+    return join_lookup(found.values, fences.withColumnRenamed("n", "__size"), by, weight="__size")
 
 
 def box_stats(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
@@ -162,13 +162,28 @@ def pie_top(df: DataFrame, column: str, slices: int = PIE_SLICES) -> DataFrame:
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, group: str | None = None, fraction: float | None = None, seed: int = 11
+    df: DataFrame,
+    x: str,
+    y: str,
+    group: str | None = None,
+    fraction: float | None = None,
+    seed: int = 11,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """The points, or a seeded share of them."""
+    """The points, or a seeded share of them.
+
+    The share is taken by a hash of ``by`` (by default of the point itself), so
+    the same rows are chosen whatever the partitions.
+    """
     names = list(dict.fromkeys([x, y] + ([group] if group else [])))
-    require_columns(df, names)
-    points = df.select(*[value(df, c).alias(c) for c in names])
-    return points if fraction is None else points.sample(False, fraction, seed)
+    by = list(by) or names
+    require_columns(df, [*names, *by])
+    rows = df
+    if fraction is not None:
+        text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("")) for c in by])
+        place = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+        rows = df.filter(place < fraction)
+    return rows.select(*[value(df, c).alias(c) for c in names])
 
 
 def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50, group: str | None = None) -> DataFrame:
@@ -209,25 +224,25 @@ def violin_density(
     bandwidths beyond the data. A group without spread has no density.
     """
     by = list(by)
-    rows = _grouped(df, y, by).filter("__y is not null")
     keys = [col(c) for c in by]
+    rows = _grouped(df, y, by).filter("__y is not null")
     found = group_quantiles(rows, by, "__y", [0.25, 0.75], ["__q1", "__q3"], ranges)
     moments = rows.groupBy(*keys).agg(
         F.min("__y").alias("__a"), F.max("__y").alias("__b"), F.stddev_samp("__y").alias("__sd"), F.count("__y").alias("__size")
     )
     boxes = found.table.withColumnRenamed("n", "__w")
-    stats = join_lookup(moments, boxes, by, weight="__w", small=found.small)
+    stats = join_lookup(moments, boxes, by, weight="__w")
     iqr = (F.col("__q3") - F.col("__q1")) / 1.349
     spread = F.when(iqr > 0, F.least("__sd", iqr)).otherwise(F.col("__sd"))
     stats = stats.withColumn("__h", 1.059 * spread * F.pow(F.col("__size").cast("double"), F.lit(-0.2)))
     stats = stats.filter("__h > 0").withColumn("__w", F.col("__size"))
     width = (F.col("__b") - F.col("__a")) / bins
-    place = F.least(F.floor((F.col("__y") - F.col("__a")) / width), F.lit(bins - 1))
+    place = F.least(F.floor((F.col("__v") - F.col("__a")) / width), F.lit(bins - 1))
     binned = (
-        join_lookup(rows, stats, by, weight="__w", small=found.small)
+        join_lookup(found.values, stats, by, weight="__w")
         .filter("__h is not null")
         .groupBy(*keys, place.alias("__bin"), *[F.col(c) for c in ("__a", "__b", "__h", "__size")])
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.sum("__n").alias("__n"))
     )
     curves = binned.groupBy(*keys, "__a", "__b", "__h", "__size").agg(
         F.collect_list(F.struct((F.col("__a") + (F.col("__bin") + 0.5) * width).alias("c"), F.col("__n").alias("n"))).alias("__cells")
@@ -256,6 +271,8 @@ def pair_grid(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFram
     xs = [number(df, c) for c in names]
     ends = [e or (0.0, 1.0) for e in _ends(df, xs)]
     binned = df.select(*[bin_number(x, *e, bins).alias(f"b{i}") for i, (x, e) in enumerate(zip(xs, ends))])
+    # Rows of equal bins are counted before they are spread over the pairs.
+    tuples = binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("n"))
     cells = [
         F.struct(
             F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"b{j}").alias("bin_x"), F.col(f"b{i}").alias("bin_y")
@@ -265,10 +282,10 @@ def pair_grid(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFram
     ]
     labels = F.array(*[F.lit(c) for c in names])
     return (
-        binned.select(F.inline(F.array(*cells)))
+        tuples.select("n", F.inline(F.array(*cells)))
         .filter("bin_x is not null and bin_y is not null")
         .groupBy("i", "j", "bin_x", "bin_y")
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("n").alias("count"))
         .select(F.get(labels, F.col("i")).alias("row"), F.get(labels, F.col("j")).alias("col"), "bin_x", "bin_y", "count")
     )
 

@@ -7,30 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import col, require_columns
+from tabwright.functions.columns import col, python_strip, require_columns
 from tabwright.functions.ordered import Running, into_ranges, running, with_running
+from tabwright.session import written
 
 # The names of the event log.
-LOAD_EVENTS = ("dataset_loaded_success", "dataset_load_failed", "proceed_to_cleaning")
-CLEAN_EVENTS = (
-    "missing_standardized_success",
-    "remove_duplicates_success",
-    "drop_columns_success",
-    "scaling_applied_success",
-    "encoding_applied_success",
-    "cleaning_applied_success",
-    "proceed_to_feature_eng",
-)
-FEATURE_EVENTS = ("feature_applied", "pipeline_saved", "proceed_to_eda")
-BROWSER_EVENTS = ("ab_group", "tab_view", "tab_engagement", "button_click")
-CLICK_EVENTS = (
-    "load_dataset_click",
-    "cleaning_apply_and_save_click",
-    "feature_apply_click",
-    "feature_save_to_pipeline_click",
-    "plot_download_png_click",
-)
-ASSIGNMENT_EVENTS = ("experiment_assignment",)
 FUNNEL = ("dataset_loaded_success", "cleaning_applied_success", "pipeline_saved", "proceed_to_eda")
 
 
@@ -56,8 +37,9 @@ def tab_dwell(
     slim = df.select(*[col(c) for c in dict.fromkeys([user, ts, tab, *order_by])])
     ranged = into_ranges(slim, [user], order_by, ranges)
     before = running(ranged, [user], order_by, [Running("__before", "lag", tab)])
-    changes = before.map(lambda rows: rows.filter(~col(tab).eqNullSafe(F.col("__before"))).drop("__before"))
-    visits = running(changes, [user], order_by, [Running("__end", "lead", ts)]).plain()
+    # Written with their ranges: what follows reads the changes twice.
+    changes = written(before.filter(~col(tab).eqNullSafe(F.col("__before"))).drop("__before"), "changes")
+    visits = running(changes, [user], order_by, [Running("__end", "lead", ts)])
     took = milliseconds(col(ts), F.col("__end"))
     return visits.filter(col(tab).isNotNull() & F.col("__end").isNotNull()).select(
         col(user).alias("user"),
@@ -72,7 +54,7 @@ def tab_dwell(
 def click_events(button_id: Column, button_name: Column, title: Column) -> Column:
     """Array of event names of one click; a click can match several."""
     ident = F.lower(F.coalesce(button_id, F.lit("")))
-    name = F.lower(F.trim(F.coalesce(button_name, F.lit(""))))
+    name = F.lower(python_strip(F.coalesce(button_name, F.lit(""))))
     button = button_id.isNotNull() | button_name.isNotNull()
     return F.array_compact(
         F.array(
@@ -81,7 +63,7 @@ def click_events(button_id: Column, button_name: Column, title: Column) -> Colum
             F.when(button & name.contains("apply and save"), F.lit("cleaning_apply_and_save_click")),
             F.when(button & (name == "apply"), F.lit("feature_apply_click")),
             F.when(button & name.contains("save to pipeline"), F.lit("feature_save_to_pipeline_click")),
-            F.when(F.trim(title) == "Download plot as a PNG", F.lit("plot_download_png_click")),
+            F.when(python_strip(title) == "Download plot as a PNG", F.lit("plot_download_png_click")),
         )
     )
 
@@ -92,25 +74,36 @@ def classify_click(df: DataFrame, button_id: str, button_name: str, title: str)
     return df.withColumn("event_name", F.explode(names))
 
 
+def load_confirmed(button_id: Column, button_name: Column) -> Column:
+    """Whether a pressed button starts a load: only these re-arm its success."""
+    ident, name = F.lower(F.coalesce(button_id, F.lit(""))), F.lower(F.coalesce(button_name, F.lit("")))
+    return ident.contains("confirm_load") | name.contains("load dataset")
+
+
+def success_marks(event: Column, success: str, rearm: str | Column) -> Column:
+    """True for a success, false for a re-arming event, NULL for any other."""
+    again = event == rearm if isinstance(rearm, str) else rearm
+    return F.when(event == success, F.lit(True)).when(again, F.lit(False))
+
+
 def first_success(
     df: DataFrame,
     user: str,
     event: str,
     order_by: Sequence[str],
     success: str = "dataset_loaded_success",
-    rearm: str = "load_dataset_click",
+    rearm: str | Column = "load_dataset_click",
     ranges: int | None = None,
 ) -> DataFrame:
     """Success events that come first, or first after a re-arming event.
 
-    Among a user's success and re-arm events, these are the successes whose
-    predecessor is not a success.
+    ``rearm`` is the name of an event, or a condition such as
+    :func:`load_confirmed`. Among a user's success and re-arm events, these are
+    the successes whose predecessor is not a success.
     """
-    slim = df.filter(col(event).isin(success, rearm))
-    before = with_running(slim, [user], order_by, [Running("__before", "lag", event)], ranges)
-    return before.filter(
-        (col(event) == success) & (F.col("__before").isNull() | (F.col("__before") == rearm))
-    ).drop("__before")
+    slim = df.withColumn("__mark", success_marks(col(event), success, rearm)).filter("__mark is not null")
+    before = with_running(slim, [user], order_by, [Running("__before", "lag", "__mark")], ranges)
+    return before.filter("__mark and not coalesce(__before, false)").drop("__mark", "__before")
 
 
 def funnel_counts(df: DataFrame, user: str, event: str, stages: Sequence[str] = FUNNEL) -> DataFrame:

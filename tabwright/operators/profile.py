@@ -3,30 +3,37 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import Column, DataFrame, Row
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.columns import (
     atomic_columns,
     categorical_columns,
     chosen,
+    col,
+    datetime_columns,
     dtype_name,
     missing,
     number,
     numeric_columns,
+    replace_columns,
     require_numeric,
+    type_of,
     value,
 )
 from tabwright.functions.counts import tops
 from tabwright.functions.quantiles import fit_quantiles
 from tabwright.operators.dedup import row_copies
 
-# Sums asked for in one aggregate; beyond it the covariance matrix is used.
-PLAIN_SUMS = 150
+# Times are profiled as their microseconds since this moment.
+EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+# Stated error of a sketched distinct count.
+RSD = 0.02
 
 
 def _per_column(df: DataFrame, parts: dict[str, dict[str, Column]], more: dict[str, dict] | None = None) -> DataFrame:
@@ -121,6 +128,11 @@ def quality_overview(df: DataFrame) -> DataFrame:
     )
 
 
+def _mean(df: DataFrame, name: str) -> Column:
+    exact = isinstance(type_of(df, name), T.DecimalType)
+    return F.avg(col(name)).cast("double") if exact else F.avg(number(df, name))
+
+
 def _described(
     df: DataFrame, columns: Sequence[str], accuracy: int | None, counted: Sequence[str]
 ) -> DataFrame:
@@ -133,7 +145,7 @@ def _described(
         x = number(df, c) if c in numeric else None
         parts[c] = {
             "missing": F.count_if(missing(df, c)),
-            "mean": F.avg(x) if x is not None else none,
+            "mean": _mean(df, c) if x is not None else none,
             "std": F.stddev_samp(x) if x is not None else none,
             "min": F.min(x) if x is not None else none,
             "max": F.max(x) if x is not None else none,
@@ -162,122 +174,140 @@ def column_summary(df: DataFrame, accuracy: int | None = None) -> DataFrame:
     )
 
 
+def _micros(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The frame with the named times as microseconds, in decimals: their mean is exact."""
+    new = {}
+    for c in names:
+        wall = col(c).cast("timestamp_ntz")
+        new[c] = F.timestamp_diff("MICROSECOND", F.expr(EPOCH), wall).cast("decimal(20,0)")
+    return replace_columns(df, new) if new else df
+
+
 def describe_all(df: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """count, unique, top, freq (not numeric) and moments, quartiles (numeric)."""
-    names = atomic_columns(df)
-    table = _described(df, names, accuracy, [c for c in names if c not in numeric_columns(df)])
-    label = ~F.col("numeric")
+    """count; unique, top, freq of labels; moments and quartiles of numbers and times.
+
+    Times have their mean, min, q1, median, q3 and max in columns of their own,
+    as moments without a zone.
+    """
+    names, times = atomic_columns(df), datetime_columns(df)
+    frame = _micros(df, times)
+    counted = [c for c in names if c not in numeric_columns(frame)]
+    table = _described(frame, names, accuracy, counted)
+    label, time = ~F.col("numeric"), F.col("column").isin(*times)
+    stats = ("mean", "std", "min", "q1", "median", "q3", "max")
+    moment = lambda c: F.timestamp_add("MICROSECOND", F.round(c).cast("bigint"), F.expr(EPOCH))
     return table.select(
         "column",
         (F.col("rows") - F.col("missing")).alias("count"),
         F.when(label, F.coalesce("distinct", F.lit(0))).alias("unique"),
         F.when(label, F.col("top")).alias("top"),
         F.when(label, F.col("freq")).alias("freq"),
-        "mean",
-        "std",
-        "min",
-        "q1",
-        "median",
-        "q3",
-        "max",
+        *[F.when(~time, F.col(c)).alias(c) for c in stats],
+        *[F.when(time, moment(c)).alias(f"time_{c}") for c in stats if c != "std"],
     )
 
 
-def _fit_centres(df: DataFrame, names: Sequence[str]) -> tuple[int, list[Row]]:
-    """Number of rows, and per column its mean, count and whether it varies."""
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, c in enumerate(names):
-        x = number(df, c)
-        part = F.struct(F.avg(x).alias("mean"), F.count(x).alias("n"), (F.min(x) < F.max(x)).alias("varies"))
-        aggs.append(part.alias(f"c{i}"))
-    row = df.agg(*aggs).first()
-    return row["rows"], [row[f"c{i}"] for i in range(len(names))]
-
-
-def _sums(flat: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float]:
-    """Sums of products, as plain aggregates: quick while they are few."""
-    row = flat.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
-    return {pair: row[f"p{i}"] or 0.0 for i, pair in enumerate(pairs)}
-
-
-def _matrix_sums(flat: DataFrame, pairs: Sequence[tuple[str, str]], rows: int) -> dict[tuple[str, str], float]:
-    """The same from one covariance matrix, whose work does not grow the plan."""
-    names = flat.columns
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(flat).select("v")
-    r = Correlation.corr(vectors, "v").head()[0].toArray()
-    moments = vectors.select(Summarizer.metrics("mean", "variance").summary(F.col("v")).alias("m")).first()["m"]
-    mean, deviation = moments["mean"].toArray(), [math.sqrt(x) for x in moments["variance"].toArray()]
-    place = {n: i for i, n in enumerate(names)}
-    out = {}
-    for a, b in pairs:
-        i, j = place[a], place[b]
-        spread = deviation[i] * deviation[j]
-        together = float(r[i][j]) * spread * (rows - 1) if spread else 0.0
-        out[a, b] = together + rows * float(mean[i] * mean[j])
-    return out
-
-
-def _pair_terms(i: int, j: int, gaps: Sequence[bool]) -> list[tuple[str, str]]:
-    """Products behind one pair: both present, sums, squares, cross product."""
-    mi, mj = (f"m{i}" if gaps[i] else "one"), (f"m{j}" if gaps[j] else "one")
-    return [
-        (mi, mj),
-        (f"d{i}", mj),
-        (f"d{j}", mi),
-        (f"s{i}", mj) if gaps[j] else (f"d{i}", f"d{i}"),
-        (f"s{j}", mi) if gaps[i] else (f"d{j}", f"d{j}"),
-        (f"d{i}", f"d{j}"),
-    ]
+def _matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Values, 0 where missing, and where they are present."""
+    x = part.to_numpy(float)
+    there = ~np.isnan(x)
+    return np.where(there, x, 0.0), there
+
+
+def _pair_means(n: int):
+    """Per task and pair (i, j): common rows, sum, least and largest of column i over them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count, total = np.zeros((n, n)), np.zeros((n, n))
+        least, most = np.full((n, n), np.inf), np.full((n, n), -np.inf)
+        for part in batches:
+            x, there = _matrix(part)
+            for j in range(n):
+                both = there & there[:, j : j + 1]
+                count[:, j] += both.sum(0)
+                total[:, j] += np.where(both, x, 0.0).sum(0)
+                np.minimum(least[:, j], np.where(both, x, np.inf).min(0, initial=np.inf), out=least[:, j])
+                np.maximum(most[:, j], np.where(both, x, -np.inf).max(0, initial=-np.inf), out=most[:, j])
+        i, j = np.indices((n, n))
+        yield pd.DataFrame(
+            {"i": i.ravel(), "j": j.ravel(), "n": count.ravel(), "s": total.ravel(), "low": least.ravel(), "high": most.ravel()}
+        )
 
+    return run
 
-def _paired(flat: DataFrame, rows: int, used: Sequence[int], gaps: Sequence[bool]) -> dict[tuple[int, int], float]:
-    """Correlation of each pair over its common rows.
 
-    ``flat`` has d (centred, 0 where missing), s (d squared, where any column
-    has gaps), m (1 where present, for columns with gaps) and a column of ones.
-    """
-    pairs = {(i, j): _pair_terms(i, j, gaps) for at, i in enumerate(used) for j in used[: at + 1]}
-    wanted = list(dict.fromkeys(term for terms in pairs.values() for term in terms))
-    if not wanted:
-        return {}
-    sums = _sums(flat, wanted) if len(wanted) <= PLAIN_SUMS else _matrix_sums(flat, wanted, rows)
-    found = {}
-    for (i, j), terms in pairs.items():
-        both, si, sj, sii, sjj, sij = (sums[t] for t in terms)
-        if both < 0.5:
-            continue
-        vi, vj = sii - si * si / both, sjj - sj * sj / both
-        # Below this share, what is left is rounding noise of a constant.
-        if vi > sii * 1e-9 and vj > sjj * 1e-9:
-            found[i, j] = max(-1.0, min(1.0, (sij - si * sj / both) / math.sqrt(vi * vj)))
-    return found
+def _pair_products(centre: np.ndarray):
+    """Per task and pair: sums and products of both columns, each less its mean over the pair's rows."""
+    n = len(centre)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((5, n, n))
+        for part in batches:
+            x, there = _matrix(part)
+            for j in range(n):
+                both = there & there[:, j : j + 1]
+                a = np.where(both, x - centre[:, j], 0.0)
+                b = np.where(both, x[:, j : j + 1] - centre[j, :], 0.0)
+                for k, v in enumerate((a, b, a * a, b * b, a * b)):
+                    sums[k, :, j] += v.sum(0)
+        i, j = np.indices((n, n))
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{f"v{k}": v.ravel() for k, v in enumerate(sums)}})
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, n: int = 30, digits: int = 2) -> DataFrame:
-    """row, col, r for every pair of columns, over rows where both are present.
+    return run
+
+
+def _correlations(flat: DataFrame) -> np.ndarray:
+    """Correlation of each pair of columns over its common rows; NaN if there is none.
 
-    A constant column has no correlation (NULL). A first pass centres the
-    columns; the second one builds one matrix of products, in which columns
-    with gaps take part with their zero-filled values and a presence mark.
+    The first pass takes each pair's own means, the second one products of what
+    is left. A column that is constant over a pair's rows has no correlation.
     """
-    names = chosen(df, columns, numeric_columns(df))[:n]
+    n = len(flat.columns)
+    means = (
+        flat.mapInPandas(_pair_means(n), "i int, j int, n double, s double, low double, high double")
+        .groupBy("i", "j")
+        .agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high"))
+    )
+    count, total, varies = np.zeros((n, n)), np.zeros((n, n)), np.zeros((n, n), bool)
+    for r in means.collect():  # one number for each pair of columns
+        at = r["i"], r["j"]
+        count[at], total[at], varies[at] = r["n"], r["s"], r["low"] < r["high"]
+    centre = np.divide(total, count, out=np.zeros((n, n)), where=count > 0)
+    fields = [f"v{k}" for k in range(5)]
+    products = (
+        flat.mapInPandas(_pair_products(centre), "i int, j int, " + ", ".join(f"{v} double" for v in fields))
+        .groupBy("i", "j")
+        .agg(*[F.sum(v).alias(v) for v in fields])
+    )
+    out = np.full((n, n), np.nan)
+    for r in products.collect():
+        at = i, j = r["i"], r["j"]
+        if count[at] and varies[i, j] and varies[j, i]:
+            sa, sb, aa, bb, ab = (r[v] for v in fields)
+            va, vb = aa - sa * sa / count[at], bb - sb * sb / count[at]
+            if va > 0 and vb > 0:
+                out[at] = (ab - sa * sb / count[at]) / (math.sqrt(va) * math.sqrt(vb))
+    return np.clip(out, -1.0, 1.0)
+
+
+def _correlated(df: DataFrame, columns: Sequence[str] | None, n: int) -> list[str]:
+    """The columns asked for, all of them, or the first n numeric ones."""
+    names = chosen(df, columns, numeric_columns(df)[:n])
     require_numeric(df, names)
     if len(names) < 2:
         raise ValueError("at least two numeric columns are needed")
-    rows, centres = _fit_centres(df, names)
-    gaps = [c["n"] < rows for c in centres]
-    used = [i for i, c in enumerate(centres) if c["varies"]]
-    xs = [number(df, names[i]) for i in used]
-    flat = df.select(
-        *[F.coalesce(x - F.lit(centres[i]["mean"]), F.lit(0.0)).alias(f"d{i}") for i, x in zip(used, xs)],
-        *[F.when(x.isNull(), F.lit(0.0)).otherwise(F.lit(1.0)).alias(f"m{i}") for i, x in zip(used, xs) if gaps[i]],
-    )
-    if any(gaps[i] for i in used):
-        flat = flat.withColumns({f"s{i}": F.col(f"d{i}") * F.col(f"d{i}") for i in used})
-    flat = flat.withColumn("one", F.lit(1.0))
-    r = _paired(flat, rows, used, gaps)
+    return names
+
+
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, n: int = 30, digits: int = 2) -> DataFrame:
+    """row, col, r for every pair of columns, over rows where both are present.
+
+    ``n`` bounds the columns taken by default, not those asked for.
+    """
+    names = _correlated(df, columns, n)
+    r = _correlations(df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(names)]))
     cells = [
-        (a, b, r.get((max(i, j), min(i, j)))) for i, a in enumerate(names) for j, b in enumerate(names)
+        (a, b, None if np.isnan(r[i, j]) else float(r[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)
     ]
     table = df.sparkSession.createDataFrame(cells, "row string, col string, r double")
     return table.withColumn("r", F.round("r", digits) + F.lit(0.0))
@@ -285,7 +315,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, n: i
 
 def correlation_wide(df: DataFrame, columns: Sequence[str] | None = None, n: int = 30, digits: int = 2) -> DataFrame:
     """The same matrix with one column per variable."""
-    names = chosen(df, columns, numeric_columns(df))[:n]
+    names = _correlated(df, columns, n)
     long = correlation_matrix(df, names, n, digits)
     return long.groupBy(F.col("row").alias("column")).pivot("col", names).agg(F.first("r"))
 
@@ -310,10 +340,11 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
-def approx_distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, rsd: float = 0.02) -> DataFrame:
-    """The same from a sketch: no shuffle of values."""
+def approx_distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, rsd: float = RSD) -> DataFrame:
+    """The same from a sketch of the values' 64-bit hashes: no shuffle of values."""
     names = chosen(df, columns, atomic_columns(df))
-    parts = {c: {"unique": F.approx_count_distinct(value(df, c), rsd)} for c in names}
+    hashed = lambda c: F.when(~missing(df, c), F.xxhash64(value(df, c)))
+    parts = {c: {"unique": F.approx_count_distinct(hashed(c), rsd)} for c in names}
     return _per_column(df, parts).select("column", "unique")
 
 

@@ -21,9 +21,7 @@ from tabwright.functions.columns import (
 from tabwright.functions.counts import long_counts
 from tabwright.functions.joins import join_lookup
 from tabwright.functions.ordered import Running, with_running
-
-MAX_CATEGORIES = 1000
-
+from tabwright.session import written
 
 def fit_scale(
     df: DataFrame, method: str, columns: Sequence[str] | None = None, exclude: Sequence[str] = ()
@@ -72,20 +70,24 @@ def minmax_scale(df: DataFrame, columns: Sequence[str] | None = None, exclude: S
 
 
 def fit_one_hot(
-    df: DataFrame, columns: Sequence[str] | None = None, max_categories: int = MAX_CATEGORIES
+    df: DataFrame, columns: Sequence[str] | None = None, max_categories: int | None = None
 ) -> dict[str, list[str]]:
-    """Sorted values per text column; too many values for a schema raise."""
+    """Sorted values per text column, each a column of the result's schema.
+
+    ``max_categories`` raises on columns of more values before they are fetched.
+    """
     names = chosen(df, columns, text_columns(df))
     if not names:
         return {}
     found: dict[str, list[str]] = {c: [] for c in names}
-    bound = max_categories * len(names)
-    rows = long_counts(df, names).select("column", "value").limit(bound + 1).collect()
-    for r in rows:
+    values = long_counts(df, names).select("column", "value")
+    if max_categories is not None:
+        many = values.groupBy("column").count().filter(F.col("count") > max_categories)
+        wide = sorted(r["column"] for r in many.select("column").collect())
+        if wide:
+            raise ValueError(f"more than {max_categories} values in: {', '.join(wide)}")
+    for r in values.collect():
         found[r["column"]].append(r["value"])
-    wide = [c for c, v in found.items() if len(v) > max_categories]
-    if wide or len(rows) > bound:
-        raise ValueError(f"more than {max_categories} values in: {', '.join(wide) or ', '.join(names)}")
     return {c: sorted(v) for c, v in found.items()}
 
 
@@ -108,7 +110,7 @@ def one_hot(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     drop_first: bool = False,
-    max_categories: int = MAX_CATEGORIES,
+    max_categories: int | None = None,
 ) -> DataFrame:
     return apply_one_hot(df, fit_one_hot(df, columns, max_categories), drop_first)
 
@@ -118,25 +120,30 @@ def fit_label_codes(
 ) -> dict[str, DataFrame]:
     """Per column a table value -> code (sorted order from 0), rows behind it.
 
-    The dictionary may be as large as the column: it is numbered range by range.
+    All columns are numbered together, keyed by column, range by range: the
+    dictionary may be as large as the columns are.
     """
     names = chosen(df, columns, text_columns(df))
     require_columns(df, names)
-    codes = {}
-    for c in names:
-        present = df.select(col(c)).filter(col(c).isNotNull())
-        counted = present.groupBy(col(c)).agg(F.count(F.lit(1)).alias("__rows"))
-        counted = counted.withColumn("__one", F.lit(1).cast("bigint"))
-        numbered = with_running(counted, [], [c], [Running("__upto", "sum", "__one")], ranges, source=present)
-        codes[c] = numbered.select(col(c), (F.col("__upto") - 1).cast("bigint").alias("__code"), "__rows")
-    return codes
+    if not names:
+        return {}
+    tall = df.select(*[col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    tall = tall.unpivot([], tall.columns, "__of", "__value").filter("__value is not null")
+    counted = tall.groupBy("__of", "__value").agg(F.count(F.lit(1)).alias("__rows"))
+    counted = written(counted.withColumn("__one", F.lit(1).cast("bigint")), "values")
+    numbered = with_running(counted, ["__of"], ["__value"], [Running("__upto", "sum", "__one")], ranges)
+    codes = written(numbered.withColumn("__code", F.col("__upto") - 1).select("__of", "__value", "__code", "__rows"), "codes")
+    return {
+        c: codes.filter(F.col("__of") == f"c{i}").select(F.col("__value").alias(c), "__code", "__rows")
+        for i, c in enumerate(names)
+    }
 
 
 def apply_label_codes(df: DataFrame, codes: Mapping[str, DataFrame]) -> DataFrame:
     """Replace values by codes; missing and unknown values become -1."""
     out = df
     for i, (c, table) in enumerate(codes.items()):
-        out = join_lookup(out, table.withColumnRenamed("__code", f"__code{i}"), [c], weight="__rows")
+        out = join_lookup(out, table.withColumnRenamed("__code", f"__code{i}"), [c], weight="__rows", stored=True)
     back = {c: F.coalesce(F.col(f"__code{i}"), F.lit(-1)) for i, c in enumerate(codes)}
     return out.select(*[back[c].alias(c) if c in back else col(c) for c in df.columns])
 

@@ -54,9 +54,9 @@ select event_id, user_id,
 CLICK_EVENTS = """
 select event_id,
        case event_type when 'click' then 'confirm_LOAD' when 'error' then null else 'btn' end as button_id,
-       case event_type when 'purchase' then ' Apply and Save ' when 'view' then ' Apply '
+       case event_type when 'purchase' then ' Apply and Save ' when 'view' then concat(chr(10), '   Apply', chr(9), chr(10), ' ')
                        when 'signup' then 'Save to Pipeline' when 'click' then 'Load Dataset' end as button_name,
-       case event_type when 'error' then 'Download plot as a PNG' else 'other' end as title
+       case event_type when 'error' then concat(chr(9), 'Download plot as a PNG', chr(10)) else 'other' end as title
 from {events}"""
 
 TEXT_DATES = """

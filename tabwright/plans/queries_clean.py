@@ -405,38 +405,50 @@ def _(spark, sf):
 
 
 _LINEITEM = {
-    "l_orderkey": "bigint",
-    "l_linenumber": "int",
-    "l_quantity": "double",
-    "l_extendedprice": "double",
-    "l_discount": "double",
-    "l_returnflag": "string",
-    "l_linestatus": "string",
+    "l_orderkey": "number",
+    "l_partkey": "number",
+    "l_suppkey": "number",
+    "l_linenumber": "number",
+    "l_quantity": "number",
+    "l_extendedprice": "number",
+    "l_discount": "number",
+    "l_tax": "number",
+    "l_returnflag": "label",
+    "l_linestatus": "label",
+    "l_shipdate": "time",
 }
+_STATS = ("mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def _describe(columns: dict[str, str]) -> str:
+    """Times are compared in whole seconds."""
     parts = []
-    for c, t in columns.items():
-        if t == "string":
+    for c, kind in columns.items():
+        number, time = dict.fromkeys(_STATS, "cast(null as double)"), dict.fromkeys(_STATS, "cast(null as timestamp)")
+        label = 'cast(null as bigint) as "unique", cast(null as varchar) as top, cast(null as bigint) as freq'
+        x = f"epoch_us({c})" if kind == "time" else c
+        stats = {
+            "mean": f"avg({x})", "std": f"stddev_samp({x})", "min": f"min({x})", "q1": f"quantile_cont(cast({x} as double), 0.25)",
+            "median": f"quantile_cont(cast({x} as double), 0.5)", "q3": f"quantile_cont(cast({x} as double), 0.75)", "max": f"max({x})",
+        }
+        if kind == "label":
             most = f"from d where {c} is not null group by {c} order by count(*) desc, {c} limit 1"
             label = f'count(distinct {c}) as "unique", (select {c} {most}) as top, (select count(*) {most}) as freq'
-            stats = ", ".join(f"cast(null as double) as {s}" for s in ("mean", "std", "min", "q1", "median", "q3", "max"))
+        elif kind == "number":
+            number = {s: f"round(cast({e} as double), 4)" for s, e in stats.items()}
         else:
-            label = 'cast(null as bigint) as "unique", cast(null as varchar) as top, cast(null as bigint) as freq'
-            stats = f"""round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as std, round(cast(min({c}) as double), 4) as min,
-            round(quantile_cont(cast({c} as double), 0.25), 4) as q1, round(quantile_cont(cast({c} as double), 0.5), 4) as median,
-            round(quantile_cont(cast({c} as double), 0.75), 4) as q3, round(cast(max({c}) as double), 4) as max"""
-        parts.append(f"""select '{c}' as "column", count({c}) as "count", {label}, {stats} from d""")
+            time = {s: f"date_trunc('second', make_timestamp(cast(round({e}) as bigint)))" for s, e in stats.items()}
+        cells = [f"{number[s]} as {s}" for s in _STATS] + [f"{time[s]} as time_{s}" for s in _STATS if s != "std"]
+        parts.append(f"""select '{c}' as "column", count({c}) as "count", {label}, {', '.join(cells)} from d""")
     return "\nunion all ".join(parts)
 
 
 @query("describe_all", "with d as (select * from lineitem)\n" + _describe(_LINEITEM))
 def _(spark, sf):
     out = profile.describe_all(table(spark, sf, "lineitem").select(*_LINEITEM))
-    for c in ("mean", "std", "min", "q1", "median", "q3", "max"):
-        out = _rounded(out, c)
-    return out
+    for s in _STATS:
+        out = _rounded(out, s)
+    return out.withColumns({f"time_{s}": F.date_trunc("second", f"time_{s}").cast("timestamp_ntz") for s in _STATS if s != "std"})
 
 
 CORRELATED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -464,6 +476,46 @@ def _(spark, sf):
     return profile.correlation_matrix(df)
 
 
+@query(
+    "correlation_of_common_rows",
+    "with d as (select l_quantity + 0.0 as x, case when l_linenumber = 1 then 1e9 + l_quantity * 3 when l_linenumber > 5 then -1e12 end as y, "
+    "case when l_linenumber <= 5 then l_extendedprice end as z from lineitem)\n"
+    + _correlations(("x", "y", "z"), "d"),
+)
+def _(spark, sf):
+    """Common rows of y and z vary little next to the whole of y."""
+    line = F.col("l_linenumber")
+    y = F.when(line == 1, F.lit(1e9) + F.col("l_quantity") * 3).when(line > 5, F.lit(-1e12))
+    df = table(spark, sf, "lineitem").select(
+        F.col("l_quantity").alias("x"), y.alias("y"), F.when(line <= 5, F.col("l_extendedprice")).alias("z")
+    )
+    return profile.correlation_matrix(df)
+
+
+@query(
+    "correlation_wide",
+    """with r as (select corr(l_quantity, l_extendedprice) as qe, corr(l_quantity, l_tax) as qt, corr(l_extendedprice, l_tax) as et from lineitem)
+    select 'l_quantity' as "column", cast(1 as double) as l_quantity, round(qe, 2) + 0.0 as l_extendedprice, round(qt, 2) + 0.0 as l_tax from r
+    union all select 'l_extendedprice', round(qe, 2) + 0.0, 1, round(et, 2) + 0.0 from r
+    union all select 'l_tax', round(qt, 2) + 0.0, round(et, 2) + 0.0, 1 from r""",
+)
+def _(spark, sf):
+    return profile.correlation_wide(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"])
+
+
+@query(
+    "quantiles_with_infinities",
+    "with d as (select case when l_linenumber = 1 then 'inf'::double when l_linenumber = 2 then '-inf'::double else l_extendedprice end as x from lineitem)\n"
+    + "\nunion all ".join(
+        f"""select 'x' as "column", cast({p} as double) as prob, round(quantile_disc(x, {p}), 6) as quantile from d""" for p in (0.0, 0.05, 0.95, 1.0)
+    ),
+)
+def _(spark, sf):
+    line = F.col("l_linenumber")
+    x = F.when(line == 1, F.lit(float("inf"))).when(line == 2, F.lit(float("-inf"))).otherwise(F.col("l_extendedprice"))
+    return _rounded(profile.quantiles(table(spark, sf, "lineitem").select(x.alias("x")), ["x"], [0.0, 0.05, 0.95, 1.0]), "quantile", digits=6)
+
+
 @query(
     "quantiles",
     "\nunion all ".join(
@@ -488,9 +540,19 @@ def _(spark, sf):
     return profile.distinct_counts(table(spark, sf, "documents"))
 
 
-@query("approx_distinct_counts")
+@query(
+    "approx_distinct_counts",
+    "\nunion all ".join(
+        f"""select '{c}' as "column", count(distinct {c}) as exact, true as within from documents"""
+        for c in ("doc_id", "text", "lang", "source", "n_chars")
+    ),
+)
 def _(spark, sf):
-    return profile.approx_distinct_counts(table(spark, sf, "documents"))
+    """The exact counts, and whether the sketch's lie within five times its stated error of them."""
+    docs = table(spark, sf, "documents")
+    exact = profile.distinct_counts(docs).withColumnRenamed("unique", "exact")
+    close = F.abs(F.col("unique") - F.col("exact")) <= 5 * profile.RSD * F.col("exact")
+    return exact.join(profile.approx_distinct_counts(docs), "column").select("column", "exact", close.alias("within"))
 
 
 @query(

@@ -8,6 +8,7 @@ from tabwright.operators import charts, events, experiment, features, outliers
 from tabwright.plans.fixtures import table, with_more, with_variant
 from tabwright.plans.recipe import Recipe
 from tabwright.streaming import events as streams
+from tabwright.streaming.ordered import ordered_state
 from tabwright.streaming.run import drain, read_stream
 
 QUERIES = {}
@@ -146,9 +147,15 @@ def _(spark, sf):
     return charts.scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
 
 
-@query("scatter_sample")
+@query(
+    "scatter_sample",
+    """select l_quantity, l_extendedprice from lineitem
+    where cast('0x' || substr(md5('11|' || l_orderkey || '|' || l_linenumber), 1, 8) as bigint) / 4294967296.0 < 0.01""",
+)
 def _(spark, sf):
-    return charts.scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", fraction=0.01)
+    """One point in a hundred, by a hash of the row's key."""
+    key = ["l_orderkey", "l_linenumber"]
+    return charts.scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", fraction=0.01, by=key)
 
 
 @query(
@@ -339,8 +346,8 @@ def _(spark, sf):
 # -- event log --------------------------------------------------------------
 
 
-def _dwell_sql(closed: str = "true") -> str:
-    return f"""with t as (select event_id, user_id, ts, case when event_type <> 'error' then event_type end as tab from events where {closed}),
+def _dwell_sql() -> str:
+    return """with t as (select event_id, user_id, ts, case when event_type <> 'error' then event_type end as tab from events),
     c as (select *, lag(tab) over w as before from t window w as (partition by user_id order by ts, event_id)),
     v as (select *, lead(ts) over (partition by user_id order by ts, event_id) as ended from c where tab is distinct from before)
     select user_id as "user", tab, ts as started, ended, cast(floor((epoch_us(ended) - epoch_us(ts)) / 1000) as bigint) as duration_ms,
@@ -367,18 +374,18 @@ def _(spark, sf):
             case when button_id is not null or button_name is not null then 'button_click' end,
             case when lower(button_id) like '%load%' or lower(button_name) like '%load dataset%' then 'load_dataset_click' end,
             case when lower(button_name) like '%apply and save%' then 'cleaning_apply_and_save_click' end,
-            case when lower(trim(button_name)) = 'apply' then 'feature_apply_click' end,
+            case when lower(trim(button_name, ' ' || chr(9) || chr(10))) = 'apply' then 'feature_apply_click' end,
             case when lower(button_name) like '%save to pipeline%' then 'feature_save_to_pipeline_click' end,
-            case when title = 'Download plot as a PNG' then 'plot_download_png_click' end]) as event_name from d) where event_name is not null""",
+            case when trim(title, ' ' || chr(9) || chr(10)) = 'Download plot as a PNG' then 'plot_download_png_click' end]) as event_name from d) where event_name is not null""",
     ),
 )
 def _(spark, sf):
     return events.classify_click(table(spark, sf, "click_events"), "button_id", "button_name", "title")
 
 
-def _first_sql(closed: str = "true") -> str:
-    return f"""with t as (select event_id, user_id, ts, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as before
-        from events where event_type in ('purchase', 'click') and {closed})"""
+def _first_sql() -> str:
+    return """with t as (select event_id, user_id, ts, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as before
+        from events where event_type in ('purchase', 'click'))"""
 
 
 @query(
@@ -394,58 +401,67 @@ def _(spark, sf):
 _STAGES = ("view", "click", "signup", "purchase")
 
 
+@query(
+    "first_success_by_clicks",
+    """with t as (select event_id, user_id, ts, lag(event_type) over (partition by user_id order by ts, event_id) as before, event_type
+    from events where event_type in ('purchase', 'click', 'signup'))
+    select event_id, user_id, ts, event_type from t where event_type = 'purchase' and before is distinct from 'purchase'""",
+)
+def _(spark, sf):
+    """Only a confirmed load re-arms: neither another id with "load" in it nor another text does."""
+    kind = F.col("event_type")
+    ident = F.when(kind == "click", F.lit("x-Confirm_LOAD")).when(kind == "view", F.lit("download_report"))
+    name = F.when(kind == "signup", F.lit("\n Load Dataset\t")).when(kind == "error", F.lit("Reload"))
+    log = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    return events.first_success(
+        log, "user_id", "event_type", ["ts", "event_id"], "purchase", events.load_confirmed(ident, name)
+    )
+
+
 @query(
     "funnel_counts",
     "\nunion all ".join(
-        f"select {i + 1} as position, '{s}' as stage, count(distinct user_id) as users from events where event_type = '{s}' and event_id % 3 = {i % 3}"
-        for i, s in enumerate(_STAGES)
+        f"select {i + 1} as position, '{s}' as stage, count(distinct user_id) as users from events where event_type = '{s}'"
+        for i, s in enumerate(("view", "click", "signup", "purchase"))
     ),
 )
 def _(spark, sf):
-    """Each stage is seen in a third of the log, so that users drop out."""
-    third = F.col("event_id") % 3
-    kind = F.col("event_type")
-    seen = None
-    for i, s in enumerate(_STAGES):
-        hit = (kind == s) & (third == i % 3)
-        seen = F.when(hit, kind) if seen is None else seen.when(hit, kind)
-    return events.funnel_counts(table(spark, sf, "events").withColumn("event_type", seen), "user_id", "event_type", _STAGES)
+    return events.funnel_counts(table(spark, sf, "events"), "user_id", "event_type", ("view", "click", "signup", "purchase"))
 
 
 # -- streams ----------------------------------------------------------------
 
-# A slot of one minute is reported once the newest event, less the allowed
-# delay of one hour, has passed it.
-_CLOSED = "date_trunc('minute', ts) + interval 1 minute <= (select max(ts) from events where {seen}) - interval 1 hour"
+# Each finished input is closed, so that a stream gives what its batch twin gives.
 
 
 @query(
     "stream_dedup_success",
-    _first_sql(_CLOSED.format(seen="event_type in ('purchase', 'click')"))
-    + " select user_id as \"user\", ts from t where event_type = 'purchase' and coalesce(before, 'click') = 'click'",
+    _first_sql() + " select user_id as \"user\", ts from t where event_type = 'purchase' and coalesce(before, 'click') = 'click'",
 )
 def _(spark, sf):
-    source = read_stream(spark, sf, "events.parquet")
-    found = streams.stream_dedup_success(source, "user_id", "ts", "event_type", "event_id", "purchase", "click")
-    return drain(found, "dedup")
+    with ordered_state(spark):
+        source, close = read_stream(spark, sf, "events.parquet")
+        found = streams.stream_dedup_success(source, "user_id", "ts", "event_type", "event_id", "purchase", "click")
+        return drain(found, "dedup", close)
 
 
-@query("stream_dwell", _dwell_sql(_CLOSED.format(seen="true")))
+@query("stream_dwell", _dwell_sql())
 def _(spark, sf):
-    source = _tabs(read_stream(spark, sf, "events.parquet"))
-    return drain(streams.stream_dwell(source, "user_id", "ts", "tab", "event_id"), "dwell")
+    with ordered_state(spark):
+        source, close = read_stream(spark, sf, "events.parquet")
+        return drain(streams.stream_dwell(_tabs(source), "user_id", "ts", "tab", "event_id"), "dwell", close)
 
 
 @query(
     "stream_rollup",
     """select time_bucket(interval 1 day, ts) as window_start, case when user_id % 2 = 0 then 'A' else 'B' end as "group",
-    event_type as event_name, count(distinct user_id) as active_users, count(*) as event_count from events
-    where time_bucket(interval 1 day, ts) + interval 1 day <= (select max(ts) from events) - interval 1 hour group by 1, 2, 3""",
+    event_type as event_name, count(distinct user_id) as active_users, count(*) as event_count from events group by 1, 2, 3""",
 )
 def _(spark, sf):
     group = F.when(F.col("user_id") % 2 == 0, F.lit("A")).otherwise(F.lit("B"))
-    source = read_stream(spark, sf, "events.parquet").withColumn("grp", group)
-    return drain(streams.stream_rollup(source, "grp", "event_type", "user_id", "ts", "1 day"), "rollup")
+    source, close = read_stream(spark, sf, "events.parquet")
+    found = streams.stream_rollup(source.withColumn("grp", group), "grp", "event_type", "user_id", "ts", "1 day")
+    return drain(found, "rollup", close)
 
 
 @query(

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+#: The state store that ordered events on streams need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def local_session(cores: str = "*", name: str = "tabwright") -> SparkSession:
@@ -20,6 +24,7 @@ def local_session(cores: str = "*", name: str = "tabwright") -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", f"/tmp/{name}-shared")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,3 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A path nobody has used yet, on storage every executor sees."""
     return f"{shared_folder(spark)}/tabwright-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The frame, written once to the shared folder and read from there."""
+    path = fresh_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

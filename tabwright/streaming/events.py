@@ -1,4 +1,8 @@
-"""Event-log analytics on streams; each equals its batch twin on closed time."""
+"""Event-log analytics on streams; each equals its batch twin on a finished input.
+
+Rows at the time of a closing mark (see ``run.py``) move the watermark and are
+left out after it.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col
-from tabwright.operators.events import rounded_seconds
-from tabwright.streaming.ordered import OrderedEvents, use_rocksdb
+from tabwright.operators.events import rounded_seconds, success_marks
+from tabwright.streaming.ordered import OrderedEvents, require_rocksdb
+from tabwright.streaming.run import before_closing
 
 
 def _prepared(df: DataFrame, user: str, ts: str, tie: str, event: Column, delay: str) -> DataFrame:
@@ -19,10 +24,11 @@ def _prepared(df: DataFrame, user: str, ts: str, tie: str, event: Column, delay:
         F.unix_micros(moment).alias("us"),
         col(tie).cast("bigint").alias("tie"),
         event.cast("string").alias("event"),
-    ).withWatermark("ts", delay)
+    ).withWatermark("ts", delay).where(before_closing())
 
 
 UTC_NAME = "UTC"
+SUCCESS, REARM = "success", "rearm"
 
 
 class FirstSuccess(OrderedEvents):
@@ -32,14 +38,10 @@ class FirstSuccess(OrderedEvents):
     start = (True,)
     columns = ("user", "us")
 
-    def __init__(self, success: str):
-        self.success = success
-
     def step(self, memory, key, us, event):
-        armed = memory[0]
-        if event != self.success:
+        if event != SUCCESS:
             return (True,), None
-        return (False,), (key[0], us) if armed else None
+        return (False,), (key[0], us) if memory[0] else None
 
 
 class Dwell(OrderedEvents):
@@ -64,20 +66,23 @@ def stream_dedup_success(
     event: str,
     tie: str,
     success: str = "dataset_loaded_success",
-    rearm: str = "load_dataset_click",
+    rearm: str | Column = "load_dataset_click",
     delay: str = "1 hour",
 ) -> DataFrame:
     """user, ts of each success that comes first after a re-arming event.
 
-    Only the two events that matter reach the shuffle and the state.
+    ``rearm`` is the name of an event, or a condition. Only the two events that
+    matter reach the shuffle and the state.
     """
-    use_rocksdb(df.sparkSession)
-    slim = df.filter(col(event).isin(success, rearm))
+    require_rocksdb(df.sparkSession)
+    mark = success_marks(col(event), success, rearm)
+    kind = F.when(mark, F.lit(SUCCESS)).when(~mark, F.lit(REARM))
+    slim = df.withColumn("__kind", kind).filter(col("__kind").isNotNull() | ~before_closing(ts))
     user_type = df.schema[user].dataType.simpleString()
     found = (
-        _prepared(slim, user, ts, tie, col(event), delay)
+        _prepared(slim, user, ts, tie, col("__kind"), delay)
         .groupBy("user")
-        .transformWithStateInPandas(FirstSuccess(success), f"user {user_type}, us bigint", "append", "eventTime")
+        .transformWithStateInPandas(FirstSuccess(), f"user {user_type}, us bigint", "append", "eventTime")
     )
     return found.select("user", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
 
@@ -86,7 +91,7 @@ def stream_dwell(
     df: DataFrame, user: str, ts: str, tab: str, tie: str, delay: str = "1 hour"
 ) -> DataFrame:
     """user, tab, started, ended, duration_ms, engagement_seconds per visit."""
-    use_rocksdb(df.sparkSession)
+    require_rocksdb(df.sparkSession)
     user_type = df.schema[user].dataType.simpleString()
     visits = (
         _prepared(df, user, ts, tie, col(tab), delay)
@@ -123,7 +128,7 @@ def stream_rollup(
     """
     slim = df.select(
         _instant(ts).alias("ts"), col(group).alias("group"), col(event).alias("event_name"), col(user).alias("user")
-    ).withWatermark("ts", delay)
+    ).withWatermark("ts", delay).where(before_closing())
     per_user = slim.groupBy(F.window("ts", width), "group", "event_name", "user").agg(
         F.count(F.lit(1)).alias("n")
     )

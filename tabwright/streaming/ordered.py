@@ -1,25 +1,44 @@
 """Events of a user in event-time order, for streams.
 
-Rows wait in state until the watermark has passed their slot (a fixed stretch
-of event time), then run through a small per-user machine in order. What waits
-is bounded by the watermark delay, not by the length of the stream.
+Rows wait in state, by slot (a fixed stretch of event time), until the watermark
+has passed it, then run through a small per-user machine in order. What waits is
+bounded by the watermark delay, not by the length of the stream, and each slot is
+read and removed once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tabwright.session import ROCKSDB
+
 SLOT_MS = 60_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def require_rocksdb(spark: SparkSession) -> None:
+    """State of this kind needs the RocksDB store; the setting is the session's to make."""
+    if spark.conf.get(PROVIDER, "") != ROCKSDB:
+        raise RuntimeError(f"set {PROVIDER} to {ROCKSDB} before this stream is started")
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State of this kind needs the RocksDB store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+@contextmanager
+def ordered_state(spark: SparkSession) -> Iterator[None]:
+    """The store of ordered state for streams started inside; the setting comes back after."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
 
 
 def _slot_end(us: int) -> int:
@@ -41,41 +60,30 @@ class OrderedEvents(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, tie bigint, event string")
+        self.waiting = handle.getMapState("waiting", "slot bigint", "rows array<struct<us: bigint, tie: bigint, event: string>>")
         self.memory = handle.getValueState("memory", self.memory_schema)
-        self.due = handle.getValueState("due", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        """Rows join those of their slot; each slot has a timer at its end."""
         for part in rows:
-            events = [None if pd.isna(e) else e for e in part["event"]]
-            self.waiting.appendList(list(zip(part["us"].tolist(), part["tie"].tolist(), events)))
-            earliest = int(part["us"].min())
-            first = earliest if first is None else min(first, earliest)
-        if first is not None:
-            due = _slot_end(first)
-            if not self.due.exists() or due < self.due.get()[0]:
-                self._wake(due)
+            slots: dict[int, list] = {}
+            for us, tie, event in zip(part["us"].tolist(), part["tie"].tolist(), part["event"]):
+                slots.setdefault(_slot_end(us), []).append((us, tie, None if pd.isna(event) else event))
+            for slot, fresh in slots.items():
+                if self.waiting.containsKey((slot,)):
+                    fresh = [tuple(r) for r in self.waiting.getValue((slot,))[0]] + fresh
+                else:
+                    self.handle.registerTimer(slot)
+                self.waiting.updateValue((slot,), (fresh,))
         yield from ()
 
-    def _wake(self, ms: int) -> None:
-        """One timer at a time: the end of the earliest slot that waits."""
-        self.handle.registerTimer(ms)
-        self.due.update((ms,))
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs() // SLOT_MS * SLOT_MS * 1000
-        ready, later = [], []
-        for row in self.waiting.get():
-            (ready if row[0] < until else later).append(tuple(row))
-        if not ready:
+        """A timer touches the rows of its own slot; timers of a key come in order of time."""
+        slot = (expiredTimerInfo.getExpiryTimeInMs(),)
+        if not self.waiting.containsKey(slot):
             return
-        if later:
-            self.waiting.put(later)
-            self._wake(_slot_end(min(row[0] for row in later)))
-        else:
-            self.waiting.clear()
-            self.due.clear()
+        ready = [tuple(r) for r in self.waiting.getValue(slot)[0]]
+        self.waiting.removeKey(slot)
         memory = tuple(self.memory.get()) if self.memory.exists() else self.start
         out = []
         for us, _, event in sorted(ready, key=lambda r: (r[0], r[1])):

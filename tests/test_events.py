@@ -124,6 +124,35 @@ def test_first_success(spark, ranges):
     assert sorted((r["u"], r["id"]) for r in got.collect()) == [("a", 1), ("a", 7), ("b", 1), ("b", 7)]
 
 
+def test_only_a_confirmed_load_rearms(spark):
+    presses = [(1, "ok", None, None), (2, "no", "download_report", "Get"), (3, "ok", None, None), (4, "no", "x-Confirm_Load", ""), (5, "ok", None, None), (6, "no", "b", "\n Load Dataset"), (7, "ok", None, None)]
+    df = spark.createDataFrame([("u", *p) for p in presses], "u string, id int, e string, b string, n string")
+    got = events.first_success(df, "u", "e", ["id"], "ok", events.load_confirmed(F.col("b"), F.col("n")))
+    assert sorted(r["id"] for r in got.collect()) == [1, 5, 7]
+
+
+def test_white_space_of_any_kind_is_trimmed(spark):
+    df = spark.createDataFrame([("b", "\n   Apply\n ", "\tDownload plot as a PNG\n")], "id string, name string, title string")
+    got = {r["event_name"] for r in events.classify_click(df, "id", "name", "title").collect()}
+    assert got == {"button_click", "feature_apply_click", "plot_download_png_click"}
+
+
+def test_state_store_is_the_sessions_to_set(spark, log, tmp_path):
+    from tabwright.streaming.ordered import PROVIDER, ordered_state
+
+    stream = as_stream(spark, log, str(tmp_path / "in"), 1)
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        with pytest.raises(RuntimeError, match="RocksDB"):
+            streams.stream_dedup_success(stream, "user", "ts", "event", "id")
+        with ordered_state(spark):
+            assert "RocksDB" in spark.conf.get(PROVIDER)
+        assert "HDFS" in spark.conf.get(PROVIDER)
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def test_funnel(spark):
     log = [("u", "dataset_loaded_success"), ("u", "cleaning_applied_success"), ("v", "dataset_loaded_success"), ("v", "dataset_loaded_success"), (None, "proceed_to_eda")]
     df = spark.createDataFrame(log, "u string, e string")

@@ -272,15 +272,42 @@ def test_profile_of_booleans_and_empty(odd):
     assert tuple(profile.quality_overview(odd).first()) == (4, 5, 3, 0, 2, 3)
 
 
+def test_describe_of_times(spark):
+    df = spark.createDataFrame([(1,), (2,), (4,), (None,)], "d int").selectExpr(
+        "timestamp_ntz'2024-01-01' + make_dt_interval(d) as t", "date_add(date'2020-02-28', d) as day"
+    )
+    got = {r["column"]: r for r in profile.describe_all(df).collect()}
+    assert (got["t"]["count"], got["t"]["unique"], got["t"]["mean"]) == (3, None, None)
+    assert [str(got["t"][f"time_{s}"]) for s in ("mean", "min", "q1", "median", "q3", "max")] == [
+        "2024-01-03 08:00:00", "2024-01-02 00:00:00", "2024-01-02 12:00:00", "2024-01-03 00:00:00", "2024-01-04 00:00:00", "2024-01-05 00:00:00",
+    ]
+    assert str(got["day"]["time_median"]) == "2020-03-01 00:00:00"
+
+
+def test_label_codes_of_long_texts(spark):
+    df = spark.createDataFrame([("a" * 70_000 + c, d) for c, d in ("zx", "bx", "zy", "bx")] + [(None, "q")], "s string, t string")
+    assert sorted(map(tuple, scaling.label_encode(df).collect())) == [(-1, 0), (0, 1), (0, 1), (1, 1), (1, 2)]
+
+
 def test_correlation_of_flat_column(odd):
     wide = profile.correlation_wide(odd.select("id", F.lit(1).alias("flat"), (-F.col("id")).alias("minus")))
     got = {r["column"]: (r["id"], r["flat"], r["minus"]) for r in wide.collect()}
     assert got == {"id": (1.0, None, -1.0), "flat": (None, None, None), "minus": (-1.0, None, 1.0)}
 
 
-@pytest.mark.parametrize("plain", [0, 150])
-def test_correlation_over_common_rows(spark, plain, monkeypatch):
-    monkeypatch.setattr(profile, "PLAIN_SUMS", plain)
+def test_correlation_of_many_columns_asked_for(spark):
+    df = spark.range(50).selectExpr(*[f"id * {i + 1} as c{i}" for i in range(40)])
+    assert profile.correlation_matrix(df, df.columns).filter("r = 1").count() == 1600
+    assert profile.correlation_matrix(df).count() == 900
+
+
+def test_correlation_where_common_rows_vary_little(spark):
+    df = spark.range(2000).selectExpr("cast(id as double) as x", "if(id < 1000, 1e9 + id, cast(null as double)) as y", "id * 1e12 as z")
+    got = {(r["row"], r["col"]): r["r"] for r in profile.correlation_matrix(df).collect()}
+    assert set(got.values()) == {1.0}
+
+
+def test_correlation_over_common_rows(spark):
     rng = random.Random(3)
     data = []
     for _ in range(400):
