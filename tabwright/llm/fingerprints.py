@@ -155,7 +155,7 @@ def _with_next(docs: DataFrame) -> DataFrame:
     # As many cut points as there are partitions.
     points = rows.approxQuantile("at", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
     edges = [(str(int(p)),) for p in sorted(set(points))]
-    placed = assign_range(rows, ["at"], edges).withColumnRenamed(RANGE, "part")
+    placed = assign_range(rows, [F.col("at")], edges).withColumnRenamed(RANGE, "part")
     tops = {r["part"]: r["top"] for r in placed.groupBy("part").agg(F.max("at").alias("top")).collect()}
     order = sorted(tops, reverse=True)
     # The first row of each part is a guest of the part above; the first of all, of the last.
