@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tabwright.plans import catalogue
 from tabwright.plans.fixtures import TABLES
 from tests.conftest import SMALL
 
@@ -30,7 +31,7 @@ def canonical(found, columns):
     return sorted(repr(tuple(r[i] for i in order)) for r in found)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalogue.QUERIES))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SMALL)
     found = [tuple(r) for r in df.collect()]
