@@ -13,10 +13,11 @@ parts, so a length that a third of all pieces share is no hot task.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +44,33 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _by_ranks(path: str, tokenizer) -> Callable[[str], list[int]] | None:
+    """The same ids some three times faster, where the file allows it.
+
+    If a vocabulary of bytes numbers its merges in their order, merging by rank
+    gives the ids of merging by list. None for any other file.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)
+    split, merges = model.get("pre_tokenizer") or {}, model["model"].get("merges", [])
+    vocabulary = model["model"].get("vocab", {})
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("normalizer"):
+        return None
+    joined = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in merges]
+    if None in joined or any(a >= b for a, b in zip(joined, joined[1:])):
+        return None
+    # Printable bytes stand for themselves, the others for characters from 256 on.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    special = {t["content"] for t in model.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in special}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return fast.encode_ordinary
+
+
 class WordTokenizer:
     """Ids of whole texts, as little-endian 32-bit numbers, word by word.
 
@@ -60,13 +88,17 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        mark = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        self.ids = _by_ranks(path, self.tokenizer) or self._whole
+        mark = self._whole("\0")
         shown = self.tokenizer.id_to_token(mark[0])
         parts = len(mark) == 1 and sum(shown in token for token in self.tokenizer.get_vocab()) == 1
         self.mark = mark[0] if parts else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def units(self, text: str) -> list[str]:
         if _ODD_SPACE.search(text):
             return _UNITS.split(text)
@@ -81,7 +113,7 @@ class WordTokenizer:
             together, alone = [u for u in fresh if fits(u)], [u for u in fresh if not fits(u)]
         for at in range(0, len(together), 512):
             part = together[at : at + 512]
-            ids = np.array(self.tokenizer.encode("\0".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.ids("\0".join(part)), "<u4")
             ends = np.flatnonzero(ids == self.mark)
             data, edges = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
             self.known.update((u, data[4 * a + 4 : 4 * b]) for u, a, b in zip(part, edges, edges[1:]))
