@@ -46,7 +46,7 @@ LIKELY = 0.65
 #: Steps of the first pass.
 ROUNDS = 2
 #: Documents compared with each other at once.
-BLOCK = 256
+BLOCK = 512
 WORDS = 5
 SIMILARITY = 80
 
