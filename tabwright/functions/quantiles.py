@@ -9,11 +9,11 @@ size of the table. Heavy repeated values fall on a pivot and end the search.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col, number
@@ -161,32 +161,49 @@ def fit_quantiles(
     ``accuracy=None`` is exact; an integer asks for the sketch alone, with
     relative rank error ``1/accuracy``.
     """
+    return quantiles_beside(df, wanted, accuracy, [])[0] if wanted else {}
+
+
+def quantiles_beside(
+    df: DataFrame,
+    wanted: Mapping[str, Sequence[float]],
+    accuracy: int | None,
+    others: Sequence[Column],
+    needed: Callable[[Row], Iterable[str]] | None = None,
+) -> tuple[dict[str, list[float | None]], Row]:
+    """The same, with other aggregates taken in the first pass over the table.
+
+    ``needed`` picks from their row the columns whose quantiles are searched for.
+    """
     wanted = {c: list(p) for c, p in wanted.items()}
-    if not wanted:
-        return {}
     names = list(wanted)
-    first = []
+    first = list(others)
     for i, c in enumerate(names):
         x = number(df, c)
         if accuracy is None:
-            first.append(F.count_if(x == -math.inf).alias(f"b{i}"))
-            first.append(F.count_if(x == math.inf).alias(f"a{i}"))
+            first.append(F.count_if(x == -math.inf).alias(f"__b{i}"))
+            first.append(F.count_if(x == math.inf).alias(f"__a{i}"))
             x = F.when(finite(x), x)
-        first.append(F.count(x).alias(f"n{i}"))
+        first.append(F.count(x).alias(f"__n{i}"))
         probs = wanted[c] if accuracy is not None else _beside(wanted[c])
-        first.append(F.percentile_approx(x, probs, accuracy or ACCURACY).alias(f"p{i}"))
+        first.append(F.percentile_approx(x, probs, accuracy or ACCURACY).alias(f"__p{i}"))
     row = df.agg(*first).first()
+    place = {c: i for i, c in enumerate(names)}
+    if needed is not None:
+        keep = set(needed(row))
+        names = [c for c in names if c in keep]
     if accuracy is not None:
-        return {c: list(row[f"p{i}"] or [None] * len(wanted[c])) for i, c in enumerate(names)}
+        return {c: list(row[f"__p{place[c]}"] or [None] * len(wanted[c])) for c in names}, row
     searches, out = [], {}
     ends: dict[str, tuple[int, int, int]] = {}
-    for i, c in enumerate(names):
-        below, rows, above = ends[c] = row[f"b{i}"], row[f"n{i}"], row[f"a{i}"]
+    for c in names:
+        i = place[c]
+        below, rows, above = ends[c] = row[f"__b{i}"], row[f"__n{i}"], row[f"__a{i}"]
         total = below + rows + above
         spots = {f(p * (total - 1)) - below for p in wanted[c] for f in (math.floor, math.ceil)} if total else set()
         ranks = sorted(r for r in spots if 0 <= r < rows)
         if ranks:
-            searches.append(_Search(c, ranks, rows, pivots=_distinct(row[f"p{i}"])))
+            searches.append(_Search(c, ranks, rows, pivots=_distinct(row[f"__p{i}"])))
     found = _solve(df, searches)
 
     def at_rank(c: str, rank: int) -> float:
@@ -202,7 +219,7 @@ def fit_quantiles(
             blend(at_rank(c, math.floor(at)), at_rank(c, math.ceil(at)), at - math.floor(at)) if total else None
             for at in spots
         ]
-    return out
+    return out, row
 
 
 @dataclass(frozen=True)

@@ -267,6 +267,5 @@ def preview_feature(df: DataFrame, sources: Sequence[str], feature: str) -> Data
 
 
 SINGLE = {"log": log, "log1p": log1p, "sqrt": sqrt, "square": square, "zscore": zscore, "minmax": minmax, "binning": binning}
-COMBINE = {"add": add, "multiply": multiply, "ratio": ratio}
 
 

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.columns import (
     FRACTIONAL,
-    boolean_columns,
     categorical_columns,
     chosen,
     col,
-    datetime_columns,
     is_numeric,
     missing,
     number,
@@ -130,22 +129,35 @@ def filtered_count(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     return df.agg(F.count_if(keep).alias("shown"), F.count(F.lit(1)).alias("total"))
 
 
+def _few_values(n: int, limit: int):
+    """Per task and column its distinct values, at most one more than the limit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: list[set[float]] = [set() for _ in range(n)]
+        for part in batches:
+            for i, values in enumerate(seen):
+                if len(values) <= limit:
+                    values.update((part.iloc[:, i].dropna().unique() + 0.0).tolist())
+        rows = [(i, v) for i, values in enumerate(seen) for v in sorted(values)[: limit + 1]]
+        yield pd.DataFrame(rows, columns=["at", "v"])
+
+    return run
+
+
 def filter_kind(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """categorical or numeric control per column.
 
-    A sketch clears columns with far more values than the limit (it cannot
-    overrate a count that small); only the others are counted exactly.
+    Counted exactly up to the limit: a task's set of values stops growing once
+    it is past it, and so does what leaves the task.
     """
     columns = chosen(df, columns, df.columns)
     numeric = [c for c in columns if is_numeric(df, c)]
-    few: set[str] = set()
+    few: set[str] = set(numeric)
     if numeric:
-        rough = df.agg(*[F.approx_count_distinct(number(df, c)).alias(f"a{i}") for i, c in enumerate(numeric)]).first()
-        close = [c for i, c in enumerate(numeric) if rough[f"a{i}"] <= 4 * CATEGORICAL_LIMIT]
-        if close:
-            # A set of these is small by the sketch; one pass, no row expansion.
-            exact = df.agg(*[F.size(F.collect_set(value(df, c))).alias(f"e{i}") for i, c in enumerate(close)]).first()
-            few = {c for i, c in enumerate(close) if exact[f"e{i}"] <= CATEGORICAL_LIMIT}
+        numbers = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(numeric)])
+        found = numbers.mapInPandas(_few_values(len(numeric), CATEGORICAL_LIMIT), "at int, v double")
+        many = found.distinct().groupBy("at").count().filter(F.col("count") > CATEGORICAL_LIMIT).select("at").collect()
+        few -= {numeric[r["at"]] for r in many}
     rows = [(c, "numeric" if c in numeric and c not in few else "categorical") for c in columns]
     return df.sparkSession.createDataFrame(rows, "column string, kind string")
 
@@ -217,16 +229,6 @@ def first_numeric(df: DataFrame, n: int = 30) -> DataFrame:
     return df.select(*[col(c) for c in numeric_columns(df)[:n]])
 
 
-def column_classes(df: DataFrame) -> dict[str, list[str]]:
-    """numeric / categorical / boolean / datetime column names."""
-    return {
-        "numeric": numeric_columns(df),
-        "categorical": categorical_columns(df),
-        "boolean": boolean_columns(df),
-        "datetime": datetime_columns(df),
-    }
-
-
 def any_missing(df: DataFrame, columns: Sequence[str]) -> Column:
     require_columns(df, columns)
     return reduce(lambda a, b: a | b, [missing(df, c) for c in columns], F.lit(False))

@@ -27,7 +27,7 @@ from tabwright.functions.columns import (
 )
 from tabwright.functions.counts import fit_modes
 from tabwright.functions.ordered import Running, with_running
-from tabwright.functions.quantiles import fit_quantiles
+from tabwright.functions.quantiles import fit_quantiles, quantiles_beside
 from tabwright.operators.filters import any_missing
 
 # The texts that stand for a missing value by default.
@@ -204,14 +204,19 @@ def fit_imputation(
     """Fill value per column with gaps; dates are left alone."""
     if numeric not in ("mean", "median", "mode") or categorical not in ("mode", "unknown"):
         raise ValueError("numeric: mean, median or mode; categorical: mode or unknown")
-    _, gaps = fit_missing_counts(df)
-    numbers = [c for c in numeric_columns(df) if gaps[c]]
-    labels = [c for c in categorical_columns(df) if gaps[c]]
+    names = [*numeric_columns(df), *categorical_columns(df)]
+    aggs = [F.count_if(missing(df, c)).alias(f"g{i}") for i, c in enumerate(names)]
+    aggs += [F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(names) if numeric == "mean" and c in numeric_columns(df)]
+    gapped = lambda row: [c for i, c in enumerate(names) if row[f"g{i}"]]
+    halves = {c: [0.5] for c in numeric_columns(df)} if numeric == "median" else {}
+    medians, row = quantiles_beside(df, halves, accuracy, [F.count(F.lit(1)).alias("rows"), *aggs], gapped)
+    numbers = [c for c in gapped(row) if c in numeric_columns(df)]
+    labels = [c for c in gapped(row) if c not in numbers]
     fills: dict[str, Any] = {}
     if numeric == "mean":
-        fills.update(fit_means(df, numbers))
+        fills.update({c: row[f"m{names.index(c)}"] for c in numbers})
     elif numeric == "median":
-        fills.update(fit_medians(df, numbers, accuracy))
+        fills.update({c: medians[c][0] for c in numbers})
     counted = (numbers if numeric == "mode" else []) + (labels if categorical == "mode" else [])
     if counted:
         modes = fit_modes(df, counted)

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,7 @@ from tabwright.functions.columns import (
     value,
 )
 from tabwright.functions.counts import tops
-from tabwright.functions.quantiles import fit_quantiles
+from tabwright.functions.quantiles import fit_quantiles, quantiles_beside
 from tabwright.operators.dedup import row_copies
 
 # Times are profiled as their microseconds since this moment.
@@ -36,20 +36,26 @@ EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 RSD = 0.02
 
 
-def _per_column(df: DataFrame, parts: dict[str, dict[str, Column]], more: dict[str, dict] | None = None) -> DataFrame:
+def _aggregates(parts: dict[str, dict[str, Column]]) -> list[Column]:
+    fields = list(next(iter(parts.values()))) if parts else []
+    named = [p[f].alias(f"f{i}_{j}") for i, p in enumerate(parts.values()) for j, f in enumerate(fields)]
+    return [F.count(F.lit(1)).alias("rows"), *named]
+
+
+def _per_column(
+    df: DataFrame, parts: dict[str, dict[str, Column]], more: dict[str, dict] | None = None, row: Row | None = None
+) -> DataFrame:
     """One aggregate over the table, turned into one row per column.
 
     ``parts[column][field]`` is an aggregate; every column has the same fields.
-    ``more`` adds fields whose values are known. The single wide row is turned
-    on the driver: it has a few numbers for each column.
+    ``more`` adds fields whose values are known, ``row`` the aggregates where
+    they were taken already. The single wide row is turned on the driver: it
+    has a few numbers for each column.
     """
     fields = list(next(iter(parts.values()))) if parts else []
     known = list(next(iter(more.values()))) if more else []
-    aggs = [F.count(F.lit(1)).alias("rows")]
-    for i, by_field in enumerate(parts.values()):
-        aggs += [by_field[f].alias(f"f{i}_{j}") for j, f in enumerate(fields)]
-    wide = df.agg(*aggs)
-    row = wide.first()
+    wide = df.agg(*_aggregates(parts))
+    row = row or wide.first()
     entries = [
         (
             c,
@@ -138,9 +144,8 @@ def _described(
 ) -> DataFrame:
     """Counts, moments and quartiles of every named column, tops of ``counted``."""
     numeric = [c for c in columns if c in numeric_columns(df)]
-    quartiles = fit_quantiles(df, {c: [0.25, 0.5, 0.75] for c in numeric}, accuracy)
     none = F.max(F.lit(None).cast("double"))
-    parts, more = {}, {}
+    parts = {}
     for c in columns:
         x = number(df, c) if c in numeric else None
         parts[c] = {
@@ -150,8 +155,9 @@ def _described(
             "min": F.min(x) if x is not None else none,
             "max": F.max(x) if x is not None else none,
         }
-        more[c] = dict(zip(("q1", "median", "q3"), quartiles.get(c, [None, None, None])))
-    base = _per_column(df, parts, more).withColumn("numeric", F.col("column").isin(*numeric))
+    quartiles, row = quantiles_beside(df, {c: [0.25, 0.5, 0.75] for c in numeric}, accuracy, _aggregates(parts))
+    more = {c: dict(zip(("q1", "median", "q3"), quartiles.get(c, [None, None, None]))) for c in columns}
+    base = _per_column(df, parts, more, row).withColumn("numeric", F.col("column").isin(*numeric))
     counts = tops(df, counted).withColumnRenamed("column", "__c")
     return base.join(F.broadcast(counts), F.col("column") == F.col("__c"), "left").drop("__c")
 

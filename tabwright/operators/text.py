@@ -194,9 +194,6 @@ def to_text(df: DataFrame, column: str) -> DataFrame:
     return replace_columns(df, {column: value(df, column).cast("string")})
 
 
-to_category = to_text
-
-
 def column_sample(df: DataFrame, column: str, n: int = 5) -> DataFrame:
     """One row: dtype, number of distinct values, the n smallest as text."""
     distinct = df.select(value(df, column).alias("v")).filter("v is not null").distinct()

@@ -147,6 +147,23 @@ def _(spark, sf):
     return _rounded(missing.impute_all(table(spark, sf, "dirty_customer")))
 
 
+def _imputed(number: str, label: str) -> str:
+    return with_variant("dirty_customer", f"select c_custkey, coalesce(seg, {label}) as seg, round(coalesce(bal, {number}), 4) as bal, money, c_nationkey from d")
+
+
+@query("impute_all_mean_unknown", _imputed("(select avg(bal) from d)", "'Unknown'"))
+def _(spark, sf):
+    return _rounded(missing.impute_all(table(spark, sf, "dirty_customer"), "mean", "unknown"))
+
+
+_TOP_SEG = "(select seg from d where seg is not null group by seg order by count(*) desc, seg limit 1)"
+
+
+@query("impute_all_mode", _imputed("(select bal from d where bal is not null group by bal order by count(*) desc, bal limit 1)", _TOP_SEG))
+def _(spark, sf):
+    return _rounded(missing.impute_all(table(spark, sf, "dirty_customer"), "mode", "mode"))
+
+
 @query(
     "columns_with_missing",
     with_variant(

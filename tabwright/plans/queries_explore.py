@@ -301,6 +301,22 @@ def _(spark, sf):
     return _rounded(experiment.conversion_from_report(report, "purchase", total_event="view"), "rate")
 
 
+@query(
+    "conversion_from_report_totals",
+    with_variant(
+        "ab_events",
+        """select grp as "group", count(distinct user_id) filter (where event_type = 'purchase') as success,
+        case grp when 'A' then 400 else 500 end - count(distinct user_id) filter (where event_type = 'purchase') as failure,
+        cast(case grp when 'A' then 400 else 500 end as bigint) as total,
+        round(count(distinct user_id) filter (where event_type = 'purchase') * 100.0 / case grp when 'A' then 400 else 500 end, 4) as rate
+        from d where grp <> '(not set)' group by 1""",
+    ),
+)
+def _(spark, sf):
+    report = experiment.event_rollup(table(spark, sf, "ab_events"), "grp", "event_type", "user_id")
+    return _rounded(experiment.conversion_from_report(report, "purchase", totals={"A": 400, "B": 500}), "rate")
+
+
 @query("contingency", f"with {_RATES} select a, b, c, d from x")
 def _(spark, sf):
     clean = experiment.clean_groups(_converted(spark, sf), "grp")

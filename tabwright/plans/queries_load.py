@@ -351,6 +351,27 @@ def _(spark, sf):
     return filters.eda_filter_in(table(spark, sf, "orders"), "o_orderstatus", ["F", "P"])
 
 
+@query("eda_filter_range_inside", "select * from orders where o_totalprice >= 1000 and o_totalprice <= 90000.5")
+def _(spark, sf):
+    return filters.eda_filter_range(table(spark, sf, "orders"), "o_totalprice", 1000, 90000.5)
+
+
+@query("eda_filter_in_nothing", "select * from orders where false")
+def _(spark, sf):
+    return filters.eda_filter_in(table(spark, sf, "orders"), "o_orderstatus", [])
+
+
+@query("eda_filter_domain", with_variant("dirty_customer", "select distinct seg as value from d where seg is not null"))
+def _(spark, sf):
+    return filters.eda_filter_domain(table(spark, sf, "dirty_customer"), "seg")
+
+
+@query("filter_bounds_equal", "select min(l_quantity * 0 + 7) as low, max(l_quantity * 0 + 7) + 0.01 as high from lineitem")
+def _(spark, sf):
+    same = table(spark, sf, "lineitem").select((F.col("l_quantity") * 0 + 7).alias("seven"))
+    return filters.filter_bounds(same, "seven", widen=True)
+
+
 @query("drop_columns", "select o_orderkey, o_custkey, o_orderdate from orders")
 def _(spark, sf):
     return filters.drop_columns(table(spark, sf, "orders"), ["o_orderstatus", "o_totalprice", "o_orderpriority", "nothing"])

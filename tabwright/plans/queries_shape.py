@@ -155,6 +155,20 @@ def _(spark, sf):
     return scaling.label_encode(table(spark, sf, "dirty_customer"))
 
 
+@query(
+    "label_encode_text",
+    """select doc_id, dense_rank() over (order by encode(text)) - 1 as text, dense_rank() over (order by lang) - 1 as lang from documents""",
+)
+def _(spark, sf):
+    """Whole texts as labels."""
+    return scaling.label_encode(table(spark, sf, "documents").select("doc_id", "text", "lang"))
+
+
+@query("one_hot_drop_first", "select l_orderkey, l_linenumber, " + ", ".join(f"l_returnflag = '{v}' as \"l_returnflag_{v}\"" for v in _FLAGS[1:]) + " from lineitem")
+def _(spark, sf):
+    return scaling.one_hot(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), drop_first=True)
+
+
 # -- features ---------------------------------------------------------------
 
 
