@@ -31,7 +31,7 @@ CAPACITY = 2048
 #: End of every document.
 END = 0
 #: Words after which a Python worker starts a new table of ids; it keeps the last one.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 
 #: A token never reaches over a blank that follows something other than white space.
 _UNITS = re.compile(r"(?<=\S)(?= )")

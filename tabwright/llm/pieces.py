@@ -32,8 +32,8 @@ from tabwright.llm.common import only, table
 
 MARK = "▁"
 #: Parts after which a Python worker starts a new table; it keeps the last one.
-CACHED_PARTS = 300_000
-CACHED_PAIRS = 2_000_000
+CACHED_PARTS = 150_000
+CACHED_PAIRS = 400_000
 #: Longer parts are not kept.
 LONGEST_KEPT = 64
 
