@@ -29,7 +29,7 @@ ROUNDS = 2
 SMOOTHING = 0.05
 #: A character that is no piece counts as a piece of this probability.
 UNKNOWN = 1e-7
-#: Words that a Python worker keeps the sums of.
+#: Words in a table of their sums; a Python worker keeps two tables.
 CACHED_WORDS = 200_000
 #: Longer runs of letters are cut, so that one line without blanks is no lattice of its own.
 LONGEST_WORD = 48
@@ -68,74 +68,104 @@ class Vocabulary:
         return cls(tuple(dict.fromkeys(keep)))
 
 
+#: Multiplier of the hashes by which runs of characters are looked up.
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
 class Lattice:
-    """The pieces that occur in words, as edges between character places."""
+    """The pieces that occur in words, as edges between character places.
+
+    Characters are looked up for all places at once, one more at a time: a place
+    stays as long as a piece begins with what stands there.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.number = {p: i for i, p in enumerate(vocabulary.pieces)}
         self.unknown = len(self.number)
-        self.starts = {p[:k] for p in self.number for k in range(1, len(p) + 1)}
+        known: dict[int, int] = {}
+        for piece, number in self.number.items():
+            h = 0
+            for k, code in enumerate(map(ord, piece)):
+                h = (h * int(_STEP) + code) & 0xFFFFFFFFFFFFFFFF
+                known[h] = number if k == len(piece) - 1 else known.get(h, -1)
+        order = sorted(known)
+        self.hashes = np.array(order, np.uint64)
+        self.numbers = np.array([known[h] for h in order], np.int64)
 
     def edges(self, words: Sequence[str]) -> tuple[np.ndarray, ...]:
-        """(word, from, to, piece) of all words, ordered by the end place."""
-        number, starts, unknown = self.number, self.starts, self.unknown
-        which, begin, end, piece = [], [], [], []
-        for w, word in enumerate(words):
-            marked = "▁" + word
-            n = len(marked)
-            for i in range(n):
-                for j in range(i + 1, n + 1):
-                    part = marked[i:j]
-                    if part not in starts:
-                        break
-                    k = number.get(part)
-                    if k is not None:
-                        which.append(w), begin.append(i), end.append(j), piece.append(k)
-                if marked[i] not in number:
-                    which.append(w), begin.append(i), end.append(i + 1), piece.append(unknown)
-        arrays = [np.array(x, np.int64) for x in (which, begin, end, piece)]
-        order = np.argsort(arrays[2], kind="stable")
+        """(word, from, to, piece) of all words, ordered by end place and word."""
+        codes = _codes("".join(f"▁{w}" for w in words))
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        left = np.repeat(sizes, sizes) - place
+        at = np.arange(len(codes))
+        h = np.zeros(len(codes), np.uint64)
+        parts = []
+        length = 0
+        while len(at):
+            h = h * _STEP + codes[at + length]
+            length += 1
+            spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1) if len(self.hashes) else None
+            there = self.hashes[spot] == h if spot is not None else np.zeros(len(at), bool)
+            number = np.where(there, self.numbers[spot] if spot is not None else -1, -1)
+            if length == 1:
+                number = np.where(number < 0, self.unknown, number)
+            ends = number >= 0
+            parts.append((word[at[ends]], place[at[ends]], place[at[ends]] + length, number[ends]))
+            goes_on = there & (left[at] > length)
+            at, h = at[goes_on], h[goes_on]
+        arrays = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
+        order = np.lexsort((arrays[0], arrays[2]))
         return tuple(x[order] for x in arrays)
 
 
+def _add_runs(target: np.ndarray, which: np.ndarray, values: np.ndarray) -> None:
+    """Add to rows of target; equal rows stand together."""
+    begins = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    target[which[begins]] += np.add.reduceat(values, begins, axis=0)
+
+
 def _sums(words: Sequence[str], edges: tuple[np.ndarray, ...], p: np.ndarray) -> np.ndarray:
-    """Forward sums [word, place, language] over all segmentations."""
+    """Forward sums [place, word, language] over all segmentations."""
     which, begin, end, piece = edges
     places = max((len(w) for w in words), default=0) + 2
-    alpha = np.zeros((len(words), places, p.shape[1]))
-    alpha[:, 0] = 1.0
+    alpha = np.zeros((places, len(words), p.shape[1]))
+    alpha[0] = 1.0
     cuts = np.searchsorted(end, np.arange(places + 1))
     for e in range(1, places):
         at = slice(cuts[e], cuts[e + 1])
         if at.start < at.stop:
-            np.add.at(alpha[:, e], which[at], alpha[which[at], begin[at]] * p[piece[at]])
+            _add_runs(alpha[e], which[at], alpha[begin[at], which[at]] * p[piece[at]])
     return alpha
 
 
 def _back_sums(words: Sequence[str], edges: tuple[np.ndarray, ...], p: np.ndarray) -> np.ndarray:
-    which, begin, end, piece = (x[::-1] for x in _by_begin(edges))
+    """Backward sums [place, word, language] over all segmentations."""
+    order = np.lexsort((edges[0], edges[1]))
+    which, begin, end, piece = (x[order] for x in edges)
     places = max((len(w) for w in words), default=0) + 2
-    beta = np.zeros((len(words), places, p.shape[1]))
-    beta[np.arange(len(words)), [len(w) + 1 for w in words]] = 1.0
+    beta = np.zeros((places, len(words), p.shape[1]))
+    beta[[len(w) + 1 for w in words], np.arange(len(words))] = 1.0
+    cuts = np.searchsorted(begin, np.arange(places + 1))
     for b in range(places - 1, -1, -1):
-        at = np.flatnonzero(begin == b)
-        if len(at):
-            np.add.at(beta[:, b], which[at], beta[which[at], end[at]] * p[piece[at]])
+        at = slice(cuts[b], cuts[b + 1])
+        if at.start < at.stop:
+            _add_runs(beta[b], which[at], beta[end[at], which[at]] * p[piece[at]])
     return beta
 
 
-def _by_begin(edges: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    order = np.argsort(edges[1], kind="stable")
-    return tuple(x[order] for x in edges)
-
-
 def log_likelihoods(words: Sequence[str], lattice: Lattice, p: np.ndarray, block: int = 4096) -> np.ndarray:
     """log of the marginal of each word under each language."""
     out = np.zeros((len(words), p.shape[1]), np.float32)
     for at in range(0, len(words), block):
         part = words[at : at + block]
         alpha = _sums(part, lattice.edges(part), p)
-        last = alpha[np.arange(len(part)), [len(w) + 1 for w in part]]
+        last = alpha[[len(w) + 1 for w in part], np.arange(len(part))]
         out[at : at + len(part)] = np.log(np.maximum(last, 1e-300))
     return out
 
@@ -152,25 +182,37 @@ class LanguageModel:
 
 
 class Labeller:
-    """Labels texts; keeps the sums of the words it has met, up to a bound."""
+    """Labels texts; keeps the sums of the words it has met lately.
+
+    Two tables of words: when the newer one is full it becomes the older one, and
+    words that come again move from there to a new one.
+    """
 
     def __init__(self, model: LanguageModel) -> None:
         self.model = model
         self.lattice = Lattice(model.vocabulary)
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((CACHED_WORDS + 1, len(model.languages)), np.float32)
+        self.rows = self._table(CACHED_WORDS)
+        self.older, self.older_rows = {}, self.rows[:0]
+
+    def _table(self, rows: int) -> np.ndarray:
+        return np.zeros((rows, len(self.model.languages)), np.float32)
 
     def _learn(self, words: set[str]) -> None:
         fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > CACHED_WORDS:
-            self.known.clear()
-            fresh = list(words)
-            if len(fresh) > len(self.rows):
-                self.rows = np.zeros((len(fresh), len(self.model.languages)), np.float32)
-        if fresh:
-            at = len(self.known)
-            self.rows[at : at + len(fresh)] = log_likelihoods(fresh, self.lattice, self.model.probabilities)
-            self.known.update(zip(fresh, range(at, at + len(fresh))))
+        if len(self.known) + len(fresh) > len(self.rows):
+            self.older, self.older_rows = self.known, self.rows
+            self.known, self.rows, fresh = {}, self._table(max(CACHED_WORDS, len(words))), list(words)
+        old = [w for w in fresh if w in self.older]
+        new = [w for w in fresh if w not in self.older]
+        for part, values in (
+            (old, lambda: self.older_rows[[self.older[w] for w in old]]),
+            (new, lambda: log_likelihoods(new, self.lattice, self.model.probabilities)),
+        ):
+            if part:
+                at = len(self.known)
+                self.rows[at : at + len(part)] = values()
+                self.known.update(zip(part, range(at, at + len(part))))
 
     def label(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
@@ -179,7 +221,7 @@ class Labeller:
             found = words_of(text)
             block.append(found)
             held += len(found)
-            if held > CACHED_WORDS // 2:
+            if held > CACHED_WORDS // 4:
                 out += self._block(block)
                 block, held = [], 0
         return out + self._block(block)
@@ -271,8 +313,8 @@ def _expected(counts: DataFrame, vocabulary: Vocabulary, languages: tuple[str, .
                     edges = lattice.edges(words)
                     alpha, beta = _sums(words, edges, one)[..., 0], _back_sums(words, edges, one)[..., 0]
                     which, begin, end, piece = edges
-                    whole = alpha[np.arange(len(words)), [len(w) + 1 for w in words]]
-                    post = alpha[which, begin] * one[piece, 0] * beta[which, end] / np.maximum(whole[which], 1e-300)
+                    whole = alpha[[len(w) + 1 for w in words], np.arange(len(words))]
+                    post = alpha[begin, which] * one[piece, 0] * beta[end, which] / np.maximum(whole[which], 1e-300)
                     np.add.at(total[:, k], piece, post * n[which])
         piece, language = np.nonzero(total)
         yield pd.DataFrame({"piece": piece, "language": language, "n": total[piece, language]})
