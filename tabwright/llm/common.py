@@ -2,36 +2,45 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.session import fresh_folder
 
-#: Frees the shuffle files of a write once it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go once the write has ended, and
+#: batches of texts for Python workers are small.
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for what runs inside; the old ones come back after."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def publish(df: DataFrame, label: str, **options: str) -> DataFrame:
+def publish(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends here."""
-    spark = df.sparkSession
-    path = fresh_folder(spark, label)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    path = fresh_folder(df.sparkSession, label)
+    with settings(df.sparkSession, WRITING):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -47,24 +56,11 @@ def only(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
 
 
-def crc32_of(column: Column | str) -> Column:
-    return F.crc32(F.col(column).cast("string").cast("binary")) if isinstance(column, str) else F.crc32(column)
-
-
 def held_out(id_column: str, parts: int, part: int) -> Column:
     """Whether crc32(id as text) leaves this remainder; false for a null id."""
-    return F.coalesce(F.pmod(crc32_of(id_column), F.lit(parts)) == part, F.lit(False))
-
-
-def crc32(data: bytes) -> int:
-    return zlib.crc32(data)
+    return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
 def parts_for(spark: SparkSession, factor: int = 1) -> int:
     """Shuffle partitions of the session, which the cluster sizes to its data."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * factor)
-
-
-def slices(n: int, size: int) -> Iterator[slice]:
-    for at in range(0, n, size):
-        yield slice(at, min(n, at + size))
