@@ -8,16 +8,19 @@ many times over, so the sort works on what two documents can share:
    (the leftmost of equal ones): an anchor. Equal windows have equal anchors, and
    an anchor owns a stretch of about eighteen adjoining windows. One row for each
    anchor goes to the shuffle, with the hash of its stretch.
-2. Anchors are dealt by ranges of (anchor, stretch, id), so no common passage is
-   a hot task. A stretch that a smaller id has too is covered as a whole.
+2. Anchors are dealt by their hash. Those that a sample of documents shows in one
+   document of a hundred or more are spread by stretch and document besides, so no
+   common passage is a hot task. A stretch that a smaller id has too is covered as
+   a whole.
 3. What is left of anchors that several documents have are the edges of shared
    passages. Their stretches go by (anchor, id) to tasks that sort the suffixes
    in them: by eight bytes at a time, where a binary search over prefix hashes
    finds how far the suffixes of a run agree and the next eight bytes after that
    part them. Neighbours that agree over LENGTH bytes, which is then verified on
    the bytes, are equal windows.
-4. A group of one anchor that a partition's edge cuts is finished by one row for
-   each of its windows, with partial aggregation.
+4. In a group of one anchor that a partition's edge cuts, windows are settled
+   among the task's own documents first; the first document of each different
+   window goes on as one row, to be compared between tasks.
 """
 
 from __future__ import annotations
@@ -30,10 +33,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import only, parts_for, publish, table
+from tabwright.llm.minhash import grouped
 from tabwright.llm.rolling import PrefixHash, mix, raw_bytes
 
 LENGTH = 50
 GRAM = 16
+#: Parts of a shuffle partition; one at a time is in memory.
+PARTS = 8
+#: Documents whose anchors show which are common, and pieces that a common stretch is cut into.
+SAMPLE = 2000
+SALTS = 8
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -72,30 +81,55 @@ def stretches(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...
     return h[anchor], first, last, stretch
 
 
-def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _rows(docs: DataFrame, length: int, gram: int, parts: int, hot: list[int]) -> DataFrame:
+    """(part, h, c, doc_id, v, place): one row for each anchor; place is first * 64 + more."""
+    common = np.array(sorted(hot), np.int64)
+
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
+        for batch in batches:
             held: list[tuple] = []
             count = 0
-            for doc_id, v, text in zip(part.doc_id, part.v, part.text):
+            for doc_id, v, text in zip(batch.doc_id, batch.v, batch.text):
                 data = raw_bytes(text)
                 if len(data) < length:
                     continue
                 h, first, last, stretch = stretches(data, length, gram)
                 k = len(h)
-                held.append((h.view(np.int64), stretch.view(np.int64), np.full(k, doc_id), np.full(k, v), first, last - first))
+                held.append((h, stretch, np.full(k, doc_id), np.full(k, v), first * 64 + (last - first)))
                 count += k
                 if count > 100_000:
-                    yield _frame(held, ("h", "c", "doc_id", "v", "first", "more"))
+                    yield _dealt(held, parts, common)
                     held, count = [], 0
             if held:
-                yield _frame(held, ("h", "c", "doc_id", "v", "first", "more"))
+                yield _dealt(held, parts, common)
+
+    return docs.mapInPandas(find, "part int, h long, c long, doc_id long, v long, place long")
 
-    return docs.mapInPandas(find, "h long, c long, doc_id long, v long, first int, more int")
 
+def _dealt(held: list[tuple], parts: int, common: np.ndarray) -> pd.DataFrame:
+    """Rows with their part: by anchor, or from ``parts`` on by stretch and id."""
+    h, c, doc, v, place = (np.concatenate(x) for x in zip(*held))
+    part = (mix(h) % np.uint64(parts)).astype(np.int32)
+    signed = h.view(np.int64)
+    if len(common):
+        spot = np.minimum(np.searchsorted(common, signed), len(common) - 1)
+        often = common[spot] == signed
+        salt = mix(doc[often].astype(np.uint64)) % np.uint64(SALTS)
+        part[often] = (mix(c[often] + salt) % np.uint64(parts)).astype(np.int32) + np.int32(parts)
+    return pd.DataFrame({"part": part, "h": signed, "c": c.view(np.int64), "doc_id": doc, "v": v, "place": place})
 
-def _frame(held: list[tuple], names: tuple[str, ...]) -> pd.DataFrame:
-    return pd.DataFrame({k: np.concatenate(x) for k, x in zip(names, zip(*held))})
+
+def _common_anchors(docs: DataFrame, length: int, gram: int) -> list[int]:
+    """Anchors that a hundredth of a bounded sample of documents or more have.
+
+    At most a hundred for each anchor of an average document. They only change
+    how rows are dealt.
+    """
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    sample = docs.where(place < share)
+    found = _rows(sample, length, gram, 1, []).select("h", "doc_id").distinct().groupBy("h").count()
+    return [r["h"] for r in found.where(F.col("count") >= max(5, SAMPLE // 100)).select("h").collect()]
 
 
 def whole_runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[pd.DataFrame, bool, bool]]:
@@ -128,28 +162,29 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stretches that are covered (1), and those that must be compared (0)."""
-    for part, is_first, is_last in whole_runs(batches, "h"):
-        h, c, doc = part.h.to_numpy(), part.c.to_numpy(), part.doc_id.to_numpy()
-        new_h = _starts(h)
-        new_c = _starts(h, c)
-        run_h, run_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        least = np.minimum.reduceat(doc, np.flatnonzero(new_h))
-        most = np.maximum.reduceat(doc, np.flatnonzero(new_h))
-        kinds = np.add.reduceat(new_c.astype(np.int64), np.flatnonzero(new_h))
-        owner = doc[np.flatnonzero(new_c)][run_c]
-        several = (most > least) & (kinds > 1)
-        # A partition's edge may have cut its first and last run.
-        if is_first:
-            several[0] = True
-        if is_last:
-            several[-1] = True
-        covered = doc > owner
-        compare = several[run_h] & ~covered
-        rows = np.flatnonzero(covered | compare)
-        out = part.iloc[rows][["h", "doc_id", "v", "first", "more"]]
-        yield out.assign(covered=covered[rows])
+def _classify(parts: int):
+    """Stretches that are covered, and those that must be compared."""
+
+    def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in grouped(batches, ["part"]):
+            h, c, doc = rows.h.to_numpy(), rows.c.to_numpy(), rows.doc_id.to_numpy()
+            order = np.lexsort((doc, c, h))
+            h, c, doc = h[order], c[order], doc[order]
+            new_h, new_c = _starts(h), _starts(h, c)
+            begin_h = np.flatnonzero(new_h)
+            several = (np.maximum.reduceat(doc, begin_h) > np.minimum.reduceat(doc, begin_h)) & (
+                np.add.reduceat(new_c.astype(np.int64), begin_h) > 1
+            )
+            if rows.part.iloc[0] >= parts:
+                several[:] = True  # others of these anchors are elsewhere
+            covered = doc > doc[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
+            keep = np.flatnonzero(covered | several[np.cumsum(new_h) - 1])
+            place, v = rows.place.to_numpy()[order][keep], rows.v.to_numpy()[order][keep]
+            yield pd.DataFrame(
+                {"h": h[keep], "doc_id": doc[keep], "v": v, "first": place // 64, "more": place % 64, "covered": covered[keep]}
+            )
+
+    return classify
 
 
 def _contexts(length: int):
@@ -239,7 +274,7 @@ def _compare(length: int):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, is_first, is_last in whole_runs(batches, "h"):
             for group, cut in _portions(part, is_first, is_last):
-                yield _windows(group, length) if cut else _spans(group, length)
+                yield _settled(group, length, cut)
 
     return compare
 
@@ -275,48 +310,39 @@ def _laid_out(group: pd.DataFrame, length: int) -> tuple[np.ndarray, ...]:
 _FOUND = "h long, w long, doc_id long, v long, first int, last int"
 
 
-def _spans(group: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Covered bytes [first, last) of whole groups."""
+def _settled(group: pd.DataFrame, length: int, cut: bool) -> pd.DataFrame:
+    """Covered bytes [first, last); if the groups may be cut, the first owner of each window too."""
     data, at, row, offset = _laid_out(group, length)
     h, doc = group.h.to_numpy()[row], group.doc_id.to_numpy()[row]
-    order, run = equal_windows(data, at, length)
-    # Equal windows have the same anchor: a run never mixes groups.
-    least = np.minimum.reduceat(doc[order], np.flatnonzero(_starts(run)))
+    whole = PrefixHash(data).of(at, at + length)
+    # A window whose hash is alone equals no other: it stays out of the sort.
+    _, inverse, times = np.unique(whole, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times[inverse] > 1)
     gone = np.zeros(len(at), bool)
-    gone[order] = doc[order] > least[run]
-    row, offset = row[gone], offset[gone]
-    first = group["first"].to_numpy()[row] + offset
-    new = _starts(row, first - np.arange(len(first)))
-    begins = np.flatnonzero(new)
-    ends = np.append(begins[1:], len(first)) - 1
-    if not len(first):
-        begins = ends = np.zeros(0, np.int64)
-    rows = row[begins] if len(row) else begins
-    return pd.DataFrame(
-        {
-            "h": pd.array([None] * len(begins), "Int64"),
-            "w": pd.array([None] * len(begins), "Int64"),
-            "doc_id": group.doc_id.to_numpy()[rows],
-            "v": group.v.to_numpy()[rows],
-            "first": first[begins],
-            "last": first[ends] + length,
-        }
+    if len(shared):
+        order, run = equal_windows(data, at[shared], length)
+        order = shared[order]
+        # Equal windows have the same anchor: a run never mixes groups.
+        least = np.minimum.reduceat(doc[order], np.flatnonzero(_starts(run)))
+        gone[order] = doc[order] > least[run]
+    spans = _merged_windows(group, row[gone], offset[gone], length)
+    if not cut:
+        return spans
+    first = group["first"].to_numpy()[row[~gone]] + offset[~gone]
+    windows = pd.DataFrame(
+        {"h": h[~gone], "w": whole[~gone].view(np.int64), "doc_id": doc[~gone], "v": group.v.to_numpy()[row[~gone]], "first": first, "last": first + length}
     )
+    return pd.concat([spans, windows.astype({"h": "Int64", "w": "Int64"})], ignore_index=True)
 
 
-def _windows(group: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Every window of a group that may be cut, by its hash."""
-    data, at, row, offset = _laid_out(group, length)
+def _merged_windows(group: pd.DataFrame, row: np.ndarray, offset: np.ndarray, length: int) -> pd.DataFrame:
+    """Adjoining windows of a stretch as one range, without an anchor."""
     first = group["first"].to_numpy()[row] + offset
+    begins = np.flatnonzero(_starts(row, first - np.arange(len(first))))
+    ends = np.append(begins[1:], len(first))[: len(begins)] - 1
+    none = pd.array([None] * len(begins), "Int64")
     return pd.DataFrame(
-        {
-            "h": group.h.to_numpy()[row],
-            "w": PrefixHash(data).of(at, at + length).view(np.int64),
-            "doc_id": group.doc_id.to_numpy()[row],
-            "v": group.v.to_numpy()[row],
-            "first": first,
-            "last": first + length,
-        }
+        {"h": none, "w": none, "doc_id": group.doc_id.to_numpy()[row[begins]], "v": group.v.to_numpy()[row[begins]], "first": first[begins], "last": first[ends] + length}
     )
 
 
@@ -329,10 +355,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spark = docs.sparkSession
     parts = parts_for(spark)
     rows = docs.where("doc_id is not null and text is not null")
-    anchors = _anchors(rows, length, gram)
-    dealt = anchors.repartitionByRange(parts, "h", "c", "doc_id").sortWithinPartitions("h", "c", "doc_id")
+    dealt = _rows(rows, length, gram, PARTS * parts, _common_anchors(rows, length, gram))
+    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
     kinds = "h long, doc_id long, v long, first int, more int, covered boolean"
-    flagged = publish(dealt.mapInPandas(_classify, kinds), "anchors")
+    flagged = publish(dealt.mapInPandas(_classify(PARTS * parts), kinds), "anchors")
     places = (
         flagged.where("not covered")
         .groupBy("doc_id", "v")
