@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import only, publish, table, unused
@@ -28,6 +28,8 @@ from tabwright.llm.rolling import raw_bytes
 AVERAGE = 32
 LONGEST = 512
 MIN_RUN = 64
+#: A chunk travels as start * SIZES + size.
+SIZES = 4096
 
 _GEAR = np.random.default_rng(11).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -112,38 +114,35 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN, average: int = AVERAGE, lon
     chunks = publish(chunk_table(docs, average, longest), "chunks")
     owners = chunks.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     shared = publish(owners.where("owner < last").select("digest", "owner"), "shared")
-    found = chunks.join(shared, "digest").where("doc_id > owner").select("doc_id", "version", F.struct("start", "size").alias("c"))
+    found = chunks.join(shared, "digest").where("doc_id > owner").select(
+        "doc_id", "version", (F.col("start").cast("long") * SIZES + F.col("size")).alias("c")
+    )
 
     def runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lists in batches:
-            yield pd.Series([_runs([(c["start"], c["size"]) for c in one], min_run) for one in lists], dtype=object)
+            yield pd.Series([_runs(np.unique(one), min_run) for one in lists], dtype=object)
 
     lists = found.groupBy("doc_id", "version").agg(F.collect_list("c").alias("c"))
     spans = lists.select("doc_id", "version", F.pandas_udf(runs, "array<array<int>>")("c").alias("spans"))
     return spans.where(F.size("spans") > 0)
 
 
-def _runs(chunks: list[tuple[int, int]], min_run: int) -> list[list[int]]:
-    """Adjoining chunks as spans, those of fewer bytes left out."""
-    out: list[list[int]] = []
-    for start, size in sorted(set(chunks)):
-        if out and out[-1][1] == start:
-            out[-1][1] = start + size
-        else:
-            out.append([start, start + size])
-    return [s for s in out if s[1] - s[0] >= min_run]
+def _runs(chunks: np.ndarray, min_run: int) -> list[list[int]]:
+    """Adjoining chunks, sorted, as spans; those of fewer bytes are left out."""
+    starts, ends = chunks // SIZES, chunks // SIZES + chunks % SIZES
+    first = np.flatnonzero(np.concatenate([[True], starts[1:] != ends[:-1]]))
+    last = np.append(first[1:], len(chunks)) - 1
+    spans = np.stack([starts[first], ends[last]], 1)
+    return spans[spans[:, 1] - spans[:, 0] >= min_run].tolist()
 
 
-def _cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, spans in batches:
-        out = []
-        for text, gone in zip(texts, spans):
-            if gone is not None and len(gone):
-                raw = text.encode("utf-8", "surrogatepass")
-                edges = [0, *(x for s in gone for x in s), len(raw)]
-                text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "surrogatepass")
-            out.append(text)
-        yield pd.Series(out, dtype=object)
+def _kept(text: Column, spans: Column) -> Column:
+    """The text without its spans. Cuts are at starts of characters, so each piece is text."""
+    raw = text.cast("binary")
+    begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s[1]))
+    ends = F.concat(F.transform(spans, lambda s: s[0]), F.array(F.length(raw)))
+    parts = F.zip_with(begins, ends, lambda x, y: F.substring(raw, x + 1, y - x).cast("string"))
+    return F.when(spans.isNull(), text).otherwise(F.array_join(parts, ""))
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **how: int) -> DataFrame:
@@ -160,7 +159,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text = docs[f"`{text_column}`"]
     here = (docs[f"`{id_column}`"] == gone["k.doc_id"]) & (F.crc32(text) == gone["k.version"])
     joined = docs.join(gone, here, "left").select(*[docs[f"`{c}`"] for c in docs.columns], gone[spans])
-    return joined.withColumn(text_column, F.pandas_udf(_cut, "string")(F.col(f"`{text_column}`"), F.col(spans)))
+    return joined.withColumn(text_column, _kept(F.col(f"`{text_column}`"), F.col(spans)))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
