@@ -193,8 +193,8 @@ def _contexts(length: int):
             rows = []
             for doc_id, v, text, places in zip(part.doc_id, part.v, part.text, part.places):
                 raw = text.encode("utf-8", "surrogatepass")
-                for p in places:
-                    rows.append((p["h"], doc_id, v, p["first"], raw[p["first"] : p["first"] + p["more"] + length]))
+                for h, first, more in places.reshape(-1, 3).tolist():
+                    rows.append((h, doc_id, v, first, raw[first : first + more + length]))
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=["h", "doc_id", "v", "first", "data"])
                     rows = []
@@ -362,7 +362,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     places = (
         flagged.where("not covered")
         .groupBy("doc_id", "v")
-        .agg(F.collect_list(F.struct("h", "first", "more")).alias("places"))
+        .agg(F.flatten(F.collect_list(F.array("h", F.col("first").cast("long"), F.col("more").cast("long")))).alias("places"))
     )
     edges = publish(
         rows.join(places, ["doc_id", "v"]).mapInPandas(
@@ -380,14 +380,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return whole.select(ranges).unionByName(found.where("h is null").select(ranges)).unionByName(across.select(ranges))
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Ranges [first, last) as disjoint ones in order; touching ones are one."""
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    begins = np.flatnonzero(np.concatenate([[True], spans[1:, 0] > reach[:-1]]))
+    return np.stack([spans[begins, 0], reach[np.append(begins[1:], len(spans)) - 1]], 1)
 
 
 def _rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -395,8 +393,8 @@ def _rest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFra
         rows = []
         for text, spans in zip(texts, lists):
             raw = (text or "").encode("utf-8", "surrogatepass")
-            runs = merged([(s["first"], s["last"]) for s in spans]) if spans is not None else []
-            edges = [0, *(x for r in runs for x in r), len(raw)]
+            runs = merged(spans.reshape(-1, 2)) if spans is not None else np.zeros((0, 2), np.int64)
+            edges = [0, *runs.ravel().tolist(), len(raw)]
             kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
             rows.append((len(raw), len(raw) - len(kept), len(runs), kept))
         yield pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
@@ -414,7 +412,8 @@ def without_repeats(
     """
     rows = only(docs, id_column, text_column).withColumn("v", F.crc32(F.coalesce("text", F.lit(""))))
     spans = repeated_spans(rows, length, gram)
-    lists = spans.groupBy("doc_id", "v").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    span = F.array(F.col("first").cast("long"), F.col("last").cast("long"))
+    lists = spans.groupBy("doc_id", "v").agg(F.flatten(F.collect_list(span)).alias("spans"))
     rest = F.pandas_udf(_rest, "n_bytes long, n_removed long, n_spans long, kept binary")("text", "spans")
     return rows.join(lists, ["doc_id", "v"], "left").select("doc_id", rest.alias("r")).select("doc_id", "r.*")
 
