@@ -31,11 +31,13 @@ CAPACITY = 2048
 #: End of every document.
 END = 0
 #: Words after which a Python worker starts a new table of ids; it keeps the last one.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 500_000
 
 #: A token never reaches over a blank that follows something other than white space.
 _UNITS = re.compile(r"(?<=\S)(?= )")
-_ODD_SPACE = re.compile(r"\s | \s")
+#: White space that may not be cut at blanks alone, and other kinds of it.
+_DOUBLE = ("  ", " \n", "\n ")
+_RARE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
 
 def tokenizer_path() -> str:
@@ -99,37 +101,40 @@ class WordTokenizer:
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def units(self, text: str) -> list[str]:
-        if _ODD_SPACE.search(text):
-            return _UNITS.split(text)
+    def parts(self, text: str) -> tuple[str, list[str]]:
+        """What stands before the first cut, and the parts after it without their blank."""
+        if any(c in text for c in _DOUBLE) or (not text.isascii() or not text.isprintable()) and any(c in text for c in _RARE):
+            first, *rest = _UNITS.split(text)
+            return first, [part[1:] for part in rest]
         first, *rest = text.split(" ")
-        return ([first] if first else []) + [" " + part for part in rest]
+        return first, rest
 
     def _learn(self, fresh: list[str]) -> None:
-        """Tokenize parts that are not known yet."""
-        together, alone = [], fresh
-        if self.mark is not None:
-            fits = lambda u: (u[0] == " " or u[0].isalpha()) and not u[-1].isspace() and "\0" not in u
-            together, alone = [u for u in fresh if fits(u)], [u for u in fresh if not fits(u)]
+        """Tokenize parts, a blank before each, that are not known yet."""
+        together, alone = [], []
+        for part in fresh:
+            fits = self.mark is not None and part and not part[-1].isspace() and "\0" not in part
+            (together if fits else alone).append(part)
         for at in range(0, len(together), 512):
-            part = together[at : at + 512]
-            ids = np.array(self.ids("\0".join(part)), "<u4")
+            some = together[at : at + 512]
+            ids = np.array(self.ids(" " + "\0 ".join(some)), "<u4")
             ends = np.flatnonzero(ids == self.mark)
             data, edges = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
-            self.known.update((u, data[4 * a + 4 : 4 * b]) for u, a, b in zip(part, edges, edges[1:]))
-        for u, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False)):
-            self.known[u] = np.array(e.ids, "<u4").tobytes()
+            self.known.update((u, data[4 * a + 4 : 4 * b]) for u, a, b in zip(some, edges, edges[1:]))
+        for part in alone:
+            self.known[part] = np.array(self._whole(" " + part), "<u4").tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        cut = [self.units(t) if t else [] for t in texts]
+        cut = [self.parts(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {}, self.known
-        needed = {u for units in cut for u in units}.difference(self.known)
-        again = {u: self.older[u] for u in needed if u in self.older}
-        self.known.update(again)
+        needed = set().union(*[rest for _, rest in cut]).difference(self.known)
+        again = needed.intersection(self.older)
+        self.known.update((part, self.older[part]) for part in again)
         self._learn(list(needed.difference(again)))
         look = self.known.__getitem__
-        return [b"".join(map(look, units)) for units in cut]
+        firsts = [np.array(self._whole(first) if first else [], "<u4").tobytes() for first, _ in cut]
+        return [b"".join((first, *map(look, rest))) for first, (_, rest) in zip(firsts, cut)]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
