@@ -32,7 +32,7 @@ from tabwright.llm.common import only, table
 
 MARK = "▁"
 #: Parts after which a Python worker starts a new table; it keeps the last one.
-CACHED_PARTS = 150_000
+CACHED_PARTS = 300_000
 CACHED_PAIRS = 400_000
 #: Longer parts are not kept.
 LONGEST_KEPT = 64
@@ -59,7 +59,12 @@ class Transducer:
         ]
         self.number = {model.id_to_piece(i): i for i in plain}
         self.score = {p: model.get_score(i) for p, i in self.number.items()}
-        self.prefixes = {p[:k] for p in self.number for k in range(1, len(p) + 1)}
+        self.arcs: dict = {}  # from character to character; the piece that ends at a node is under ""
+        for piece in self.number:
+            node = self.arcs
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[""] = piece
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.spelled: dict[int, bytes] = {i: p.replace(MARK, " ").encode() for p, i in self.number.items()}
         self.spelled.update({i: bytes([b]) for b, i in self.bytes.items()})
@@ -73,11 +78,9 @@ class Transducer:
 
     def accepts(self, left: str, right: str) -> bool:
         """Whether merging leaves this pair of pieces as it is."""
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) > CACHED_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        if len(self.pairs) > CACHED_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
     def merged(self, text: str) -> list[str]:
@@ -99,33 +102,44 @@ class Transducer:
                 scores[best - 1] = self.score.get(parts[best - 1] + parts[best])
 
     def shortest_path(self, part: str) -> list[int]:
-        """Ids along the shortest path of the machines composed with one part."""
+        """Ids along the shortest path of the machines composed with one part.
+
+        Only one path of finite weight leads to a place, so the first accepted
+        arc into it is on the shortest, and longer pieces come first.
+        """
         n = len(part)
-        infinite = float("inf")
-        weight = [0.0] + [infinite] * n
-        last: list[str] = [""] * (n + 1)  # the piece that leads to a place; empty after spelled bytes
+        last: list[str | None] = [None] * (n + 1)  # the piece that leads to a place; empty after spelled bytes
+        last[0] = ""
         come = [0] * (n + 1)
+        pairs, arcs = self.pairs, self.arcs
         for i in range(n):
-            if weight[i] == infinite:
-                continue
             before = last[i]
-            for j in range(i + 1, n + 1):
-                piece = part[i:j]
-                if piece not in self.prefixes:
+            if before is None:
+                continue
+            node, j = arcs, i
+            while j < n:
+                node = node.get(part[j])
+                if node is None:
                     break
-                if piece in self.number and self.accepts(before, piece):
-                    w = weight[i] - self.score[piece]
-                    if w < weight[j]:
-                        weight[j], last[j], come[j] = w, piece, i
-            if part[i] not in self.number and weight[i] < weight[i + 1]:
-                weight[i + 1], last[i + 1], come[i + 1] = weight[i], "", i
-        out: list[list[int]] = []
+                j += 1
+                if last[j] is None:
+                    piece = node.get("")
+                    if piece is not None:
+                        accepted = pairs.get((before, piece))
+                        if accepted or accepted is None and self.accepts(before, piece):
+                            last[j], come[j] = piece, i
+            if last[i + 1] is None and part[i] not in self.number:
+                last[i + 1], come[i + 1] = "", i
+        out: list[int] = []
         at = n
         while at:
-            i = come[at]
-            out.append([self.number[last[at]]] if last[at] else [self.bytes[b] for b in part[i:at].encode("utf-8", "replace")])
+            i, piece = come[at], last[at]
+            if piece:
+                out.append(self.number[piece])
+            else:
+                out += [self.bytes[b] for b in reversed(part[i:at].encode("utf-8", "replace"))]
             at = i
-        return [x for ids in reversed(out) for x in ids]
+        return out[::-1]
 
     def _ids(self, part: str) -> bytes:
         data = self.known.get(part)
