@@ -92,7 +92,8 @@ def test_cuts_follow_the_content():
     assert max(np.diff(chunks.cuts(raw_bytes("a" * 5000)))) <= chunks.LONGEST + 3
 
 
-def test_chunks_against_brute_force(docs):
+def test_chunks_against_brute_force(docs, nothing):
+    assert chunks.without_repeats(nothing).count() == 0
     out = chunks.without_repeats(docs)
     assert out.columns == [*docs.columns, "_spans"]
     owner = {}
