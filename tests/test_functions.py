@@ -206,3 +206,18 @@ def test_strip_like_python(spark):
     texts = ["  a b ", "\t\n x\r\n", " y　", "\x1cz\x1f", "", " "]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(python_strip(F.col("t"))).collect()] == [t.strip() for t in texts]
+
+
+def test_running_plans_read_their_source_twice_at_most(skewed, tmp_path):
+    from tabwright.operators import charts, events, missing
+
+    df, _ = skewed
+    df.selectExpr("id", "key", "t", "x", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, t) as ts", "cast(key as string) as tab").write.parquet(str(tmp_path / "p"))
+    stored = df.sparkSession.read.parquet(str(tmp_path / "p"))
+    scans = lambda made: made._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    assert scans(with_running(stored, ["key"], ["t", "id"], SPECS)) == 2
+    assert scans(missing.forward_fill(stored, ["x"], ["t", "id"], ["key"])) == 2
+    assert scans(events.first_success(stored, "key", "tab", ["t", "id"], "1", "2")) == 2
+    assert scans(events.tab_dwell(stored, "key", "ts", "tab", ["t", "id"])) == 2
+    # Counted values and both parts of the written lookup; the source is not read again.
+    assert scans(charts.box_stats(stored, "x", ["key"])) == 3
