@@ -28,11 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import only, table
+from tabwright.llm.common import only, publish, table
 
 MARK = "▁"
 #: Parts after which a Python worker starts a new table; it keeps the last one.
-CACHED_PARTS = 300_000
+CACHED_PARTS = 200_000
 CACHED_PAIRS = 400_000
 #: Longer parts are not kept.
 LONGEST_KEPT = 64
@@ -204,10 +204,12 @@ def decode(rows: DataFrame, ids_column: str = "ids", name: str = "text", path: s
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text: ids by their crc32, texts by their digest."""
     out = decode(encode(table(spark, sf_dir, "documents")))
-    return out.select(
+    digests = out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
         F.crc32("ids").alias("ids_crc32"),
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+    # Written here, where batches for Python workers are small; a few numbers for each document.
+    return publish(digests, "pieces")
