@@ -224,12 +224,22 @@ def fit_on(frame: DataFrame, labels: DataFrame) -> Discriminant:
     return fit(frame.join(learnt, "doc_id"))
 
 
+def with_score(docs: DataFrame, model: Discriminant, text_column: str, name: str) -> DataFrame:
+    """The frame with the score of the whole text beside its columns."""
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.score(np.array([statistics(t) for t in texts], float).reshape(len(texts), len(FEATURES))))
+
+    return docs.withColumn(name, F.pandas_udf(score, "double")(F.col(f"`{text_column}`")))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, with their own columns."""
-    x, score = unused(docs, "x"), unused(docs, "score")
     frame = with_statistics(only(docs, "doc_id", "text"), "text", "x").drop("text")
     model = fit_on(publish(frame, "statistics"), table(spark, sf_dir, "labels"))
-    return scored(with_statistics(docs, "text", x), model, x, score).where(F.col(score) >= THRESHOLD).drop(x, score)
+    score = unused(docs, "score")
+    return with_score(docs, model, "text", score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
