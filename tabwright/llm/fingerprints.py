@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.functions.ordered import RANGE, assign_range
-from tabwright.llm.common import only, parts_for, table
+from tabwright.llm.common import only, parts_for, publish, table
 from tabwright.llm.rolling import mix
 
 #: Cells of the fingerprint, in three parts.
@@ -77,10 +77,11 @@ class Sketch:
     def _add(self, digests: np.ndarray, times: np.ndarray) -> None:
         if not len(digests):
             return
-        at = self.places(digests).ravel()
-        np.add.at(self.count, at, np.tile(times, PARTS))
-        np.bitwise_xor.at(self.key, at, np.tile(digests, PARTS))
-        np.bitwise_xor.at(self.check, at, np.tile(_checks(digests), PARTS))
+        checks = _checks(digests)
+        for at in self.places(digests):
+            np.add.at(self.count, at, times)
+            np.bitwise_xor.at(self.key, at, digests)
+            np.bitwise_xor.at(self.check, at, checks)
 
     def places(self, digests: np.ndarray) -> np.ndarray:
         size = len(self.count) // PARTS
@@ -120,7 +121,8 @@ def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS, first: tuple[Sk
     """The digests that only a, only b has, by sketches that grow until they peel."""
     x, y = first or (Sketch.of(a, cells), Sketch.of(b, cells))
     while (found := (x - y).peel()) is None:
-        cells = cells * GROWTH
+        # After a failure there is room for all digests of both, and more each time.
+        cells = max(cells * GROWTH, PARTS * ((len(a) + len(b)) // 2 + 1))
         x, y = Sketch.of(a, cells), Sketch.of(b, cells)
     return found
 
@@ -220,4 +222,5 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    # Written here, where batches for Python workers are small.
+    return publish(fingerprints(table(spark, sf_dir, "documents")), "fingerprints")
