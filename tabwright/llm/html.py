@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,20 +31,29 @@ WINDOW = 5
 SHARE = 0.2
 
 # HTML element names by their part in a page.
-_RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select")
+_RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation".split()
 )
-_APART = frozenset("nav header footer aside form menu dialog button fieldset figcaption head".split())
+_APART = frozenset("nav header footer aside form menu dialog button fieldset head".split())
 _ARTICLE = frozenset("article main".split())
-#: Words in a class, id or role that name a part that is no content.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that no class, id or role makes a part without content.
+_NEVER = frozenset("html body main article".split())
+#: Classes, ids and roles that name a part that is no content: whole tokens, never parts of one.
 _WORDS = frozenset(
     "ad ads advert adverts advertisement adverts sponsor sponsored promo banner nav navbar navigation menu breadcrumb "
     "breadcrumbs sidebar aside widget footer header masthead cookie cookies consent notice notices alert popup modal "
     "newsletter subscribe social share sharing related recommended comment comments respond disqus complementary "
-    "contentinfo search login signup pagination pager copyright disclaimer".split()
+    "contentinfo search login signup pagination pager copyright disclaimer "
+    "site-header site-footer page-footer site-nav site-navigation main-nav main-navigation main-menu nav-bar nav-menu "
+    "side-bar sidebar-left sidebar-right widget-area ad-banner ad-container ad-slot ad-unit cookie-banner cookie-bar "
+    "cookie-consent cookie-notice newsletter-signup social-links social-media share-buttons social-share related-posts "
+    "related-articles comment-list comments-area comment-form post-navigation skip-link".split()
 )
 
 _TAG = re.compile(
@@ -53,9 +63,8 @@ _TAG = re.compile(
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_PARTS = re.compile(r"[A-Za-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -66,25 +75,68 @@ class Line:
     content: int
     apart: bool
     article: int
+    heading: bool
 
 
-def _is_apart(name: str, attributes: str) -> bool:
-    if name in _APART:
+class Element(NamedTuple):
+    """An open element; ``named`` if it is apart by its class, id or role alone."""
+
+    name: str
+    place: int
+    apart: bool
+    named: bool
+    article: bool
+
+
+def _attributes(source: str) -> dict[str, str]:
+    """Names in lower case and values; of a name that repeats, the first counts."""
+    out: dict[str, str] = {}
+    if source and not source.isspace():
+        for name, *values in _ATTRIBUTE.findall(source):
+            out.setdefault(name.lower(), unescape("".join(values)))
+    return out
+
+
+def _is_apart(name: str, attributes: dict[str, str]) -> bool:
+    """Whether an element is no content by its name, or is hidden."""
+    if name in _APART or "hidden" in attributes:
         return True
-    if not attributes or attributes.isspace():
-        return False
-    if _HIDDEN.search(attributes):
+    if attributes.get("aria-hidden", "").strip().lower() == "true":
         return True
-    for values in _NAMED.findall(attributes):
-        if any(w.lower() in _WORDS for w in _PARTS.findall(values[0] or values[1] or values[2])):
-            return True
-    return False
+    return _NO_DISPLAY.search(attributes.get("style", "")) is not None
+
+
+def _is_named(name: str, attributes: dict[str, str]) -> bool:
+    """Whether its class, id or role says that an element is no content."""
+    if name in _NEVER:
+        return False
+    return any(w in _WORDS for k in ("class", "id", "role") if k in attributes for w in attributes[k].lower().split())
 
 
 def lines_of(html: str) -> list[Line]:
-    """The page as lines, with what each is part of."""
+    """The page as lines, with what each is part of.
+
+    A name does not make what holds the article's mark a part without content:
+    never what holds ``main``, and what holds an ``article`` only if the marks
+    have no text of their own outside.
+    """
+    lines, over = _walk(html, frozenset())
+    spared = frozenset(over["main"])
+    if spared:
+        lines, over = _walk(html, spared)
+    if over["article"] and not any(line.article and not line.apart and not line.heading for line in lines):
+        lines, _ = _walk(html, spared | over["article"])
+    return lines
+
+
+def _walk(html: str, spared: frozenset[int]) -> tuple[list[Line], dict[str, set[int]]]:
+    """Lines, and the elements around main and around article that are apart by their names.
+
+    Elements are told by the place of their tag; the names of spared ones say nothing.
+    """
     out: list[Line] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, apart, article
+    open_: list[Element] = []
+    over: dict[str, set[int]] = {"main": set(), "article": set()}
     words: list[str] = []
     linked = 0
     articles = 0
@@ -97,7 +149,7 @@ def lines_of(html: str) -> list[Line]:
             text = " ".join(unescape("".join(words)).split())
             if text:
                 content = 0 if apart else max(len(text) - linked, 0)
-                out.append(Line(text, content, apart > 0, number if articles else 0))
+                out.append(Line(text, content, apart > 0, number if articles else 0, any(e.name in _HEADINGS for e in open_)))
             words, linked = [], 0
 
     place = 0
@@ -121,38 +173,41 @@ def lines_of(html: str) -> list[Line]:
         if name not in _INLINE:
             close()
         if m.group("end"):
-            if any(e[0] == name for e in open_):
+            if any(e.name == name for e in open_):
                 while True:
-                    gone, was_apart, was_article = open_.pop()
-                    apart -= was_apart
-                    articles -= was_article
-                    in_link -= gone == "a"
-                    if gone == name:
+                    gone = open_.pop()
+                    apart -= gone.apart
+                    articles -= gone.article
+                    in_link -= gone.name == "a"
+                    if gone.name == name:
                         break
         elif name not in _VOID and not m.group("attributes").endswith("/"):
             if name == "p" or name == "li":
                 _end_implied(open_, name)
-            is_apart, is_article = _is_apart(name, m.group("attributes")), name in _ARTICLE and not apart
-            open_.append((name, is_apart, is_article))
-            apart += is_apart
+            attributes = _attributes(m.group("attributes"))
+            is_apart, named = _is_apart(name, attributes), m.start() not in spared and _is_named(name, attributes)
+            if name in _ARTICLE and apart and not is_apart and all(e.named for e in open_ if e.apart):
+                over[name].update(e.place for e in open_ if e.named)
+            is_article = name in _ARTICLE and not apart
+            open_.append(Element(name, m.start(), is_apart or named, named and not is_apart, is_article))
+            apart += is_apart or named
             number += is_article and not articles
             articles += is_article
             in_link += name == "a"
     if place < len(html):
         words.append(html[place:])
     close()
-    return out
+    return out, over
 
 
-def _end_implied(open_: list[tuple[str, bool, bool]], name: str) -> None:
+def _end_implied(open_: list[Element], name: str) -> None:
     """An open paragraph or list item of plain inline elements ends at the next one."""
     for k in range(len(open_) - 1, -1, -1):
-        element, is_apart, is_article = open_[k]
-        if element == name:
-            if not any(e[1] or e[2] or e[0] == "a" for e in open_[k:]):
+        if open_[k].name == name:
+            if not any(e.apart or e.article or e.name == "a" for e in open_[k:]):
                 del open_[k:]
             return
-        if element not in _INLINE:
+        if open_[k].name not in _INLINE:
             return
 
 

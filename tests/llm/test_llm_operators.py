@@ -403,6 +403,25 @@ def test_pages(spark):
     assert pages.extract(df.filter("false")).count() == 0
 
 
+def test_names_and_attributes_of_pages():
+    text = "<h1>T</h1><p>One two.</p>"
+    for page in (
+        f'<div class="content-sidebar-wrap"><main>{text}</main></div>',
+        f'<div class="sidebar"><main>{text}</main></div>',
+        f'<main><div class="widget"><article>{text}</article></div></main>',
+        f'<body class="no-sidebar nav"><div>{text}</div></body>',
+        f'<html class="cookie"><body class="no-sidebar"><article class="post category-social comment">{text}</article>',
+        f'<article title="the hidden cost of rent" data-x="display:none; hidden = 1">{text}</article>',
+        f'<div title=" hidden "><article>{text}</article></div><div class="sidebar"><article>Teaser of more.</article></div>',
+        '<div class="ad"><article>Teaser.</article></div>' + f"<article>{text}</article>",
+        f'<main>{text}<p hidden>no</p><p HIDDEN="">no</p><p style="color:red; display : none">no</p><p aria-hidden=true>no</p><div ID=Comments><article>He says.</article></div></main>',
+    ):
+        assert pages.main_text(page) == "T\n\nOne two.", page
+    assert pages.main_text('<article><p class="section-header">Head of it</p><p>So.</p></article>') == "Head of it\n\nSo."
+    sum_ = "<math><mi>x</mi><mo>=</mo><msup><mn>2</mn><mi>k</mi></msup></math>"
+    assert pages.main_text(f"<article><p>As {sum_} is.</p><figure><img src=a><figcaption>A view.</figcaption></figure></article>") == "As x=2k is.\n\nA view."
+
+
 def test_regions_surge_and_dive():
     weights = np.array([0, 0, 5, 0, 9, 0, 0, 0, 0, 0, 7, 7, 0])
     assert pages.regions(weights, 3) == [(2, 4), (10, 11)]
