@@ -6,8 +6,10 @@ bars, forms, scripts, notices, adverts and comments, and none of a link's words.
 Sums of these lengths over sliding windows of lines show where a page's text
 surges and where it dives: a region runs from the first line of a surge to the
 last before the dive. A page that marks its article is measured inside the mark
-alone, and keeps all its regions; another keeps those that hold a fair share of
-its largest one. Lines that are no content are left out wherever they stand.
+alone. A region is kept whatever its size, with the links in it; one of nothing
+but links is no content, and neither is a lone word without a sentence's end that
+windows without text part from the rest of an unmarked page. Lines that are no content
+are left out wherever they stand.
 """
 
 from __future__ import annotations
@@ -27,8 +29,6 @@ from tabwright.llm.common import table
 
 #: Lines of a window.
 WINDOW = 5
-#: A region without an article's mark holds this share of the largest one's text.
-SHARE = 0.2
 
 # HTML element names by their part in a page.
 _RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "select")
@@ -69,10 +69,16 @@ _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 @dataclass
 class Line:
-    """One block's text; ``content`` counts its characters that may be content."""
+    """One block's text; ``content`` counts its characters that may be content.
+
+    None of them are a link's. A line without words beside its links has none;
+    ``links`` counts the links that stand in it.
+    """
 
     text: str
     content: int
+    links: int
+    paragraph: bool
     apart: bool
     article: int
     heading: bool
@@ -86,6 +92,7 @@ class Element(NamedTuple):
     apart: bool
     named: bool
     article: bool
+    link: bool
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -138,19 +145,22 @@ def _walk(html: str, spared: frozenset[int]) -> tuple[list[Line], dict[str, set[
     open_: list[Element] = []
     over: dict[str, set[int]] = {"main": set(), "article": set()}
     words: list[str] = []
-    linked = 0
+    own: list[str] = []  # the words outside links
+    links = 0
     articles = 0
     number = 0
     apart = 0
 
     def close() -> None:
-        nonlocal words, linked
+        nonlocal words, own, links
         if words:
             text = " ".join(unescape("".join(words)).split())
             if text:
-                content = 0 if apart else max(len(text) - linked, 0)
-                out.append(Line(text, content, apart > 0, number if articles else 0, any(e.name in _HEADINGS for e in open_)))
-            words, linked = [], 0
+                rest = " ".join(unescape("".join(own)).split()) if links else text
+                content = len(rest) if not apart and (not links or any(c.isalnum() for c in rest)) else 0
+                names = {e.name for e in open_}
+                out.append(Line(text, content, links, "p" in names and "li" not in names, apart > 0, number if articles else 0, not names.isdisjoint(_HEADINGS)))
+            words, own, links = [], [], int(in_link > 0)
 
     place = 0
     in_link = 0
@@ -158,8 +168,7 @@ def _walk(html: str, spared: frozenset[int]) -> tuple[list[Line], dict[str, set[
         if m.start() > place:
             part = html[place : m.start()]
             words.append(part)
-            if in_link:
-                linked += len(part.strip())
+            own.append(" " if in_link else part)
         place = m.end()
         name = m.group("name")
         if name is None:
@@ -169,6 +178,7 @@ def _walk(html: str, spared: frozenset[int]) -> tuple[list[Line], dict[str, set[
         name = name.lower()
         if name == "br":
             words.append(" ")
+            own.append(" ")
             continue
         if name not in _INLINE:
             close()
@@ -178,7 +188,7 @@ def _walk(html: str, spared: frozenset[int]) -> tuple[list[Line], dict[str, set[
                     gone = open_.pop()
                     apart -= gone.apart
                     articles -= gone.article
-                    in_link -= gone.name == "a"
+                    in_link -= gone.link
                     if gone.name == name:
                         break
         elif name not in _VOID and not m.group("attributes").endswith("/"):
@@ -189,13 +199,16 @@ def _walk(html: str, spared: frozenset[int]) -> tuple[list[Line], dict[str, set[
             if name in _ARTICLE and apart and not is_apart and all(e.named for e in open_ if e.apart):
                 over[name].update(e.place for e in open_ if e.named)
             is_article = name in _ARTICLE and not apart
-            open_.append(Element(name, m.start(), is_apart or named, named and not is_apart, is_article))
+            is_link = name == "a" and "href" in attributes
+            open_.append(Element(name, m.start(), is_apart or named, named and not is_apart, is_article, is_link))
             apart += is_apart or named
             number += is_article and not articles
             articles += is_article
-            in_link += name == "a"
+            in_link += is_link
+            links += is_link
     if place < len(html):
         words.append(html[place:])
+        own.append(" " if in_link else html[place:])
     close()
     return out, over
 
@@ -225,22 +238,42 @@ def regions(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+def _weights(lines: list[Line]) -> np.ndarray:
+    """Each line's characters of content.
+
+    A line that is one link weighs in full if it is a paragraph, or no other such
+    line is next to it: a run of them is a list of links.
+    """
+    linked = [line.links > 0 and not line.content for line in lines]
+    weights = np.array([line.content for line in lines], float)
+    for i, line in enumerate(lines):
+        if linked[i] and not line.apart and line.links == 1:
+            beside = (k for k in (i - 1, i + 1) if 0 <= k < len(lines))
+            if line.paragraph or not any(linked[k] and not lines[k].apart for k in beside):
+                weights[i] = len(line.text)
+    return weights
+
+
+def _is_text(region: list[Line]) -> bool:
+    """Whether a region of an unmarked page is more than links, and more than a lone label."""
+    own = [line for line in region if line.content]
+    if len(own) != 1 or own[0].heading:
+        return len(own) > 0
+    # Letters without case may be a sentence in one run.
+    return not (own[0].text.isalpha() and own[0].text.lower() != own[0].text.upper())
+
+
+def main_text(html: str | None, window: int = WINDOW) -> str:
     """The page's main text, its blocks apart by an empty line."""
     lines = lines_of(html or "")
-    marked = {line.article for line in lines if line.article}
-    inside = [not marked or line.article > 0 for line in lines]
-    weights = np.array([line.content if ok else 0 for line, ok in zip(lines, inside)], float)
+    marked = any(line.article for line in lines)
+    inside = [not line.apart and (not marked or line.article > 0) for line in lines]
+    weights = np.where(inside, _weights(lines), 0.0)
     if marked:
         # Inside the mark a linked line may be content too: it counts in full.
-        for i, line in enumerate(lines):
-            if inside[i] and not line.apart:
-                weights[i] = len(line.text)
-    found = regions(weights, window)
-    sizes = [weights[a : b + 1].sum() for a, b in found]
-    keep = [r for r, size in zip(found, sizes) if marked or size >= share * max(sizes)]
-    chosen = [i for a, b in keep for i in range(a, b + 1) if weights[i] > 0]
-    return "\n\n".join(lines[i].text for i in dict.fromkeys(chosen))
+        weights = np.array([len(line.text) if ok else 0 for line, ok in zip(lines, inside)], float)
+    found = [[lines[i] for i in range(a, b + 1) if inside[i]] for a, b in regions(weights, window)]
+    return "\n\n".join(line.text for region in found if marked or _is_text(region) for line in region)
 
 
 def extract(

@@ -422,6 +422,24 @@ def test_names_and_attributes_of_pages():
     assert pages.main_text(f"<article><p>As {sum_} is.</p><figure><img src=a><figcaption>A view.</figcaption></figure></article>") == "As x=2k is.\n\nA view."
 
 
+def test_regions_of_any_size():
+    long = "<p>" + "A long line of words. " * 200 + "</p>"
+    want = ("A long line of words. " * 200).strip()
+    menu = "<ul>" + "<li><a href=x>Some other page</a></li>" * 5 + "</ul>"
+    advert = '<div class="ad">' + "<p>Buy this now.</p>" * 5 + "</div>"
+    for between in (menu, advert):
+        assert pages.main_text(long + between + "<p>So it ends.</p>") == want + "\n\nSo it ends."
+        assert pages.main_text("<h1>Title</h1>" + between + long) == "Title\n\n" + want
+        assert pages.main_text(long + between + "<div>42</div>" + between) == want + "\n\n42"
+    linked = "<p><a href=x>A paragraph that is one link.</a></p>"
+    assert pages.main_text(long + linked) == want + "\n\nA paragraph that is one link."
+    assert pages.main_text(long + linked * 2 + long).count("one link.") == 2
+    assert pages.main_text("<p><a href=x>R&eacute;sum&eacute;</a> ok</p>") == "Résumé ok"
+    assert pages.main_text("<p><a href=x>\n   wide\n    link \n</a>ok</p>") == "wide link ok"
+    assert pages.main_text("<p><a name=top>An anchor is no link.</p><p>Or is it?</p>") == "An anchor is no link.\n\nOr is it?"
+    assert pages.main_text(menu + "<p><a href=x>One</a> | <a href=y>Two</a></p>") == ""
+
+
 def test_regions_surge_and_dive():
     weights = np.array([0, 0, 5, 0, 9, 0, 0, 0, 0, 0, 7, 7, 0])
     assert pages.regions(weights, 3) == [(2, 4), (10, 11)]
