@@ -6,7 +6,7 @@ bars, forms, scripts, notices, adverts and comments, and none of a link's words.
 Sums of these lengths over sliding windows of lines show where a page's text
 surges and where it dives: a region runs from the first line of a surge to the
 last before the dive. A page that marks its article is measured inside the mark
-alone. A region is kept whatever its size, with the links in it; one of nothing
+alone, where a list of links as long as a window is a dive too. A region is kept whatever its size, with the links in it; one of nothing
 but links is no content, and neither is a lone word without a sentence's end that
 windows without text part from the rest of an unmarked page. Lines that are no content
 are left out wherever they stand.
@@ -82,6 +82,7 @@ class Line:
     apart: bool
     article: int
     heading: bool
+    inner: bool
 
 
 class Element(NamedTuple):
@@ -159,7 +160,7 @@ def _walk(html: str, spared: frozenset[int]) -> tuple[list[Line], dict[str, set[
                 rest = " ".join(unescape("".join(own)).split()) if links else text
                 content = len(rest) if not apart and (not links or any(c.isalnum() for c in rest)) else 0
                 names = {e.name for e in open_}
-                out.append(Line(text, content, links, "p" in names and "li" not in names, apart > 0, number if articles else 0, not names.isdisjoint(_HEADINGS)))
+                out.append(Line(text, content, links, "p" in names and "li" not in names, apart > 0, number if articles else 0, not names.isdisjoint(_HEADINGS), "article" in names and articles > 0))
             words, own, links = [], [], int(in_link > 0)
 
     place = 0
@@ -238,18 +239,20 @@ def regions(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-def _weights(lines: list[Line]) -> np.ndarray:
-    """Each line's characters of content.
+def _weights(lines: list[Line], inside: list[bool], window: int) -> np.ndarray:
+    """Each line's characters of content, of those that are inside.
 
     A line that is one link weighs in full if it is a paragraph, or no other such
-    line is next to it: a run of them is a list of links.
+    line is next to it: a run of them is a list of links. Within an article a list
+    may be part of the text, and weighs in full if it is shorter than a window.
     """
-    linked = [line.links > 0 and not line.content for line in lines]
-    weights = np.array([line.content for line in lines], float)
-    for i, line in enumerate(lines):
-        if linked[i] and not line.apart and line.links == 1:
-            beside = (k for k in (i - 1, i + 1) if 0 <= k < len(lines))
-            if line.paragraph or not any(linked[k] and not lines[k].apart for k in beside):
+    weights = np.array([line.content if ok else 0 for line, ok in zip(lines, inside)], float)
+    linked = np.array([ok and line.links > 0 and not line.content for line, ok in zip(lines, inside)], bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8)))
+    for a, b in edges.reshape(-1, 2).tolist():
+        for i in range(a, b):
+            line = lines[i]
+            if line.links == 1 and (line.paragraph or b - a == 1) or line.inner and b - a < window:
                 weights[i] = len(line.text)
     return weights
 
@@ -268,9 +271,9 @@ def main_text(html: str | None, window: int = WINDOW) -> str:
     lines = lines_of(html or "")
     marked = any(line.article for line in lines)
     inside = [not line.apart and (not marked or line.article > 0) for line in lines]
-    weights = np.where(inside, _weights(lines), 0.0)
-    if marked:
-        # Inside the mark a linked line may be content too: it counts in full.
+    weights = _weights(lines, inside, window)
+    if marked and not weights.any():
+        # Nothing but links inside the mark: they are what the page is about.
         weights = np.array([len(line.text) if ok else 0 for line, ok in zip(lines, inside)], float)
     found = [[lines[i] for i in range(a, b + 1) if inside[i]] for a, b in regions(weights, window)]
     return "\n\n".join(line.text for region in found if marked or _is_text(region) for line in region)

@@ -440,6 +440,19 @@ def test_regions_of_any_size():
     assert pages.main_text(menu + "<p><a href=x>One</a> | <a href=y>Two</a></p>") == ""
 
 
+def test_regions_inside_the_mark():
+    links = lambda n: "<ul>" + "<li><a href=x>Other page</a></li>" * n + "</ul>"
+    text = "<h1>Title</h1><p>A line of words.</p><p>Yes.</p><p><a href=x>One link.</a></p>"
+    want = "Title\n\nA line of words.\n\nYes.\n\nOne link."
+    for n in (2, 5, 9):
+        assert pages.main_text(f"<main>{links(n)}<article>{text}</article>{links(n)}</main>") == want
+    both = f"<main>{text}{links(6)}{text}</main>"
+    assert pages.main_text(both) == want + "\n\n" + want and pages.main_text(both, window=20).count("Other") == 6
+    assert pages.main_text(f"<article>{text}{links(6)}{text}</article>") == want + "\n\n" + want
+    assert pages.main_text(f"<article>{text}{links(3)}</article>") == want + "\n\nOther page" * 3
+    assert pages.main_text(f"<main>{links(8)}</main>").count("Other page") == 8
+
+
 def test_regions_surge_and_dive():
     weights = np.array([0, 0, 5, 0, 9, 0, 0, 0, 0, 0, 7, 7, 0])
     assert pages.regions(weights, 3) == [(2, 4), (10, 11)]
