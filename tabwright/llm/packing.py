@@ -82,13 +82,22 @@ class WordTokenizer:
     at a time, with a zero character between them: it is a token that merges with
     no other, so that it parts the ids too. Parts in which it could change how
     their ends are cut go alone.
+
+    With ``added``, the file's added tokens get their own ids, as the tokenizer by
+    itself gives them: a text is cut at them first. Without, they are spelled out.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in tokens.items()}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
+        # Tokens that take blanks beside them, or stand only between words, are the whole tokenizer's to find.
+        self.untouched = Tokenizer.from_file(path) if any(t.lstrip or t.rstrip or t.single_word for t in tokens.values()) else None
         self.tokenizer.encode_special_tokens = True
         self.ids = _by_ranks(path, self.tokenizer) or self._whole
         mark = self._whole("\0")
@@ -125,6 +134,25 @@ class WordTokenizer:
             self.known[part] = np.array(self._whole(" " + part), "<u4").tobytes()
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
+        if not self.cut or not any(content in t for t in texts for content in self.added):
+            return self._encode(texts)
+        out: list[list[bytes]] = [[] for _ in texts]
+        plain: list[str] = []
+        places: list[tuple[int, int]] = []
+        for i, t in enumerate(texts):
+            if self.untouched is not None and any(content in t for content in self.added):
+                out[i].append(np.array(self.untouched.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
+                continue
+            for k, part in enumerate(self.cut.split(t)):
+                out[i].append(self.added[part] if k % 2 else b"")
+                if not k % 2 and part:
+                    plain.append(part)
+                    places.append((i, len(out[i]) - 1))
+        for (i, k), data in zip(places, self._encode(plain)):
+            out[i][k] = data
+        return [b"".join(parts) for parts in out]
+
+    def _encode(self, texts: Sequence[str]) -> list[bytes]:
         cut = [self.parts(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {}, self.known
@@ -150,7 +178,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = WordTokenizer(path)
+            _TOKENIZERS[path] = WordTokenizer(path, added=True)
         end = np.array([END], "<u4").tobytes()
         for part in batches:
             ids, texts = part.doc_id.tolist(), part.text.tolist()

@@ -174,6 +174,20 @@ def test_tokens_word_by_word():
     assert words.encode(odd) == want
 
 
+def test_added_tokens_keep_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    rng = random.Random(6)
+    odd = ["".join(rng.choice(["<|endoftext|>", " ", "\n", "a", "it's", "é", "  ", "<|", "|>"]) for _ in range(rng.randrange(12))) for _ in range(500)]
+    odd += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> c", "<|endoftext|", "", *[t for _, t, _ in DOCS[:9] if t]]
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(odd, add_special_tokens=False)]
+    assert packing.WordTokenizer(packing.tokenizer_path(), added=True).encode(odd) == want
+    row = packing.pack(spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")).collect()[0]
+    ids = [*whole.encode("a <|endoftext|> b", add_special_tokens=False).ids, 0]
+    assert (row["length"], row["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 @pytest.mark.parametrize("rule,documents,attention", [("norm", None, None), ("dot", None, None), ("norm", 3, None), ("dot", 5, 300_000), ("norm", 4, 1024 * 1024)])
 def test_packing_keeps_every_capacity(rule, documents, attention):
     rng = random.Random(2)
