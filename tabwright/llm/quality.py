@@ -85,8 +85,9 @@ def statistics(text: str | None) -> list[float]:
     total = marks.sum()
     p = marks[marks > 0] / total if total else np.ones(1)
     ends = len(_SENTENCE.findall(text)) if text else 0
-    # Distinct words fall with length in any text: measured over windows of 100.
-    windows = [words[i : i + 100] for i in range(0, max(m - 50, 1), 100)]
+    # Distinct words fall with length in any text: measured over windows of 100, a tail of up to 50 with the one before it.
+    edges = [*range(0, max(m - 50, 1), 100), m]
+    windows = [words[a:b] for a, b in zip(edges, edges[1:])]
     distinct = sum(len(set(w)) for w in windows) / max(sum(map(len, windows)), 1) if m else 1.0
     packed = len(zlib.compress(raw, 1)) / max(n, 1) if n else 1.0
     marked = sum(1 for w in words if w[-1] in b"*$%&#!|@^~=_+<>") / max(m, 1)

@@ -270,6 +270,14 @@ def test_quality_of_odd_rows(spark, docs, nothing):
     assert {r["score"] for r in quality.quality_scores(docs, labels.filter("false")).collect()} == {0.5}
 
 
+def test_distinct_words_are_of_the_whole_text():
+    at = quality.FEATURES.index("distinct_share")
+    for n, edges in ((30, [0, 30]), (149, [0, 149]), (150, [0, 150]), (151, [0, 100, 151]), (249, [0, 100, 249]), (300, [0, 100, 200, 300])):
+        words = [f"w{i}" if i < n - 20 else "same" for i in range(n)]
+        distinct = sum(len(set(words[a:b])) for a, b in itertools.pairwise(edges)) / n
+        assert quality.statistics(" ".join(words))[at] == quality._logit(distinct, n)
+
+
 def test_forward_sums_all_segmentations():
     vocabulary = language.Vocabulary(("▁a", "▁", "a", "ab", "b", "ba", "▁ab", "bab"))
     rng = np.random.default_rng(1)
