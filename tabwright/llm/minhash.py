@@ -19,7 +19,8 @@ and one of them, the representative, goes on.
   links that join components leave the task.
 
 Two documents of similarity 0.8 miss a region in all trees with a probability
-of (1 - 0.8**FLOOR)**TREES, below 1e-8; nothing is capped.
+of (1 - 0.8**FLOOR)**TREES, 5e-9, as no two trees' floors share a minimum; nothing
+is capped.
 """
 
 from __future__ import annotations
@@ -39,10 +40,10 @@ from tabwright.llm.rolling import mix, shingle_set
 TREES = 48
 FLOOR = 5
 DEPTH = 8
-HASHES = 160
-#: Signatures that agree in a smaller share are not verified: at a similarity
-#: of 0.8 that happens once in a million pairs (160 draws, 4.7 deviations).
-LIKELY = 0.65
+HASHES = TREES * FLOOR
+#: Signatures that agree in a smaller share are not verified: at a similarity of
+#: 0.8 that has a probability of about 4e-13 (144 of 240 draws, 7.7 deviations).
+LIKELY = 0.6
 #: Steps of the first pass.
 ROUNDS = 2
 #: Documents compared with each other at once.
@@ -53,8 +54,9 @@ SIMILARITY = 80
 _RANDOM = np.random.default_rng(7)
 _FACTORS = (_RANDOM.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _FLIPS = _RANDOM.integers(0, 2**32, HASHES, dtype=np.uint32)[:, None]
-#: The minima that each tree reads, in its order.
-_ORDERS = np.array([_RANDOM.permutation(HASHES)[:DEPTH] for _ in range(TREES)])
+#: The minima that each tree reads, in its order: the floors of no two trees share one.
+_FLOORS = _RANDOM.permutation(HASHES).reshape(TREES, FLOOR)
+_ORDERS = np.array([[*floor, *_RANDOM.permutation(np.setdiff1d(np.arange(HASHES), floor))[: DEPTH - FLOOR]] for floor in _FLOORS])
 
 
 def signature(shingles: np.ndarray) -> bytes:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -353,6 +354,14 @@ def test_signatures_estimate_similarity():
     assert abs((sig[0] == sig[1]).mean() - 0.9) < 0.1 and abs((sig[0] == sig[2]).mean() - 0.375) < 0.15
 
 
+def test_floors_share_no_minimum():
+    floors = minhash._ORDERS[:, : minhash.FLOOR].ravel()
+    assert len(set(floors.tolist())) == len(floors) == minhash.TREES * minhash.FLOOR
+    assert all(len(set(order)) == minhash.DEPTH for order in minhash._ORDERS.tolist())
+    n, least = minhash.HASHES, int(np.ceil(minhash.LIKELY * minhash.HASHES))
+    assert sum(math.comb(n, k) * 0.8**k * 0.2 ** (n - k) for k in range(least)) < 1e-8
+
+
 # -- suffix sort --------------------------------------------------------------
 
 
