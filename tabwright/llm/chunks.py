@@ -25,7 +25,7 @@ from tabwright.llm.common import only, publish, table, unused
 from tabwright.llm.rolling import raw_bytes
 
 #: Bytes from cut to cut, on average and at most.
-AVERAGE = 32
+AVERAGE = 16
 LONGEST = 512
 MIN_RUN = 64
 #: A chunk travels as start * SIZES + size.

@@ -93,6 +93,24 @@ def test_cuts_follow_the_content():
     assert max(np.diff(chunks.cuts(raw_bytes("a" * 5000)))) <= chunks.LONGEST + 3
 
 
+def _is_missed(passage, rng, average=chunks.AVERAGE):
+    """Whether a passage between other words keeps all its bytes next to a copy between others."""
+    found = []
+    for _ in range(2):
+        before = prose(12, rng) + " "
+        data = raw_bytes(before + passage + " " + prose(12, rng))
+        first = len(before.encode())
+        at = chunks.cuts(data, average)
+        found.append({(x - first, y - first) for x, y in itertools.pairwise(at.tolist()) if first <= x and y <= first + len(passage.encode())})
+    both = sorted(found[0] & found[1])
+    return not len(both) or not chunks._runs(np.array([(x + 1) * chunks.SIZES + y - x for x, y in both]), chunks.MIN_RUN)
+
+
+def test_no_long_passage_is_missed():
+    rng = random.Random(21)
+    assert not any(_is_missed(prose(50, rng), rng) for _ in range(2000))
+
+
 def test_chunks_against_brute_force(docs, nothing):
     assert chunks.without_repeats(nothing).count() == 0
     out = chunks.without_repeats(docs)
