@@ -82,7 +82,7 @@ def stretches(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...
 
 
 def _rows(docs: DataFrame, length: int, gram: int, parts: int, hot: list[int]) -> DataFrame:
-    """(part, h, c, doc_id, v, place): one row for each anchor; place is first * 64 + more."""
+    """(part, h, c, doc_id, v, place): one row for each anchor; place is first * (length - gram + 1) + more."""
     common = np.array(sorted(hot), np.int64)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,7 +95,7 @@ def _rows(docs: DataFrame, length: int, gram: int, parts: int, hot: list[int]) -
                     continue
                 h, first, last, stretch = stretches(data, length, gram)
                 k = len(h)
-                held.append((h, stretch, np.full(k, doc_id), np.full(k, v), first * 64 + (last - first)))
+                held.append((h, stretch, np.full(k, doc_id), np.full(k, v), first * (length - gram + 1) + (last - first)))
                 count += k
                 if count > 100_000:
                     yield _dealt(held, parts, common)
@@ -162,8 +162,8 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _classify(parts: int):
-    """Stretches that are covered, and those that must be compared."""
+def _classify(parts: int, grams: int):
+    """Stretches that are covered, and those that must be compared; an anchor owns up to ``grams`` windows."""
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in grouped(batches, ["part"]):
@@ -181,7 +181,7 @@ def _classify(parts: int):
             keep = np.flatnonzero(covered | several[np.cumsum(new_h) - 1])
             place, v = rows.place.to_numpy()[order][keep], rows.v.to_numpy()[order][keep]
             yield pd.DataFrame(
-                {"h": h[keep], "doc_id": doc[keep], "v": v, "first": place // 64, "more": place % 64, "covered": covered[keep]}
+                {"h": h[keep], "doc_id": doc[keep], "v": v, "first": place // grams, "more": place % grams, "covered": covered[keep]}
             )
 
     return classify
@@ -358,7 +358,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     dealt = _rows(rows, length, gram, PARTS * parts, _common_anchors(rows, length, gram))
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
     kinds = "h long, doc_id long, v long, first int, more int, covered boolean"
-    flagged = publish(dealt.mapInPandas(_classify(PARTS * parts), kinds), "anchors")
+    flagged = publish(dealt.mapInPandas(_classify(PARTS * parts, length - gram + 1), kinds), "anchors")
     places = (
         flagged.where("not covered")
         .groupBy("doc_id", "v")

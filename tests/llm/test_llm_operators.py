@@ -402,6 +402,27 @@ def test_windows_have_one_owner():
     assert [x for a, b in zip(first, last) for x in range(a, b + 1)] == list(range(len(data) - 49))
 
 
+def test_places_of_long_windows(spark):
+    rng = random.Random(8)
+    passage = prose(400, rng)
+    rows = [(i, prose(60, rng) + passage[40 * i : 1200 + 17 * i] + prose(40, rng)) for i in range(12)]
+    seen = {}
+    for i, t in rows:
+        raw = t.encode()
+        for k in range(len(raw) - 99):
+            seen.setdefault(raw[k : k + 100], i)
+    want = {}
+    for i, t in rows:
+        raw = t.encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if seen[raw[k : k + 100]] < i:
+                gone[k : k + 100] = b"\1" * 100
+        want[i] = bytes(b for b, g in zip(raw, gone) if not g)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: bytes(r["kept"]) for r in suffixes.without_repeats(df, length=100).collect()} == want
+
+
 @pytest.mark.parametrize("parts", [3, 40])
 def test_suffixes_against_brute_force(spark, docs, nothing, parts):
     seen = {}
