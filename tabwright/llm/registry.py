@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from tabwright.llm import chunks, embeddings, fingerprints, html, language, minhash, packing, pieces, quality, suffixes
+from tabwright.llm import (
+    alignment,
+    chunks,
+    embeddings,
+    fingerprints,
+    html,
+    language,
+    minhash,
+    negatives,
+    packing,
+    pieces,
+    quality,
+    suffixes,
+    tokenfiles,
+)
 
 QUERIES = {
     "op1_substring_dedup": chunks.op1_substring_dedup,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_html_extraction": html.op8_html_extraction,
     "op9_document_fingerprints": fingerprints.op9_document_fingerprints,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_token_files": tokenfiles.op12_token_files,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 #: Those that SQL cannot express are held against brute force in tests/llm.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_hard_negatives": negatives.OP11_SQL}
