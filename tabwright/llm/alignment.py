@@ -181,14 +181,19 @@ class PieceTokenizer:
         return [b"".join(map(self.known.__getitem__, parts)) for parts in cut]
 
 
-def _shown_bytes(token: str) -> bytes:
-    """Bytes of a byte-level token.
-
-    Fixed values: printable bytes stand for themselves, the others for characters from 256 on.
-    """
+def _byte_of() -> dict[str, int]:
+    """Printable bytes stand for themselves, the others for characters from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-    return bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+BYTE_OF = _byte_of()
+
+
+def _shown_bytes(token: str) -> bytes:
+    """Bytes of a byte-level token; an added token is spelled as it is."""
+    return bytes(BYTE_OF[c] for c in token) if all(c in BYTE_OF for c in token) else token.encode()
 
 
 class Aligner:
