@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.ordered import Running, with_running
-from tabwright.llm.common import only, parts_for, publish, table
+from tabwright.llm.common import only, parts_for, publish, settings, table
 from tabwright.session import fresh_folder
 
 #: End of every document.
@@ -87,7 +87,12 @@ def parts_at_blanks(model: dict) -> bool:
 
 
 class WordIds:
-    """Ids of whole texts by the tokenizers library; words seen before are looked up."""
+    """Ids of whole texts by the tokenizers library; words seen before are looked up.
+
+    New words are encoded many at a time with a zero character between them, where
+    that is a token of its own that merges with no other, so that it parts the ids
+    too. Texts of ASCII alone are lower-cased first if the file does so itself.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -95,8 +100,15 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
-            self.cuts = parts_at_blanks(json.load(file))
+            text = file.read()
+        self.cuts = parts_at_blanks(json.loads(text))
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lowers = self.cuts and '"Lowercase"' in text and all(t == t.lower() for t in self.added)
+        mark = np.frombuffer(self._whole(["\0"])[0], self.dtype)
+        shown = (self.tokenizer.id_to_token(int(mark[0])) or "").removesuffix("</w>") if len(mark) == 1 else ""
+        alone = shown and not any(shown in t and t not in (shown, f"{shown}</w>") for t in self.tokenizer.get_vocab())
+        self.mark = int(mark[0]) if alone and self.cuts else None
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
@@ -104,19 +116,34 @@ class WordIds:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
 
+    def _learn(self, fresh: list[str]) -> None:
+        alone = [w for w in fresh if self.mark is None or "\0" in w]
+        together = [w for w in fresh if "\0" not in w] if self.mark is not None else []
+        self.known.update(zip(alone, self._whole(alone)))
+        width = np.dtype(self.dtype).itemsize
+        for at in range(0, len(together), 512):
+            some = together[at : at + 512]
+            data = self._whole([" \0 ".join(some)])[0]
+            ends = np.flatnonzero(np.frombuffer(data, self.dtype) == self.mark) * width
+            edges = [-width, *ends.tolist(), len(data)]
+            self.known.update((w, data[a + width : b]) for w, a, b in zip(some, edges, edges[1:]))
+
+    def words(self, text: str) -> list[str]:
+        if self.lowers and text.isascii():
+            low = text.lower()
+            text = text if any(t in low for t in self.added) else low
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         if not self.cuts:
             return self._whole(list(texts))
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        cut = [self.words(t) for t in texts]
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {"": b""}, self.known
         needed = set().union(*cut).difference(self.known)
         again = needed.intersection(self.older)
         self.known.update((word, self.older[word]) for word in again)
-        fresh = list(needed.difference(again))
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            self.known.update(zip(some, self._whole(some)))
+        self._learn(list(needed.difference(again)))
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 
@@ -330,7 +357,8 @@ def write_store(docs: DataFrame, folder: str, path: str, end: int = END, shard_i
     """
     spark = docs.sparkSession
     dtype = words(path).dtype
-    rows = publish(encoded(docs, path, end), "ids")
+    with settings(spark, {"spark.sql.parquet.compression.codec": "zstd"}):
+        rows = publish(encoded(docs, path, end), "ids")
     order = [_ordered(F.col(c)) for c in ("doc_id", "crc", "salt")]
     ranges = rows.repartitionByRange(parts_for(spark), *order).sortWithinPartitions(*order)
 

@@ -12,9 +12,10 @@ from tabwright.llm import tokenfiles
 from tests.conftest import SMALL
 
 RANDOM = random.Random(11)
-WORDS = ["don't", "I'LL", "Größe", "naïve", "éte", "日本語", "x1y22", "!!!", "<|endoftext|>", "a<|startoftext|>b", "\U0001f600", "ΣΑΣ", "İ", "'s", "..."]
+WORDS = ["don't", "I'LL", "Größe", "naïve", "éte", "日本語", "x1y22", "!!!", "<|endoftext|>", "a<|startoftext|>b", "\U0001f600", "ΣΑΣ", "İ", "'s", "...", "<|ENDOFTEXT|>", "IT'S", "A\0B"]
 TEXTS = [" ".join(RANDOM.choices(WORDS, k=RANDOM.randrange(1, 30))) for _ in range(60)]
 TEXTS += ["", None, " ", "\n\t ", "a\tb c　d\x1ce\x85f", "x " * 5, " ́a", "long " * 200_000, "y" * 20_000, "\0 \0a", "a ́b"]
+TEXTS += [" ".join(RANDOM.choices([w for w in WORDS if w.isascii() and "|" not in w] + ["Plain", "WORDS,"], k=50)) for _ in range(9)]
 ROWS = [(i * 7 - 100, t, i, "k") for i, t in enumerate(TEXTS)]
 ROWS += [ROWS[3], ROWS[3], (ROWS[4][0], "another text", 1, None), (None, "no id", 2, "k"), (None, None, 3, "k"), (2**62 + 1, "far", 4, "k"), (2**62, "near", 4, "k")]
 SCHEMA = "doc_id long, text string, salt long, crc string"
