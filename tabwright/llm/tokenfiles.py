@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -86,12 +87,17 @@ def parts_at_blanks(model: dict) -> bool:
     )
 
 
+#: Places between a letter and a mark that ends a word: the two are never one part.
+_MARKS = re.compile(r"(?<=[a-z])(?=[,.;:!?][ \n])")
+
+
 class WordIds:
     """Ids of whole texts by the tokenizers library; words seen before are looked up.
 
     New words are encoded many at a time with a zero character between them, where
     that is a token of its own that merges with no other, so that it parts the ids
-    too. Texts of ASCII alone are lower-cased first if the file does so itself.
+    too. Texts of ASCII alone are lower-cased first if the file does so itself, and
+    words lose the mark after them.
     """
 
     def __init__(self, path: str) -> None:
@@ -104,7 +110,7 @@ class WordIds:
         self.cuts = parts_at_blanks(json.loads(text))
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.lowers = self.cuts and '"Lowercase"' in text and all(t == t.lower() for t in self.added)
+        self.lowers = self.cuts and '"Lowercase"' in text and r"[\\p{L}]+|" in text and all(t == t.lower() for t in self.added)
         mark = np.frombuffer(self._whole(["\0"])[0], self.dtype)
         shown = (self.tokenizer.id_to_token(int(mark[0])) or "").removesuffix("</w>") if len(mark) == 1 else ""
         alone = shown and not any(shown in t and t not in (shown, f"{shown}</w>") for t in self.tokenizer.get_vocab())
@@ -131,7 +137,7 @@ class WordIds:
     def words(self, text: str) -> list[str]:
         if self.lowers and text.isascii():
             low = text.lower()
-            text = text if any(t in low for t in self.added) else low
+            text = text if any(t in low for t in self.added) else _MARKS.sub(" ", low)
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
