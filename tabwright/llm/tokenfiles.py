@@ -42,7 +42,7 @@ END = 1
 #: Ids after which a task begins another shard.
 SHARD_IDS = 1 << 25
 #: Words after which a worker starts a new table of ids; it keeps the last one.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 700_000
 #: Ids read, and characters encoded, at a time.
 READ_IDS = 1 << 21
 BLOCK = 2_000_000
@@ -102,7 +102,7 @@ class WordIds:
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
@@ -115,21 +115,29 @@ class WordIds:
         shown = (self.tokenizer.id_to_token(int(mark[0])) or "").removesuffix("</w>") if len(mark) == 1 else ""
         alone = shown and not any(shown in t and t not in (shown, f"{shown}</w>") for t in self.tokenizer.get_vocab())
         self.mark = int(mark[0]) if alone and self.cuts else None
+        # Lower-case ASCII is what the file's normaliser leaves as it is.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _whole(self, texts: list[str], plain: bool = False) -> list[bytes]:
+        encoded = (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
 
     def _learn(self, fresh: list[str]) -> None:
-        alone = [w for w in fresh if self.mark is None or "\0" in w]
-        together = [w for w in fresh if "\0" not in w] if self.mark is not None else []
+        alone, low, other = [], [], []
+        for w in fresh:
+            (alone if self.mark is None or "\0" in w else low if self.lowers and w.isascii() and w == w.lower() else other).append(w)
         self.known.update(zip(alone, self._whole(alone)))
+        self._together(low, True)
+        self._together(other, False)
+
+    def _together(self, words: list[str], plain: bool) -> None:
         width = np.dtype(self.dtype).itemsize
-        for at in range(0, len(together), 512):
-            some = together[at : at + 512]
-            data = self._whole([" \0 ".join(some)])[0]
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            data = self._whole([" \0 ".join(some)], plain)[0]
             ends = np.flatnonzero(np.frombuffer(data, self.dtype) == self.mark) * width
             edges = [-width, *ends.tolist(), len(data)]
             self.known.update((w, data[a + width : b]) for w, a, b in zip(some, edges, edges[1:]))
