@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -83,6 +84,56 @@ def _(spark, sf):
     return read_csv(spark, path).select(*halves[0])
 
 
+@contextmanager
+def _small_splits(spark):
+    """Splits of a size that gives these tables several of them."""
+    sizes = {"spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+_EMPTY_TEXT = "case when text not in ('', 'NA', 'N/A', 'NULL', 'None', 'nan', 'null') then text end as text"
+
+
+@query("read_csv_line_ends", f"select doc_id, {_EMPTY_TEXT}, source, n_chars from documents")
+def _(spark, sf):
+    """Whole documents as cells, line ends and quotes in them, each file in many tasks."""
+    path = fresh_folder(spark, "csv")
+    rows = table(spark, sf, "documents").select("doc_id", "text", "source", "n_chars")
+    _kept_text(rows.write.option("escape", '"')).csv(path)
+    with _small_splits(spark):
+        return read_csv(spark, path)
+
+
+@query("read_tsv_line_ends", f"select conv_id, turn, role, {_EMPTY_TEXT} from conversations")
+def _(spark, sf):
+    """Turns of conversations with a tab and a line end after each sentence."""
+    path = fresh_folder(spark, "tsv")
+    rows = table(spark, sf, "conversations").withColumn("text", F.replace("text", F.lit(". "), F.lit(".\t\n")))
+    _kept_text(rows.write.option("sep", "\t").option("escape", '"')).csv(path)
+    with _small_splits(spark):
+        df = read_tsv(spark, path)
+    return df.withColumn("text", F.replace("text", F.lit(".\t\n"), F.lit(". "))).select("conv_id", "turn", "role", "text")
+
+
+@query("read_json_one_array", "select o_orderkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+def _(spark, sf):
+    """All orders as one array in one file, read in many tasks."""
+    path = fresh_folder(spark, "json")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    lines = orders.select(F.lit(1).alias("at"), "o_orderkey", F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("value"))
+    ends = spark.createDataFrame([(0, None, "["), (2, None, '{"o_orderkey": null}]')], lines.schema)
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
+    with _small_splits(spark):
+        return read_json(spark, path).where("o_orderkey is not null")
+
+
 @query("read_json_nested", "select c_custkey, c_nationkey as nation, c_acctbal as balance from customer")
 def _(spark, sf):
     """Lines of nothing but nested objects."""

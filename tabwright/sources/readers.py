@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
@@ -22,6 +23,9 @@ from tabwright.functions.columns import (
     replace_columns,
     value,
 )
+from tabwright.session import fresh_folder
+from tabwright.sources.manifest import headers, readable_by_range
+from tabwright.sources.records import array_records, csv_records, has_open_lines, units
 
 # Texts a delimited file uses for a missing value.
 NA_TOKENS = (
@@ -116,44 +120,69 @@ def apply_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return replace_columns(df, {c: casts[t](col(c)) for c, t in types.items() if t in casts})
 
 
-def _headers(spark: SparkSession, files: list[str], options: Mapping[str, str]) -> dict[tuple[str, ...], list[str]]:
-    """The files of each header. Only the first line of a file is parsed."""
-    if len(files) == 1 or options["multiLine"] == "true":
-        # A quoted name may hold a line end: each file's own reader finds its header.
-        first = {f: spark.read.options(**options).csv(f).head(1) for f in files}
-        found = [(f, tuple(rows[0])) for f, rows in first.items() if rows]
-    else:
-        lines = spark.read.text(files).select(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
-        )
-        top = lines.where("start = 0 and trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
-        top = top.groupBy("file").agg(F.min_by("value", "at"))
-        found = [(f, _split_header(text, options["sep"])) for f, text in sorted(map(tuple, top.collect()))]  # a line a file
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file, header in found:
-        groups.setdefault(header, []).append(file)
-    return groups
+def _scanned_headers(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """(file, header) from a scan, for stores that can only be read by Spark; a header is one line."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
+    )
+    top = lines.where("start = 0 and trim(value) <> ''").withColumn("at", F.monotonically_increasing_id())
+    return top.groupBy("file").agg(F.ltrim(F.min_by("value", "at"), F.lit("\ufeff")).alias("header"))
+
+
+def _split_header(record: str, sep: str) -> list[str]:
+    return next(csv.reader(io.StringIO(record, newline=""), delimiter=sep))
+
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
 
-def _split_header(line: str, sep: str) -> tuple[str, ...]:
-    return tuple(next(csv.reader([line.removeprefix("\ufeff")], delimiter=sep)))
+
+def _by_name(rows: DataFrame, files: DataFrame, found: list[tuple[str, ...]]) -> DataFrame:
+    """Cells by position (_c0, _c1 ...) of files with several headers, united by name.
+
+    Each file's header has a number; a column takes the place it has in its row's file.
+    """
+    names = list(dict.fromkeys(n for header in found for n in header))
+    numbered = rows.join(files, "file")
+    out = []
+    for name in names:
+        cell = F.lit(None).cast("string")
+        for number, header in enumerate(found):
+            if name in header:
+                cell = F.when(F.col("number") == number, F.col(f"_c{header.index(name)}")).otherwise(cell)
+        out.append(cell.alias(name))
+    return numbered.select(*out)
 
 
 def _read_delimited(
-    spark: SparkSession, path: str, sep: str, infer: bool, types: Mapping[str, str] | None, multiline: bool
+    spark: SparkSession, path: str, sep: str, infer: bool, types: Mapping[str, str] | None, multiline: bool | None
 ) -> DataFrame:
-    """Files of one header are read together; those of different ones are united by name."""
-    options = {"sep": sep, "quote": '"', "escape": '"', "encoding": "UTF-8", "multiLine": str(multiline).lower()}
-    groups = _headers(spark, sorted(spark.read.text(path).inputFiles()), options)
-    if not groups:
+    """Files of one header are read together; those of several are united by name."""
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    known = headers(spark, path, sep) if readable_by_range(spark, path) else _scanned_headers(spark, path, sep)
+    # One row for each header that occurs, the first file's first.
+    kinds = known.groupBy("header").agg(F.min("file").alias("file")).orderBy("file").select("header").collect()
+    if not kinds:
         raise EmptyDatasetError("no header line")
-    raw = None
-    for header, files in groups.items():
-        names = column_names(list(header))
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        where = path if len(groups) == 1 else files
-        part = spark.read.options(**options).schema(schema).option("header", True).option("enforceSchema", True).csv(where)
-        raw = part if raw is None else raw.unionByName(part, allowMissingColumns=True)
+    found = [tuple(column_names(_split_header(k["header"], sep))) for k in kinds]
+    width = max(map(len, found))
+    names = found[0] if len(found) == 1 else tuple(f"_c{i}" for i in range(width))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    if multiline is None:
+        multiline = has_open_lines(spark, path, sep)
+    if multiline:
+        # Texts with line ends are not to be changed by the parser, each is one record.
+        cells = F.from_csv("text", _ddl(schema), {**options, "multiLine": "true"}).alias("cells")
+        raw = csv_records(spark, path, sep).where("not first").select("file", cells)
+        raw = raw.select("file", "cells.*") if len(found) > 1 else raw.select("cells.*")
+    else:
+        raw = spark.read.options(**options).schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+        raw = raw.select(F.col("_metadata.file_path").alias("file"), "*") if len(found) > 1 else raw
+    if len(found) > 1:
+        number = F.lit(None).cast("int")
+        for i, k in enumerate(kinds):
+            number = F.when(F.col("header") == k["header"], i).otherwise(number)
+        raw = _by_name(raw, known.select("file", number.alias("number")), found)
     text = replace_columns(raw, {c: F.when(~col(c).isin(*NA_TOKENS), col(c)) for c in raw.columns})
     if types is not None:
         return apply_types(text, types)
@@ -165,15 +194,18 @@ def read_csv(
     path: str,
     infer: bool = True,
     types: Mapping[str, str] | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """Comma-separated text with a header in each file; dates stay text.
 
     Files of a folder may order their columns differently or lack some: columns
     are matched by name, in the order in which the files bring them.
 
-    ``types`` skips the inference pass. ``multiline`` allows line ends inside
-    quotes but keeps a file in one task.
+    Line ends inside quotes belong to their cell, and a file with such cells is
+    still read in many tasks: a scan looks for records that go on over a line end,
+    and if there are any, records are put together and written once (see
+    ``records.py``). ``multiline`` says what is known before: True goes there at
+    once, False reads each line as a record. ``types`` skips the inference pass.
     """
     return _read_delimited(spark, path, ",", infer, types, multiline)
 
@@ -183,8 +215,9 @@ def read_tsv(
     path: str,
     infer: bool = True,
     types: Mapping[str, str] | None = None,
-    multiline: bool = False,
+    multiline: bool | None = None,
 ) -> DataFrame:
+    """As :func:`read_csv`, with tabs between cells."""
     return _read_delimited(spark, path, "\t", infer, types, multiline)
 
 
@@ -194,12 +227,14 @@ def json_orientation(spark: SparkSession, path: str) -> str:
     Two lines of one file that are objects each mean lines. A file's only object
     is a column document if its values are objects of the same keys.
     """
-    texts = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
-    lines = texts.filter("value <> ''").head(2)
-    if not lines:
+    # What stands before the first closing bracket is short, whatever the line.
+    top = units(spark, path, "}").select(F.ltrim(F.col("value"), F.lit("\ufeff \t\r\n")).alias("value")).where("value <> ''").head(1)
+    if not top:
         raise EmptyDatasetError("no JSON document")
-    if lines[0]["value"].startswith("["):
+    if top[0]["value"].startswith("["):
         return "records"
+    texts = spark.read.text(path).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
+    lines = texts.filter("value <> ''").head(2)
     first, *others = [_parsed(line["value"]) for line in lines if line["file"] == lines[0]["file"]]
     if first is None:
         return "columns"
@@ -229,31 +264,28 @@ def _one_document_each(spark: SparkSession, path: str) -> None:
 def read_json(spark: SparkSession, path: str, orient: str = "auto") -> DataFrame:
     """An array of records, JSON lines, or a {column: {row: value}} document.
 
-    Only JSON lines split within a file; the other two take one task per file
-    and hold one document in each.
+    Lines and arrays split within a file; the records of arrays are found by a
+    scan and written once as lines (see ``records.py``). A column document takes
+    one task. Arrays and column documents are the only one of their file.
     """
     if orient == "auto":
         orient = json_orientation(spark, path)
     if orient not in ("records", "lines", "columns"):
         raise ValueError("orient: auto, records, lines or columns")
-    if orient != "lines":
-        _one_document_each(spark, path)
     if orient == "columns":
+        _one_document_each(spark, path)
         return _read_json_columns(spark, path)
-    records = spark.read.option("multiLine", orient == "records").json(path)
-    return no_nan(_in_document_order(records, _first_keys(spark, path, orient)))
-
-
-def _first_keys(spark: SparkSession, path: str, orient: str) -> list[str]:
-    """Keys of the first record, in their order."""
-    if orient == "lines":
-        texts = spark.read.text(path).filter(F.trim("value") != "")
-        first = F.col("value")
+    if orient == "records":
+        records, path = array_records(spark, path), fresh_folder(spark, "json-lines")
+        # Between tokens a line end is white space, and inside a string it is not allowed.
+        line = F.regexp_replace("text", r"[\r\n]++", " ").alias("value")
+        records.select(line).write.text(path)
+        texts = records.where("first").select(line)
     else:
-        texts = spark.read.text(path, wholetext=True)
-        first = F.get_json_object("value", "$[0]")
-    found = texts.select(F.json_object_keys(first).alias("keys")).head(1)
-    return list(found[0]["keys"] or []) if found else []
+        texts = spark.read.text(path).filter(F.trim("value") != "")
+    found = texts.select(F.json_object_keys("value").alias("keys")).head(1)
+    keys = list(found[0]["keys"] or []) if found else []
+    return no_nan(_in_document_order(spark.read.json(path), keys))
 
 
 def _in_document_order(df: DataFrame, keys: list[str]) -> DataFrame:
