@@ -111,7 +111,8 @@ def _frame(held: list[tuple]) -> pd.DataFrame:
 
 def repeats(docs: DataFrame, min_run: int = MIN_RUN, average: int = AVERAGE, longest: int = LONGEST) -> DataFrame:
     """(doc_id, version, spans): the runs to take out of each text, as [start, end]."""
-    chunks = publish(chunk_table(docs, average, longest), "chunks")
+    # Texts are cut twice: a written copy of the chunks would take more room than the texts.
+    chunks = chunk_table(docs, average, longest)
     owners = chunks.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     shared = publish(owners.where("owner < last").select("digest", "owner"), "shared")
     found = chunks.join(shared, "digest").where("doc_id > owner").select(
