@@ -297,17 +297,27 @@ def _regions(reps: DataFrame, links: DataFrame, docs: DataFrame, words: int, per
     bits = 8 * (DEPTH - FLOOR)
     keys = _keys(members).select("tree", F.shiftright("key", bits).alias("prefix"), "id")
     placed = publish(keys.join(members.select("id", "comp"), "id"), "placed")
+    # A region's largest component is not compared with itself: its blocks meet those
+    # of the other documents alone, so a group of copies costs rows in proportion.
+    sizes = placed.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"))
     several = (
-        placed.groupBy("tree", "prefix")
-        .agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n"))
-        .where("least < most")
-        .select("tree", "prefix", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    )
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        sizes.groupBy("tree", "prefix")
+        .agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("components"))
+        .where("components > 1")
+        .select(
+            "tree", "prefix", F.col("main.comp").alias("main"),
+            F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("others"),
+            F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"),
+        )
+    )
+    in_main = F.col("comp") == F.col("main")
+    number = F.xxhash64("id")
+    own = F.when(in_main, F.col("others") + F.pmod(number, F.col("mains"))).otherwise(F.pmod(number, F.col("others")))
+    meets = F.col("others") + F.when(in_main, 0).otherwise(F.col("mains"))
     blocks = (
         placed.join(several, ["tree", "prefix"])
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("own", own.cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), (meets - 1).cast("int"))))
         .select(
             "tree", "prefix", "id", "comp",
             F.least("own", "other").alias("x"),

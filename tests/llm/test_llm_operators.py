@@ -589,3 +589,36 @@ def test_pieces_of_odd_rows(docs, nothing):
     out = pieces.decode(pieces.encode(docs)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in out), key=repr) == sorted(((i, (t or "").replace("▁", " ")) for i, t, _ in DOCS), key=repr)
     assert pieces.encode(nothing).count() == 0
+
+
+def test_region_of_one_large_group_and_others(spark):
+    """Many near copies and many unlike documents under the same prefixes: links as by all pairs."""
+    rng = random.Random(31)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 9, 14])):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        rows.append((i, " ".join(words)))
+    sets = [set(map(int, minhash.shingle_set(t, 2))) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            x, y = sorted((root(i), root(j)))
+            parent[y] = x
+    before = minhash.BLOCK
+    try:
+        minhash.BLOCK = 16
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2)
+        found = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    finally:
+        minhash.BLOCK = before
+    assert found == {i: root(i) for i in range(len(rows))}
+    assert len(set(found.values())) > 20
