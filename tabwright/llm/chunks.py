@@ -156,7 +156,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     spans = unused(docs, "spans")
     gone = repeats(only(docs, id_column, text_column), **how)
-    gone = gone.select(F.struct("doc_id", "version").alias("k"), F.col("spans").alias(spans))
+    # Written before the texts are shuffled: what the chunks took on disk is free by then.
+    gone = publish(gone.select(F.struct("doc_id", "version").alias("k"), F.col("spans").alias(spans)), "spans")
     text = docs[f"`{text_column}`"]
     here = (docs[f"`{id_column}`"] == gone["k.doc_id"]) & (F.crc32(text) == gone["k.version"])
     joined = docs.join(gone, here, "left").select(*[docs[f"`{c}`"] for c in docs.columns], gone[spans])
