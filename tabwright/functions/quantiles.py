@@ -255,6 +255,31 @@ def group_quantiles(
     return GroupQuantiles(_from_ranks(ranked, keys, probs, names), counted)
 
 
+#: Smallest and largest size of a sketch, as Spark has it.
+SKETCH = (8, 65535)
+
+
+def sketched_quantiles(
+    df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[float], names: Sequence[str], accuracy: int
+) -> GroupQuantiles:
+    """Quantiles per group from mergeable sketches of ``accuracy`` items (KLL).
+
+    One aggregate: a task sends one sketch for each of its groups, whatever the rows
+    behind it, and no value is shuffled or written. A quantile is a value of the
+    group whose rank is off by about 1.7 / accuracy ** 0.9 of the rows (99 in 100
+    times), 1.4 % at 200. Sketches draw by chance: two runs may differ by as much.
+    ``values`` are the rows themselves, once each.
+    """
+    if not SKETCH[0] <= accuracy <= SKETCH[1]:
+        raise ValueError(f"accuracy has to be from {SKETCH[0]} to {SKETCH[1]}")
+    rows = df.select(*[col(k) for k in keys], number(df, column).alias("__v")).filter("__v is not null")
+    sketch = F.kll_sketch_agg_double("__v", F.lit(accuracy)).alias("__sketch")
+    found = rows.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"), sketch)
+    cells = [F.kll_sketch_get_quantile_double("__sketch", F.lit(float(p))).alias(name) for p, name in zip(probs, names)]
+    table = found.filter("n > 0").select(*[col(k) for k in keys], "n", *cells)
+    return GroupQuantiles(table, rows.withColumn("__n", F.lit(1).cast("bigint")))
+
+
 def _from_ranks(ranked: DataFrame, keys: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     start = F.col("__upto") - F.col("__n")
     aggs, outs = [], []

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col, is_numeric, number, require_columns, require_numeric, value
 from tabwright.functions.counts import value_counts
 from tabwright.functions.joins import join_lookup
-from tabwright.functions.quantiles import group_quantiles
+from tabwright.functions.quantiles import GroupQuantiles, group_quantiles, sketched_quantiles
 from tabwright.operators.features import as_datetime
 from tabwright.operators.profile import correlation_matrix
 
@@ -103,9 +103,17 @@ def _grouped(df: DataFrame, y: str, by: Sequence[str]) -> DataFrame:
     return df.select(*[value(df, c).alias(c) for c in by], number(df, y).alias("__y"))
 
 
-def _fenced(df: DataFrame, y: str, by: Sequence[str], ranges: int | None) -> DataFrame:
+def _quantiles(
+    rows: DataFrame, by: Sequence[str], probs: Sequence[float], names: Sequence[str], ranges: int | None, accuracy: int | None
+) -> GroupQuantiles:
+    if accuracy is not None:
+        return sketched_quantiles(rows, by, "__y", probs, names, accuracy)
+    return group_quantiles(rows, by, "__y", probs, names, ranges)
+
+
+def _fenced(df: DataFrame, y: str, by: Sequence[str], ranges: int | None, accuracy: int | None) -> DataFrame:
     """The counted values with the quartiles and fences of their group."""
-    found = group_quantiles(_grouped(df, y, by), by, "__y", [0.25, 0.5, 0.75], ["q1", "median", "q3"], ranges)
+    found = _quantiles(_grouped(df, y, by), by, [0.25, 0.5, 0.75], ["q1", "median", "q3"], ranges, accuracy)
     fences = found.table.withColumns(
         {
             "lower": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
@@ -115,10 +123,17 @@ def _fenced(df: DataFrame, y: str, by: Sequence[str], ranges: int | None) -> Dat
     return join_lookup(found.values, fences.withColumnRenamed("n", "__size"), by, weight="__size")
 
 
-def box_stats(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
-    """n, quartiles, whiskers and number of outliers per group."""
+def box_stats(
+    df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None = None, accuracy: int | None = None
+) -> DataFrame:
+    """n, quartiles, whiskers and number of outliers per group.
+
+    Quartiles are exact, or with ``accuracy`` those of a sketch of so many items in
+    each group: two scans and no shuffle of values. Whiskers and outliers are exact
+    for the quartiles shown.
+    """
     by = list(by)
-    fenced = _fenced(df, y, by, ranges)
+    fenced = _fenced(df, y, by, ranges, accuracy)
     inside = F.col("__v").between(F.col("lower"), F.col("upper"))
     return (
         fenced.groupBy(*[col(c) for c in by])
@@ -138,10 +153,12 @@ def box_stats(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None
     )
 
 
-def box_outliers(df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
-    """Every value outside its group's fences, with its number of rows."""
+def box_outliers(
+    df: DataFrame, y: str, by: Sequence[str] = (), ranges: int | None = None, accuracy: int | None = None
+) -> DataFrame:
+    """Every value outside its group's fences, with its number of rows; ``accuracy`` as in :func:`box_stats`."""
     by = list(by)
-    outside = _fenced(df, y, by, ranges).filter(~F.col("__v").between(F.col("lower"), F.col("upper")))
+    outside = _fenced(df, y, by, ranges, accuracy).filter(~F.col("__v").between(F.col("lower"), F.col("upper")))
     return outside.groupBy(*[col(c) for c in by], F.col("__v").alias("value")).agg(F.sum("__n").alias("n"))
 
 
@@ -169,21 +186,32 @@ def scatter_points(
     fraction: float | None = None,
     seed: int = 11,
     by: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
-    """The points, or a seeded share of them.
+    """The points, a seeded share of them, or a sample of a stated size.
 
-    The share is taken by a hash of ``by`` (by default of the point itself), so
-    the same rows are chosen whatever the partitions.
+    Share and sample are taken by a hash of ``by`` (by default of the point itself),
+    so the same rows are chosen whatever the partitions. ``rows`` gives so many
+    points of each group (of the whole table without one), those of the smallest
+    hashes: a task sends on at most so many for each group.
     """
     names = list(dict.fromkeys([x, y] + ([group] if group else [])))
     by = list(by) or names
     require_columns(df, [*names, *by])
-    rows = df
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("")) for c in by]).cast("binary"))
+    kept = df
     if fraction is not None:
-        text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit("")) for c in by])
-        place = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-        rows = df.filter(place < fraction)
-    return rows.select(*[value(df, c).alias(c) for c in names])
+        place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+        kept = df.filter(place < fraction)
+    points = [value(df, c).alias(c) for c in names]
+    if rows is None:
+        return kept.select(*points)
+    hashed = kept.select(*points, digest.alias("__place"))
+    order = ["__place", *names]
+    if group is None:
+        return hashed.orderBy(*[col(c) for c in order]).limit(rows).select(*[col(c) for c in names])
+    at = F.row_number().over(Window.partitionBy(col(group)).orderBy(*[col(c) for c in order]))
+    return hashed.withColumn("__at", at).filter(F.col("__at") <= rows).select(*[col(c) for c in names])
 
 
 def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50, group: str | None = None) -> DataFrame:
@@ -216,17 +244,24 @@ def ols_trend(df: DataFrame, x: str, y: str, group: str | None = None) -> DataFr
 
 
 def violin_density(
-    df: DataFrame, y: str, by: Sequence[str] = (), points: int = 100, bins: int = 512, ranges: int | None = None
+    df: DataFrame,
+    y: str,
+    by: Sequence[str] = (),
+    points: int = 100,
+    bins: int = 512,
+    ranges: int | None = None,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """by, point, at, density: a Gaussian kernel over fine bin counts per group.
 
     Bandwidth 1.059 min(deviation, IQR / 1.349) n^-0.2; the grid reaches two
-    bandwidths beyond the data. A group without spread has no density.
+    bandwidths beyond the data. A group without spread has no density. With
+    ``accuracy`` the IQR comes from a sketch of so many items in each group.
     """
     by = list(by)
     keys = [col(c) for c in by]
     rows = _grouped(df, y, by).filter("__y is not null")
-    found = group_quantiles(rows, by, "__y", [0.25, 0.75], ["__q1", "__q3"], ranges)
+    found = _quantiles(rows, by, [0.25, 0.75], ["__q1", "__q3"], ranges, accuracy)
     moments = rows.groupBy(*keys).agg(
         F.min("__y").alias("__a"), F.max("__y").alias("__b"), F.stddev_samp("__y").alias("__sd"), F.count("__y").alias("__size")
     )

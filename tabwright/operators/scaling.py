@@ -69,23 +69,27 @@ def minmax_scale(df: DataFrame, columns: Sequence[str] | None = None, exclude: S
     return apply_scale(df, fit_scale(df, "minmax", columns, exclude))
 
 
+#: Values of a column that the dense form takes at most.
+MAX_CATEGORIES = 1000
+
+
 def fit_one_hot(
-    df: DataFrame, columns: Sequence[str] | None = None, max_categories: int | None = None
+    df: DataFrame, columns: Sequence[str] | None = None, max_categories: int = MAX_CATEGORIES
 ) -> dict[str, list[str]]:
     """Sorted values per text column, each a column of the result's schema.
 
-    ``max_categories`` raises on columns of more values before they are fetched.
+    Columns of more than ``max_categories`` values raise before any is fetched;
+    :func:`one_hot_sparse` encodes those.
     """
     names = chosen(df, columns, text_columns(df))
     if not names:
         return {}
     found: dict[str, list[str]] = {c: [] for c in names}
     values = long_counts(df, names).select("column", "value")
-    if max_categories is not None:
-        many = values.groupBy("column").count().filter(F.col("count") > max_categories)
-        wide = sorted(r["column"] for r in many.select("column").collect())
-        if wide:
-            raise ValueError(f"more than {max_categories} values in: {', '.join(wide)}")
+    many = values.groupBy("column").count().filter(F.col("count") > max_categories)
+    wide = sorted(r["column"] for r in many.select("column").collect())
+    if wide:
+        raise ValueError(f"more than {max_categories} values in: {', '.join(wide)}; one_hot_sparse takes them")
     for r in values.collect():
         found[r["column"]].append(r["value"])
     return {c: sorted(v) for c, v in found.items()}
@@ -110,7 +114,7 @@ def one_hot(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     drop_first: bool = False,
-    max_categories: int | None = None,
+    max_categories: int = MAX_CATEGORIES,
 ) -> DataFrame:
     return apply_one_hot(df, fit_one_hot(df, columns, max_categories), drop_first)
 
@@ -150,3 +154,25 @@ def apply_label_codes(df: DataFrame, codes: Mapping[str, DataFrame]) -> DataFram
 
 def label_encode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return apply_label_codes(df, fit_label_codes(df, columns))
+
+
+def one_hot_sparse(
+    df: DataFrame, columns: Sequence[str] | None = None, drop_first: bool = False, ranges: int | None = None
+) -> DataFrame:
+    """Indicators of text columns of any number of values, one vector a column.
+
+    Each source column becomes ``{column}_hot``: size (values of the column, less one
+    with ``drop_first``) and indices (the place of the row's value among the sorted
+    ones; none for a missing value, and for the first one with ``drop_first``). Codes
+    are joined as in :func:`label_encode`: no value reaches the driver.
+    """
+    codes = fit_label_codes(df, columns, ranges)
+    coded = apply_label_codes(df, codes)
+    first = int(drop_first)
+    hot = []
+    for c, table in codes.items():
+        size = max(table.count() - first, 0)
+        place = col(c).cast("bigint") - first
+        indices = F.when(place >= 0, F.array(place)).otherwise(F.array().cast("array<bigint>"))
+        hot.append(F.struct(F.lit(size).cast("bigint").alias("size"), indices.alias("indices")).alias(f"{c}_hot"))
+    return coded.select(*[col(c) for c in df.columns if c not in codes], *hot)

@@ -122,6 +122,23 @@ def _(spark, sf):
     return _rounded(boxes, "q1", "median", "q3", "whisker_low", "whisker_high", digits=3)
 
 
+@query(
+    "box_stats_sketch",
+    f"""with {_SKEWED}
+    select l_returnflag, l_linestatus, count(*) as n, true as q1_near, true as median_near, true as q3_near from t group by 1, 2""",
+)
+def _(spark, sf):
+    """Quartiles from sketches, each with whether its rank is within a hundredth of the rows."""
+    keys = ["l_returnflag", "l_linestatus"]
+    rows = _skewed(spark, sf)
+    boxes = charts.box_stats(rows, "v", keys, accuracy=1000)
+    near = {}
+    for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        below, upto = F.avg((F.col("v") < F.col(name)).cast("int")), F.avg((F.col("v") <= F.col(name)).cast("int"))
+        near[name] = ((below <= share + 0.01) & (upto >= share - 0.01)).alias(f"{name}_near")
+    return rows.join(boxes, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *near.values())
+
+
 @query(
     "box_outliers",
     f"""with {_SKEWED}, {_BOXES}
@@ -158,6 +175,18 @@ def _(spark, sf):
     return charts.scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", fraction=0.01, by=key)
 
 
+@query(
+    "scatter_rows",
+    """select l_returnflag, l_quantity, l_extendedprice from lineitem
+    qualify row_number() over (partition by l_returnflag
+        order by md5('11|' || l_orderkey || '|' || l_linenumber), l_quantity, l_extendedprice) <= 500""",
+)
+def _(spark, sf):
+    """Five hundred points of each flag, by a hash of the row's key."""
+    key = ["l_orderkey", "l_linenumber"]
+    return charts.scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag", by=key, rows=500)
+
+
 @query(
     "scatter_grid",
     f"""with e as (select min(l_quantity) as xa, max(l_quantity) as xb, min(l_extendedprice) as ya, max(l_extendedprice) as yb from lineitem)

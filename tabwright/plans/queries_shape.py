@@ -140,6 +140,24 @@ def _(spark, sf):
     return scaling.one_hot(df)
 
 
+@query(
+    "one_hot_sparse",
+    """with c as (select p_name, dense_rank() over (order by p_name) - 1 as code from (select distinct p_name from part)),
+    d as (select p_brand, dense_rank() over (order by p_brand) - 2 as code from (select distinct p_brand from part))
+    select p_partkey, (select count(*) from c) as names, c.code as name, (select count(*) - 1 from d) as brands,
+    case when d.code >= 0 then d.code end as brand from part join c using (p_name) join d using (p_brand)""",
+)
+def _(spark, sf):
+    """Indicators of names, too many for columns, and of brands less the first."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
+    hot = scaling.one_hot_sparse(scaling.one_hot_sparse(parts, ["p_name"]), ["p_brand"], drop_first=True)
+    at = lambda c: F.get(F.col(f"{c}_hot.indices"), F.lit(0))
+    return hot.select(
+        "p_partkey", F.col("p_name_hot.size").alias("names"), at("p_name").alias("name"),
+        F.col("p_brand_hot.size").alias("brands"), at("p_brand").alias("brand"),
+    )
+
+
 @query(
     "label_encode",
     with_more(

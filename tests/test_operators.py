@@ -370,3 +370,61 @@ def test_recipe_round_trip(odd):
     assert again.run(odd).columns == ["id", "name", "v", "flag", "money", "v_log"]
     with pytest.raises(ValueError):
         Recipe([("no_such_step", {})])
+
+
+def test_sketched_boxes(spark):
+    import random
+
+    import numpy as np
+
+    from tabwright.operators import charts
+
+    rng = random.Random(2)
+    data = [(g, rng.lognormvariate(0, 1.5)) for g in ("a", "b", None) for _ in range(4000)] + [("a", None), ("c", None), ("b", float("nan"))]
+    df = spark.createDataFrame(data, "g string, v double").repartition(7)
+    exact = {r["g"]: r for r in charts.box_stats(df, "v", ["g"]).collect()}
+    found = {r["g"]: r for r in charts.box_stats(df, "v", ["g"], accuracy=800).collect()}
+    assert set(found) == set(exact) == {"a", "b", None}
+    for g, r in found.items():
+        values = np.array([v for k, v in data if k == g and v is not None and v == v])
+        assert r["n"] == exact[g]["n"] == len(values)
+        for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            assert abs((values <= r[name]).mean() - share) < 0.02
+        low, high = r["q1"] - 1.5 * (r["q3"] - r["q1"]), r["q3"] + 1.5 * (r["q3"] - r["q1"])
+        assert r["outliers"] == ((values < low) | (values > high)).sum()
+        assert r["whisker_high"] == values[values <= high].max()
+    far = charts.box_outliers(df, "v", ["g"], accuracy=800).groupBy("g").sum("n").collect()
+    # Another run draws another sketch.
+    assert all(abs(r[1] - found[r[0]]["outliers"]) < 0.02 * found[r[0]]["n"] for r in far) and len(far) == 3
+    curve = charts.violin_density(df.filter("g = 'a'"), "v", ["g"], accuracy=800).collect()
+    assert len(curve) == 100 and all(r["density"] >= 0 for r in curve)
+    assert charts.box_stats(df, "v", accuracy=100).first()["n"] == 12000
+    with pytest.raises(ValueError):
+        charts.box_stats(df, "v", accuracy=1)
+
+
+def test_samples_of_a_stated_size(spark):
+    from tabwright.operators import charts
+
+    df = spark.range(3000).selectExpr("id as k", "id % 50 * 1.0 as x", "id % 7 * 1.0 as y", "case when id % 3 > 0 then id % 3 end as g")
+    one = charts.scatter_points(df.repartition(9), "x", "y", "g", by=["k"], rows=40)
+    two = charts.scatter_points(df.repartition(2, "x"), "x", "y", "g", by=["k"], rows=40)
+    assert sorted(one.collect(), key=repr) == sorted(two.collect(), key=repr)
+    assert {r["g"]: r["count"] for r in one.groupBy("g").count().collect()} == {None: 40, 1: 40, 2: 40}
+    whole = charts.scatter_points(df, "x", "y", by=["k"], rows=100)
+    assert whole.count() == 100 and whole.columns == ["x", "y"]
+    assert charts.scatter_points(df, "x", "y", rows=10_000).count() == 3000
+
+
+def test_sparse_indicators(spark):
+    from tabwright.operators import scaling
+
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "c"), (5, "a")], "k long, t string")
+    rows = {r["k"]: (r["t_hot"]["size"], r["t_hot"]["indices"]) for r in scaling.one_hot_sparse(df).collect()}
+    assert rows == {1: (3, [1]), 2: (3, []), 3: (3, [0]), 4: (3, [2]), 5: (3, [0])}
+    rows = {r["k"]: (r["t_hot"]["size"], r["t_hot"]["indices"]) for r in scaling.one_hot_sparse(df, ["t"], drop_first=True).collect()}
+    assert rows == {1: (2, [0]), 2: (2, []), 3: (2, []), 4: (2, [1]), 5: (2, [])}
+    wide = spark.range(1200).selectExpr("cast(id as string) as t")
+    with pytest.raises(ValueError, match="one_hot_sparse"):
+        scaling.one_hot(wide)
+    assert scaling.one_hot_sparse(wide).selectExpr("max(t_hot.size)").first()[0] == 1200
