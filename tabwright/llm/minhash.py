@@ -297,20 +297,21 @@ def _regions(reps: DataFrame, links: DataFrame, docs: DataFrame, words: int, per
     bits = 8 * (DEPTH - FLOOR)
     keys = _keys(members).select("tree", F.shiftright("key", bits).alias("prefix"), "id")
     placed = publish(keys.join(members.select("id", "comp"), "id"), "placed")
-    # A region's largest component is not compared with itself: its blocks meet those
-    # of the other documents alone, so a group of copies costs rows in proportion.
+    # A region's largest component, if it fills a block, is not compared with itself: its
+    # blocks meet those of the other documents alone, so copies cost rows in proportion.
     sizes = placed.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"))
     several = (
         sizes.groupBy("tree", "prefix")
         .agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("components"))
         .where("components > 1")
+        .withColumn("main", F.when(F.col("main.n") >= BLOCK, F.col("main")).otherwise(F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("comp"))))
         .select(
             "tree", "prefix", F.col("main.comp").alias("main"),
             F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("others"),
             F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"),
         )
     )
-    in_main = F.col("comp") == F.col("main")
+    in_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
     number = F.xxhash64("id")
     own = F.when(in_main, F.col("others") + F.pmod(number, F.col("mains"))).otherwise(F.pmod(number, F.col("others")))
     meets = F.col("others") + F.when(in_main, 0).otherwise(F.col("mains"))
