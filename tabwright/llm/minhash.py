@@ -9,14 +9,20 @@ and one of them, the representative, goes on.
   neighbours, the likelier they are alike. The sort is a range partitioning on
   (tree, key), so no prefix, however common, lands in one task.
 * First pass: neighbours in every tree, from the deepest common prefix down.
-  Each document's best neighbour is verified on the full sets; the links found
-  join documents to components.
+  Each component's best neighbour is verified on the full sets and the links
+  found join components, in steps, as long as many of them are found.
 * Second pass: the walk towards the root goes on, region by region, only where
   a region (documents with a common prefix in a tree) still holds several
-  components, and ends at the floor of ``FLOOR`` minima. There all pairs of
+  components, and ends at the floor of ``FLOOR`` minima. There pairs of
   different components are compared by signature inside the task, block by
   block; those that may be alike are verified on their full sets and only the
   links that join components leave the task.
+* A region with more than ``BLOCK`` documents outside its largest component is
+  crowded, and is parted by further minima until its parts are not. When the
+  links found there have joined components, what is still crowded at the floor
+  meets by what is rare instead: two sets that are alike share one of the rarest
+  n - ceil(0.8 n) + 1 shingles of each, in any order that is the same for all
+  (prefix filter). This loses no pair, and what a region shares is seldom rare.
 
 Two documents of similarity 0.8 miss a region in all trees with a probability
 of (1 - 0.8**FLOOR)**TREES, 5e-9, as no two trees' floors share a minimum; nothing
@@ -44,10 +50,14 @@ HASHES = TREES * FLOOR
 #: Signatures that agree in a smaller share are not verified: at a similarity of
 #: 0.8 that has a probability of about 4e-13 (144 of 240 draws, 7.7 deviations).
 LIKELY = 0.6
-#: Steps of the first pass.
-ROUNDS = 2
+#: The first pass goes on while a step finds a link for such a share of the pairs that it tests.
+FRUITFUL = 0.1
 #: Documents compared with each other at once.
 BLOCK = 512
+#: Counters of shingles, by hash; they set only the order in which shingles count as rare.
+COUNTERS = 2**18
+#: Stands for the tree of a region that shares a rare shingle.
+RARE = -1
 WORDS = 5
 SIMILARITY = 80
 
@@ -168,13 +178,13 @@ def _best(pairs: DataFrame) -> DataFrame:
 
 
 def _grown(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links that join neighbours to components, in ROUNDS steps.
+    """Links that join neighbours to components, in steps.
 
-    Each step verifies the likeliest untested pair of every component, so what
-    it finds at least halves the components that have a link to find.
+    Each step verifies the likeliest untested pair of every component. What the
+    steps leave when they end is the second pass's to find.
     """
     links = tested = roots = None
-    for _ in range(ROUNDS):
+    while True:
         left = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         if roots is None:
             left = left.withColumns({"x": F.col("a"), "y": F.col("b")})
@@ -185,10 +195,11 @@ def _grown(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
             left = left.where("x <> y")
         best = publish(_best(left), "best")
         tested = best if tested is None else publish(tested.unionByName(best), "tested")
-        found = _verified(best, texts, words, percent).distinct()
-        links = publish(found if links is None else links.unionByName(found), "links")
+        found = publish(_verified(best, texts, words, percent).distinct(), "found")
+        links = found if links is None else publish(links.unionByName(found), "links")
+        if found.count() <= FRUITFUL * best.count():
+            return links
         roots = connected(links)
-    return links
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -230,6 +241,12 @@ def _signatures(group: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(group.sig), np.uint8).reshape(len(group), HASHES)
 
 
+def _tree(group: pd.DataFrame) -> int:
+    """The tree of a region of any depth; RARE for one that shares a rare shingle."""
+    tree = int(group.tree.iloc[0])
+    return tree if tree == RARE else tree % TREES
+
+
 def _likely(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, tree: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a block that may be alike and first meet in this tree."""
     rows, columns = [], []
@@ -239,8 +256,9 @@ def _likely(sig: np.ndarray, comp: np.ndarray, side: np.ndarray, tree: int, acro
         later = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((side[i + 1 :] == 1) if across else True)) + i + 1
         same = sig[later] == sig[i]
         later, same = later[ok := same.mean(1) >= LIKELY], same[ok]
-        if len(later) and tree:
-            # A pair that shares the floor in an earlier tree is that tree's to test.
+        if len(later) and tree > 0:
+            # A pair that shares the floor in an earlier tree is that tree's to test, or,
+            # if the region there is crowded, one of those that meet by rare shingles.
             later = later[~same[:, _ORDERS[:tree, :FLOOR]].all(2).any(1)]
         rows.append(np.full(len(later), i)), columns.append(later)
     return (np.concatenate(rows), np.concatenate(columns)) if rows else (np.zeros(0, int), np.zeros(0, int))
@@ -252,7 +270,7 @@ _REGION = ["tree", "prefix", "x", "y"]
 def _flagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for group in grouped(batches, _REGION):
         across = group.x.iloc[0] != group.y.iloc[0]
-        i, j = _likely(_signatures(group), group.comp.to_numpy(), group.side.to_numpy(), int(group.tree.iloc[0]), across)
+        i, j = _likely(_signatures(group), group.comp.to_numpy(), group.side.to_numpy(), _tree(group), across)
         if len(i):
             yield group.iloc[np.unique(np.concatenate([i, j]))]
 
@@ -262,7 +280,7 @@ def _linked(words: int, percent: int):
         for group in grouped(batches, _REGION):
             across = group.x.iloc[0] != group.y.iloc[0]
             comp = group.comp.to_numpy()
-            i, j = _likely(_signatures(group), comp, group.side.to_numpy(), int(group.tree.iloc[0]), across)
+            i, j = _likely(_signatures(group), comp, group.side.to_numpy(), _tree(group), across)
             parent = {c: c for c in comp.tolist()}
 
             def root(c: int) -> int:
@@ -289,33 +307,34 @@ def _linked(words: int, percent: int):
     return link
 
 
-def _regions(reps: DataFrame, links: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between components, by their smallest ids, that still meet in a region of some tree."""
-    spark = reps.sparkSession
-    members = reps.join(docs.select(F.col("doc_id").alias("id")).distinct(), "id").join(connected(links), "id", "left")
-    members = publish(members.select("id", "sig", F.coalesce("root", "id").alias("comp")), "members")
-    bits = 8 * (DEPTH - FLOOR)
-    keys = _keys(members).select("tree", F.shiftright("key", bits).alias("prefix"), "id")
-    placed = publish(keys.join(members.select("id", "comp"), "id"), "placed")
-    # A region's largest component, if it fills a block, is not compared with itself: its
-    # blocks meet those of the other documents alone, so copies cost rows in proportion.
+def _several(placed: DataFrame) -> DataFrame:
+    """(tree, prefix, main, others, mains) of the regions that hold several components.
+
+    A region's largest component, if it fills a block, is not compared with itself: its
+    blocks meet those of the other documents alone, so copies cost rows in proportion.
+    """
     sizes = placed.groupBy("tree", "prefix", "comp").agg(F.count("*").alias("n"))
-    several = (
+    fills = F.col("most.n") >= BLOCK
+    return (
         sizes.groupBy("tree", "prefix")
-        .agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("components"))
+        .agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("components"))
         .where("components > 1")
-        .withColumn("main", F.when(F.col("main.n") >= BLOCK, F.col("main")).otherwise(F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("comp"))))
+        .withColumns({"main": F.when(fills, F.col("most.comp")), "held": F.when(fills, F.col("most.n")).otherwise(0)})
         .select(
-            "tree", "prefix", F.col("main.comp").alias("main"),
-            F.ceil((F.col("n") - F.col("main.n")) / BLOCK).cast("int").alias("others"),
-            F.ceil(F.col("main.n") / BLOCK).cast("int").alias("mains"),
+            "tree", "prefix", "main",
+            F.ceil((F.col("n") - F.col("held")) / BLOCK).cast("int").alias("others"),
+            F.ceil(F.col("held") / BLOCK).cast("int").alias("mains"),
         )
     )
+
+
+def _blocks(placed: DataFrame, several: DataFrame) -> DataFrame:
+    """Each document of a region once for every pair of blocks that it takes part in."""
     in_main = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
     number = F.xxhash64("id")
     own = F.when(in_main, F.col("others") + F.pmod(number, F.col("mains"))).otherwise(F.pmod(number, F.col("others")))
     meets = F.col("others") + F.when(in_main, 0).otherwise(F.col("mains"))
-    blocks = (
+    return (
         placed.join(several, ["tree", "prefix"])
         .withColumn("own", own.cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), (meets - 1).cast("int"))))
@@ -326,13 +345,105 @@ def _regions(reps: DataFrame, links: DataFrame, docs: DataFrame, words: int, per
             (F.col("own") > F.col("other")).cast("int").alias("side"),
         )
     )
+
+
+def _shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How often shingles occur, added up in COUNTERS counters by their hash."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(COUNTERS, np.int64)
+        for part in batches:
+            for text in part.text:
+                np.add.at(total, (shingle_set(text, words) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        slot = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": slot, "n": total[slot]})
+
+    counted = texts.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    out, rows = np.zeros(COUNTERS, np.int64), counted.toPandas()  # bounded: COUNTERS rows
+    out[rows.slot.to_numpy()] = rows.n.to_numpy()
+    return out
+
+
+def _by_rare(crowd: DataFrame, words: int, percent: int) -> DataFrame:
+    """(tree, prefix, id, comp): the rarest shingles of (id, comp, text), as many as pairs that are alike must share one of."""
+    shipped = crowd.sparkSession.sparkContext.broadcast(_shingle_counts(crowd, words))  # COUNTERS numbers
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found, sizes = [], []
+            for text in part.text:
+                s = shingle_set(text, words)
+                order = np.lexsort((s, shipped.value[(s % np.uint64(COUNTERS)).astype(np.int64)]))
+                found.append(s[order[: len(s) + percent * len(s) // -100 + 1]])
+                sizes.append(len(found[-1]))
+            if found:
+                prefix = np.concatenate(found).view(np.int64)
+                yield pd.DataFrame(
+                    {"tree": RARE, "prefix": prefix, "id": np.repeat(part.id.to_numpy(), sizes), "comp": np.repeat(part.comp.to_numpy(), sizes)}
+                )
+
+    return crowd.select("id", "comp", "text").mapInPandas(rarest, "tree int, prefix long, id long, comp long")
+
+
+def _walked(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of all regions that are not crowded, and the regions crowded at the floor.
+
+    A region crowded at one depth is parted by its next minimum, down to all DEPTH of them;
+    (tree, depth) goes as one number, whose remainder by TREES is the tree.
+    """
+    left, blocks, floor = placed, None, None
+    for depth in range(FLOOR, DEPTH + 1):
+        code = (F.col("tree") % TREES + TREES * (depth - FLOOR)).cast("int")
+        left = left.withColumns({"tree": code, "prefix": F.shiftright("key", 8 * (DEPTH - depth))})
+        regions = publish(_several(left), "regions")
+        here = _blocks(left, regions.where("others = 1"))
+        blocks = here if blocks is None else blocks.unionByName(here)
+        crowded = regions.where("others > 1").select("tree", "prefix")
+        floor = crowded if floor is None else floor
+        if crowded.isEmpty():
+            break
+        left = left.join(crowded, ["tree", "prefix"], "left_semi")
+    return blocks, floor
+
+
+def _compared(blocks: DataFrame, members: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between the components, by their smallest ids, that meet in blocks."""
+    parts = parts_for(blocks.sparkSession)
     kinds = "tree int, prefix long, id long, comp long, x int, y int, side int, sig binary"
     dealt = blocks.join(members.select("id", "sig"), "id").select(*[c.split()[0] for c in kinds.split(", ")])
-    dealt = dealt.repartition(parts_for(spark), *_REGION).sortWithinPartitions(*_REGION, "side", "id")
+    dealt = dealt.repartition(parts, *_REGION).sortWithinPartitions(*_REGION, "side", "id")
     flagged = publish(dealt.mapInPandas(_flagged, kinds), "flagged")
     full = flagged.join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
-    full = full.repartition(parts_for(spark), *_REGION).sortWithinPartitions(*_REGION, "side", "id")
-    return full.mapInPandas(_linked(words, percent), "a long, b long")
+    full = full.repartition(parts, *_REGION).sortWithinPartitions(*_REGION, "side", "id")
+    return publish(full.mapInPandas(_linked(words, percent), "a long, b long").distinct(), "more")
+
+
+def _in_components(frame: DataFrame, links: DataFrame) -> DataFrame:
+    return frame.join(connected(links), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+
+def _regions(reps: DataFrame, links: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links and those between components that still meet in a region of some tree."""
+    members = reps.join(docs.select(F.col("doc_id").alias("id")).distinct(), "id")
+    members = publish(_in_components(members, links), "members")
+    keys = _keys(members).withColumn("prefix", F.shiftright("key", 8 * (DEPTH - FLOOR)))
+    placed = publish(keys.join(members.select("id", "comp"), "id"), "placed")
+    blocks, crowded = _walked(placed)
+    links = links.unionByName(_compared(blocks, members, docs, words, percent))
+    if crowded.isEmpty():
+        return links
+    # What the walk has joined may leave room in these regions; in the others rare shingles decide.
+    left = placed.join(crowded, ["tree", "prefix"], "left_semi").select("tree", "prefix", "id")
+    left = publish(_in_components(left, links), "placed")
+    regions = publish(_several(left), "regions")
+    blocks = _blocks(left, regions.where("others = 1"))
+    crowded = regions.where("others > 1")
+    if not crowded.isEmpty():
+        ids = left.join(crowded, ["tree", "prefix"], "left_semi").select("id", "comp").distinct()
+        crowd = publish(ids.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), "crowd")
+        rare = publish(_by_rare(crowd, words, percent), "rare")
+        blocks = blocks.unionByName(_blocks(rare, _several(rare)))
+    return links.unionByName(_compared(blocks, members, docs, words, percent))
 
 
 def near_duplicates(
@@ -371,8 +482,7 @@ def near_duplicates(
     met = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     texts = publish(rows.join(met, "doc_id", "left_semi"), "texts")
     links = _grown(pairs, texts, words, percent)
-    more = publish(_regions(reps, links, texts, words, percent).distinct(), "links")
-    roots = connected(links.unionByName(more))
+    roots = connected(_regions(reps, links, texts, words, percent))
     members = (
         filled.join(classes, ["n", "d1", "d2"])
         .join(roots, "id", "left")
