@@ -51,7 +51,7 @@ HASHES = TREES * FLOOR
 #: 0.8 that has a probability of about 4e-13 (144 of 240 draws, 7.7 deviations).
 LIKELY = 0.6
 #: The first pass goes on while a step finds a link for such a share of the pairs that it tests.
-FRUITFUL = 0.1
+FRUITFUL = 0.2
 #: Documents compared with each other at once.
 BLOCK = 512
 #: Counters of shingles, by hash; they set only the order in which shingles count as rare.
@@ -209,6 +209,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
         for left, right in batches:
             yield pd.Series([alike(shingle_set(x, words), shingle_set(y, words), percent) for x, y in zip(left, right)], dtype=bool)
 
+    # Texts that are in no pair stay out of the shuffle.
+    used = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    docs = docs.join(used, "doc_id", "left_semi")
     left = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = docs.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").where(F.pandas_udf(test, "boolean")("ta", "tb")).select("a", "b")
@@ -388,11 +391,11 @@ def _by_rare(crowd: DataFrame, words: int, percent: int) -> DataFrame:
 def _walked(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks of all regions that are not crowded, and the regions crowded at the floor.
 
-    A region crowded at one depth is parted by its next minimum, down to all DEPTH of them;
-    (tree, depth) goes as one number, whose remainder by TREES is the tree.
+    A region crowded at the floor is parted by all DEPTH minima of its tree; (tree, depth)
+    goes as one number, whose remainder by TREES is the tree.
     """
     left, blocks, floor = placed, None, None
-    for depth in range(FLOOR, DEPTH + 1):
+    for depth in (FLOOR, DEPTH):
         code = (F.col("tree") % TREES + TREES * (depth - FLOOR)).cast("int")
         left = left.withColumns({"tree": code, "prefix": F.shiftright("key", 8 * (DEPTH - depth))})
         regions = publish(_several(left), "regions")
@@ -423,9 +426,11 @@ def _in_components(frame: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _regions(reps: DataFrame, links: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links and those between components that still meet in a region of some tree."""
-    members = reps.join(docs.select(F.col("doc_id").alias("id")).distinct(), "id")
-    members = publish(_in_components(members, links), "members")
+    """The links and those between components that still meet in a region of some tree.
+
+    reps are the representatives that have a neighbour.
+    """
+    members = publish(_in_components(reps, links), "members")
     keys = _keys(members).withColumn("prefix", F.shiftright("key", 8 * (DEPTH - FLOOR)))
     placed = publish(keys.join(members.select("id", "comp"), "id"), "placed")
     blocks, crowded = _walked(placed)
@@ -480,8 +485,10 @@ def near_duplicates(
     pairs = publish(_neighbour_pairs(_keys(reps)).groupBy("a", "b").agg(F.sum("lcp").alias("lcp")), "pairs")
     # From here on only documents with a neighbour take part.
     met = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    met = publish(met, "met")
     texts = publish(rows.join(met, "doc_id", "left_semi"), "texts")
     links = _grown(pairs, texts, words, percent)
+    reps = reps.join(met.withColumnRenamed("doc_id", "id"), "id", "left_semi")
     roots = connected(_regions(reps, links, texts, words, percent))
     members = (
         filled.join(classes, ["n", "d1", "d2"])
