@@ -31,8 +31,11 @@ SMOOTHING = 0.05
 UNKNOWN = 1e-7
 #: Words in a table of their sums; a Python worker keeps two tables.
 CACHED_WORDS = 200_000
-#: Longer runs of letters are cut, so that one line without blanks is no lattice of its own.
-LONGEST_WORD = 48
+#: Letters of the words that a table of sums may hold.
+CACHED_LETTERS = 2**25
+#: Longer words, and those with smaller sums, are summed one by one in logarithms.
+TOGETHER = 48
+TINY = 1e-280
 UNDETERMINED = "und"
 #: A document stays in the pipeline with a known language of at least this posterior.
 CONFIDENT = 0.5
@@ -42,10 +45,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters of the whole text."""
-    found = _WORD.findall(text.lower()) if text else []
-    if any(len(w) > LONGEST_WORD for w in found):
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+    return _WORD.findall(text.lower()) if text else []
 
 
 @dataclass(frozen=True)
@@ -159,14 +159,47 @@ def _back_sums(words: Sequence[str], edges: tuple[np.ndarray, ...], p: np.ndarra
     return beta
 
 
+def _log_sums(word: str, edges: tuple[np.ndarray, ...], logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the forward sums [place, language] of one word, of any length."""
+    _, begin, end, piece = edges
+    alpha = np.full((len(word) + 2, logs.shape[1]), -np.inf)
+    alpha[0] = 0.0
+    cuts = np.searchsorted(end, np.arange(len(word) + 3))
+    for e in range(1, len(word) + 2):
+        at = slice(cuts[e], cuts[e + 1])
+        alpha[e] = np.logaddexp.reduce(alpha[begin[at]] + logs[piece[at]], axis=0)
+    return alpha
+
+
+def _back_log_sums(word: str, edges: tuple[np.ndarray, ...], logs: np.ndarray) -> np.ndarray:
+    """Logarithms of the backward sums [place, language] of one word, of any length."""
+    order = np.argsort(edges[1], kind="stable")
+    _, begin, end, piece = (x[order] for x in edges)
+    beta = np.full((len(word) + 2, logs.shape[1]), -np.inf)
+    beta[-1] = 0.0
+    cuts = np.searchsorted(begin, np.arange(len(word) + 3))
+    for b in range(len(word), -1, -1):
+        at = slice(cuts[b], cuts[b + 1])
+        beta[b] = np.logaddexp.reduce(beta[end[at]] + logs[piece[at]], axis=0)
+    return beta
+
+
 def log_likelihoods(words: Sequence[str], lattice: Lattice, p: np.ndarray, block: int = 4096) -> np.ndarray:
     """log of the marginal of each word under each language."""
-    out = np.zeros((len(words), p.shape[1]), np.float32)
-    for at in range(0, len(words), block):
-        part = words[at : at + block]
+    out = np.zeros((len(words), p.shape[1]))
+    alone = np.array([len(w) > TOGETHER for w in words], bool)
+    short = np.flatnonzero(~alone)
+    for at in range(0, len(short), block):
+        index = short[at : at + block]
+        part = [words[i] for i in index]
         alpha = _sums(part, lattice.edges(part), p)
         last = alpha[[len(w) + 1 for w in part], np.arange(len(part))]
-        out[at : at + len(part)] = np.log(np.maximum(last, 1e-300))
+        out[index] = np.log(np.maximum(last, TINY))
+        alone[index] = last.min(axis=1, initial=1.0) < TINY
+    with np.errstate(divide="ignore"):
+        logs = np.log(p)
+    for i in np.flatnonzero(alone):
+        out[i] = _log_sums(words[i], lattice.edges([words[i]]), logs)[-1]
     return out
 
 
@@ -196,11 +229,12 @@ class Labeller:
         self.older, self.older_rows = {}, self.rows[:0]
 
     def _table(self, rows: int) -> np.ndarray:
-        return np.zeros((rows, len(self.model.languages)), np.float32)
+        self.letters = 0
+        return np.zeros((rows, len(self.model.languages)))
 
     def _learn(self, words: set[str]) -> None:
         fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > len(self.rows):
+        if len(self.known) + len(fresh) > len(self.rows) or self.letters > CACHED_LETTERS:
             self.older, self.older_rows = self.known, self.rows
             self.known, self.rows, fresh = {}, self._table(max(CACHED_WORDS, len(words))), list(words)
         old = [w for w in fresh if w in self.older]
@@ -213,6 +247,7 @@ class Labeller:
                 at = len(self.known)
                 self.rows[at : at + len(part)] = values()
                 self.known.update(zip(part, range(at, at + len(part))))
+                self.letters += sum(map(len, part))
 
     def label(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = []
@@ -220,7 +255,7 @@ class Labeller:
         for text in texts:
             found = words_of(text)
             block.append(found)
-            held += len(found)
+            held += max(len(found), len(text or "") // 32)
             if held > CACHED_WORDS // 4:
                 out += self._block(block)
                 block, held = [], 0
@@ -234,7 +269,7 @@ class Labeller:
                 out.append((UNDETERMINED, 0.0))
                 continue
             at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            total = self.rows[at].astype(float).sum(0) + self.model.priors
+            total = self.rows[at].sum(0) + self.model.priors
             share = np.exp(total - total.max())
             best = int(share.argmax())
             out.append((self.model.languages[best], float(share[best] / share.sum())))
@@ -307,15 +342,26 @@ def _expected(counts: DataFrame, vocabulary: Vocabulary, languages: tuple[str, .
         for part in batches:
             for lang, rows in part.groupby("lang"):
                 k = index[lang]
+                one = p[:, k : k + 1]
+                short = rows.word.str.len() <= TOGETHER
+                alone = list(zip(rows.word[~short], rows.n[~short]))
+                rows = rows[short]
                 for at in range(0, len(rows), 4096):
                     words, n = rows.word.iloc[at : at + 4096].tolist(), rows.n.iloc[at : at + 4096].to_numpy(float)
-                    one = p[:, k : k + 1]
                     edges = lattice.edges(words)
                     alpha, beta = _sums(words, edges, one)[..., 0], _back_sums(words, edges, one)[..., 0]
                     which, begin, end, piece = edges
                     whole = alpha[[len(w) + 1 for w in words], np.arange(len(words))]
-                    post = alpha[begin, which] * one[piece, 0] * beta[end, which] / np.maximum(whole[which], 1e-300)
+                    alone += [(words[i], n[i]) for i in np.flatnonzero(whole < TINY)]
+                    n[whole < TINY] = 0.0
+                    post = alpha[begin, which] * one[piece, 0] * beta[end, which] / np.maximum(whole[which], TINY)
                     np.add.at(total[:, k], piece, post * n[which])
+                for word, times in alone:
+                    edges = lattice.edges([word])
+                    _, begin, end, piece = edges
+                    alpha, beta = (f(word, edges, np.log(one))[:, 0] for f in (_log_sums, _back_log_sums))
+                    post = np.exp(alpha[begin] + np.log(one[piece, 0]) + beta[end] - alpha[-1])
+                    np.add.at(total[:, k], piece, post * float(times))
         piece, language = np.nonzero(total)
         yield pd.DataFrame({"piece": piece, "language": language, "n": total[piece, language]})
 

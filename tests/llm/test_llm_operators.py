@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -297,6 +298,28 @@ def test_distinct_words_are_of_the_whole_text():
         assert quality.statistics(" ".join(words))[at] == quality._logit(distinct, n)
 
 
+def test_long_words_are_summed_whole():
+    """Words of any length: the same recurrence in exact logarithms, and languages that differ."""
+    vocabulary = language.Vocabulary(("▁a", "a", "aa", "b"))
+    lattice = language.Lattice(vocabulary)
+    p = np.array([[0.1, 0.2], [0.1, 0.2], [0.01, 0.02], [0.3, 0.3], [1e-7, 1e-7]])
+    assert language.words_of("a" * 100) == ["a" * 100]
+    for word in ("a" * 60, "a" * 2000, "ab" * 100, "ü" * 45, "a" * 40):
+        got = language.log_likelihoods([word], lattice, p)[0]
+        text = "▁" + word
+        for k in range(2):
+            sums = [Fraction(1)]
+            for e in range(1, len(text) + 1):
+                ways = [(text[b:e], sums[b]) for b in range(max(0, e - 2), e)]
+                at = [lattice.number.get(x, lattice.unknown if len(x) == 1 else None) for x, _ in ways]
+                sums.append(sum((s * Fraction(float(p[i, k])) for i, (_, s) in zip(at, ways) if i is not None), Fraction(0)))
+            exact = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+            assert np.isclose(got[k], exact, rtol=1e-9)
+        assert ("a" in word) == bool(got[0] != got[1])
+        edges, logs = lattice.edges([word]), np.log(p)
+        assert np.allclose(language._back_log_sums(word, edges, logs)[0], language._log_sums(word, edges, logs)[-1])
+
+
 def test_forward_sums_all_segmentations():
     vocabulary = language.Vocabulary(("▁a", "▁", "a", "ab", "b", "ba", "▁ab", "bab"))
     rng = np.random.default_rng(1)
