@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col
 from tabwright.operators.events import rounded_seconds, success_marks
-from tabwright.streaming.ordered import OrderedEvents, require_rocksdb
+from tabwright.streaming.ordered import require_rocksdb, user_changes
 from tabwright.streaming.run import before_closing
 
 
@@ -31,32 +31,8 @@ UTC_NAME = "UTC"
 SUCCESS, REARM = "success", "rearm"
 
 
-class FirstSuccess(OrderedEvents):
-    """Reports a success unless the one before it was not yet re-armed."""
-
-    memory_schema = "armed boolean"
-    start = (True,)
-    columns = ("user", "us")
-
-    def step(self, memory, key, us, event):
-        if event != SUCCESS:
-            return (True,), None
-        return (False,), (key[0], us) if memory[0] else None
-
-
-class Dwell(OrderedEvents):
-    """Reports a visit when another tab or a stop ends it."""
-
-    memory_schema = "tab string, started bigint"
-    start = (None, None)
-    columns = ("user", "tab", "start_us", "end_us")
-
-    def step(self, memory, key, us, event):
-        tab, started = memory
-        if event == tab:
-            return memory, None
-        row = (key[0], tab, started, us) if tab is not None else None
-        return (event, us), row
+def _moment(us: str) -> Column:
+    return F.timestamp_micros(us).cast("timestamp_ntz")
 
 
 def stream_dedup_success(
@@ -68,45 +44,44 @@ def stream_dedup_success(
     success: str = "dataset_loaded_success",
     rearm: str | Column = "load_dataset_click",
     delay: str = "1 hour",
+    slot: str = "10 minutes",
 ) -> DataFrame:
     """user, ts of each success that comes first after a re-arming event.
 
     ``rearm`` is the name of an event, or a condition. Only the two events that
-    matter reach the shuffle and the state.
+    matter reach the shuffle and the state. Rows come out when the watermark has
+    passed the end of their ``slot``.
     """
     require_rocksdb(df.sparkSession)
     mark = success_marks(col(event), success, rearm)
     kind = F.when(mark, F.lit(SUCCESS)).when(~mark, F.lit(REARM))
     slim = df.withColumn("__kind", kind).filter(col("__kind").isNotNull() | ~before_closing(ts))
-    user_type = df.schema[user].dataType.simpleString()
-    found = (
-        _prepared(slim, user, ts, tie, col("__kind"), delay)
-        .groupBy("user")
-        .transformWithStateInPandas(FirstSuccess(), f"user {user_type}, us bigint", "append", "eventTime")
-    )
-    return found.select("user", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
+    changes = user_changes(_prepared(slim, user, ts, tie, col("__kind"), delay), slot)
+    own = lambda c: F.slice(c, F.col("carried") + 1, F.size(c))
+    found = changes.select("user", F.inline(F.arrays_zip(own("events").alias("event"), own("us").alias("us"))))
+    return found.filter(F.col("event") == SUCCESS).select("user", _moment("us").alias("ts"))
 
 
 def stream_dwell(
-    df: DataFrame, user: str, ts: str, tab: str, tie: str, delay: str = "1 hour"
+    df: DataFrame, user: str, ts: str, tab: str, tie: str, delay: str = "1 hour", slot: str = "10 minutes"
 ) -> DataFrame:
-    """user, tab, started, ended, duration_ms, engagement_seconds per visit."""
+    """user, tab, started, ended, duration_ms, engagement_seconds per visit.
+
+    A visit ends with the next change of the tab, a missing tab included. It comes
+    out when the watermark has passed the ``slot`` of its end.
+    """
     require_rocksdb(df.sparkSession)
-    user_type = df.schema[user].dataType.simpleString()
-    visits = (
-        _prepared(df, user, ts, tie, col(tab), delay)
-        .groupBy("user")
-        .transformWithStateInPandas(
-            Dwell(), f"user {user_type}, tab string, start_us bigint, end_us bigint", "append", "eventTime"
-        )
-    )
-    moment = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    changes = user_changes(_prepared(df, user, ts, tie, col(tab), delay), slot)
+    ends = F.slice("us", 2, F.size("us"))
+    visits = changes.select(
+        "user", F.inline(F.arrays_zip(F.col("events").alias("tab"), F.col("us").alias("start_us"), ends.alias("end_us")))
+    ).filter("tab is not null and end_us is not null")
     ms = F.floor((F.col("end_us") - F.col("start_us")) / 1000).cast("bigint")
     return visits.select(
         "user",
         "tab",
-        moment("start_us").alias("started"),
-        moment("end_us").alias("ended"),
+        _moment("start_us").alias("started"),
+        _moment("end_us").alias("ended"),
         ms.alias("duration_ms"),
         rounded_seconds(ms).alias("engagement_seconds"),
     )

@@ -1,9 +1,9 @@
-"""Events of a user in event-time order, for streams.
+"""Changes in the events of a user, in event-time order, for streams.
 
-Rows wait in state, by slot (a fixed stretch of event time), until the watermark
-has passed it, then run through a small per-user machine in order. What waits is
-bounded by the watermark delay, not by the length of the stream, and each slot is
-read and removed once.
+A user's rows wait in a native aggregation by slot, a stretch of event time. When
+the watermark has passed a slot, its rows are sorted and cut to the changes in the
+JVM, so a busy user is spread over tasks by time and only changes reach Python.
+There they meet the last change before the slot, all that is kept for each user.
 """
 
 from __future__ import annotations
@@ -12,17 +12,17 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tabwright.session import ROCKSDB
 
-SLOT_MS = 60_000
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def require_rocksdb(spark: SparkSession) -> None:
-    """State of this kind needs the RocksDB store; the setting is the session's to make."""
+    """Waiting rows may exceed the memory, so they need the RocksDB store; the setting is the session's to make."""
     if spark.conf.get(PROVIDER, "") != ROCKSDB:
         raise RuntimeError(f"set {PROVIDER} to {ROCKSDB} before this stream is started")
 
@@ -41,58 +41,51 @@ def ordered_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(PROVIDER, before)
 
 
-def _slot_end(us: int) -> int:
-    return (us // 1000 // SLOT_MS + 1) * SLOT_MS
+def slot_changes(df: DataFrame, slot: str) -> DataFrame:
+    """user, at, events, us: the changes inside each closed slot of a user, in order.
 
-
-class OrderedEvents(StatefulProcessor):
-    """Subclasses give ``memory_schema``, ``start``, ``step`` and ``columns``.
-
-    ``step(memory, key, us, event)`` returns the new memory and a row or None.
+    ``df`` has user, ts (with its watermark), us, tie and event. The first row of a
+    slot counts as a change, as the row before it is not known here; two missing
+    events are equal. Rows of one time and tie are taken in order of the event.
     """
+    rows = F.array_sort(F.collect_list(F.struct("us", "tie", "event")))
+    closed = df.groupBy(F.window("ts", slot).alias("slot"), "user").agg(rows.alias("rows"))
+    before = lambda i: F.get("rows", i - 1)["event"]
+    changes = F.filter("rows", lambda r, i: (i == 0) | ~r["event"].eqNullSafe(before(i)))
+    found = closed.select("user", F.unix_micros("slot.start").alias("at"), changes.alias("changes"))
+    return found.select("user", "at", F.col("changes.event").alias("events"), F.col("changes.us").alias("us"))
 
-    memory_schema = ""
-    start: tuple = ()
-    columns: tuple[str, ...] = ()
 
-    def step(self, memory: tuple, key, us: int, event) -> tuple[tuple, tuple | None]:
-        raise NotImplementedError
+class Stitch(StatefulProcessor):
+    """Joins the changes of a user's slots; the watermark gives out slots in order of time."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot bigint", "rows array<struct<us: bigint, tie: bigint, event: string>>")
-        self.memory = handle.getValueState("memory", self.memory_schema)
+        self.last = handle.getValueState("last", "event string, us bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        """Rows join those of their slot; each slot has a timer at its end."""
-        for part in rows:
-            slots: dict[int, list] = {}
-            for us, tie, event in zip(part["us"].tolist(), part["tie"].tolist(), part["event"]):
-                slots.setdefault(_slot_end(us), []).append((us, tie, None if pd.isna(event) else event))
-            for slot, fresh in slots.items():
-                if self.waiting.containsKey((slot,)):
-                    fresh = [tuple(r) for r in self.waiting.getValue((slot,))[0]] + fresh
-                else:
-                    self.handle.registerTimer(slot)
-                self.waiting.updateValue((slot,), (fresh,))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """A timer touches the rows of its own slot; timers of a key come in order of time."""
-        slot = (expiredTimerInfo.getExpiryTimeInMs(),)
-        if not self.waiting.containsKey(slot):
-            return
-        ready = [tuple(r) for r in self.waiting.getValue(slot)[0]]
-        self.waiting.removeKey(slot)
-        memory = tuple(self.memory.get()) if self.memory.exists() else self.start
+        """A slot's first row is no change if it equals the last one before the slot.
+
+        The last change before goes in front of a slot's own: ``carried`` of them, 0 or 1.
+        """
+        slots = pd.concat(list(rows)).sort_values("at")
+        last = self.last.get()
         out = []
-        for us, _, event in sorted(ready, key=lambda r: (r[0], r[1])):
-            memory, row = self.step(memory, key, us, event)
-            if row is not None:
-                out.append(row)
-        self.memory.update(memory)
-        if out:
-            yield pd.DataFrame(out, columns=list(self.columns))
+        for events, us in zip(slots["events"], slots["us"]):
+            events, us, carried = list(events), [int(u) for u in us], int(last is not None)
+            if carried:
+                same = int(events[0] == last[0])
+                events, us = [last[0], *events[same:]], [last[1], *us[same:]]
+            last = events[-1], us[-1]
+            out.append((key[0], carried, events, us))
+        self.last.update(last)
+        yield pd.DataFrame(out, columns=["user", "carried", "events", "us"])
 
     def close(self) -> None:
         pass
+
+
+def user_changes(df: DataFrame, slot: str) -> DataFrame:
+    """user, carried, events, us: the changes of a user, one row a slot, each led by the change before it."""
+    kind = df.schema["user"].dataType.simpleString()
+    out = f"user {kind}, carried int, events array<string>, us array<bigint>"
+    return slot_changes(df, slot).groupBy("user").transformWithStateInPandas(Stitch(), out, "append", "None")

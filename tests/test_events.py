@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwright.operators import events, experiment
 from tabwright.streaming import events as streams
+from tabwright.streaming.ordered import slot_changes
 from tabwright.streaming.run import drain
 
 
@@ -206,6 +207,29 @@ def test_stream_dwell_equals_batch(spark, log, tmp_path, rows):
     assert rows(got) == rows(want) and got.count() > 50
 
 
+@pytest.mark.parametrize("slot", ["1 minute", "2 hours"])
+def test_streams_do_not_depend_on_the_slot(spark, log, tmp_path, rows, slot):
+    """Visits and successes go on over the ends of slots and batches."""
+    tabs = log.withColumn("tab", F.when(F.col("event") != "tab_view", F.col("event"))).drop("event")
+    stream = as_stream(spark, tabs, str(tmp_path / "tabs"), 2)
+    got = drain(streams.stream_dwell(stream, "user", "ts", "tab", "id", delay="10 minutes", slot=slot), "t")
+    assert rows(got) == rows(events.tab_dwell(tabs, "user", "ts", "tab", ["ts", "id"]))
+
+
+def test_changes_of_a_slot(spark):
+    """Ties go by the tie column, missing events are equal, rows without a time or user have a defined place."""
+    found = [(1, 5, 2, "b"), (1, 5, 1, "a"), (1, 7, 1, "b"), (1, 9, 1, None), (1, 9, 2, None), (1, 11, 1, "b"), (None, 5, 1, "z"), (1, None, 1, "q")]
+    df = spark.createDataFrame(found, "user int, s int, tie bigint, event string").selectExpr(
+        "user", "timestamp_seconds(s) as ts", "s * 1000000L as us", "tie", "event"
+    )
+    got = {(r["user"], r["at"]): list(zip(r["events"], r["us"])) for r in slot_changes(df, "10 seconds").collect()}
+    assert got == {
+        (1, 0): [("a", 5_000_000), ("b", 5_000_000), (None, 9_000_000)],
+        (1, 10_000_000): [("b", 11_000_000)],
+        (None, 0): [("z", 5_000_000)],
+    }
+
+
 def test_stream_rollup_equals_batch(spark, log, tmp_path, rows):
     stream = as_stream(spark, log, str(tmp_path / "in"), 3)
     got = drain(streams.stream_rollup(stream, "grp", "event", "user", "ts", "1 hour", "10 minutes"), "t")
