@@ -15,6 +15,11 @@ from pyspark.sql import types as T
 
 from tabwright.functions.columns import FRACTIONAL, atomic_columns, col, type_of, value
 
+#: Buckets of the first count of ``most_frequent``; so many rows reach the driver at most.
+BUCKETS = 65_536
+#: The fullest buckets, in which the first candidates are looked for.
+FULLEST = 256
+
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -36,6 +41,40 @@ def value_counts(df: DataFrame, name: str) -> DataFrame:
     )
 
 
+def most_frequent(df: DataFrame, name: str, k: int, buckets: int = BUCKETS) -> DataFrame:
+    """value -> count of the ``k`` most frequent values; missing is a value, ties go by value.
+
+    Exact, without a shuffle of the rare values. Rows are counted by a hash of their
+    value into ``buckets``; no value has more rows than its bucket. The values of the
+    fullest buckets are counted, and the k-th count among them is a floor: a value of
+    a bucket below it is not among the first. Where buckets that were not looked into
+    reach the floor, the values of all that do are counted. So a column whose values
+    are all rare costs the count of every value, as in ``value_counts``.
+    """
+    if k < 1 or buckets < 1:
+        raise ValueError("k and buckets must be positive")
+    kind, c = type_of(df, name), value(df, name)
+    slim = df.select((c + F.lit(0.0).cast(kind) if isinstance(kind, FRACTIONAL) else c).alias("value"))
+    slim = slim.withColumn("__bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("int"))
+    sizes = {r["__bucket"]: r["n"] for r in slim.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    fullest = sorted(sizes, key=sizes.get, reverse=True)[: max(FULLEST, 4 * k)]
+
+    def first(rows: DataFrame) -> DataFrame:
+        counted = rows.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+        return counted.orderBy(F.desc("count"), F.asc_nulls_first("value")).limit(k)
+
+    found = first(slim.filter(F.col("__bucket").isin(fullest)))
+    rows = found.collect()
+    floor = rows[-1]["count"] if len(rows) == k else 1
+    reached = [b for b, n in sizes.items() if n >= floor]
+    if set(reached) <= set(fullest):
+        return df.sparkSession.createDataFrame(rows, found.schema)
+    if len(reached) == len(sizes):
+        return first(slim)
+    chosen = df.sparkSession.createDataFrame([(b,) for b in reached], "__bucket int")
+    return first(slim.join(F.broadcast(chosen), "__bucket", "left_semi"))
+
+
 def long_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value as text, n) for every present value of every column."""
     return _counted(df, columns, [text_form(df, c) for c in columns])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import col, is_numeric, number, require_columns, require_numeric, value
-from tabwright.functions.counts import value_counts
+from tabwright.functions.counts import most_frequent, value_counts
 from tabwright.functions.joins import join_lookup
 from tabwright.functions.quantiles import GroupQuantiles, group_quantiles, sketched_quantiles
 from tabwright.operators.features import as_datetime
@@ -162,16 +162,22 @@ def box_outliers(
     return outside.groupBy(*[col(c) for c in by], F.col("__v").alias("value")).agg(F.sum("__n").alias("n"))
 
 
-def pie_top(df: DataFrame, column: str, slices: int = PIE_SLICES) -> DataFrame:
+def pie_top(df: DataFrame, column: str, slices: int = PIE_SLICES, buckets: int | None = None) -> DataFrame:
     """value, count: all values, or the most frequent ones and Other.
 
     A real value called Other is added to the rest. Only the slices shown come
-    to the driver; the rest is the number of rows less theirs.
+    to the driver; the rest is the number of rows less theirs. With ``buckets`` the
+    slices are found without a shuffle of the rare values (``most_frequent``): the
+    same rows, for columns with very many values.
     """
     require_columns(df, [column])
-    counts = df.groupBy(value(df, column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    ordered = counts.orderBy(F.desc("count"), F.asc_nulls_first("value"))
-    top = [tuple(r) for r in ordered.limit(slices + 1).collect()]
+    texts = df.select(value(df, column).cast("string").alias("value"))
+    if buckets is None:
+        counts = texts.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+        found = counts.orderBy(F.desc("count"), F.asc_nulls_first("value")).limit(slices + 1)
+    else:
+        found = most_frequent(texts, "value", slices + 1, buckets)
+    top = [tuple(r) for r in found.collect()]
     if len(top) > slices:
         shown = [(v, n) for v, n in top[: slices - 1] if v != OTHER]
         top = [*shown, (OTHER, df.count() - sum(n for _, n in shown))]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabwright.functions.counts import BUCKETS, most_frequent
 from tabwright.operators import charts, events, experiment, features, outliers
 from tabwright.plans.fixtures import table, with_more, with_variant
 from tabwright.plans.recipe import Recipe
@@ -159,6 +160,25 @@ def _(spark, sf):
     return charts.pie_top(table(spark, sf, "part"), "p_brand")
 
 
+@query(
+    "pie_top_of_many",
+    """with c as (select cast(l_partkey as varchar) as value, count(*) as n from lineitem group by 1),
+    t as (select * from c order by n desc, value limit 19)
+    select value, n as "count" from t union all
+    select 'Other', (select count(*) from lineitem) - (select cast(sum(n) as bigint) from t)""",
+)
+def _(spark, sf):
+    return charts.pie_top(table(spark, sf, "lineitem"), "l_partkey", buckets=BUCKETS)
+
+
+@query(
+    "most_frequent",
+    """select user_id as value, count(*) as "count" from events group by 1 order by 2 desc, 1 nulls first limit 25""",
+)
+def _(spark, sf):
+    return most_frequent(table(spark, sf, "events"), "user_id", 25)
+
+
 @query("scatter_points", "select l_quantity, l_extendedprice, l_returnflag from lineitem")
 def _(spark, sf):
     return charts.scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")

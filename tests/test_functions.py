@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import joins, ordered, quantiles
 from tabwright.functions.columns import parse_number, python_strip
-from tabwright.functions.counts import fit_modes, tops
+from tabwright.functions.counts import fit_modes, most_frequent, tops, value_counts
 from tabwright.functions.ordered import Running, with_running
 
 
@@ -195,6 +195,33 @@ def test_tops_order_by_type(spark):
     assert fit_modes(df.filter("false"), ["i"]) == {"i": None}
 
 
+@pytest.mark.parametrize("k", [1, 7, 40, 5000])
+@pytest.mark.parametrize("buckets", [1, 700, 65_536])
+def test_most_frequent_equals_all_counts(spark, k, buckets):
+    """A hot value, a few common ones with ties, missing ones, 2000 that come once."""
+    df = spark.range(6000).selectExpr(
+        "case when id < 2000 then 'hot' when id < 3600 then concat('c', id % 20) when id < 3700 then null when id < 4000 "
+        "then '' else concat('r', id) end as x",
+        "if(id % 3 = 0, 0.0D, if(id % 3 = 1, -0.0D, id / 7)) as d",
+        "id as value",
+    )
+    for name in ("x", "d"):
+        wanted = [tuple(r) for r in value_counts(df, name).limit(k).collect()]
+        got = [tuple(r) for r in most_frequent(df, name, k, buckets).collect()]
+        assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    assert most_frequent(df.filter("false"), "x", k, buckets).count() == 0
+
+
+def test_most_frequent_leaves_rare_values_where_they_are(spark, monkeypatch):
+    """What is counted by value: only buckets that reach the k-th count."""
+    monkeypatch.setattr("tabwright.functions.counts.FULLEST", 1)
+    df = spark.range(20_000).selectExpr("if(id < 10000, id % 10, id) as x")
+    found = most_frequent(df, "x", 10)
+    assert sorted((r["value"], r["count"]) for r in found.collect()) == [(i, 1000) for i in range(10)]
+    with pytest.raises(ValueError, match="positive"):
+        most_frequent(df, "x", 0)
+
+
 def test_number_text(spark):
     texts = ["1", " 2.5 ", "-3e2", ".5", "1.", "inf", "1.0f", "1d", "0x1", "", "abc", "1 2", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

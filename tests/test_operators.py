@@ -335,6 +335,7 @@ def test_pie_adds_a_real_other(spark):
     got = {r["value"]: r["count"] for r in charts.pie_top(df, "x").collect()}
     assert len(got) == 19 and got["Other"] == 5 + 12 * 4 and sum(got.values()) == df.count()
     assert charts.pie_top(df.filter("x < 'v05'"), "x").count() == 6
+    assert {r["value"]: r["count"] for r in charts.pie_top(df, "x", buckets=16).collect()} == got
 
 
 @pytest.mark.parametrize("ranges", [None, 12])
