@@ -329,6 +329,18 @@ def test_histogram_of_flat_and_text(odd):
     assert charts.histogram(odd, "name").count() == 4
 
 
+def test_filter_kind_near_the_limit(spark):
+    """Exact on both sides of 30 values; -0.0 is 0.0, NaN and missing are no values."""
+    sizes = (1, 29, 30, 31, 59, 60, 61, 2500)
+    columns = [f"id % {n} as l{n}" for n in sizes] + [f"cast(id % {n} as decimal(9, 2)) * 1.5 as m{n}" for n in sizes]
+    columns += ["case when id % 32 = 30 then double('nan') when id % 32 = 31 then null when id % 64 = 0 then -0.0D else double(id % 32) end as odd", "'t' as t", "float(id) as f"]
+    df = spark.range(5000).selectExpr(*columns)
+    got = {r["column"]: r["kind"] for r in filters.filter_kind(df).collect()}
+    wide = {f"{c}{n}" for c in "lm" for n in sizes if n > 30} | {"f"}
+    assert {c for c, kind in got.items() if kind == "numeric"} == wide and len(got) == len(columns)
+    assert {r["kind"] for r in filters.filter_kind(df.filter("false")).collect()} == {"categorical"}
+
+
 def test_pie_adds_a_real_other(spark):
     values = [("Other", 5)] + [(f"v{i:02d}", 4) for i in range(30)]
     df = spark.createDataFrame([(v,) for v, n in values for _ in range(n)], "x string")
