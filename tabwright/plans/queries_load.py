@@ -16,6 +16,7 @@ from tabwright.operators.filters import InList, InRange
 from tabwright.plans.fixtures import TABLES, table, with_variant
 from tabwright.session import fresh_folder
 from tabwright.sources.excel import read_workbooks
+from tabwright.sources.manifest import manifest
 from tabwright.sources.readers import (
     Registry,
     assert_not_empty,
@@ -84,10 +85,22 @@ def _(spark, sf):
     return read_csv(spark, path).select(*halves[0])
 
 
+#: Splits of the files below for each core, and the least that one holds.
+SPLITS_PER_CORE = 4
+SMALLEST_SPLIT = 1 << 18
+
+
+def _split_bytes(spark, path):
+    """A split's size: several for each core, whatever the tables' size, and never above the session's."""
+    size = manifest(spark, path).agg(F.sum("length")).first()[0] or 0
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return max(SMALLEST_SPLIT, min(most, size // (SPLITS_PER_CORE * spark.sparkContext.defaultParallelism)))
+
+
 @contextmanager
-def _small_splits(spark):
+def _small_splits(spark, path):
     """Splits of a size that gives these tables several of them."""
-    sizes = {"spark.sql.files.maxPartitionBytes": "256k", "spark.sql.files.openCostInBytes": "1k"}
+    sizes = {"spark.sql.files.maxPartitionBytes": f"{_split_bytes(spark, path)}b", "spark.sql.files.openCostInBytes": "1k"}
     before = {k: spark.conf.get(k) for k in sizes}
     for k, v in sizes.items():
         spark.conf.set(k, v)
@@ -107,7 +120,7 @@ def _(spark, sf):
     path = fresh_folder(spark, "csv")
     rows = table(spark, sf, "documents").select("doc_id", "text", "source", "n_chars")
     _kept_text(rows.write.option("escape", '"')).csv(path)
-    with _small_splits(spark):
+    with _small_splits(spark, path):
         return read_csv(spark, path)
 
 
@@ -117,7 +130,7 @@ def _(spark, sf):
     path = fresh_folder(spark, "tsv")
     rows = table(spark, sf, "conversations").withColumn("text", F.replace("text", F.lit(". "), F.lit(".\t\n")))
     _kept_text(rows.write.option("sep", "\t").option("escape", '"')).csv(path)
-    with _small_splits(spark):
+    with _small_splits(spark, path):
         df = read_tsv(spark, path)
     return df.withColumn("text", F.replace("text", F.lit(".\t\n"), F.lit(". "))).select("conv_id", "turn", "role", "text")
 
@@ -130,7 +143,7 @@ def _(spark, sf):
     lines = orders.select(F.lit(1).alias("at"), "o_orderkey", F.concat(F.to_json(F.struct("*")), F.lit(",")).alias("value"))
     ends = spark.createDataFrame([(0, None, "["), (2, None, '{"o_orderkey": null}]')], lines.schema)
     lines.unionByName(ends).repartition(1).sortWithinPartitions("at").select("value").write.text(path)
-    with _small_splits(spark):
+    with _small_splits(spark, path):
         return read_json(spark, path).where("o_orderkey is not null")
 
 

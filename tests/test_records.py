@@ -176,3 +176,13 @@ def test_empty_arrays(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"a": 1}]')
     assert [r["text"] for r in records.array_records(spark, str(tmp_path)).collect()] == ['{"a": 1}']
     assert readers.read_json(spark, str(tmp_path / "a.json")).count() == 0
+
+
+def test_split_sizes_of_the_queries_grow_with_the_files(spark, tmp_path):
+    from tabwright.plans import queries_load
+
+    (tmp_path / "small.csv").write_text("a\n1\n")
+    (tmp_path / "large.csv").write_text("a\n" + "12345678\n" * 6_000_000)
+    small, large = (queries_load._split_bytes(spark, str(tmp_path / f"{k}.csv")) for k in ("small", "large"))
+    assert small == queries_load.SMALLEST_SPLIT
+    assert large == 54_000_002 // (queries_load.SPLITS_PER_CORE * spark.sparkContext.defaultParallelism) > small
