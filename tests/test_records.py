@@ -186,3 +186,23 @@ def test_split_sizes_of_the_queries_grow_with_the_files(spark, tmp_path):
     small, large = (queries_load._split_bytes(spark, str(tmp_path / f"{k}.csv")) for k in ("small", "large"))
     assert small == queries_load.SMALLEST_SPLIT
     assert large == 54_000_002 // (queries_load.SPLITS_PER_CORE * spark.sparkContext.defaultParallelism) > small
+
+
+def test_the_array_file_is_written_as_its_lines_come():
+    import pyarrow as pa
+
+    from tabwright.plans import queries_load
+
+    asked = []
+
+    def lines():
+        for i in range(3):
+            asked.append(i)
+            yield pa.RecordBatch.from_pydict({"value": [f'{{"o_orderkey": {i}}},']})
+
+    out = queries_load._bracketed(lines())
+    texts = []
+    for n, batch in enumerate(out):
+        assert len(asked) <= n  # no line is asked for before the ones ahead of it are out
+        texts += batch.column(0).to_pylist()
+    assert json.loads("".join(texts)) == [{"o_orderkey": k} for k in (0, 1, 2, None)]
