@@ -38,6 +38,8 @@ PARTS = 3
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)[:, None]
 _CHECK = np.uint64(0x082EFA98EC4E6C89)
+_TRUE = np.ones(1, bool)
+_PART_NUMBERS = np.arange(PARTS)[:, None]
 
 
 def paragraph_digests(text: str, known: dict[str, int] | None = None) -> np.ndarray:
@@ -68,24 +70,21 @@ class Sketch:
     check: np.ndarray
 
     @classmethod
-    def of(cls, digests: np.ndarray, cells: int) -> "Sketch":
+    def of(cls, digests: np.ndarray, cells: int, hashes: np.ndarray | None = None, times: np.ndarray | None = None) -> "Sketch":
+        """The sketch of digests, each counted once or so many times; their hashes if they are there already."""
         size = cells // PARTS
         out = cls(np.zeros(size * PARTS, np.int64), np.zeros(size * PARTS, np.uint64), np.zeros(size * PARTS, np.uint64))
-        out._add(digests, np.ones(len(digests), np.int64))
+        out._add(digests, _hashes(digests) if hashes is None else hashes, np.ones(len(digests), np.int64) if times is None else times)
         return out
 
-    def _add(self, digests: np.ndarray, times: np.ndarray) -> None:
+    def _add(self, digests: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> None:
         if not len(digests):
             return
-        checks = _checks(digests)
-        for at in self.places(digests):
-            np.add.at(self.count, at, times)
-            np.bitwise_xor.at(self.key, at, digests)
-            np.bitwise_xor.at(self.check, at, checks)
-
-    def places(self, digests: np.ndarray) -> np.ndarray:
         size = len(self.count) // PARTS
-        return (mix(digests ^ _SALTS) % np.uint64(size)).astype(np.int64) + np.arange(PARTS)[:, None] * size
+        at = ((hashes[:PARTS] % np.uint64(size)).astype(np.int64) + _PART_NUMBERS * size).ravel()
+        np.add.at(self.count, at, np.concatenate([times] * PARTS))
+        np.bitwise_xor.at(self.key, at, np.concatenate([digests] * PARTS))
+        np.bitwise_xor.at(self.check, at, np.concatenate([hashes[PARTS]] * PARTS))
 
     def __sub__(self, other: "Sketch") -> "Sketch":
         return Sketch(self.count - other.count, self.key ^ other.key, self.check ^ other.check)
@@ -94,14 +93,20 @@ class Sketch:
         """Digests only the first has, only the second has; None if some stay hidden."""
         sides: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
         while True:
-            pure = np.flatnonzero((np.abs(self.count) == 1) & (self.check == _checks(self.key)))
+            single = (np.abs(self.count) == 1).nonzero()[0]
+            keys = self.key[single]
+            hashes = _hashes(keys)
+            pure = (self.check[single] == hashes[PARTS]).nonzero()[0]
             if not len(pure):
                 break
-            digests, first = np.unique(self.key[pure], return_index=True)
-            times = self.count[pure[first]]
+            # Cells of one digest stand together; one of them is taken.
+            pure = pure[keys[pure].argsort(kind="stable")]
+            digests = keys[pure]
+            first = pure[np.concatenate([_TRUE, digests[1:] != digests[:-1]])]
+            digests, times = keys[first], self.count[single[first]]
             sides[0].append(digests[times > 0])
             sides[1].append(digests[times < 0])
-            self._add(digests, -times)
+            self._add(digests, hashes[:, first], -times)
         if self.count.any() or self.key.any() or self.check.any():
             return None
         return tuple(np.concatenate(s) if s else np.zeros(0, np.uint64) for s in sides)
@@ -113,26 +118,43 @@ class Sketch:
         return base64.b64encode(cells.tobytes()).decode()
 
 
-def _checks(digests: np.ndarray) -> np.ndarray:
-    return mix(digests + _CHECK)
+def _hashes(digests: np.ndarray) -> np.ndarray:
+    """A row of numbers for each part, and one of checks."""
+    return mix(np.concatenate([digests ^ _SALTS, (digests + _CHECK)[None]]))
 
 
-def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS, first: tuple[Sketch, Sketch] | None = None):
+def difference(
+    a: np.ndarray,
+    b: np.ndarray,
+    cells: int = CELLS,
+    first: tuple[Sketch, Sketch] | None = None,
+    hashes: tuple[np.ndarray, np.ndarray] | None = None,
+):
     """The digests that only a, only b has, by sketches that grow until they peel."""
-    x, y = first or (Sketch.of(a, cells), Sketch.of(b, cells))
-    while (found := (x - y).peel()) is None:
+    hashes = hashes or (_hashes(a), _hashes(b))
+    x, y = first or (Sketch.of(a, cells, hashes[0]), Sketch.of(b, cells, hashes[1]))
+    left = x - y
+    while (found := left.peel()) is None:
         # After a failure there is room for all digests of both, and more each time.
         cells = max(cells * GROWTH, PARTS * ((len(a) + len(b)) // 2 + 1))
-        x, y = Sketch.of(a, cells), Sketch.of(b, cells)
+        # The sketch of a less that of b, in one.
+        times = np.repeat(np.array([1, -1]), [len(a), len(b)])
+        left = Sketch.of(np.concatenate([a, b]), cells, np.concatenate(hashes, axis=1), times)
     return found
 
 
-def likeness(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None = None, cells: int = CELLS) -> float:
+def likeness(
+    a: np.ndarray,
+    b: np.ndarray,
+    first: tuple[Sketch, Sketch] | None = None,
+    cells: int = CELLS,
+    hashes: tuple[np.ndarray, np.ndarray] | None = None,
+) -> float:
     """Share of the paragraphs of both that are common; two texts without any are alike."""
     total = len(a) + len(b)
     if not total:
         return 1.0
-    gone, come = difference(a, b, cells, first)
+    gone, come = difference(a, b, cells, first, hashes)
     return 1.0 - (len(gone) + len(come)) / total
 
 
@@ -178,34 +200,36 @@ _RESULT = (
 
 def _compare(cells: int):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = None  # (part, guest, doc_id, text, digests, sketch) that waits for its next
+        before = None  # (part, guest, doc_id, text, digests, hashes, sketch, known) that waits for its next
         for rows in batches:
             out = []
             for part, guest, doc_id, text in zip(rows.part, rows.guest, rows.doc_id, rows.text):
                 known: dict[str, int] = {}
                 digests = paragraph_digests(text, known)
-                sketch = Sketch.of(digests, cells)
+                hashes = _hashes(digests)
+                sketch = Sketch.of(digests, cells, hashes)
                 if before is not None and before[0] == part and not before[1]:
-                    out.append(_row(before, text, digests, sketch, cells))
-                before = (part, guest, doc_id, text, digests, sketch, known)
+                    out.append(_row(before, text, digests, hashes, sketch, cells))
+                before = (part, guest, doc_id, text, digests, hashes, sketch, known)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _RESULT.split(", ")]).astype({"doc_id": "Int64"})
 
     return compare
 
 
-def _row(one: tuple, text: str, digests: np.ndarray, sketch: Sketch, cells: int) -> tuple:
-    _, _, doc_id, own, own_digests, own_sketch, known = one
+def _row(one: tuple, text: str, digests: np.ndarray, hashes: np.ndarray, sketch: Sketch, cells: int) -> tuple:
+    _, _, doc_id, own, own_digests, own_hashes, own_sketch, known = one
     changed = edited(own, text)
     changed_digests = paragraph_digests(changed, known)
-    changed_sketch = Sketch.of(changed_digests, cells)
+    changed_hashes = _hashes(changed_digests)
+    changed_sketch = Sketch.of(changed_digests, cells, changed_hashes)
     return (
         None if pd.isna(doc_id) else int(doc_id),
         len(own),
         hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
         own_sketch.text(),
         changed_sketch.text(),
-        likeness(own_digests, changed_digests, (own_sketch, changed_sketch), cells),
-        likeness(own_digests, digests, (own_sketch, sketch), cells),
+        likeness(own_digests, changed_digests, (own_sketch, changed_sketch), cells, (own_hashes, changed_hashes)),
+        likeness(own_digests, digests, (own_sketch, sketch), cells, (own_hashes, hashes)),
     )
 
 

@@ -645,3 +645,11 @@ def test_region_of_one_large_group_and_others(spark):
         minhash.BLOCK = before
     assert found == {i: root(i) for i in range(len(rows))}
     assert len(set(found.values())) > 20
+
+
+def test_one_signed_sketch_is_the_difference_of_two():
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (40, 25))
+    one = fingerprints.Sketch.of(np.concatenate([a, b]), 60, times=np.repeat([1, -1], [40, 25]))
+    two = fingerprints.Sketch.of(a, 60) - fingerprints.Sketch.of(b, 60)
+    assert all((getattr(one, k) == getattr(two, k)).all() for k in ("count", "key", "check"))
