@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.session import fresh_folder
 
+T = TypeVar("T")
+
 #: While a table is written: its shuffle files go once the write has ended, and
 #: batches of texts for Python workers are small.
 WRITING = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
+#: What a Python worker keeps from one task to the next.
+_KEPT: dict = {}
+
+
+def kept(key: Hashable, make: Callable[[], T]) -> T:
+    """A tokenizer or model that outlives a task; one at a time, as one worker serves all steps of a pipeline."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
 
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:

@@ -22,13 +22,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import only, publish, table
+from tabwright.llm.common import kept, only, publish, settings, table
 
 MARK = "▁"
 #: Parts after which a Python worker starts a new table; it keeps the last one.
@@ -59,12 +60,6 @@ class Transducer:
         ]
         self.number = {model.id_to_piece(i): i for i in plain}
         self.score = {p: model.get_score(i) for p, i in self.number.items()}
-        self.arcs: dict = {}  # from character to character; the piece that ends at a node is under ""
-        for piece in self.number:
-            node = self.arcs
-            for character in piece:
-                node = node.setdefault(character, {})
-            node[""] = piece
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.spelled: dict[int, bytes] = {i: p.replace(MARK, " ").encode() for p, i in self.number.items()}
         self.spelled.update({i: bytes([b]) for b, i in self.bytes.items()})
@@ -73,6 +68,17 @@ class Transducer:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def arcs(self) -> dict:
+        """From character to character; the piece that ends at a node is under "". Decoding needs none."""
+        arcs: dict = {}
+        for piece in self.number:
+            node = arcs
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[""] = piece
+        return arcs
+
     def normalise(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
 
@@ -166,13 +172,8 @@ class Transducer:
         return text[1:] if text.startswith(" ") else text
 
 
-_MACHINES: dict[str, Transducer] = {}
-
-
 def _machine(path: str) -> Transducer:
-    if path not in _MACHINES:
-        _MACHINES[path] = Transducer(path)
-    return _MACHINES[path]
+    return kept(("pieces", path), lambda: Transducer(path))
 
 
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
@@ -203,7 +204,10 @@ def decode(rows: DataFrame, ids_column: str = "ids", name: str = "text", path: s
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text: ids by their crc32, texts by their digest."""
-    out = decode(encode(table(spark, sf_dir, "documents")))
+    # Ids are written first: encoding and decoding side by side take two Python workers a task, each with its tables.
+    with settings(spark, {"spark.sql.parquet.compression.codec": "zstd"}):
+        ids = publish(encode(table(spark, sf_dir, "documents")), "piece-ids")
+    out = decode(ids)
     digests = out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),

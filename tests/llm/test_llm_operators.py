@@ -653,3 +653,9 @@ def test_one_signed_sketch_is_the_difference_of_two():
     one = fingerprints.Sketch.of(np.concatenate([a, b]), 60, times=np.repeat([1, -1], [40, 25]))
     two = fingerprints.Sketch.of(a, 60) - fingerprints.Sketch.of(b, 60)
     assert all((getattr(one, k) == getattr(two, k)).all() for k in ("count", "key", "check"))
+
+
+def test_decoding_builds_no_arcs():
+    machine = pieces.Transducer(pieces.model_path())
+    ids = pieces.Transducer(pieces.model_path()).encode("one line, ßé")
+    assert machine.decode(ids) and "arcs" not in vars(machine)
