@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import held_out, only, publish, table, unused
+from tabwright.llm.common import held_out, kept, only, publish, table, unused
 
 #: Training rows for each language, at most about so many (chosen by a hash of the id).
 TRAINING_ROWS = 4000
@@ -372,10 +372,6 @@ def _expected(counts: DataFrame, vocabulary: Vocabulary, languages: tuple[str, .
     )
 
 
-#: One labeller for each Python worker and model, so that its words outlive a task.
-_LABELLERS: dict[str, Labeller] = {}
-
-
 def with_language(docs: DataFrame, model: LanguageModel, text_column: str, name: str) -> DataFrame:
     """The frame with a struct (lang_pred, score) of the whole text."""
     spark = docs.sparkSession
@@ -383,11 +379,10 @@ def with_language(docs: DataFrame, model: LanguageModel, text_column: str, name:
     key = f"{id(model)}-{spark.sparkContext.applicationId}-{shipped._jbroadcast.id()}"
 
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if key not in _LABELLERS:
-            _LABELLERS.clear()
-            _LABELLERS[key] = shipped.value.labeller()
+        # One labeller for each Python worker and model, so that its words outlive a task.
+        labeller = kept(key, lambda: shipped.value.labeller())
         for texts in batches:
-            found = _LABELLERS[key].label([t if isinstance(t, str) else None for t in texts])
+            found = labeller.label([t if isinstance(t, str) else None for t in texts])
             yield pd.DataFrame({"lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
 
     return docs.withColumn(name, F.pandas_udf(label, "lang_pred string, score double")(F.col(f"`{text_column}`")))

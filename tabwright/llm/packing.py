@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import only, parts_for, publish, table
+from tabwright.llm.common import kept, only, parts_for, publish, table
 
 CAPACITY = 2048
 #: End of every document.
@@ -165,9 +165,6 @@ class WordTokenizer:
         return [b"".join((first, *map(look, rest))) for first, (_, rest) in zip(firsts, cut)]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
-
-
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document cut into pieces.
 
@@ -177,14 +174,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = WordTokenizer(path, added=True)
+        tokenizer = kept(("packing", path), lambda: WordTokenizer(path, added=True))
         end = np.array([END], "<u4").tobytes()
         for part in batches:
             ids, texts = part.doc_id.tolist(), part.text.tolist()
             for block in _blocks(texts):
                 rows = []
-                encoded = _TOKENIZERS[path].encode([t if isinstance(t, str) else "" for t in texts[block]])
+                encoded = tokenizer.encode([t if isinstance(t, str) else "" for t in texts[block]])
                 for doc_id, data in zip(ids[block], encoded):
                     data += end
                     n = len(data) // 4

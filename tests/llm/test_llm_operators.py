@@ -659,3 +659,12 @@ def test_decoding_builds_no_arcs():
     machine = pieces.Transducer(pieces.model_path())
     ids = pieces.Transducer(pieces.model_path()).encode("one line, ßé")
     assert machine.decode(ids) and "arcs" not in vars(machine)
+
+
+def test_a_worker_keeps_one_thing_at_a_time():
+    from tabwright.llm import common
+
+    made = []
+    make = lambda name: lambda: made.append(name) or name
+    assert [common.kept(k, make(k)) for k in ("labeller", "labeller", "tokenizer")] == ["labeller", "labeller", "tokenizer"]
+    assert made == ["labeller", "tokenizer"] and list(common._KEPT) == ["tokenizer"]
