@@ -96,7 +96,7 @@ class WordIds:
 
     New words are encoded many at a time with a zero character between them, where
     that is a token of its own that merges with no other, so that it parts the ids
-    too. Texts of ASCII alone are lower-cased first if the file does so itself, and
+    too; words of letters need none where the file's tokens say which end a word. Texts of ASCII alone are lower-cased first if the file does so itself, and
     words lose the mark after them.
     """
 
@@ -115,23 +115,55 @@ class WordIds:
         shown = (self.tokenizer.id_to_token(int(mark[0])) or "").removesuffix("</w>") if len(mark) == 1 else ""
         alone = shown and not any(shown in t and t not in (shown, f"{shown}</w>") for t in self.tokenizer.get_vocab())
         self.mark = int(mark[0]) if alone and self.cuts else None
+        self.ends = self._word_ends(json.loads(text)["model"]) if self.lowers else None
         # Lower-case ASCII is what the file's normaliser leaves as it is.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
+    def _word_ends(self, model: dict) -> np.ndarray | None:
+        """Which ids end a part, if the file marks them so: every byte can, then, and a part of letters has one such id."""
+        from tokenizers import pre_tokenizers
+
+        suffix = model.get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        if not suffix or any(c + suffix not in vocabulary for c in pre_tokenizers.ByteLevel.alphabet()):
+            return None
+        ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
+        return ends
+
     def _whole(self, texts: list[str], plain: bool = False) -> list[bytes]:
         encoded = (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in encoded]
 
     def _learn(self, fresh: list[str]) -> None:
-        alone, low, other = [], [], []
+        alone, kinds = [], {k: [] for k in ((True, True), (True, False), (False, True), (False, False))}
+        parted, lowers, mark = self.ends is not None, self.lowers, self.mark is not None
         for w in fresh:
-            (alone if self.mark is None or "\0" in w else low if self.lowers and w.isascii() and w == w.lower() else other).append(w)
+            if not mark or "\0" in w:
+                alone.append(w)
+            else:
+                kinds[lowers and w.isascii() and w == w.lower(), parted and w.isalpha()].append(w)
         self.known.update(zip(alone, self._whole(alone)))
-        self._together(low, True)
-        self._together(other, False)
+        for plain in (True, False):
+            self._together(kinds[plain, False] + self._of_letters(kinds[plain, True], plain), plain)
+
+    def _of_letters(self, words: list[str], plain: bool) -> list[str]:
+        """Learn words of letters, parted by the ids that end them; returns those of which a part ends inside."""
+        width, left = np.dtype(self.dtype).itemsize, []
+        for at in range(0, len(words), 128):
+            some = words[at : at + 128]
+            data = self._whole([" ".join(some)], plain)[0]
+            edges = (np.flatnonzero(self.ends[np.frombuffer(data, self.dtype)]) + 1) * width
+            # A letter has an end of its own at least, so as many ends as words are one for each.
+            if len(edges) != len(some):
+                left += some
+                continue
+            edges = [0, *edges.tolist()]
+            self.known.update((w, data[a:b]) for w, a, b in zip(some, edges, edges[1:]))
+        return left
 
     def _together(self, words: list[str], plain: bool) -> None:
         width = np.dtype(self.dtype).itemsize
@@ -155,9 +187,10 @@ class WordIds:
         if len(self.known) > CACHED_WORDS:
             self.known, self.older = {"": b""}, self.known
         needed = set().union(*cut).difference(self.known)
-        again = needed.intersection(self.older)
-        self.known.update((word, self.older[word]) for word in again)
-        self._learn(list(needed.difference(again)))
+        # Asked word by word: the set's own intersection would go through the whole table of older words.
+        found = [(word, self.older.get(word)) for word in needed]
+        self.known.update(x for x in found if x[1] is not None)
+        self._learn([word for word, data in found if data is None])
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
 
 

@@ -125,3 +125,21 @@ def test_query(spark, plain):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     got = tokenfiles.op12_token_files(spark, SMALL).collect()
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == wanted(plain, rows)
+
+
+def test_older_words_are_asked_one_by_one(plain):
+    class Older(dict):
+        def __iter__(self):
+            raise AssertionError("the whole table was gone through")
+
+    words = tokenfiles.WordIds(tokenfiles.tokenizer_path())
+    data = words.encode(["older words"])
+    words.known, words.older = {"": b""}, Older(words.known)
+    assert words.encode(["older words"]) == data
+
+
+def test_words_of_letters_have_one_end_each(plain):
+    texts = ["plain words ΣΑΣ İ naïve 日本語 ﬁ Ǆ ͅ", "ªº x ʰ ᾳ Å 각 don't a1 ſ", "ab" * 300 + " c"]
+    words = tokenfiles.WordIds(tokenfiles.tokenizer_path())
+    assert words.ends is not None
+    assert words.encode(texts) == [ids_of(plain, t)[:-1].astype(words.dtype).tobytes() for t in texts]
