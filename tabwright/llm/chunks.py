@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import only, publish, table, unused
+from tabwright.llm.common import dropped, only, publish, table, unused
 from tabwright.llm.rolling import raw_bytes
 
 #: Bytes from cut to cut, on average and at most.
@@ -85,6 +85,7 @@ def chunk_table(docs: DataFrame, average: int = AVERAGE, longest: int = LONGEST)
     """
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped()
         for part in batches:
             held: list[tuple] = []
             count = 0
@@ -119,13 +120,15 @@ def repeats(docs: DataFrame, min_run: int = MIN_RUN, average: int = AVERAGE, lon
         "doc_id", "version", (F.col("start").cast("long") * SIZES + F.col("size")).alias("c")
     )
 
-    def runs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in batches:
-            yield pd.Series([_runs(np.unique(one), min_run) for one in lists], dtype=object)
+    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped()
+        for part in batches:
+            part["spans"] = pd.Series([_runs(np.unique(one), min_run) for one in part.c], index=part.index, dtype=object)
+            yield part.loc[part.spans.str.len() > 0, ["doc_id", "version", "spans"]]
 
+    # Spark would run a condition on a function's value a second time, in workers of its own.
     lists = found.groupBy("doc_id", "version").agg(F.collect_list("c").alias("c"))
-    spans = lists.select("doc_id", "version", F.pandas_udf(runs, "array<array<int>>")("c").alias("spans"))
-    return spans.where(F.size("spans") > 0)
+    return lists.mapInPandas(runs, "doc_id long, version long, spans array<array<int>>")
 
 
 def _runs(chunks: np.ndarray, min_run: int) -> list[list[int]]:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Hashable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +30,27 @@ _KEPT: dict = {}
 def kept(key: Hashable, make: Callable[[], T]) -> T:
     """A tokenizer or model that outlives a task; one at a time, as one worker serves all steps of a pipeline."""
     if key not in _KEPT:
-        _KEPT.clear()
+        dropped()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def dropped() -> None:
+    """What another step has left in this worker goes, back to the system too.
+
+    Spark gives a task the worker that has waited longest, so all of an executor's
+    workers come to hold what a step keeps, and outlive it. Steps that keep nothing
+    call this first.
+    """
+    if not _KEPT:
+        return
+    _KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc's; others do without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Settings of the session for what runs inside; the old ones come back after."""

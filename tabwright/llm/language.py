@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import held_out, kept, only, publish, table, unused
+from tabwright.llm.common import dropped, held_out, kept, only, publish, table, unused
 
 #: Training rows for each language, at most about so many (chosen by a hash of the id).
 TRAINING_ROWS = 4000
@@ -280,6 +280,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n): one row for each distinct word of a language."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped()
         for part in batches:
             for lang, texts in part.groupby("lang").text:
                 found = Counter(w for t in texts for w in words_of(t))
@@ -337,6 +338,7 @@ def _expected(counts: DataFrame, vocabulary: Vocabulary, languages: tuple[str, .
     index = {lang: i for i, lang in enumerate(languages)}
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped()
         lattice = Lattice(vocabulary)
         total = np.zeros((len(vocabulary.pieces) + 1, len(languages)))
         for part in batches:

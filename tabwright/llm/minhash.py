@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import only, parts_for, publish, table
+from tabwright.llm.common import dropped, only, parts_for, publish, table
 from tabwright.llm.components import connected
 from tabwright.llm.rolling import mix, shingle_set
 
@@ -90,6 +90,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, d1, d2, sig): set size, digest of the set and signature."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped()
         for part in batches:
             rows = []
             for doc_id, text in zip(part.doc_id, part.text):
@@ -105,6 +106,7 @@ def _keys(reps: DataFrame) -> DataFrame:
     """(tree, key, id): the minima in each tree's order as one number."""
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped()
         for part in batches:
             if not len(part):
                 continue
@@ -124,6 +126,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Neighbours in the sorted order; the partition's ends as rows without b."""
+    dropped()
     part_number = TaskContext.get().partitionId()
     last = first = None
     for part in batches:
@@ -206,6 +209,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     """Pairs whose full shingle sets are alike."""
 
     def test(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        dropped()
         for left, right in batches:
             yield pd.Series([alike(shingle_set(x, words), shingle_set(y, words), percent) for x, y in zip(left, right)], dtype=bool)
 
@@ -271,6 +275,7 @@ _REGION = ["tree", "prefix", "x", "y"]
 
 
 def _flagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    dropped()
     for group in grouped(batches, _REGION):
         across = group.x.iloc[0] != group.y.iloc[0]
         i, j = _likely(_signatures(group), group.comp.to_numpy(), group.side.to_numpy(), _tree(group), across)
@@ -280,6 +285,7 @@ def _flagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _linked(words: int, percent: int):
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped()
         for group in grouped(batches, _REGION):
             across = group.x.iloc[0] != group.y.iloc[0]
             comp = group.comp.to_numpy()
@@ -354,6 +360,7 @@ def _shingle_counts(texts: DataFrame, words: int) -> np.ndarray:
     """How often shingles occur, added up in COUNTERS counters by their hash."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped()
         total = np.zeros(COUNTERS, np.int64)
         for part in batches:
             for text in part.text:
@@ -372,6 +379,7 @@ def _by_rare(crowd: DataFrame, words: int, percent: int) -> DataFrame:
     shipped = crowd.sparkSession.sparkContext.broadcast(_shingle_counts(crowd, words))  # COUNTERS numbers
 
     def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped()
         for part in batches:
             found, sizes = [], []
             for text in part.text:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import kept, only, parts_for, publish, table
+from tabwright.llm.common import dropped, kept, only, parts_for, publish, table
 
 CAPACITY = 2048
 #: End of every document.
@@ -317,6 +317,7 @@ def pack(
     )
 
     def look(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        dropped()
         lengths, firsts, bases, offsets = steps.value.T
         edges = np.searchsorted(lengths, np.arange(lengths.max(initial=0) + 2))
         for length, rank in batches:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import held_out, only, publish, table, unused
+from tabwright.llm.common import dropped, held_out, only, publish, table, unused
 
 THRESHOLD = 0.3
 #: Weights of the pooled covariance and of the identity in a class covariance.
@@ -127,6 +127,7 @@ class Discriminant:
 
 
 def _vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    dropped()
     for texts in batches:
         yield pd.Series([statistics(t) for t in texts], dtype=object)
 
@@ -137,6 +138,7 @@ def with_statistics(docs: DataFrame, text_column: str, name: str) -> DataFrame:
 
 
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    dropped()
     d = len(FEATURES)
     sums = np.zeros((2, 1 + d + d * d))
     for part in batches:
@@ -194,6 +196,7 @@ def fit(rows: DataFrame, pooled: float = POOLED, identity: float = IDENTITY) ->
 
 def scored(frame: DataFrame, model: Discriminant, vectors: str, name: str) -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        dropped()
         for x in batches:
             yield pd.Series(model.score(np.array(x.tolist(), float).reshape(len(x), -1)))
 
@@ -229,6 +232,7 @@ def with_score(docs: DataFrame, model: Discriminant, text_column: str, name: str
     """The frame with the score of the whole text beside its columns."""
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        dropped()
         for texts in batches:
             yield pd.Series(model.score(np.array([statistics(t) for t in texts], float).reshape(len(texts), len(FEATURES))))
 

@@ -668,3 +668,20 @@ def test_a_worker_keeps_one_thing_at_a_time():
     make = lambda name: lambda: made.append(name) or name
     assert [common.kept(k, make(k)) for k in ("labeller", "labeller", "tokenizer")] == ["labeller", "labeller", "tokenizer"]
     assert made == ["labeller", "tokenizer"] and list(common._KEPT) == ["tokenizer"]
+
+
+def test_steps_that_keep_nothing_drop_what_is_kept():
+    from tabwright.llm import common
+
+    common.kept("labeller", lambda: object())
+    list(quality._vectors(iter([])))
+    assert not common._KEPT
+    common.kept("tokenizer", lambda: object())
+    list(minhash._flagged(iter([])))
+    assert not common._KEPT
+
+
+def test_runs_of_chunks_are_made_once(spark, docs, capfd):
+    chunks.repeats(docs.select("doc_id", "text")).explain()
+    plan = capfd.readouterr().out
+    assert "ArrowEvalPython" not in plan and plan.count("MapInPandas") == 2
