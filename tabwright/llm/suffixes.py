@@ -20,7 +20,10 @@ many times over, so the sort works on what two documents can share:
    the bytes, are equal windows.
 4. In a group of one anchor that a partition's edge cuts, windows are settled
    among the task's own documents first; the first document of each different
-   window goes on as one row, to be compared between tasks.
+   window goes on as one row, to be compared between tasks. Large groups are
+   sorted by the bytes on one side of the anchor, the side that differs more: a
+   window is in another task too only if that side of it is that of the group's
+   row at the partition's edge, so the others stay.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import only, parts_for, publish, table
+from tabwright.llm.common import dropped, only, parts_for, publish, table
 from tabwright.llm.minhash import grouped
 from tabwright.llm.rolling import PrefixHash, mix, raw_bytes
 
@@ -43,6 +46,8 @@ PARTS = 8
 #: Documents whose anchors show which are common, and pieces that a common stretch is cut into.
 SAMPLE = 2000
 SALTS = 8
+#: Groups of more than such a part of a partition's rows are sorted by what is beside their anchor.
+LARGE = 32
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -57,6 +62,11 @@ def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
 
 def stretches(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """(anchor hash, first window, last window, stretch hash) of a text's anchors."""
+    return _stretches(data, length, gram)[:4]
+
+
+def _stretches(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """stretches(), and how many bytes of each stand before its anchor."""
     n = len(data)
     table_ = PrefixHash(data)
     at = np.arange(n - gram + 1)
@@ -77,15 +87,18 @@ def stretches(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...
     first = begin[starts]
     last = np.append(first[1:], len(least)) - 1
     anchor = anchors[owner[starts]]
-    stretch = table_.of(first, last + length) ^ mix((anchor - first).astype(np.uint64))
-    return h[anchor], first, last, stretch
+    lead = anchor - first
+    stretch = table_.of(first, last + length) ^ mix(lead.astype(np.uint64))
+    return h[anchor], first, last, stretch, lead
 
 
 def _rows(docs: DataFrame, length: int, gram: int, parts: int, hot: list[int]) -> DataFrame:
-    """(part, h, c, doc_id, v, place): one row for each anchor; place is first * (length - gram + 1) + more."""
+    """(part, h, c, doc_id, v, place): one row for each anchor; place is (first * grams + more) * grams + lead, grams a window's."""
     common = np.array(sorted(hot), np.int64)
+    grams = length - gram + 1
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        dropped()
         for batch in batches:
             held: list[tuple] = []
             count = 0
@@ -93,9 +106,9 @@ def _rows(docs: DataFrame, length: int, gram: int, parts: int, hot: list[int]) -
                 data = raw_bytes(text)
                 if len(data) < length:
                     continue
-                h, first, last, stretch = stretches(data, length, gram)
+                h, first, last, stretch, lead = _stretches(data, length, gram)
                 k = len(h)
-                held.append((h, stretch, np.full(k, doc_id), np.full(k, v), first * (length - gram + 1) + (last - first)))
+                held.append((h, stretch, np.full(k, doc_id), np.full(k, v), (first * grams + last - first) * grams + lead))
                 count += k
                 if count > 100_000:
                     yield _dealt(held, parts, common)
@@ -179,26 +192,31 @@ def _classify(parts: int, grams: int):
                 several[:] = True  # others of these anchors are elsewhere
             covered = doc > doc[np.flatnonzero(new_c)][np.cumsum(new_c) - 1]
             keep = np.flatnonzero(covered | several[np.cumsum(new_h) - 1])
-            place, v = rows.place.to_numpy()[order][keep], rows.v.to_numpy()[order][keep]
+            (place, lead), v = divmod(rows.place.to_numpy()[order][keep], grams), rows.v.to_numpy()[order][keep]
             yield pd.DataFrame(
-                {"h": h[keep], "doc_id": doc[keep], "v": v, "first": place // grams, "more": place % grams, "covered": covered[keep]}
+                {"h": h[keep], "doc_id": doc[keep], "v": v, "first": place // grams, "more": place % grams, "lead": lead, "covered": covered[keep]}
             )
 
     return classify
 
 
+_STRETCH = "h long, doc_id long, v long, first int, lead int, data binary"
+
+
 def _contexts(length: int):
+    names = [c.split()[0] for c in _STRETCH.split(", ")]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             rows = []
             for doc_id, v, text, places in zip(part.doc_id, part.v, part.text, part.places):
                 raw = text.encode("utf-8", "surrogatepass")
-                for h, first, more in places.reshape(-1, 3).tolist():
-                    rows.append((h, doc_id, v, first, raw[first : first + more + length]))
+                for h, first, more, lead in places.reshape(-1, 4).tolist():
+                    rows.append((h, doc_id, v, first, lead, raw[first : first + more + length]))
                 if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["h", "doc_id", "v", "first", "data"])
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            yield pd.DataFrame(rows, columns=["h", "doc_id", "v", "first", "data"])
+            yield pd.DataFrame(rows, columns=names)
 
     return cut
 
@@ -270,30 +288,52 @@ def equal_windows(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nda
     return order, np.cumsum(np.concatenate([[0], ~same]))
 
 
-def _compare(length: int):
+def _beside(edges: DataFrame, gram: int) -> DataFrame:
+    """The stretches with (way, beside): in large groups, bytes from the anchor outwards, behind it or before it.
+
+    ``way`` is 0 in other groups, else 1 for the bytes behind the anchor and 2 for those
+    before it, whichever differ more; ``beside`` has two characters for a byte.
+    """
+    behind = F.expr(f"hex(substring(data, lead + {gram + 1}))")
+    before = F.expr("reverse(hex(substring(data, 1, lead)))")
+    limit = edges.count() // (LARGE * parts_for(edges.sparkSession))
+    large = edges.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("h")
+    ways = (
+        edges.join(F.broadcast(large), "h")
+        .groupBy("h")
+        .agg(F.approx_count_distinct(behind).alias("behind"), F.approx_count_distinct(before).alias("before"))
+        .select("h", F.when(F.col("behind") >= F.col("before"), 1).otherwise(2).alias("way"))
+    )
+    ways = publish(ways, "ways")  # at most LARGE for each partition
+    way = F.coalesce("way", F.lit(0))
+    beside = F.when(F.col("way") == 1, behind).when(F.col("way") == 2, before).otherwise("")
+    return edges.join(F.broadcast(ways), "h", "left").withColumns({"way": way, "beside": beside})
+
+
+def _compare(length: int, gram: int):
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, is_first, is_last in whole_runs(batches, "h"):
             for group, cut in _portions(part, is_first, is_last):
-                yield _settled(group, length, cut)
+                yield _settled(group, length, gram, cut)
 
     return compare
 
 
 def _portions(part: pd.DataFrame, is_first: bool, is_last: bool, most: int = 20_000):
-    """Whole runs of an anchor, a bounded number of rows where runs allow; whether a partition's edge may cut them."""
+    """Whole runs of an anchor, a bounded number of rows where runs allow; their rows (0, -1) at a partition's edge, which may cut them."""
     h = part.h.to_numpy()
     begins = np.append(np.flatnonzero(_starts(h)), len(h))
     low, high = int(is_first), len(begins) - 1 - int(is_last)
     if is_first:
-        yield part.iloc[: begins[1]], True
+        yield part.iloc[: begins[1]], [0, -1] if is_last and len(begins) == 2 else [0]
     at = low
     while at < high:
         to = max(int(np.searchsorted(begins, begins[at] + most, "right")) - 1, at + 1)
         to = min(to, high)
-        yield part.iloc[begins[at] : begins[to]], False
+        yield part.iloc[begins[at] : begins[to]], []
         at = to
     if is_last and len(begins) - 2 >= low:
-        yield part.iloc[begins[-2] :], True
+        yield part.iloc[begins[-2] :], [-1]
 
 
 def _laid_out(group: pd.DataFrame, length: int) -> tuple[np.ndarray, ...]:
@@ -310,8 +350,28 @@ def _laid_out(group: pd.DataFrame, length: int) -> tuple[np.ndarray, ...]:
 _FOUND = "h long, w long, doc_id long, v long, first int, last int"
 
 
-def _settled(group: pd.DataFrame, length: int, cut: bool) -> pd.DataFrame:
-    """Covered bytes [first, last); if the groups may be cut, the first owner of each window too."""
+def _agreed(beside: pd.Series, edge: str) -> np.ndarray:
+    """How many bytes, of two characters each, the values share with one of them from the start on."""
+    values = np.array([x.encode() for x in [edge, *beside]], dtype=np.bytes_)
+    if not values.itemsize:
+        return np.zeros(len(beside), np.int64)
+    letters = values.view(np.uint8).reshape(len(values), -1)
+    differ = np.pad(letters[1:] != letters[0], ((0, 0), (0, 1)), constant_values=True)
+    return differ.argmax(1) // 2
+
+
+def _elsewhere(group: pd.DataFrame, row: np.ndarray, offset: np.ndarray, length: int, gram: int, cut: list[int]) -> np.ndarray:
+    """Whether windows of a cut group may be in other tasks: rows between equal ones agree with them as far as they reach."""
+    way = group.way.iloc[0]
+    if not way:
+        return np.ones(len(row), bool)
+    beside, lead = group.beside, group.lead.to_numpy()[row]
+    shared = np.maximum.reduce([_agreed(beside, beside.iloc[k]) for k in cut])[row]
+    return shared >= (offset + length - lead - gram if way == 1 else lead - offset)
+
+
+def _settled(group: pd.DataFrame, length: int, gram: int, cut: list[int]) -> pd.DataFrame:
+    """Covered bytes [first, last); of a group that may be cut, the first owner of each window that others may have too."""
     data, at, row, offset = _laid_out(group, length)
     h, doc = group.h.to_numpy()[row], group.doc_id.to_numpy()[row]
     whole = PrefixHash(data).of(at, at + length)
@@ -328,9 +388,10 @@ def _settled(group: pd.DataFrame, length: int, cut: bool) -> pd.DataFrame:
     spans = _merged_windows(group, row[gone], offset[gone], length)
     if not cut:
         return spans
-    first = group["first"].to_numpy()[row[~gone]] + offset[~gone]
+    left = np.flatnonzero(~gone & _elsewhere(group, row, offset, length, gram, cut))
+    first = group["first"].to_numpy()[row[left]] + offset[left]
     windows = pd.DataFrame(
-        {"h": h[~gone], "w": whole[~gone].view(np.int64), "doc_id": doc[~gone], "v": group.v.to_numpy()[row[~gone]], "first": first, "last": first + length}
+        {"h": h[left], "w": whole[left].view(np.int64), "doc_id": doc[left], "v": group.v.to_numpy()[row[left]], "first": first, "last": first + length}
     )
     return pd.concat([spans, windows.astype({"h": "Int64", "w": "Int64"})], ignore_index=True)
 
@@ -357,21 +418,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     rows = docs.where("doc_id is not null and text is not null")
     dealt = _rows(rows, length, gram, PARTS * parts, _common_anchors(rows, length, gram))
     dealt = dealt.repartition(parts, "part").sortWithinPartitions("part")
-    kinds = "h long, doc_id long, v long, first int, more int, covered boolean"
+    kinds = "h long, doc_id long, v long, first int, more int, lead int, covered boolean"
     flagged = publish(dealt.mapInPandas(_classify(PARTS * parts, length - gram + 1), kinds), "anchors")
     places = (
         flagged.where("not covered")
         .groupBy("doc_id", "v")
-        .agg(F.flatten(F.collect_list(F.array("h", F.col("first").cast("long"), F.col("more").cast("long")))).alias("places"))
+        .agg(F.flatten(F.collect_list(F.array("h", *[F.col(c).cast("long") for c in ("first", "more", "lead")]))).alias("places"))
     )
     edges = publish(
-        rows.join(places, ["doc_id", "v"]).mapInPandas(
-            _contexts(length), "h long, doc_id long, v long, first int, data binary"
-        ),
+        rows.join(places, ["doc_id", "v"]).mapInPandas(_contexts(length), _STRETCH),
         "stretches",
     )
-    sorted_ = edges.repartitionByRange(parts, "h", "doc_id").sortWithinPartitions("h", "doc_id")
-    found = publish(sorted_.mapInPandas(_compare(length), _FOUND), "windows")
+    order = ["h", "beside", "doc_id"]
+    sorted_ = _beside(edges, gram).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = publish(sorted_.mapInPandas(_compare(length, gram), _FOUND), "windows")
     cut = found.where("h is not null")
     owners = cut.groupBy("h", "w").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("top")).where("owner < top")
     across = cut.join(owners, ["h", "w"]).where("doc_id > owner")

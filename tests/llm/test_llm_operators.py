@@ -685,3 +685,32 @@ def test_runs_of_chunks_are_made_once(spark, docs, capfd):
     chunks.repeats(docs.select("doc_id", "text")).explain()
     plan = capfd.readouterr().out
     assert "ArrowEvalPython" not in plan and plan.count("MapInPandas") == 2
+
+
+@pytest.mark.parametrize("parts", [1, 24])
+def test_windows_of_a_large_group_stay_in_their_task(spark, monkeypatch, parts):
+    rng = random.Random(12)
+    passage = prose(30, rng)[:160]
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    rows = [(i, letters(70) + passage + letters(4 if i % 9 else 0) + "z" * (i % 3) + letters(60)) for i in range(400)]
+    rows += [(900 + i, rows[i][1][20:260]) for i in range(0, 400, 7)]
+    seen, want = {}, {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            seen.setdefault(t[k : k + 50], i)
+    for i, t in rows:
+        gone = [False] * len(t)
+        for k in range(len(t) - 49):
+            if seen[t[k : k + 50]] < i:
+                gone[k : k + 50] = [True] * 50
+        want[i] = "".join(c for c, g in zip(t, gone) if not g).encode()
+    made = {}
+    monkeypatch.setattr(suffixes, "publish", lambda df, label, old=suffixes.publish: made.setdefault(label, old(df, label)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["doc_id"]: bytes(r["kept"]) for r in suffixes.without_repeats(df).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made["windows"].where("h is not null").count() <= 2 * made["stretches"].count()
