@@ -5,15 +5,18 @@ coordinate, cut into slabs, go on with the next coordinate inside each slab
 (sort-tile-recursive), until a leaf is full; adjoining nodes make the next level.
 A node is the smallest box around its rows, so the inner product of an anchor
 with any of them lies between two sums over coordinates: that of the lesser, and
-that of the greater, of what the box's two ends give. A queue opens the box with
-the highest upper sum first and leaves out boxes outside all score windows, or
-whose upper sum is strictly below the k-th score found.
+that of the greater, of what the box's two ends give. A queue for a block of
+anchors opens the box with the highest upper sum first, for those of its anchors
+alone to which the box is not outside all score windows, and its upper sum not
+strictly below the k-th score found.
 
 A cell is some blocks of anchors, held, and some trees, read one after the other;
 cells are dealt to tasks, every anchor meets every tree once, and each cell gives
 back at most k rows for an anchor and window. One pass finds the positives; they
-set the score windows of the second. Scores are exact: integers in doubles while
-all sums are below 2**53, else Python's own integers.
+set the score windows of the second. Scores are exact: integers in floats while
+all sums are below 2**24, in doubles below 2**53, else Python's own integers.
+Where boxes prune nothing, anchors times rows remain, as matrix products of a
+block and a leaf.
 """
 
 from __future__ import annotations
@@ -40,8 +43,8 @@ SCALE = 256
 TREE = 4096
 LEAF = 128
 FANOUT = 8
-ANCHORS = 256
-HELD = 64
+ANCHORS = 1024
+HELD = 16
 
 
 # -- trees ----------------------------------------------------------------------
@@ -107,64 +110,115 @@ class Tree:
 
 
 class Best:
-    """The first k rows by higher score, then smaller id."""
+    """For each of n anchors, the first k rows by higher score, then smaller id."""
 
-    def __init__(self, k: int) -> None:
+    def __init__(self, k: int, n: int = 1) -> None:
         self.k = k
-        self.rows: list[tuple] = []
-
-    def floor(self):
-        """The k-th score, below which nothing can enter."""
-        return self.rows[-1][0] if len(self.rows) == self.k else None
-
-    def add(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        floor = self.floor()
-        if floor is not None:
-            keep = scores >= floor
-            scores, ids, rows = scores[keep], ids[keep], rows[keep]
-        if len(scores) > 4 * self.k:
-            # Those above the k-th score, and among the equal ones the smallest ids.
-            edge = np.partition(scores, len(scores) - self.k)[-self.k]
-            level = np.flatnonzero(scores == edge)
-            keep = np.append(np.flatnonzero(scores > edge), level[np.argsort(ids[level], kind="stable")[: self.k]])
-            scores, ids, rows = scores[keep], ids[keep], rows[keep]
-        found = zip(map(int, scores), ids.tolist(), rows.tolist())
-        self.rows = sorted([*self.rows, *found], key=lambda r: (-r[0], r[1], r[2]))[: self.k]
+        self.scores = np.full((n, k), -np.inf)
+        self.ids = np.zeros((n, k), np.int64)
+        self.row = np.zeros((n, k), np.int64)
+
+    def floor(self) -> np.ndarray:
+        """Each anchor's k-th score, below which nothing can enter; -inf while places are free."""
+        return self.scores[:, -1]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Anchors, scores, ids and rows of all places taken."""
+        anchors, at = np.nonzero(self.scores > -np.inf)
+        return anchors, self.scores[anchors, at], self.ids[anchors, at], self.row[anchors, at]
+
+    @property
+    def rows(self) -> list[tuple]:
+        """(score, id, row) of the first anchor."""
+        anchors, scores, ids, rows = (x.tolist() for x in self.found())
+        return [(int(s), i, r) for a, s, i, r in zip(anchors, scores, ids, rows) if a == 0]
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, anchors: np.ndarray | None = None) -> None:
+        """Rows for the first anchor, or each for the anchor named."""
+        if anchors is None:
+            anchors = np.zeros(len(scores), np.int64)
+        floor, edge = self.scores[anchors, -1], self.ids[anchors, -1]
+        keep = (scores > floor) | (scores == floor) & (ids <= edge)
+        if not keep.any():
+            return
+        scores, ids, rows, anchors = scores[keep], ids[keep], rows[keep], anchors[keep]
+        if scores.dtype == object:
+            self.scores = self.scores.astype(object)
+        met = np.unique(anchors)
+        whose = np.append(np.repeat(met, self.k), anchors)
+        scores = np.append(self.scores[met], scores)
+        ids, rows = np.append(self.ids[met], ids), np.append(self.row[met], rows)
+        order = np.lexsort((rows, ids, -scores, whose))
+        # An anchor's old places are among its rows, so it has k or more.
+        first = order[np.searchsorted(whose[order], met)[:, None] + np.arange(self.k)]
+        self.scores[met], self.ids[met], self.row[met] = scores[first], ids[first], rows[first]
 
 
 def search(
-    tree: Tree, anchor: np.ndarray, least: np.ndarray, most: np.ndarray, fits, may_fit: np.ndarray, windows: list[tuple], best: list[Best]
+    tree: Tree, anchors: np.ndarray, least: np.ndarray, most: np.ndarray, fits, may_fit: np.ndarray, windows: list[tuple], best: list[Best]
 ) -> None:
     """Put a tree's rows into the best of each window (low, high), None for no end.
 
-    ``fits`` tells which rows of a leaf count, ``may_fit`` which nodes hold any.
-    A leaf's scores are taken once for all windows.
+    For one anchor or a block: then ``least``, ``most`` and ``may_fit`` have a row and
+    windows an end for each anchor. ``fits`` tells which rows of a leaf count,
+    ``may_fit`` which nodes hold any. One queue serves the block: the box with the
+    highest upper sum of any anchor comes first, and is opened for those anchors
+    alone that still need it. A leaf's scores are taken once for all windows.
     """
-    scores: dict[int, np.ndarray] = {}
-    for (low, high), found in zip(windows, best):
-        top = len(tree.children) - 1
-        queue = [(-most[top], top)]
-        while queue:
-            bound, node = heapq.heappop(queue)
-            floor = found.floor()
-            if floor is not None and -bound < floor:
-                break  # the queue's best is strictly below the k-th score
-            if not may_fit[node] or low is not None and (-bound < low or least[node] > high):
-                continue
-            begin, end = tree.children[node].tolist()
-            if node >= tree.leaves:
-                for child in range(begin, end):
-                    # A box that reaches over the window's end can hold its end at most.
-                    reach = most[child] if low is None else min(most[child], high)
-                    heapq.heappush(queue, (-reach, child))
-                continue
-            if node not in scores:
-                scores[node] = tree.points[begin:end] @ anchor
-            here = fits(begin, end)
-            if low is not None:
-                here = here & (scores[node] >= low) & (scores[node] <= high)
-            if here.any():
-                found.add(scores[node][here], tree.ids[begin:end][here], tree.rows[begin:end][here])
+    anchors, least, most, may_fit = map(np.atleast_2d, (anchors, least, most, may_fit))
+    low, high = (
+        np.stack([np.broadcast_to(none if w[side] is None else w[side], len(anchors)) for w in windows])
+        for side, none in ((0, -np.inf), (1, np.inf))
+    )
+    enter = np.stack([np.maximum(x, found.floor()) for x, found in zip(low, best)])
+
+    def needed(node: int) -> np.ndarray:
+        # A score that can enter is in the window, and not below the k-th found.
+        return may_fit[:, node] & (most[:, node] >= enter) & (least[:, node] <= high) & (enter <= high)
+
+    waiting: list[tuple] = []
+
+    def settle() -> None:
+        # Rows of several leaves enter together, once they are as many as the anchors.
+        if not waiting:
+            return
+        scores, i, j = map(np.concatenate, zip(*waiting))
+        waiting.clear()
+        if scores.dtype != object:
+            scores = scores.astype(np.float64)
+        for w, found in enumerate(best):
+            keep = (scores >= enter[w, i]) & (scores <= high[w, i])
+            if keep.any():
+                found.add(scores[keep], tree.ids[j[keep]], tree.rows[j[keep]], i[keep])
+                enter[w] = np.maximum(low[w], found.floor())
+
+    queue = [(0, len(tree.children) - 1)]
+    while queue:
+        _, node = heapq.heappop(queue)
+        need = needed(node)
+        who = np.flatnonzero(need.any(axis=0))
+        if not len(who):
+            continue
+        begin, end = tree.children[node].tolist()
+        if node >= tree.leaves:
+            # A box that reaches over the window's end can hold its end at most.
+            ends = np.where(need, high, -np.inf).max(axis=0)[who, None]
+            reach = np.minimum(most[who, begin:end], ends).max(axis=0)
+            for child, bound in zip(range(begin, end), reach.tolist()):
+                heapq.heappush(queue, (-bound, child))
+            continue
+        scores = (anchors if len(who) == len(anchors) else anchors[who]) @ tree.points[begin:end].T
+        # Ends are whole numbers: those that a narrower type rounds are beyond all its scores.
+        edge = np.where(need, enter, np.inf).min(axis=0)[who, None].astype(scores.dtype)
+        here = (scores >= edge) & np.broadcast_to(fits(begin, end), (len(anchors), end - begin))[who]
+        at = np.flatnonzero(here)
+        if not len(at):
+            continue
+        i, j = np.divmod(at, end - begin)
+        waiting.append((scores.reshape(-1)[at], who[i], begin + j))
+        if sum(len(x[0]) for x in waiting) >= len(anchors):
+            settle()
+    settle()
 
 
 # -- blocks, cells --------------------------------------------------------------
@@ -238,14 +292,59 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<i8")
 
 
-def _exact(points: np.ndarray, wide: bool) -> np.ndarray:
-    if not wide:
-        return points
+def _kind(most: float):
+    """The narrowest type in which whole numbers up to ``most`` are exact."""
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
+
+
+def _exact(points: np.ndarray, kind) -> np.ndarray:
+    if kind is not object:
+        return points.astype(kind)
     whole = np.empty(points.shape, object)
     whole[...] = [[int(x) for x in p] for p in points]
     return whole
 
 
+class _Block:
+    """A block of anchors with the best rows in each of their windows."""
+
+    def __init__(self, r, k: int, same: bool) -> None:
+        self.d, self.reach = r.d, r.reach
+        self.rows, self.labels = _numbers(r.rows), _numbers(r.labels)
+        self.points = np.frombuffer(r.points, "<f8").reshape(r.n, r.d)
+        if same:
+            self.windows = None
+            self.best = [Best(k, r.n)]
+            return
+        counts = _numbers(r.windows)
+        at = np.repeat(np.arange(r.n), counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        # Places without a window have one that nothing fits.
+        self.windows = [np.full((r.n, counts.max(initial=1)), end, object) for end in (np.inf, -np.inf)]
+        for ends, given in zip(self.windows, (r.low, r.high)):
+            ends[at] = _numbers(given)
+        self.best = [Best(k, r.n) for _ in range(counts.max(initial=1))]
+
+    def meet(self, tree: Tree, kind) -> None:
+        anchors, mine = _exact(self.points, kind), self.labels[:, None]
+        least, most = tree.bounds(anchors)
+        if self.windows is None:
+            windows = [(None, None)]
+            may_fit = (tree.low_label <= mine) & (mine <= tree.high_label)
+            fits = lambda a, b: (tree.labels[a:b] == mine) & (tree.rows[a:b] != self.rows[:, None])
+        else:
+            windows = list(zip(*(ends.T if kind is object else ends.T.astype(np.float64) for ends in self.windows)))
+            may_fit = (tree.low_label != mine) | (tree.high_label != mine)
+            fits = lambda a, b: tree.labels[a:b] != mine
+        search(tree, anchors, least, most, fits, may_fit, windows, self.best)
+
+    def found(self) -> Iterator[pd.DataFrame]:
+        for w, best in enumerate(self.best):
+            anchors, scores, ids, rows = best.found()
+            if len(anchors):
+                columns = {"anchor": self.rows[anchors], "window": w, "score": scores.astype(np.int64), "vec_id": ids, "row": rows}
+                yield pd.DataFrame(columns)
+
+
 def _found(k: int, same: bool, leaf: int, fanout: int):
     """For the anchors of a cell, the first k rows in each window among its trees.
 
@@ -254,53 +353,27 @@ def _found(k: int, same: bool, leaf: int, fanout: int):
     """
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cell, held, best = None, [], []
-
-        def result() -> Iterator[pd.DataFrame]:
-            out = [
-                (anchor, w, score, i, row)
-                for block, lists in zip(held, best)
-                for anchor, windows in zip(_numbers(block.rows).tolist(), lists)
-                for w, b in enumerate(windows)
-                for score, i, row in b.rows
-            ]
-            if out:
-                yield pd.DataFrame(out, columns=["anchor", "window", "score", "vec_id", "row"])
-
+        cell, held = None, []
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if (r.g, r.h) != cell:
-                    yield from result()
-                    cell, held, best = (r.g, r.h), [], []
+                    for block in held:
+                        yield from block.found()
+                    cell, held = (r.g, r.h), []
                 if r.side == 0:
-                    counts = [1] * r.n if same else _numbers(r.windows).tolist()
-                    held.append(r)
-                    best.append([[Best(k) for _ in range(c)] for c in counts])
+                    held.append(_Block(r, k, same))
                     continue
                 points = np.frombuffer(r.points, "<f8").reshape(r.n, r.d)
-                trees: dict[bool, Tree] = {}
-                for block, lists in zip(held, best):
+                trees: dict = {}
+                for block in held:
                     if block.d != r.d:
                         continue
-                    wide = r.d * r.reach * block.reach >= 2**53
-                    if wide not in trees:
-                        trees[wide] = Tree.build(_numbers(r.rows), _numbers(r.ids), _numbers(r.labels), _exact(points, wide), leaf, fanout)
-                    tree = trees[wide]
-                    anchors = _exact(np.frombuffer(block.points, "<f8").reshape(block.n, block.d), wide)
-                    least, most = tree.bounds(anchors)
-                    lows, highs = (_numbers(x).tolist() for x in (block.low, block.high))
-                    ends = np.append(0, np.cumsum(_numbers(block.windows)))
-                    for i, (row, label) in enumerate(zip(_numbers(block.rows).tolist(), _numbers(block.labels).tolist())):
-                        if same:
-                            windows = [(None, None)]
-                            may_fit = (tree.low_label <= label) & (label <= tree.high_label)
-                            fits = lambda a, b, t=tree, x=label, me=row: (t.labels[a:b] == x) & (t.rows[a:b] != me)
-                        else:
-                            windows = list(zip(lows[ends[i] : ends[i + 1]], highs[ends[i] : ends[i + 1]]))
-                            may_fit = (tree.low_label != label) | (tree.high_label != label)
-                            fits = lambda a, b, t=tree, x=label: t.labels[a:b] != x
-                        search(tree, anchors[i], least[i], most[i], fits, may_fit, windows, lists[i])
-        yield from result()
+                    kind = _kind(r.d * r.reach * block.reach)
+                    if kind not in trees:
+                        trees[kind] = Tree.build(_numbers(r.rows), _numbers(r.ids), _numbers(r.labels), _exact(points, kind), leaf, fanout)
+                    block.meet(trees[kind], kind)
+        for block in held:
+            yield from block.found()
 
     return find
 
@@ -362,13 +435,17 @@ def hard_negatives(
     rows = publish(rows.mapInPandas(_numbered(scale), _ROWS), "vectors")
     none = F.lit(b"")
     columns = ["row", "vec_id", "label", "d", "v"]
-    near = rows.repartitionByRange(parts_for(spark), "d", "x", "y", "row").sortWithinPartitions("d", "x", "y", "row")
+    # Trees and blocks have few labels: most trees hold no positive of a block.
+    order = ["d", "label", "x", "y", "row"]
+    near = rows.repartitionByRange(parts_for(spark), *order).sortWithinPartitions(*order)
     trees = publish(near.select(*columns, none.alias("low"), none.alias("high")).mapInPandas(_packed(tree), _BLOCK), "trees")
     chosen = rows.where("anchor")
-    asked = publish(chosen.select(*columns, none.alias("low"), none.alias("high")).mapInPandas(_packed(ANCHORS), _BLOCK), "anchors")
-    # Blocks of anchors that a cell holds are bounded; trees are read one by one.
-    h = max(1, -(-asked.count() // HELD))
-    cells = (max(1, -(-parts_for(spark) // h)), h)
+    asked = publish(chosen.sortWithinPartitions(*order).select(*columns, none.alias("low"), none.alias("high")).mapInPandas(_packed(ANCHORS), _BLOCK), "anchors")
+    # The anchors that a cell holds are bounded; trees are read one by one. As each cell gives
+    # rows for all its anchors, there are no more cells than full trees.
+    total = lambda blocks: blocks.agg(F.sum("n")).first()[0] or 0
+    h = max(1, -(-total(asked) // (HELD * ANCHORS)))
+    cells = (max(1, min(-(-parts_for(spark) // h), -(-total(trees) // tree))), h)
     first = _search_all(asked, trees, positives, True, cells, leaf, fanout)
     first = publish(first.select("anchor", "rank", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "positives")
 
@@ -383,7 +460,8 @@ def hard_negatives(
             binary = lambda side: [np.array([e[side] for e in one], "<i8").tobytes() for one in ends]
             yield part.drop(columns="scores").assign(low=binary(0), high=binary(1))
 
-    framed = chosen.join(lists.select("row", F.col("found.positive_score").alias("scores")), "row").select(*columns, "scores")
+    framed = chosen.join(lists.select("row", F.col("found.positive_score").alias("scores")), "row")
+    framed = framed.sortWithinPartitions(*order).select(*columns, "scores")
     framed = framed.mapInPandas(windows, "row long, vec_id long, label long, d int, v binary, low binary, high binary")
     framed = publish(framed.mapInPandas(_packed(ANCHORS), _BLOCK), "windows")
     second = _search_all(framed, trees, negatives, False, cells, leaf, fanout)

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tabwright.llm import negatives
@@ -107,3 +108,82 @@ def test_query_equals_brute_force(spark):
     shifted = [(i, v, (k + 1) % 10 if i % 7 == 0 else k) for i, v, k in rows]
     got = negatives.op11_hard_negatives(spark, MIDDLE)
     assert sorted(map(tuple, got.collect())) == brute(shifted, lambda i: i % 50 == 0)
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64, object])
+def test_block_of_anchors_opens_a_leaf_once(kind):
+    # A queue of its own for every anchor and window made CPU seconds grow as the input to the power 1.51.
+    rng = np.random.default_rng(5)
+    points = np.floor(rng.standard_normal((700, 6)) * 40)
+    points[::9] = points[0]  # ties
+    n = np.arange(700)
+    labels, ids = rng.integers(0, 4, 700), rng.permutation(700) // 2
+    mine = labels[:50, None]
+    tree = negatives.Tree.build(n, ids, labels, negatives._exact(points, kind), leaf=16, fanout=4)
+    anchors = negatives._exact(points[:50], kind)
+    least, most = tree.bounds(anchors)
+    assert least.dtype == kind
+    ends = [(rng.integers(-4000, 1000, 50).astype(float), rng.integers(0, 9000, 50).astype(float)) for _ in range(3)]
+    ends[2][0][::2], ends[2][1][::2] = np.inf, -np.inf  # no window there
+    best = [negatives.Best(4, 50) for _ in range(4)]
+    opened = collections.Counter()
+    fits = lambda a, b: opened.update([a]) or tree.labels[a:b] != mine
+    may_fit = (tree.low_label != mine) | (tree.high_label != mine)
+    negatives.search(tree, anchors, least, most, fits, may_fit, [(None, None), *ends], best)
+    assert 0 < len(opened) <= tree.leaves and max(opened.values()) == 1
+    scores = (points[:50] @ points.T).astype(int)
+    for w, (low, high) in enumerate([(np.full(50, -np.inf), np.full(50, np.inf)), *ends]):
+        found = [[] for _ in range(50)]
+        for a, s, i, r in zip(*(x.tolist() for x in best[w].found())):
+            found[a].append((-int(s), i, r))
+        for a in range(50):
+            wanted = sorted((-s, i, r) for r, (s, i) in enumerate(zip(scores[a].tolist(), ids.tolist())) if labels[r] != labels[a] and low[a] <= s <= high[a])
+            assert found[a] == wanted[:4]
+
+
+def test_block_leaves_out_boxes_that_none_of_it_needs():
+    rng = np.random.default_rng(6)
+    points = np.floor(rng.standard_normal((1600, 3)) * 100)
+    points = points[np.argsort(-points.sum(axis=1))]
+    n = np.arange(1600)
+    tree = negatives.Tree.build(n, n, n % 3, points.astype(np.float32), leaf=16, fanout=4)
+    opened = collections.Counter()
+    fits = lambda a, b: opened.update([a]) or np.ones((40, b - a), bool)
+    best = [negatives.Best(5, 40)]
+    anchors = points[:40].astype(np.float32)  # all of one corner
+    negatives.search(tree, anchors, *tree.bounds(anchors), fits, np.ones((40, len(tree.low)), bool), [(None, None)], best)
+    assert len(opened) < tree.leaves / 4
+    wanted = [sorted(zip((-(points @ a)).tolist(), n.tolist()))[:5] for a in points[:40]]
+    assert [(-s, i) for s, i in zip(best[0].scores.ravel(), best[0].ids.ravel())] == [x for one in wanted for x in one]
+
+
+def test_best_of_many_anchors():
+    best = negatives.Best(2, 3)
+    best.add(np.array([4.0, 7.0, 4.0, 4.0]), np.array([9, 1, 5, 2]), np.arange(4), np.array([2, 0, 2, 2]))
+    best.add(np.array([4.0, 4.0, -3.0]), np.array([1, 7, 8]), np.array([10, 11, 12]), np.array([2, 2, 0]))
+    assert [x.tolist() for x in best.found()] == [[0, 0, 2, 2], [7, -3, 4, 4], [1, 8, 1, 2], [1, 12, 10, 3]]
+    assert best.floor().tolist() == [-3, -np.inf, 4]
+
+
+def test_most_trees_hold_no_positive_of_an_anchor(spark, monkeypatch):
+    kept = {}
+    publish = negatives.publish
+    monkeypatch.setattr(negatives, "publish", lambda df, name: kept.setdefault(name, publish(df, name)))
+    rows = [(i, [float(i * j % 11) for j in range(1, 5)], i % 8, 0, "", 0, 0) for i in range(800)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = negatives.hard_negatives(df, F.col("vec_id") % 40 == 0, scale=1, tree=20, leaf=8)
+    assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 40 == 0, scale=1)
+    trees = [set(np.frombuffer(r.labels, "<i8").tolist()) for r in kept["trees"].select("labels").collect()]
+    assert max(sum(label in t for t in trees) for label in range(8)) < len(trees) / 3
+
+
+def test_cells_are_no_more_than_full_trees(spark, monkeypatch):
+    # Each cell gives back rows for all its anchors, so that many shuffle partitions made many rows.
+    cells = []
+    search_all = negatives._search_all
+    monkeypatch.setattr(negatives, "_search_all", lambda *a: cells.append(a[4]) or search_all(*a))
+    monkeypatch.setattr(negatives, "parts_for", lambda spark: 13)
+    rows = vectors()
+    got = negatives.hard_negatives(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 10 == 0, tree=128, leaf=8)
+    assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 10 == 0)
+    assert cells == [(3, 1)] * 2
