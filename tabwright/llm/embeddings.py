@@ -6,12 +6,14 @@ dimensions; of two near vectors at least one block lies within the block's
 share of that distance, in proportion to its dimensions. So each block is
 joined by range alone:
 
-* A block's first coordinate falls in bands as wide as the block's radius: near
-  blocks lie in one band or in two adjoining ones. Bands are cut into units of
-  bounded size, and pairs of units are dealt to tasks.
-* Inside a task rows are sorted by the second coordinate, a window of it is
-  compared block by block with one matrix product, and what lies within the
-  block's budget is verified in double precision on all dimensions.
+* Vectors are packed into units of bounded size, each vector into one. Every pair
+  of units meets in one task, which reads both from the shared folder: no vector
+  is copied for a block or for another unit, so disk grows with the input alone.
+* Of each unit, a block's first and third coordinates fall in bands no narrower
+  than the block's radius: near blocks lie in one band or in two adjoining ones.
+* Inside a cell of two bands rows are sorted by the second coordinate, a window of
+  it is compared with rows of the adjoining cells by one matrix product, and what
+  lies within the block's budget is verified in double precision on all dimensions.
 * A pair that several blocks find belongs to the first of them, so links are
   counted once without gathering pairs. A task gives back how many links each
   vector has, and the edges of a spanning forest, never the pairs.
@@ -25,20 +27,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from tabwright.llm.common import parts_for, publish, table
+from tabwright.llm.common import publish, table
 from tabwright.llm.components import connected
-from tabwright.llm.minhash import grouped
 
 COSINE = 0.95
 #: Dimensions of a block.
 BLOCK = 8
-#: Rows of a unit; a task holds two.
-UNIT = 8192
-#: Room for rounding in budgets; what passes is verified.
-SLACK = 1e-9
+#: Components of a unit, and rows at most; a task holds two.
+UNIT, ROWS = 1 << 20, 16384
+#: Bands on either side of zero; the outer ones are open.
+BANDS = 2
+#: Rows of a step through a cell, candidates that are verified together.
+STEP, WAITING = 128, 100_000
+#: Room for rounding in budgets, and for that of single precision; what passes is verified.
+SLACK, ROUNDING = 1e-9, 1e-5
 
 
 def rotation(d: int) -> np.ndarray:
@@ -59,70 +66,158 @@ def budgets(d: int, cosine: float) -> np.ndarray:
     return np.array([whole * (b.stop - b.start) / d for b in blocks_of(d)])
 
 
-def _placed(cosine: float):
-    """Rows of each class's vector: one for each block, with the block's band."""
+def _raw(kind: str):
+    """Vectors as the bytes of their components; null stays null."""
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            for d, same in part.groupby(part.embedding.str.len()):
-                turn, radius = rotation(int(d)), np.sqrt(budgets(int(d), cosine))
-                for at in range(0, len(same), 2048):
-                    rows = same.iloc[at : at + 2048]
-                    x = np.array(rows.embedding.tolist(), float)
-                    u = (x / np.linalg.norm(x, axis=1)[:, None]) @ turn
-                    data = [r.tobytes() for r in u]
-                    for b, block in enumerate(blocks_of(int(d))):
-                        band = np.floor(u[:, block.start] / radius[b]).astype(np.int32)
-                        yield pd.DataFrame(
-                            {"d": np.int32(d), "block": np.int32(b), "band": band, "id": rows.id.to_numpy(), "n": rows.n.to_numpy(), "u": data}
-                        )
-
-    return place
-
-
-def _units(placed: DataFrame) -> DataFrame:
-    """Rows dealt to pairs of units: (d, block, band, x, next, y, side, ...).
-
-    Unit x of a band meets units y >= x of its own band (next = 0) and every unit
-    of the band after it (next = 1); side tells which of the two a row is in.
-    """
-    sizes = placed.groupBy("d", "block", "band").agg(F.ceil(F.count("*") / F.lit(UNIT)).cast("int").alias("units"))
-    # As many rows as the dimensions have bands: at most 2 / radius for each block.
-    sizes = publish(sizes, "bands")
-    after = sizes.select("d", "block", (F.col("band") - 1).alias("band"), F.col("units").alias("after"))
-    before = sizes.select("d", "block", (F.col("band") + 1).alias("band"), F.col("units").alias("before"))
-    keys = ["d", "block", "band"]
-    plan = sizes.join(after, keys, "left").join(before, keys, "left").na.fill(0, ["after", "before"])
-    rows = placed.join(F.broadcast(plan), keys).withColumn("own", F.pmod(F.xxhash64("id"), F.col("units")).cast("int"))
-    numbers = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    here = F.transform(
-        numbers(F.col("units")),
-        lambda o: F.struct(
-            F.col("band").alias("low"), F.least("own", o).alias("x"), F.lit(0).alias("next"), F.greatest("own", o).alias("y"),
-            (F.col("own") > o).cast("int").alias("side"),
-        ),
-    )
-    up = F.transform(
-        numbers(F.col("after")),
-        lambda o: F.struct(F.col("band").alias("low"), F.col("own").alias("x"), F.lit(1).alias("next"), o.alias("y"), F.lit(0).alias("side")),
-    )
-    down = F.transform(
-        numbers(F.col("before")),
-        lambda o: F.struct((F.col("band") - 1).alias("low"), o.alias("x"), F.lit(1).alias("next"), F.col("own").alias("y"), F.lit(1).alias("side")),
-    )
-    return rows.select("d", "block", "id", "n", "u", F.explode(F.concat(here, up, down)).alias("to")).select(
-        "d", "block", "to.*", "id", "n", "u"
-    )
-
+            # Adding zero makes -0.0 and 0.0 one value.
+            v = [None if x is None else (np.asarray(x, kind) + 0).tobytes() for x in part.embedding]
+            d = [0 if x is None else len(x) for x in part.embedding]
+            yield pd.DataFrame({"vec_id": part.vec_id.astype("Int64"), "d": np.array(d, np.int32), "v": v})
+
+    return raw
+
+
+def _packed(unit: int):
+    """Rows (id, n, d, v) in units of equal dimension, one row each."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = TaskContext.get().partitionId() << 36
+        held: dict[int, list[pd.DataFrame]] = {}
+
+        def one(d: int) -> pd.DataFrame:
+            nonlocal at
+            part = pd.concat(held.pop(d))
+            at += 1
+            ids, n = (part[c].to_numpy("<i8").tobytes() for c in ("id", "n"))
+            return pd.DataFrame([{"unit": at - 1, "d": np.int32(d), "ids": ids, "n": n, "v": b"".join(part.v)}])
+
+        for batch in batches:
+            for d, part in batch.groupby("d"):
+                size = max(1, min(ROWS, unit // d))
+                while len(part):
+                    room = size - sum(map(len, held.get(d, [])))
+                    held.setdefault(d, []).append(part[:room])
+                    part = part[room:]
+                    if sum(map(len, held[d])) == size:
+                        yield one(d)
+        for d in list(held):
+            yield one(d)
+
+    return pack
+
+
+class _Block:
+    """One block of a unit's vectors: cells of bands, in each rows by the second coordinate."""
+
+    def __init__(self, part: np.ndarray, width: float) -> None:
+        k = part.shape[1]
+        bands = np.floor(part[:, [0, 2 if k > 2 else 0]] / width).clip(-BANDS, BANDS - 1).astype(int)
+        second = part[:, min(1, k - 1)]
+        self.order = np.lexsort((second, bands[:, 1], bands[:, 0]))
+        self.second, bands, x = second[self.order], bands[self.order], part[self.order]
+        edges = [0, *(np.flatnonzero((bands[1:] != bands[:-1]).any(1)) + 1).tolist(), len(x)]
+        self.cells = {tuple(bands[a].tolist()): (a, b) for a, b in zip(edges, edges[1:])}
+        # A row of left times one of right is the squared distance.
+        square, ones = (x**2).sum(1)[:, None], np.ones((len(x), 1))
+        self.left = np.concatenate([-2 * x, square, ones], 1, dtype=np.float32, casting="same_kind")
+        self.right = np.concatenate([x, ones, square], 1, dtype=np.float32, casting="same_kind")
+
+
+class _Unit:
+    def __init__(self, unit: int, d: int, ids: bytes, n: bytes, v: bytes, kind: str, cosine: float) -> None:
+        self.unit, self.d = unit, d
+        self.ids, self.n = np.frombuffer(ids, "<i8"), np.frombuffer(n, "<i8")
+        x = np.frombuffer(v, kind).reshape(len(self.ids), d).astype(float)
+        self.u = (x / np.linalg.norm(x, axis=1)[:, None]) @ rotation(d)
+        # Coordinates are about 1 / sqrt(d); narrower bands would hold few rows.
+        widths = np.maximum(np.sqrt(budgets(d, cosine)), 0.8 / np.sqrt(d)) * (1 + 1e-6)
+        self.blocks = [_Block(self.u[:, block], width) for block, width in zip(blocks_of(d), widths)]
+
+
+def _close(a: _Block, b: _Block, limit: float, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a and of b whose blocks lie within the limit, and some a little beyond."""
+    reach, most = np.sqrt(limit) * (1 + 1e-6) + SLACK, np.float32(limit + ROUNDING)
+    gaps, marks = np.empty(STEP * len(b.order), np.float32), np.zeros(STEP * len(b.order) + 7, bool)
+    for (x, y), (start, end) in a.cells.items():
+        steps = np.arange(start, end, STEP)
+        least, greatest = a.second[steps] - reach, a.second[np.minimum(steps + STEP, end) - 1] + reach
+        for cell in ((x + i, y + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+            first, last = b.cells.get(cell, (0, 0))
+            # Inside one unit each pair of cells meets once, and in one cell the later of two rows counts.
+            if first == last or alone and first < start:
+                continue
+            low = first + np.searchsorted(b.second[first:last], least)
+            high = first + np.searchsorted(b.second[first:last], greatest, "right")
+            for at, lo, hi in zip(steps.tolist(), low.tolist(), high.tolist()):
+                if lo >= hi:
+                    continue
+                x1 = a.left[at : min(at + STEP, end)]
+                size = len(x1) * (hi - lo)
+                np.matmul(x1, b.right[lo:hi].T, out=gaps[:size].reshape(len(x1), -1))
+                np.less_equal(gaps[:size], most, out=marks[:size])
+                marks[size : size + 7] = False
+                # Few are marked: eight at a time are looked through.
+                found = np.flatnonzero(marks[: -(-size // 8) * 8].view(np.uint64) != 0)
+                if not len(found):
+                    continue
+                found = (found[:, None] * 8 + np.arange(8)).ravel()
+                found = found[marks[found]]
+                i, j = np.divmod(found, hi - lo)
+                i, j = i + at, j + lo
+                if alone and first == start:
+                    later = j > i
+                    i, j = i[later], j[later]
+                yield a.order[i], b.order[j]
+
+
+def _near(left: _Unit, right: _Unit, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of left and of right that are near, each pair once."""
+    limit, starts = budgets(left.d, cosine), [block.start for block in blocks_of(left.d)]
+    chunk = max(1, min(ROWS, UNIT // left.d))
+
+    def verified(b: int, waiting: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, j = (np.concatenate(x) for x in zip(*waiting))
+        waiting.clear()
+        for s in range(0, len(i), chunk):
+            p, q = i[s : s + chunk], j[s : s + chunk]
+            x, y = left.u[p], right.u[q]
+            ok = (x * y).sum(1) >= cosine
+            if ok.any():
+                p, q, square = p[ok], q[ok], (x[ok] - y[ok]) ** 2
+                within = np.add.reduceat(square, starts, axis=1) <= limit
+                mine = within[:, b] & ~within[:, :b].any(1)
+                yield p[mine], q[mine]
 
-_PAIR = ["d", "block", "low", "x", "next", "y"]
+    for b in range(len(starts)):
+        waiting, n = [], 0
+        for i, j in _close(left.blocks[b], right.blocks[b], limit[b], left is right):
+            waiting.append((i, j))
+            n += len(i)
+            if n >= WAITING:
+                yield from verified(b, waiting)
+                n = 0
+        if waiting:
+            yield from verified(b, waiting)
 
 
 class _Forest:
-    """Components of a task's links; new ones join two components."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
+    """Links of a task: their number for each vector, and edges that join two components."""
+
+    def __init__(self) -> None:
+        self.at: dict[int, int] = {}
+        self.parent, self.ids, self.n, self.count = (np.zeros(0, np.int64) for _ in range(4))
+        self.edges: list[tuple[int, int]] = []
+
+    def place(self, unit: _Unit) -> int:
+        """Where the unit's vectors begin among the task's."""
+        if unit.unit not in self.at:
+            self.at[unit.unit] = n = len(self.ids)
+            self.parent = np.append(self.parent, np.arange(n, n + len(unit.ids)))
+            self.ids, self.n = np.append(self.ids, unit.ids), np.append(self.n, unit.n)
+            self.count = np.append(self.count, np.zeros(len(unit.ids), np.int64))
+        return self.at[unit.unit]
 
     def root(self, i: int) -> int:
         p = self.parent
@@ -130,74 +225,63 @@ class _Forest:
             p[i] = i = p[p[i]]
         return int(i)
 
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
-def _links(cosine: float, step: int = 512):
-    def near(group: pd.DataFrame) -> pd.DataFrame | None:
-        d, b = int(group.d.iloc[0]), int(group.block.iloc[0])
-        blocks, limit = blocks_of(d), budgets(d, cosine)
-        u = np.frombuffer(b"".join(group.u), float).reshape(len(group), d)
-        side, ids, n = group.side.to_numpy(), group.id.to_numpy(), group.n.to_numpy()
-        alone = bool(group["next"].iloc[0] == 0 and group.x.iloc[0] == group.y.iloc[0])
-        part = u[:, blocks[b]]
-        second = part[:, min(1, part.shape[1] - 1)]
-        order = np.argsort(second, kind="stable")
-        left = order if alone else order[side[order] == 0]
-        right = order if alone else order[side[order] == 1]
-        if not len(left) or not len(right):
-            return None
-        reach = np.sqrt(limit[b]) * (1 + 1e-6)
-        rights, wide = part[right], (part[right] ** 2).sum(1)
-        low = np.searchsorted(second[right], second[left] - reach)
-        high = np.searchsorted(second[right], second[left] + reach, "right")
-        count = np.zeros(len(group), np.int64)
-        forest, edges = _Forest(len(group)), []
-        for at in range(0, len(left), step):
-            rows = left[at : at + step]
-            # The later of two rows of one unit: each pair once.
-            first = int(low[at]) if not alone else at
-            last = int(high[at : at + step].max())
-            if first >= last:
-                continue
-            x = part[rows]
-            gap = (x**2).sum(1)[:, None] + wide[None, first:last] - 2.0 * (x @ rights[first:last].T)
-            i, j = np.nonzero(gap <= limit[b] * (1 + 1e-6) + 1e-12)
-            if alone:
-                later = j + first > i + at
-                i, j = i[later], j[later]
-            for s in range(0, len(i), 100_000):
-                p, q = rows[i[s : s + 100_000]], right[j[s : s + 100_000] + first]
-                ok = (u[p] * u[q]).sum(1) >= cosine
-                p, q = p[ok], q[ok]
-                square = (u[p] - u[q]) ** 2
-                within = np.stack([square[:, blk].sum(1) <= limit[k] for k, blk in enumerate(blocks[: b + 1])], 1)
-                mine = within[:, b] & ~within[:, :b].any(1)
-                p, q = p[mine], q[mine]
-                np.add.at(count, p, n[q])
-                np.add.at(count, q, n[p])
-                edges += [(int(ids[k]), int(ids[m])) for k, m in zip(p.tolist(), q.tolist()) if forest.join(k, m)]
-        linked = np.flatnonzero(count)
-        if not len(linked):
-            return None
-        ends = pd.DataFrame(edges, columns=["a", "b"])
-        counts = pd.DataFrame({"a": ids[linked], "links": count[linked]})
-        return pd.concat([ends, counts], ignore_index=True).astype({"b": "Int64", "links": "Int64"})
+    def roots(self, i: np.ndarray) -> np.ndarray:
+        while (up := self.parent[i]).tobytes() != i.tobytes():
+            i = up
+        return i
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        np.add.at(self.count, p, self.n[q])
+        np.add.at(self.count, q, self.n[p])
+        apart = self.roots(p) != self.roots(q)
+        for i, j in zip(p[apart].tolist(), q[apart].tolist()):
+            a, b = self.root(i), self.root(j)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+                self.edges.append((int(self.ids[i]), int(self.ids[j])))
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        linked = np.flatnonzero(self.count)
+        if len(linked):
+            ends = pd.DataFrame(self.edges, columns=["a", "b"])
+            counts = pd.DataFrame({"a": self.ids[linked], "links": self.count[linked]})
+            yield pd.concat([ends, counts], ignore_index=True).astype({"b": "Int64", "links": "Int64"})
+
+
+def _links(cosine: float, kind: str):
+    """Links of pairs of units: (a, b) is an edge, (a, links) a vector's count."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in grouped(batches, _PAIR):
-            found = near(group)
-            if found is not None:
-                yield found
+        held, forest = None, _Forest()
+        for pairs in batches:
+            for r in pairs.itertuples(index=False):
+                if held is None or held.unit != r.unit:
+                    held = _Unit(r.unit, r.d, r.ids, r.n, r.v, kind, cosine)
+                same = r.unit == r.unit2
+                other = held if same else _Unit(r.unit2, r.d2, r.ids2, r.n2, r.v2, kind, cosine)
+                x, y = forest.place(held), forest.place(other)
+                for p, q in _near(held, other, cosine):
+                    forest.add(p + x, q + y)
+        yield from forest.rows()
 
     return run
 
 
+def _pairs(units: DataFrame) -> DataFrame:
+    """Every two units of one dimension, and each unit with itself, in one row each.
+
+    A product of partitions reads both sides where they lie; nothing is shuffled.
+    """
+    units = units.withColumn("odd", F.xxhash64("unit").bitwiseAND(F.lit(1)))
+    other = units.select([F.col(c).alias(f"{c}2") for c in units.columns])
+    # Of the orders of two units one is taken, by turns, so partitions share the work.
+    once = (F.col("unit") == F.col("unit2")) | ((F.col("odd") == F.col("odd2")) == (F.col("unit") < F.col("unit2")))
+    # Written as a difference: an equality would be shuffled by.
+    return units.hint("shuffle_replicate_nl").join(other, (F.col("d") - F.col("d2") == 0) & once).drop("odd", "odd2")
+
+
 def near_vectors(
-    vectors: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector_column: str = "embedding"
+    vectors: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector_column: str = "embedding", unit: int = UNIT
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors.
 
@@ -206,35 +290,42 @@ def near_vectors(
     rows without an id. Equal vectors link with each other. An empty table gives
     an empty result.
     """
+    given = F.col(f"`{vector_column}`")
+    single = vectors.select(given).schema[0].dataType
+    single = isinstance(single, ArrayType) and isinstance(single.elementType, FloatType)
     rows = vectors.select(
-        F.col(f"`{id_column}`").cast("long").alias("vec_id"), F.col(f"`{vector_column}`").cast("array<double>").alias("embedding")
+        F.col(f"`{id_column}`").cast("long").alias("vec_id"), given.cast(f"array<{'float' if single else 'double'}>").alias("embedding")
     )
     fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     usable = F.col("vec_id").isNotNull() & F.forall("embedding", fine) & F.exists("embedding", lambda v: v != 0)
-    rows = publish(rows.withColumn("usable", F.coalesce(usable, F.lit(False))), "vectors")
-    # Adding zero makes -0.0 and 0.0 one value.
-    same = rows.where("usable").select("vec_id", F.transform("embedding", lambda v: v + F.lit(0.0)).alias("embedding"))
-    classes = publish(
-        same.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")),
-        "classes",
-    )
-    kinds = "d int, block int, band int, id long, n long, u binary"
-    placed = publish(classes.select("id", "n", "embedding").mapInPandas(_placed(cosine), kinds), "blocks")
-    dealt = _units(placed).repartition(parts_for(rows.sparkSession), *_PAIR).sortWithinPartitions(*_PAIR, "side", "id")
-    found = publish(dealt.mapInPandas(_links(cosine), "a long, b long, links long"), "links")
+    rows = rows.withColumn("embedding", F.when(usable, F.col("embedding")))
+    kind = "<f4" if single else "<f8"
+    rows = publish(rows.mapInPandas(_raw(kind), "vec_id long, d int, v binary"), "vectors")
+    same = rows.where("v is not null")
+    classes = same.groupBy("d", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    # So many tasks pack that most units are full.
+    total = same.agg(F.sum("d")).first()[0] or 0
+    packed = classes.coalesce(-(-total // unit) or 1).select("id", "n", "d", "v")
+    units = publish(packed.mapInPandas(_packed(unit), "unit long, d int, ids binary, n binary, v binary"), "units")
+    found = publish(_pairs(units).mapInPandas(_links(cosine, kind), "a long, b long, links long"), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     roots = connected(found.where("b is not null").select("a", "b"))
-    known = (
-        classes.join(counts, "id", "left")
+    # Vectors stay out of the joins; half a SHA-256 stands for each.
+    same = same.select("vec_id", F.substring(F.unhex(F.sha2("v", 256)), 1, 16).alias("key"))
+    known = publish(
+        same.groupBy("key")
+        .agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+        .join(counts, "id", "left")
         .join(roots, "id", "left")
         .select(
-            "embedding",
+            "key",
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
             F.coalesce("root", "id").alias("component_id"),
-        )
+        ),
+        "classes",
     )
-    members = same.join(known, "embedding").select("vec_id", "n_links", "component_id")
-    lone = rows.where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    members = same.join(known, "key").select("vec_id", "n_links", "component_id")
+    lone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = members.unionByName(lone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -171,6 +172,38 @@ def test_vectors_against_brute_force(spark):
     assert embeddings.near_vectors(df.filter("false")).count() == 0
 
 
+def _folder_bytes():
+    top = "/tmp/tabwright-tests-shared"
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names if f.endswith(".parquet"))
+
+
+def test_vectors_lie_on_disk_a_few_times(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((6000, 64)).astype(np.float32)
+    x[3000:3300] = x[:300] + 0.02 * rng.standard_normal((300, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    before = _folder_bytes()
+    got = {r[0]: r[1] for r in embeddings.near_vectors(df).collect()}
+    assert _folder_bytes() - before < 4 * x.nbytes
+    assert got == {i: int(i < 300 or 3000 <= i < 3300) for i in range(6000)}
+
+
+def test_vectors_of_many_units(spark):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((60, 24)), 5, axis=0) + 0.08 * rng.standard_normal((300, 24))
+    x[:, 0] += 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    reached = near
+    for _ in range(9):
+        reached = reached @ reached
+    want = [(i, int(near[i].sum()) - 1, int(np.flatnonzero(reached[i])[0]), not reached[i, :i].any()) for i in range(300)]
+    # Units of 20 rows, so that most links are between two.
+    assert sorted(tuple(r) for r in embeddings.near_vectors(df, unit=20 * 24).collect()) == want
+    assert sum(n for _, n, _, _ in want) > 500
+
+
 def test_budgets_cover_the_distance():
     for d in (1, 2, 7, 24, 64, 100):
         assert embeddings.budgets(d, 0.95).sum() >= 0.1 and embeddings.blocks_of(d)[-1].stop == d
