@@ -16,30 +16,36 @@ joined by range alone:
   lies within the block's budget is verified in double precision on all dimensions.
 * A pair that several blocks find belongs to the first of them, so links are
   counted once without gathering pairs. A task gives back how many links each
-  vector has, and the edges of a spanning forest, never the pairs.
+  vector has, and one vector of its component there, never the pairs.
 
 Equal vectors form a class and one of them takes part, weighted by their number.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from tabwright.llm.common import publish, table
+from tabwright.llm.common import parts_for, publish, table
 from tabwright.llm.components import connected
 
 COSINE = 0.95
 #: Dimensions of a block.
 BLOCK = 8
 #: Components of a unit, and rows at most; a task holds two.
-UNIT, ROWS = 1 << 20, 16384
+UNIT, ROWS = 1 << 22, 16384
+#: Bytes of vectors that a task meets with as many others.
+HELD = 64 << 20
 #: Bands on either side of zero; the outer ones are open.
 BANDS = 2
 #: Rows of a step through a cell, candidates that are verified together.
@@ -48,6 +54,7 @@ STEP, WAITING = 128, 100_000
 SLACK, ROUNDING = 1e-9, 1e-5
 
 
+@functools.lru_cache(8)
 def rotation(d: int) -> np.ndarray:
     """A random orthogonal matrix, the same in every process."""
     q, r = np.linalg.qr(np.random.default_rng(d).standard_normal((d, d)))
@@ -69,12 +76,15 @@ def budgets(d: int, cosine: float) -> np.ndarray:
 def _raw(kind: str):
     """Vectors as the bytes of their components; null stays null."""
 
-    def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
+            lists = part.column("embedding")
+            d = np.array([x or 0 for x in pc.list_value_length(lists).to_pylist()], np.int32)
             # Adding zero makes -0.0 and 0.0 one value.
-            v = [None if x is None else (np.asarray(x, kind) + 0).tobytes() for x in part.embedding]
-            d = [0 if x is None else len(x) for x in part.embedding]
-            yield pd.DataFrame({"vec_id": part.vec_id.astype("Int64"), "d": np.array(d, np.int32), "v": v})
+            data = (lists.flatten().to_numpy(zero_copy_only=False).astype(kind) + 0).tobytes()
+            ends = np.cumsum(d, dtype=np.int64) * np.dtype(kind).itemsize
+            v = [data[a:b] if b > a else None for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            yield pa.RecordBatch.from_arrays([part.column("vec_id"), pa.array(d), pa.array(v, pa.binary())], ["vec_id", "d", "v"])
 
     return raw
 
@@ -113,12 +123,15 @@ class _Block:
 
     def __init__(self, part: np.ndarray, width: float) -> None:
         k = part.shape[1]
-        bands = np.floor(part[:, [0, 2 if k > 2 else 0]] / width).clip(-BANDS, BANDS - 1).astype(int)
-        second = part[:, min(1, k - 1)]
-        self.order = np.lexsort((second, bands[:, 1], bands[:, 0]))
-        self.second, bands, x = second[self.order], bands[self.order], part[self.order]
-        edges = [0, *(np.flatnonzero((bands[1:] != bands[:-1]).any(1)) + 1).tolist(), len(x)]
-        self.cells = {tuple(bands[a].tolist()): (a, b) for a, b in zip(edges, edges[1:])}
+        bands = np.floor(part[:, [0, 2 if k > 2 else 0]] / width).clip(-BANDS, BANDS - 1)
+        bands = np.nan_to_num(bands).astype(np.int8)  # of vectors too short for their norm
+        order = np.argsort(part[:, min(1, k - 1)])
+        cell = bands[:, 0] * np.int8(2 * BANDS) + bands[:, 1]
+        self.order = order = order[np.argsort(cell[order], kind="stable")]
+        x, cell = part[order], cell[order]
+        self.second = x[:, min(1, k - 1)]
+        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(x)]
+        self.cells = {tuple(bands[order[a]].tolist()): (a, b) for a, b in zip(edges, edges[1:])}
         # A row of left times one of right is the squared distance.
         square, ones = (x**2).sum(1)[:, None], np.ones((len(x), 1))
         self.left = np.concatenate([-2 * x, square, ones], 1, dtype=np.float32, casting="same_kind")
@@ -203,12 +216,11 @@ def _near(left: _Unit, right: _Unit, cosine: float) -> Iterator[tuple[np.ndarray
 
 
 class _Forest:
-    """Links of a task: their number for each vector, and edges that join two components."""
+    """Links of a task: their number for each vector, and the components they make."""
 
     def __init__(self) -> None:
         self.at: dict[int, int] = {}
         self.parent, self.ids, self.n, self.count = (np.zeros(0, np.int64) for _ in range(4))
-        self.edges: list[tuple[int, int]] = []
 
     def place(self, unit: _Unit) -> int:
         """Where the unit's vectors begin among the task's."""
@@ -226,30 +238,29 @@ class _Forest:
         return int(i)
 
     def roots(self, i: np.ndarray) -> np.ndarray:
-        while (up := self.parent[i]).tobytes() != i.tobytes():
+        while ((up := self.parent[i]) != i).any():
             i = up
         return i
 
     def add(self, p: np.ndarray, q: np.ndarray) -> None:
         np.add.at(self.count, p, self.n[q])
         np.add.at(self.count, q, self.n[p])
+        # Few links join two components; only these are taken one by one.
         apart = self.roots(p) != self.roots(q)
         for i, j in zip(p[apart].tolist(), q[apart].tolist()):
             a, b = self.root(i), self.root(j)
-            if a != b:
-                self.parent[max(a, b)] = min(a, b)
-                self.edges.append((int(self.ids[i]), int(self.ids[j])))
+            self.parent[max(a, b)] = min(a, b)
 
     def rows(self) -> Iterator[pd.DataFrame]:
+        """Each linked vector with its links and one vector of its component."""
         linked = np.flatnonzero(self.count)
-        if len(linked):
-            ends = pd.DataFrame(self.edges, columns=["a", "b"])
-            counts = pd.DataFrame({"a": self.ids[linked], "links": self.count[linked]})
-            yield pd.concat([ends, counts], ignore_index=True).astype({"b": "Int64", "links": "Int64"})
+        for s in range(0, len(linked), ROWS):
+            some = linked[s : s + ROWS]
+            yield pd.DataFrame({"a": self.ids[some], "b": self.ids[self.roots(some)], "links": self.count[some]})
 
 
 def _links(cosine: float, kind: str):
-    """Links of pairs of units: (a, b) is an edge, (a, links) a vector's count."""
+    """Links of pairs of units: how many vector a has, and a vector b of its component."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, forest = None, _Forest()
@@ -267,12 +278,16 @@ def _links(cosine: float, kind: str):
     return run
 
 
-def _pairs(units: DataFrame) -> DataFrame:
+def _pairs(units: DataFrame, size: int) -> DataFrame:
     """Every two units of one dimension, and each unit with itself, in one row each.
 
     A product of partitions reads both sides where they lie; nothing is shuffled.
+    A vector has a row of links for each task that finds some, so tasks are about
+    twice the shuffle partitions, unless their sides grow beyond HELD bytes of the
+    vectors' size.
     """
-    units = units.withColumn("odd", F.xxhash64("unit").bitwiseAND(F.lit(1)))
+    sides = max(math.ceil((2 * parts_for(units.sparkSession)) ** 0.5), -(-size // HELD))
+    units = units.coalesce(sides).withColumn("odd", F.xxhash64("unit").bitwiseAND(F.lit(1)))
     other = units.select([F.col(c).alias(f"{c}2") for c in units.columns])
     # Of the orders of two units one is taken, by turns, so partitions share the work.
     once = (F.col("unit") == F.col("unit2")) | ((F.col("odd") == F.col("odd2")) == (F.col("unit") < F.col("unit2")))
@@ -300,31 +315,29 @@ def near_vectors(
     usable = F.col("vec_id").isNotNull() & F.forall("embedding", fine) & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("embedding", F.when(usable, F.col("embedding")))
     kind = "<f4" if single else "<f8"
-    rows = publish(rows.mapInPandas(_raw(kind), "vec_id long, d int, v binary"), "vectors")
+    rows = publish(rows.mapInArrow(_raw(kind), "vec_id long, d int, v binary"), "vectors")
+    # Vectors stay out of the joins; half a SHA-256 stands for each.
     same = rows.where("v is not null")
-    classes = same.groupBy("d", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
+    keys = same.select("vec_id", "d", F.substring(F.unhex(F.sha2("v", 256)), 1, 16).alias("key"))
+    classes = publish(keys.groupBy("d", "key").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
     # So many tasks pack that most units are full.
-    total = same.agg(F.sum("d")).first()[0] or 0
-    packed = classes.coalesce(-(-total // unit) or 1).select("id", "n", "d", "v")
+    total, full = (x or 0 for x in classes.agg(F.sum("d"), F.sum(F.greatest(F.lit(1 / ROWS), F.col("d") / unit))).first())
+    packed = same.groupBy("d", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).coalesce(max(1, math.ceil(full)))
     units = publish(packed.mapInPandas(_packed(unit), "unit long, d int, ids binary, n binary, v binary"), "units")
-    found = publish(_pairs(units).mapInPandas(_links(cosine, kind), "a long, b long, links long"), "links")
-    counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    roots = connected(found.where("b is not null").select("a", "b"))
-    # Vectors stay out of the joins; half a SHA-256 stands for each.
-    same = same.select("vec_id", F.substring(F.unhex(F.sha2("v", 256)), 1, 16).alias("key"))
+    found = publish(_pairs(units, total * np.dtype(kind).itemsize).mapInPandas(_links(cosine, kind), "a long, b long, links long"), "links")
+    counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    roots = connected(found.select("a", "b"))
     known = publish(
-        same.groupBy("key")
-        .agg(F.min("vec_id").alias("id"), F.count("*").alias("n"))
-        .join(counts, "id", "left")
+        classes.join(counts, "id", "left")
         .join(roots, "id", "left")
         .select(
-            "key",
+            "d", "key",
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
             F.coalesce("root", "id").alias("component_id"),
         ),
-        "classes",
-    )
-    members = same.join(known, "key").select("vec_id", "n_links", "component_id")
+        "known",
+    )
+    members = keys.join(known, ["d", "key"]).select("vec_id", "n_links", "component_id")
     lone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = members.unionByName(lone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -192,13 +192,15 @@ def test_vectors_of_many_units(spark):
     rng = np.random.default_rng(9)
     x = np.repeat(rng.standard_normal((60, 24)), 5, axis=0) + 0.08 * rng.standard_normal((300, 24))
     x[:, 0] += 1
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    # No double holds these ids.
+    ids = [2**60 + i for i in range(300)]
+    df = spark.createDataFrame(list(zip(ids, x.tolist())), "vec_id long, embedding array<double>").repartition(5)
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = u @ u.T >= 0.95
     reached = near
     for _ in range(9):
         reached = reached @ reached
-    want = [(i, int(near[i].sum()) - 1, int(np.flatnonzero(reached[i])[0]), not reached[i, :i].any()) for i in range(300)]
+    want = [(ids[i], int(near[i].sum()) - 1, ids[np.flatnonzero(reached[i])[0]], not reached[i, :i].any()) for i in range(300)]
     # Units of 20 rows, so that most links are between two.
     assert sorted(tuple(r) for r in embeddings.near_vectors(df, unit=20 * 24).collect()) == want
     assert sum(n for _, n, _, _ in want) > 500
